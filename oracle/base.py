@@ -155,3 +155,8 @@ def r6(expr: str, digits: int = 6) -> str:
 
 def rounded(columns: list[str] | tuple[str, ...], digits: int = 6) -> str:
     return ", ".join(f"{r6(c, digits)} AS {c}" for c in columns)
+
+
+def even(expr: str, digits: int = 0) -> str:
+    scale = 10 ** digits
+    return f"round_even(round(({expr}) * {scale}, 7), 0) / CAST({scale} AS DOUBLE) + CAST(0 AS DOUBLE)"

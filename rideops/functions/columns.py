@@ -83,3 +83,9 @@ def lenient_true(value: Column) -> Column:
     """True for boolean true, 1 and the usual text forms; null counts as false."""
     text = F.lower(F.trim(value.cast("string")))
     return F.coalesce(text.isin("1", "true", "t", "yes", "y", "on"), F.lit(False))
+
+
+def rounded_even(value: Column, digits: int = 0) -> Column:
+    """Round with ties to even; values within 1e-7 of a tie (after scaling) count as ties."""
+    scale = 10 ** digits
+    return F.bround(F.round(value * scale, 7), 0) / scale + F.lit(0.0)
