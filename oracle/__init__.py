@@ -1,3 +1,3 @@
-from oracle import tendency, zone_bins
+from oracle import drivers, tendency, zone_bins
 
-ALL_STATEMENTS = {**zone_bins.statements(), **tendency.statements()}
+ALL_STATEMENTS = {**zone_bins.statements(), **tendency.statements(), **drivers.statements()}

@@ -53,25 +53,25 @@ view("zones", """
   FROM nation""")
 view("user_events", """
   SELECT event_id, user_id, event_type, value,
-    1736143200 + CAST(floor((epoch_us(ts) - 1704067200000000) / 120e6) AS BIGINT) AS at,
+    1736143200 + CAST(floor((epoch_us(ts) - 1704067200000000) / 120e6) AS BIGINT) AS seen_at,
     CAST(40.70 AS DOUBLE) + CAST(event_id * 37 % 1000 AS DOUBLE) / 50000 AS lat,
     CAST(-73.98 AS DOUBLE) + CAST(event_id * 91 % 1000 AS DOUBLE) / 50000 AS lng,
     CAST(40.70 AS DOUBLE) + CAST((event_id + 1) * 37 % 1000 AS DOUBLE) / 50000 AS next_lat,
     CAST(-73.98 AS DOUBLE) + CAST((event_id + 1) * 91 % 1000 AS DOUBLE) / 50000 AS next_lng,
     CAST(118 + user_id % 25 AS INTEGER) AS zone_id
   FROM events""")
-view("heartbeats", "SELECT event_id, user_id, at, lat, lng FROM user_events", "user_events")
+view("heartbeats", "SELECT event_id, user_id, seen_at, lat, lng FROM user_events", "user_events")
 view("pickups", """
-  SELECT event_id AS pickup_id, user_id, zone_id, lat, lng, at AS created_at, event_id % 11 = 0 AS is_voided,
+  SELECT event_id AS pickup_id, user_id, zone_id, lat, lng, seen_at AS created_at, event_id % 11 = 0 AS is_voided,
     CASE WHEN event_id % 11 = 0 THEN at + 1800 END AS voided_at, CASE WHEN event_id % 11 = 0 THEN 'admin' END AS void_reason,
     event_id % 7 <> 0 AS counted_for_stats
   FROM user_events WHERE event_type = 'purchase'""", "user_events")
 view("recommendations", """
-  SELECT event_id AS recommendation_id, user_id, zone_id, 'c' || (event_id % 6) AS cluster_id, at AS recommended_at,
+  SELECT event_id AS recommendation_id, user_id, zone_id, 'c' || (event_id % 6) AS cluster_id, seen_at AS recommended_at,
     next_lat AS center_lat, next_lng AS center_lng, value % 10 / 10.0 AS score, event_id % 9 / CAST(9 AS DOUBLE) AS confidence
   FROM user_events WHERE event_type = 'view'""", "user_events")
 view("guidance", """
-  SELECT event_id AS guidance_id, user_id, at AS recommended_at,
+  SELECT event_id AS guidance_id, user_id, seen_at AS recommended_at,
     CASE event_id % 4 WHEN 0 THEN 'hold' WHEN 1 THEN 'micro_reposition' WHEN 2 THEN 'move_nearby' ELSE 'wait_dispatch' END AS action,
     zone_id AS source_zone_id,
     CASE WHEN event_id % 3 = 0 THEN zone_id WHEN event_id % 3 = 1 THEN zone_id + 1 END AS target_zone_id
@@ -83,7 +83,7 @@ view("resolved_outcomes", """
      "recommendations")
 view("reports", """
   SELECT event_id AS report_id, user_id, zone_id, lat, lng,
-    CASE event_id % 4 WHEN 0 THEN 'Police' WHEN 1 THEN 'police' ELSE 'hazard' END AS type, at AS created_at
+    CASE event_id % 4 WHEN 0 THEN 'Police' WHEN 1 THEN 'police' ELSE 'hazard' END AS type, seen_at AS created_at
   FROM user_events WHERE event_type = 'error'""", "user_events")
 view("users", f"""
   SELECT user_id, 'user' || user_id || '@example.com' AS email,
@@ -111,10 +111,10 @@ view("drivers", """
   FROM customer""")
 view("battles", f"""
   SELECT o_orderkey AS battle_id,
-    CASE o_orderkey % 3 WHEN 0 THEN 'miles' WHEN 1 THEN 'hours' ELSE 'pickups' END AS metric,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'miles' ELSE 'hours' END AS metric,
     CASE o_orderkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' ELSE 'monthly' END AS period,
     o_custkey AS challenger_id, o_custkey + 1 + o_orderkey % 7 AS challenged_id,
-    CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'active' WHEN 2 THEN 'completed' ELSE 'declined' END AS status,
+    CASE o_orderkey // 3 % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'active' WHEN 2 THEN 'completed' ELSE 'declined' END AS status,
     DATE '2025-01-01' + CAST(o_orderkey % 300 AS INTEGER) AS start_date,
     DATE '2025-01-01' + CAST(o_orderkey % 300 + CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 6 ELSE 29 END AS INTEGER) AS end_date,
     {NOW} - (o_orderkey % 72) * 3600 AS created_at, {NOW} - (o_orderkey % 72) * 3600 + 86400 AS expires_at,

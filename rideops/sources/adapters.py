@@ -215,11 +215,11 @@ def battles(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.element_at(F.array(F.lit(0), F.lit(6), F.lit(29)), (key % 3 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(
         key.alias("battle_id"),
-        F.element_at(F.array(F.lit("miles"), F.lit("hours"), F.lit("pickups")), (key % 3 + 1).cast("int")).alias("metric"),
+        F.when(key % 2 == 0, "miles").otherwise("hours").alias("metric"),
         F.element_at(F.array(F.lit("daily"), F.lit("weekly"), F.lit("monthly")), (key % 3 + 1).cast("int")).alias("period"),
         F.col("o_custkey").alias("challenger_id"), other.alias("challenged_id"),
         F.element_at(F.array(F.lit("pending"), F.lit("active"), F.lit("completed"), F.lit("declined")),
-                     (key % 4 + 1).cast("int")).alias("status"),
+                     (F.floor(key / 3) % 4 + 1).cast("int")).alias("status"),
         start.alias("start_date"), F.date_add(start, length).alias("end_date"),
         (F.lit(NOW) - (key % 72) * 3600).alias("created_at"),
         (F.lit(NOW) - (key % 72) * 3600 + 86400).alias("expires_at"),
