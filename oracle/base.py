@@ -63,7 +63,7 @@ view("user_events", """
 view("heartbeats", "SELECT event_id, user_id, seen_at, lat, lng FROM user_events", "user_events")
 view("pickups", """
   SELECT event_id AS pickup_id, user_id, zone_id, lat, lng, seen_at AS created_at, event_id % 11 = 0 AS is_voided,
-    CASE WHEN event_id % 11 = 0 THEN at + 1800 END AS voided_at, CASE WHEN event_id % 11 = 0 THEN 'admin' END AS void_reason,
+    CASE WHEN event_id % 11 = 0 THEN seen_at + 1800 END AS voided_at, CASE WHEN event_id % 11 = 0 THEN 'admin' END AS void_reason,
     event_id % 7 <> 0 AS counted_for_stats
   FROM user_events WHERE event_type = 'purchase'""", "user_events")
 view("recommendations", """

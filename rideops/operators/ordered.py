@@ -66,3 +66,29 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str
     rest = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_best"))
     return best.select(*keys, "_best.*")
+
+
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def with_running(df: DataFrame, key: str | Sequence[str], at: str, order: Sequence[str], value: Column, name: str,
+                 kind: str = "sum", bucket_seconds: int = 3600) -> DataFrame:
+    """Inclusive running sum, min or max of ``value`` per key, spread over time buckets.
+
+    Inside a bucket it is a window; across buckets it is the same function over one row per key
+    and bucket, so no task sees all rows of a key.
+    """
+    keys, fn = _keys(key), {"sum": F.sum, "min": F.min, "max": F.max}[kind]
+    rows = df.withColumns({"_bucket": F.floor(F.col(at) / bucket_seconds), "_value": value})
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, "_bucket").agg(fn("_value").alias("_total")).withColumn(
+        "_carry", fn("_total").over(before)).select(*keys, "_bucket", "_carry")
+    out = rows.withColumn("_run", fn("_value").over(inside)).join(carry, [*keys, "_bucket"], "left")
+    run, held = F.col("_run"), F.col("_carry")
+    if kind == "sum":
+        total = F.coalesce(run, F.lit(0)) + F.coalesce(held, F.lit(0))
+    else:
+        total = (F.least if kind == "min" else F.greatest)(run, held)
+    return out.withColumn(name, total).drop("_bucket", "_value", "_run", "_carry")
