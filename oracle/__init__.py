@@ -1,3 +1,3 @@
-from oracle import drivers, tendency, zone_bins
+from oracle import drivers, outcomes, tendency, zone_bins
 
-ALL_STATEMENTS = {**zone_bins.statements(), **tendency.statements(), **drivers.statements()}
+ALL_STATEMENTS = {**zone_bins.statements(), **tendency.statements(), **drivers.statements(), **outcomes.statements()}

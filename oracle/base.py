@@ -160,3 +160,16 @@ def rounded(columns: list[str] | tuple[str, ...], digits: int = 6) -> str:
 def even(expr: str, digits: int = 0) -> str:
     scale = 10 ** digits
     return f"round_even(round(({expr}) * {scale}, 7), 0) / CAST({scale} AS DOUBLE) + CAST(0 AS DOUBLE)"
+
+
+view("experiment_bins", """
+  SELECT event_id AS bin_id, seen_at // 1200 * 1200 AS bin_time, zone_id, 'c' || (event_id % 6) AS cluster_id, value % 10 / 10.0 AS final_score,
+    event_id % 9 / CAST(9 AS DOUBLE) AS confidence, event_id % 3 = 0 AS recommended FROM user_events WHERE event_type = 'signup'""", "user_events")
+view("guidance_inputs", f"""
+  SELECT event_id, user_id, event_id * 13 % 100 AS rating, event_id * 17 % 100 AS next_rating, event_id % 10 / CAST(10 AS DOUBLE) AS continuation,
+    event_id % 60 AS tripless_minutes, event_id * 7 % 40 AS stationary_minutes, event_id * 3 % 30 AS movement_minutes, event_id % 4 AS move_attempts,
+    event_id % 3 AS trips_60m, event_id % 2 = 1 AS moved_since_trip, event_id % 11 / CAST(10 AS DOUBLE) AS dispatch_uncertainty,
+    CASE WHEN event_id % 5 <> 0 THEN event_id * 29 % 100 END AS best_rating, event_id % 40 / CAST(10 AS DOUBLE) AS best_distance,
+    CASE WHEN event_id % 7 <> 0 THEN CASE event_id % 4 WHEN 0 THEN 'hold' WHEN 1 THEN 'micro_reposition' WHEN 2 THEN 'move_nearby' ELSE 'wait_dispatch' END END AS last_action,
+    {NOW} - event_id % 1200 AS last_move_at
+  FROM user_events""", "user_events")

@@ -1,3 +1,3 @@
-from rideops.plans import driver_queries, tendency_queries, zone_queries
+from rideops.plans import driver_queries, outcome_queries, tendency_queries, zone_queries
 
-ALL_QUERIES = {**zone_queries.QUERIES, **tendency_queries.QUERIES, **driver_queries.QUERIES}
+ALL_QUERIES = {**zone_queries.QUERIES, **tendency_queries.QUERIES, **driver_queries.QUERIES, **outcome_queries.QUERIES}

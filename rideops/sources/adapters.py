@@ -302,3 +302,26 @@ def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(
         F.concat(F.lit("evt_"), F.col("n").cast("string")).alias("event_id"), "event_type",
         "occurred_at", "received_at", F.to_json(data).alias("raw_event_json"))
+
+
+def experiment_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiment log rows of zones and micro clusters, from ``signup`` events."""
+    e = user_events(spark, sf_dir).filter(F.col("event_type") == "signup")
+    key = F.col("event_id")
+    return e.select(
+        key.alias("bin_id"), (F.floor(F.col("at") / 1200) * 1200).alias("bin_time"), "zone_id",
+        F.concat(F.lit("c"), (key % 6).cast("string")).alias("cluster_id"),
+        (F.col("value") % 10 / 10.0).alias("final_score"), (key % 9 / 9.0).alias("confidence"), (key % 3 == 0).alias("recommended"))
+
+
+def guidance_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity and zone context of a guidance request, one per event."""
+    key = F.col("event_id")
+    last = F.element_at(F.array(*[F.lit(a) for a in GUIDANCE_ACTIONS]), (key % 4 + 1).cast("int"))
+    return user_events(spark, sf_dir).select(
+        "event_id", "user_id", (key * 13 % 100).alias("rating"), (key * 17 % 100).alias("next_rating"),
+        (key % 10 / 10.0).alias("continuation"), (key % 60).alias("tripless_minutes"), (key * 7 % 40).alias("stationary_minutes"),
+        (key * 3 % 30).alias("movement_minutes"), (key % 4).alias("move_attempts"), (key % 3).alias("trips_60m"),
+        (key % 2 == 1).alias("moved_since_trip"), (key % 11 / 10.0).alias("dispatch_uncertainty"),
+        F.when(key % 5 != 0, key * 29 % 100).alias("best_rating"), (key % 40 / 10.0).alias("best_distance"),
+        F.when(key % 7 != 0, last).alias("last_action"), (F.lit(NOW) - key % 1200).alias("last_move_at"))
