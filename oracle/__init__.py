@@ -1,3 +1,5 @@
-from oracle import drivers, outcomes, tendency, zone_bins
+from oracle import drivers, frames, outcomes, sources, tendency, zone_bins
 
-ALL_STATEMENTS = {**zone_bins.statements(), **tendency.statements(), **drivers.statements(), **outcomes.statements()}
+ALL_STATEMENTS = {}
+for _module in (zone_bins, frames, tendency, drivers, outcomes, sources):
+    ALL_STATEMENTS.update(_module.statements())

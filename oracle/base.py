@@ -150,7 +150,7 @@ view("blocks", """
 
 
 def r6(expr: str, digits: int = 6) -> str:
-    return f"round({expr} + CAST(1e-9 AS DOUBLE), {digits}) + CAST(0 AS DOUBLE)"
+    return f"round({expr} + CAST(2.5e-9 AS DOUBLE), {digits}) + CAST(0 AS DOUBLE)"
 
 
 def rounded(columns: list[str] | tuple[str, ...], digits: int = 6) -> str:

@@ -287,7 +287,7 @@ def statements() -> dict[str, str]:
         "airport_zone_flag": statement("SELECT zone_id, zone_name, borough_name, airport_excluded FROM zones", "zones"),
         "shared_flag_coalesce": statement("SELECT PULocationID AS zone_id, shared_match_flag AS shared_flag, count(*) AS trips FROM trips GROUP BY ALL", "trips"),
         "zone_bin_agg": statement(f"SELECT {KEY}pickups_now, {rounded([*MEDIANS, *SHARES])} FROM zone_bin_actual", "zone_bin_actual"),
-        "zone_bin_grid": statement("SELECT zone_id, zone_name, borough_name, round(zone_area_sq_miles + 1e-9, 6) AS zone_area_sq_miles, bin_local_epoch FROM grid", "grid"),
+        "zone_bin_grid": statement("SELECT zone_id, zone_name, borough_name, round(zone_area_sq_miles + 2.5e-9, 6) AS zone_area_sq_miles, bin_local_epoch FROM grid", "grid"),
         "zone_bin_filled": statement(f"SELECT {KEY}pickups_now, pickups_next, {rounded([*MEDIANS, *SHARES])} FROM zone_bin", "zone_bin"),
         "next_bin_pickups": statement(f"SELECT {KEY}pickups_now, pickups_next FROM with_next", "with_next"),
         "od_edges": statement(f"SELECT zone_id, drop_zone_id, bin_local_epoch, edge_trips, edge_total, {r6('edge_trips / CAST(edge_total AS DOUBLE)')} AS edge_share, lookup_bin FROM edges", "edges"),

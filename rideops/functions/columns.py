@@ -22,7 +22,7 @@ def rounded(value: Column, digits: int = 6) -> Column:
     The nudge keeps a decimal tie from turning on the last bit of a double; adding zero turns
     -0.0 into 0.0.
     """
-    return F.round(value + F.lit(1e-9), digits) + F.lit(0.0)
+    return F.round(value + F.lit(2.5e-9), digits) + F.lit(0.0)
 
 
 def flag(condition: Column) -> Column:

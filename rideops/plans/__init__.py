@@ -1,3 +1,6 @@
-from rideops.plans import driver_queries, outcome_queries, tendency_queries, zone_queries
+from rideops.plans import driver_queries, frame_queries, outcome_queries, source_queries, tendency_queries, zone_queries
 
-ALL_QUERIES = {**zone_queries.QUERIES, **tendency_queries.QUERIES, **driver_queries.QUERIES, **outcome_queries.QUERIES}
+ALL_QUERIES = {
+    **zone_queries.QUERIES, **frame_queries.QUERIES, **tendency_queries.QUERIES, **driver_queries.QUERIES,
+    **outcome_queries.QUERIES, **source_queries.QUERIES,
+}

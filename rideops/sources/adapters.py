@@ -325,3 +325,34 @@ def guidance_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 2 == 1).alias("moved_since_trip"), (key % 11 / 10.0).alias("dispatch_uncertainty"),
         F.when(key % 5 != 0, key * 29 % 100).alias("best_rating"), (key % 40 / 10.0).alias("best_distance"),
         F.when(key % 7 != 0, last).alias("last_action"), (F.lit(NOW) - key % 1200).alias("last_move_at"))
+
+
+def zone_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON features (JSON text) drawn around the zones: squares, every fifth one doubled
+    into a MultiPolygon and every seventh with a hole. Property spellings vary."""
+    z = zones(spark, sf_dir).withColumn("half", F.sqrt("zone_area_sq_miles") / 138.0)
+
+    def ring(cx: Column, cy: Column, half: Column) -> Column:
+        x0, x1, y0, y1 = cx - half, cx + half, cy - half, cy + half
+        return F.array(*[F.array(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+
+    cx, cy, half = F.col("centroid_longitude"), F.col("centroid_latitude"), F.col("half")
+    square = F.array(ring(cx, cy, half))
+    holed = F.array(ring(cx, cy, half), ring(cx, cy, half / 4))
+    double = F.array(square, F.array(ring(cx + 1.0, cy, half)))
+    key = F.col("zone_id")
+    geometry = (
+        F.when(key % 5 == 0, F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), F.to_json(double), F.lit("}")))
+        .otherwise(F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(F.when(key % 7 == 0, holed).otherwise(square)), F.lit("}"))))
+    spelled = F.when(key % 2 == 0, F.to_json(F.struct(key.cast("string").alias("LocationID"), F.col("zone_name").alias("zone"), F.col("borough_name").alias("borough"))))
+    other = F.to_json(F.struct(key.alias("LocationID"), F.col("zone_name").alias("Name"), F.col("borough_name").alias("Boro")))
+    return z.select(F.coalesce(spelled, other).alias("properties"), geometry.alias("geometry"))
+
+
+def file_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File name and time of every row of three tables, as an inventory's input."""
+    out = None
+    for name, column in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"), ("events", "ts")):
+        part = table(spark, sf_dir, name).select(F.col("_metadata.file_name").alias("file_name"), F.col(column).cast("timestamp").alias("t"))
+        out = part if out is None else out.unionByName(part)
+    return out
