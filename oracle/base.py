@@ -92,10 +92,10 @@ view("users", f"""
     user_id % 19 = 0 AS is_suspended, user_id % 10 = 0 AS ghost_mode,
     {NOW} - (user_id % 40) * 86400 AS created_at,
     CASE WHEN user_id % 3 <> 0 THEN {NOW} + (user_id % 15 - 7) * 86400 END AS trial_expires_at,
-    CASE user_id % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'trialing' WHEN 2 THEN 'past_due' WHEN 3 THEN 'canceled' ELSE 'none' END AS subscription_status,
+    CASE WHEN user_id % 6 = 0 THEN 'comp' ELSE CASE user_id % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'trialing' WHEN 2 THEN 'past_due' WHEN 3 THEN 'cancelled' ELSE 'none' END END AS subscription_status,
     CASE WHEN user_id % 4 <> 0 THEN {NOW} + (user_id % 21 - 10) * 86400 END AS subscription_current_period_end,
-    CASE WHEN user_id % 6 = 0 THEN {NOW} + (user_id % 9 - 4) * 86400 END AS subscription_comp_expires_at,
-    user_id % 6 = 0 AS subscription_comp
+    CASE WHEN user_id % 6 = 0 AND user_id % 12 <> 0 THEN {NOW} + (user_id % 9 - 4) * 86400 END AS comp_expires_at,
+    CASE WHEN user_id % 4 = 0 THEN 'grandfathered:' || (user_id % 3) WHEN user_id % 6 = 0 THEN 'support' END AS comp_reason
   FROM (SELECT DISTINCT user_id FROM events)""")
 view("daily_stats", """
   SELECT o_custkey AS user_id,
@@ -107,7 +107,9 @@ view("drivers", """
   SELECT c_custkey AS user_id, 'user' || c_custkey || '@example.com' AS email,
     CASE WHEN c_custkey % 5 <> 0 THEN 'Driver ' || c_custkey END AS display_name,
     CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey % 17 = 0 END AS is_disabled,
-    c_custkey % 19 = 0 AS is_suspended, c_custkey % 10 = 0 AS ghost_mode
+    c_custkey % 19 = 0 AS is_suspended, c_custkey % 10 = 0 AS ghost_mode,
+    CASE WHEN c_custkey % 2 = 0 THEN 'sub_' || c_custkey END AS subscription_id, CASE WHEN c_custkey % 3 = 0 THEN 'ctm_' || c_custkey END AS customer_id,
+    CASE WHEN c_custkey % 5 = 0 THEN 'trialing' END AS subscription_status
   FROM customer""")
 view("battles", f"""
   SELECT o_orderkey AS battle_id,
@@ -144,9 +146,6 @@ view("private_messages", """
     CASE WHEN turn % 4 = 3 THEN 'img/' || (conv_id * 1000 + turn) END AS image_path,
     CAST(NULL AS VARCHAR) AS audio_path
   FROM conversations WHERE conv_id % 3 <> 0""")
-view("blocks", """
-  SELECT DISTINCT c_custkey % 15 AS blocker_id, (c_custkey * 7 + 4) % 15 AS blocked_id
-  FROM customer WHERE c_custkey % 11 = 0 AND c_custkey % 15 <> (c_custkey * 7 + 4) % 15""")
 
 
 def r6(expr: str, digits: int = 6) -> str:
@@ -173,3 +172,10 @@ view("guidance_inputs", f"""
     CASE WHEN event_id % 7 <> 0 THEN CASE event_id % 4 WHEN 0 THEN 'hold' WHEN 1 THEN 'micro_reposition' WHEN 2 THEN 'move_nearby' ELSE 'wait_dispatch' END END AS last_action,
     {NOW} - event_id % 1200 AS last_move_at
   FROM user_events""", "user_events")
+view("subscription_events", f"""
+  SELECT 'evt_' || (o_orderkey - CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END) AS event_id,
+    CASE o_orderkey % 5 WHEN 0 THEN 'subscription.created' WHEN 1 THEN 'subscription.updated' WHEN 2 THEN 'subscription.canceled' WHEN 3 THEN 'transaction.completed' ELSE 'customer.created' END AS event_type,
+    {NOW} + o_orderkey % 997 * 60 AS occurred_at, {NOW} + o_orderkey * 30 AS received_at,
+    CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS custom_user_id, 'sub_' || o_custkey AS subscription_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'ctm_' || o_custkey END AS customer_id,
+    CASE o_orderkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'past_due' ELSE 'trialing' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN {NOW} + o_orderkey % 60 * 86400 END AS period_end
+  FROM orders""")

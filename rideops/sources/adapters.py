@@ -171,11 +171,13 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         (user % 19 == 0).alias("is_suspended"), (user % 10 == 0).alias("ghost_mode"),
         (F.lit(NOW) - (user % 40) * 86400).alias("created_at"),
         F.when(user % 3 != 0, F.lit(NOW) + (user % 15 - 7) * 86400).alias("trial_expires_at"),
-        F.element_at(F.array(F.lit("active"), F.lit("trialing"), F.lit("past_due"), F.lit("canceled"),
-                             F.lit("none")), (user % 5 + 1).cast("int")).alias("subscription_status"),
+        F.when(user % 6 == 0, "comp").otherwise(
+            F.element_at(F.array(F.lit("active"), F.lit("trialing"), F.lit("past_due"), F.lit("cancelled"),
+                                 F.lit("none")), (user % 5 + 1).cast("int"))).alias("subscription_status"),
         F.when(user % 4 != 0, F.lit(NOW) + (user % 21 - 10) * 86400).alias("subscription_current_period_end"),
-        F.when(user % 6 == 0, F.lit(NOW) + (user % 9 - 4) * 86400).alias("subscription_comp_expires_at"),
-        (user % 6 == 0).alias("subscription_comp"),
+        F.when((user % 6 == 0) & (user % 12 != 0), F.lit(NOW) + (user % 9 - 4) * 86400).alias("comp_expires_at"),
+        F.when(user % 4 == 0, F.concat(F.lit("grandfathered:"), (user % 3).cast("string")))
+        .when(user % 6 == 0, F.lit("support")).alias("comp_reason"),
     )
 
 
@@ -196,7 +198,8 @@ def daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User rows for every customer, the population of :func:`daily_stats`."""
+    """User rows for every customer, the population of :func:`daily_stats`. Some carry stored
+    subscription and customer ids."""
     user = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
         user.alias("user_id"),
@@ -204,6 +207,9 @@ def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(user % 5 != 0, F.concat(F.lit("Driver "), user.cast("string"))).alias("display_name"),
         F.when(user % 13 == 0, F.lit(None)).otherwise(user % 17 == 0).alias("is_disabled"),
         (user % 19 == 0).alias("is_suspended"), (user % 10 == 0).alias("ghost_mode"),
+        F.when(user % 2 == 0, F.concat(F.lit("sub_"), user.cast("string"))).alias("subscription_id"),
+        F.when(user % 3 == 0, F.concat(F.lit("ctm_"), user.cast("string"))).alias("customer_id"),
+        F.when(user % 5 == 0, "trialing").alias("subscription_status"),
     )
 
 
@@ -271,15 +277,6 @@ def private_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who blocks whom, from ``customer`` keys folded onto the fifteen chat users."""
-    key = F.col("c_custkey")
-    return (
-        table(spark, sf_dir, "customer").filter(key % 15 != (key * 7 + 4) % 15).filter(key % 11 == 0)
-        .select((key % 15).alias("blocker_id"), ((key * 7 + 4) % 15).alias("blocked_id")).distinct()
-    )
-
-
 def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payment provider events, one per order, raw JSON included; every 13th is redelivered."""
     key = F.col("o_orderkey")
@@ -356,3 +353,24 @@ def file_times(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = table(spark, sf_dir, name).select(F.col("_metadata.file_name").alias("file_name"), F.col(column).cast("timestamp").alias("t"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def zone_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones with their outline as rings of [lng, lat]: a square of half side ``half`` degrees."""
+    z = zones(spark, sf_dir).withColumn("half", F.sqrt("zone_area_sq_miles") / 138.0)
+    x0, x1 = F.col("centroid_longitude") - F.col("half"), F.col("centroid_longitude") + F.col("half")
+    y0, y1 = F.col("centroid_latitude") - F.col("half"), F.col("centroid_latitude") + F.col("half")
+    ring = F.array(*[F.array(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    return z.withColumn("rings", F.array(ring))
+
+
+def zone_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a pickup point spread over its zone's square (a tenth beyond the edge)."""
+    z = zones(spark, sf_dir).select("zone_id", "centroid_latitude", "centroid_longitude", (F.sqrt("zone_area_sq_miles") / 138.0 * 1.1).alias("reach"))
+    e = user_events(spark, sf_dir).select("event_id", "user_id", "zone_id", "at").join(z, "zone_id")
+    across = (F.col("event_id") * 37 % 1000) / 500.0 - 1.0
+    up = (F.col("event_id") * 91 % 1000) / 500.0 - 1.0
+    return e.select(
+        "event_id", "user_id", "zone_id", F.col("at").alias("created_at"),
+        (F.col("centroid_latitude") + up * up * F.signum(up) * F.col("reach")).alias("lat"),
+        (F.col("centroid_longitude") + across * across * F.signum(across) * F.col("reach")).alias("lng"))
