@@ -84,8 +84,19 @@ def _event_lng(key: Column) -> Column:
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All driver events with position; the base of heartbeats, pickups and recommendations."""
+    return _as_user_events(table(spark, sf_dir, "events"))
+
+
+def user_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`user_events` as a stream, with the event time as a timestamp."""
+    schema = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _as_user_events(raw).withColumn("ts", F.timestamp_seconds("at"))
+
+
+def _as_user_events(events: DataFrame) -> DataFrame:
     event = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", "user_id", "event_type", _event_epoch().alias("at"),
         _event_lat(event).alias("lat"), _event_lng(event).alias("lng"),
         _event_lat(event + 1).alias("next_lat"), _event_lng(event + 1).alias("next_lng"),
@@ -279,12 +290,22 @@ def private_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payment provider events, one per order, raw JSON included; every 13th is redelivered."""
+    return _as_subscription_events(table(spark, sf_dir, "orders"))
+
+
+def subscription_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "orders").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    return _as_subscription_events(raw).withColumn("ts", F.timestamp_seconds("received_at"))
+
+
+def _as_subscription_events(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
     kind = F.element_at(
         F.array(F.lit("subscription.created"), F.lit("subscription.updated"), F.lit("subscription.canceled"),
                 F.lit("transaction.completed"), F.lit("customer.created")), (key % 5 + 1).cast("int"))
     occurred = F.lit(NOW) + key % 997 * 60
-    base = table(spark, sf_dir, "orders").select(
+    base = orders.select(
         (key - F.when(key % 13 == 0, 1).otherwise(0)).alias("n"), "o_custkey",
         kind.alias("event_type"), occurred.alias("occurred_at"),
         (F.lit(NOW) + key * 30).alias("received_at"), key.alias("k"))
