@@ -32,19 +32,24 @@ SHARES = {
 STABLE_DIGITS = 9
 
 
-def zone_bin_agg(trips: DataFrame, hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def zone_bin_agg(trips: DataFrame, hot_group_rows: int | None = HOT_GROUP_ROWS,
+                 counts: DataFrame | None = None) -> DataFrame:
     """Count, four medians and ten shares per pickup zone and bin.
 
-    One narrow count over two columns decides whether any group is above ``hot_group_rows``.
-    If none is, everything is one aggregation; otherwise hot groups take the bucketed medians
-    and the others the plain ones. ``None`` skips the check.
+    A count per group decides whether any is above ``hot_group_rows``. If none is, everything is
+    one aggregation; otherwise hot groups take the bucketed medians and the others the plain
+    ones. ``counts`` (:func:`od_counts`) saves the extra narrow scan; ``hot_group_rows=None``
+    skips the check.
     """
     trips = trips.withColumn("request_min", F.when(F.col("request_min") >= 0, F.col("request_min")))
     counts_and_shares = [F.count("*").alias("pickups_now"),
                          *[F.avg(F.col(c)).alias(name) for name, c in SHARES.items()]]
     plain = [F.round(F.median(c), STABLE_DIGITS).alias(name) for name, c in MEDIANS.items()]
     order = [*KEYS, "pickups_now", *MEDIANS, *SHARES]
-    hot = None if hot_group_rows is None else hot_groups(trips, KEYS, hot_group_rows)
+    hot = None
+    if hot_group_rows is not None:
+        hot = hot_groups(trips, KEYS, hot_group_rows) if counts is None else (
+            counts.groupBy(*KEYS).agg(F.sum("trips").alias("n")).filter(F.col("n") > hot_group_rows).select(*KEYS))
     if hot is None or hot.isEmpty():
         return trips.groupBy(*KEYS).agg(*counts_and_shares, *plain).select(*order)
     cool = trips.join(hot, KEYS, "left_anti").groupBy(*KEYS).agg(*counts_and_shares, *plain)
@@ -90,12 +95,15 @@ def zone_bin_filled(actual: DataFrame, zones: DataFrame, slice_hours: int | None
     )
 
 
-def od_edges(trips: DataFrame) -> DataFrame:
-    """Trips per origin, scored destination and bin, with the share of the origin's total."""
-    edges = (
-        trips.filter(F.col("is_network_drop") == 1)
-        .groupBy("zone_id", "drop_zone_id", "bin_local_epoch").agg(F.count("*").alias("edge_trips"))
-    )
+def od_counts(trips: DataFrame) -> DataFrame:
+    """Trips per origin, destination and bin; combines before the shuffle."""
+    return trips.groupBy("zone_id", "drop_zone_id", "bin_local_epoch", "is_network_drop").agg(F.count("*").alias("trips"))
+
+
+def od_edges(counts: DataFrame) -> DataFrame:
+    """Origin to scored destination per bin, with the share of the origin's total."""
+    edges = counts.filter(F.col("is_network_drop") == 1).select(
+        "zone_id", "drop_zone_id", "bin_local_epoch", F.col("trips").alias("edge_trips"))
     total = F.sum("edge_trips").over(Window.partitionBy(*KEYS))
     return edges.withColumn("edge_total", total).withColumn("edge_share", F.col("edge_trips") / F.col("edge_total"))
 

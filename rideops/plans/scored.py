@@ -22,17 +22,25 @@ def zone_bin_joined(trips: DataFrame, zones: DataFrame, *, bin_minutes: int = 20
                     hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Filled zone-bins with flows and densities.
 
-    The observed zone-bins are read twice afterwards (as origins and as destinations), with
-    different columns, so Spark cannot reuse the exchange. They are checkpointed: small next
-    to the trips, and the trips are scanned once for them instead of twice.
+    Trips are scanned twice: narrow for the origin-destination counts, wide for the zone-bin
+    facts. Both results are small next to the trips and read more than once, with different
+    columns, so Spark could not reuse their exchanges: they are checkpointed.
     """
     prepared = trip_features.scored_trips(trips, zones, bin_minutes, source_tz)
-    actual = cut_lineage(zone_bins.zone_bin_agg(prepared, hot_group_rows))
+    counts = cut_lineage(zone_bins.od_counts(prepared))
+    actual = cut_lineage(zone_bins.zone_bin_agg(prepared, hot_group_rows, counts))
     filled = zone_bins.zone_bin_filled(actual, zones, slice_hours)
-    return zone_bins.with_flows(filled, zone_bins.od_edges(prepared), slice_hours, edge_lookup)
+    return zone_bins.with_flows(filled, zone_bins.od_edges(counts), slice_hours, edge_lookup)
 
 
 def zone_bin_scored(trips: DataFrame, zones: DataFrame, *, min_trips: int = scoring.MIN_TRIPS, **options) -> DataFrame:
-    """Scored zone-bins of every profile. Sort when writing, not here."""
+    """Scored zone-bins of every profile. Sort when writing, not here.
+
+    The input of the ranks is checkpointed too: it is one row per zone and bin, and without the
+    cut every finished stage would make AQE plan some three hundred expressions again.
+    """
     joined = zone_bin_joined(trips, zones, **options)
+    # A number keeps AQE from folding these few, compute-heavy rows into one task.
+    tasks = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = cut_lineage(joined.repartition(tasks, ranks.BIN))
     return scoring.with_ratings(scoring.with_scores(ranks.with_ranks(joined), min_trips))

@@ -97,14 +97,14 @@ def next_bin_pickups(spark, sf):
 
 
 def od_edges(spark, sf):
-    edges = zb.with_lookup_bin(zb.od_edges(common.prepared(spark, sf)))
+    edges = zb.with_lookup_bin(zb.od_edges(zb.od_counts(common.prepared(spark, sf))))
     return edges.select("zone_id", "drop_zone_id", "bin_local_epoch", "edge_trips", "edge_total", *r6("edge_share"), "lookup_bin")
 
 
 def downstream_value(spark, sf):
     prepared = common.prepared(spark, sf)
     filled = zb.zone_bin_filled(zb.zone_bin_agg(prepared), common.zones(spark, sf))
-    return zb.downstream_value(zb.od_edges(prepared), filled).select(*KEY, *r6("downstream_value_raw", "downstream_coverage"))
+    return zb.downstream_value(zb.od_edges(zb.od_counts(prepared)), filled).select(*KEY, *r6("downstream_value_raw", "downstream_coverage"))
 
 
 def pickup_density(spark, sf):
