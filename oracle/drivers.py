@@ -21,8 +21,8 @@ def boundary(day: str) -> str:
 
 
 def haversine(a: str, b: str, c: str, d: str) -> str:
-    return (f"2 * 6371000.0 * CAST(0.000621371 AS DOUBLE) * asin(sqrt(least(1, pow(sin(radians({c} - {a}) / 2), 2) + "
-            f"cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))")
+    h = (f"(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))")
+    return f"2 * 6371000.0 * CAST(0.000621371 AS DOUBLE) * asin(sqrt(CASE WHEN {h} > 1 THEN 1 ELSE {h} END))"
 
 
 view("segments", f"""

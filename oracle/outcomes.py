@@ -40,6 +40,29 @@ def _claims(name: str, limit: float, fallback: bool) -> None:
 _claims("hotspot_claims", 0.35, True)
 _claims("micro_claims", 0.20, False)
 
+# The guard as a walk over every user's heartbeats and attempts in time order.
+view("guard_order", """
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, kind, event_id) AS n FROM (
+    SELECT user_id, seen_at AS t, 0 AS kind, event_id, lat, lng FROM heartbeats UNION ALL SELECT user_id, created_at, 1, pickup_id, lat, lng FROM pickups)""", "heartbeats", "pickups")
+view("guard_walk", f"""
+  WITH RECURSIVE walk AS (
+    SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS t, 0 AS kind, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS decision,
+      CAST(NULL AS BIGINT) AS last_at, CAST(NULL AS DOUBLE) AS last_lat, CAST(NULL AS DOUBLE) AS last_lng, CAST(NULL AS BIGINT) AS end_at, CAST(NULL AS DOUBLE) AS end_lat, CAST(NULL AS DOUBLE) AS end_lng,
+      CAST(NULL AS BIGINT) AS move_start, CAST(NULL AS BIGINT) AS last_motion, CAST(NULL AS BIGINT) AS acc_at, CAST(NULL AS DOUBLE) AS acc_lat, CAST(NULL AS DOUBLE) AS acc_lng FROM guard_order
+    UNION ALL
+    SELECT user_id, n, t, kind, event_id, decision, CASE WHEN kind = 0 THEN t ELSE last_at END, CASE WHEN kind = 0 THEN lat ELSE last_lat END, CASE WHEN kind = 0 THEN lng ELSE last_lng END,
+      CASE WHEN broke THEN last_at ELSE end_at END, CASE WHEN broke THEN last_lat ELSE end_lat END, CASE WHEN broke THEN last_lng ELSE end_lng END,
+      CASE WHEN kind = 1 THEN move_start WHEN moved THEN coalesce(CASE WHEN NOT broke THEN move_start END, last_at) WHEN broke OR stale THEN NULL ELSE move_start END,
+      CASE WHEN kind = 1 THEN last_motion WHEN moved THEN t WHEN broke OR stale THEN NULL ELSE last_motion END,
+      CASE WHEN accepted THEN t ELSE acc_at END, CASE WHEN accepted THEN lat ELSE acc_lat END, CASE WHEN accepted THEN lng ELSE acc_lng END
+    FROM (SELECT *, coalesce(decision IN ('driving_evidence', 'relocated_from_previous_session', 'relocated_from_last_accepted_trip'), FALSE) AS accepted FROM (
+      SELECT *, CASE WHEN kind = 0 THEN NULL WHEN t < acc_at + 600 THEN 'pickup_cooldown_active' WHEN t - move_start >= 360 AND t - last_motion <= 180 THEN 'driving_evidence'
+          WHEN from_end >= 0.25 THEN 'relocated_from_previous_session' WHEN from_acc >= 0.25 THEN 'relocated_from_last_accepted_trip' WHEN from_acc <= 0.08 THEN 'pickup_same_position' ELSE 'pickup_needs_recent_driving' END AS decision FROM (
+        SELECT o.user_id, o.n, o.t, o.kind, o.event_id, o.lat, o.lng, last_at, last_lat, last_lng, end_at, end_lat, end_lng, move_start, last_motion, acc_at, acc_lat, acc_lng,
+          coalesce(o.kind = 0 AND o.t - last_at > 480, FALSE) AS broke, coalesce(o.kind = 0 AND {haversine('last_lat', 'last_lng', 'o.lat', 'o.lng')} >= 0.05, FALSE) AS moved,
+          coalesce(o.kind = 0 AND o.t - last_motion > 180, FALSE) AS stale, {haversine('end_lat', 'end_lng', 'o.lat', 'o.lng')} AS from_end, {haversine('acc_lat', 'acc_lng', 'o.lat', 'o.lng')} AS from_acc
+        FROM walk w JOIN guard_order o ON o.user_id = w.user_id AND o.n = w.n + 1))))
+  SELECT * FROM walk WHERE n > 0""", "guard_order")
 view("bracket", """
   SELECT *, min(least(level, 0)) OVER (PARTITION BY user_id ORDER BY t, kind, event_id) AS lowest FROM (
     SELECT *, sum(CASE WHEN kind = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY t, kind, event_id) AS level FROM (
@@ -98,6 +121,28 @@ view("outlook", """
   JOIN scored f ON f.bin_local_epoch = b.bin_local_epoch AND f.zone_id = s.zone_id GROUP BY ALL""", "scored", "timeline_positions")
 
 
+_OK = "decision IN ('driving_evidence', 'relocated_from_previous_session', 'relocated_from_last_accepted_trip')"
+view("presence_now", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen_at DESC, event_id DESC) AS n FROM heartbeats) WHERE n = 1", "heartbeats")
+_RATE = f"""SELECT user_id, count(*) AS total, avg(CAST(converted_to_trip AS INTEGER)) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recommended_at DESC, recommendation_id DESC) AS n
+  FROM resolved_outcomes WHERE converted_to_trip IS NOT NULL AND recommended_at >= {NOW} - 7200) WHERE n <= 25 GROUP BY 1"""
+_SNAPSHOT = f"""
+  SELECT user_id, {even('tripless', 2)} AS tripless_minutes, {even('still', 2)} AS stationary_minutes, {even('moving', 2)} AS movement_minutes, moved_since_trip, trips_30m, trips_60m, trips_120m, move_attempts,
+    {even('rate', 3)} AS recommendation_rate, {even('rate', 3)} AS micro_rate, presence_stale,
+    least({even("0.2 + CASE WHEN tripless >= 25 THEN 0.2 ELSE 0 END + CASE WHEN tripless >= 45 THEN 0.2 ELSE 0 END + CASE WHEN total >= 4 AND rate < 0.25 THEN 0.30 ELSE 0 END + CASE WHEN trips_120m = 0 THEN 0.1 ELSE 0 END + CASE WHEN move_attempts >= 2 THEN 0.1 ELSE 0 END", 3)}, 1) AS dispatch_uncertainty
+  FROM (SELECT p.user_id, greatest(0, ({NOW} - coalesce(t.created_at, g.move_start, g.last_motion, p.seen_at)) / CAST(60 AS DOUBLE)) AS tripless, coalesce(greatest(0, ({NOW} - g.last_motion) / CAST(60 AS DOUBLE)), 0) AS still,
+      coalesce(greatest(0, ({NOW} - g.move_start) / CAST(60 AS DOUBLE)), 0) AS moving, coalesce({haversine('p.lat', 'p.lng', 't.lat', 't.lng')} >= 0.25, FALSE) AS moved_since_trip,
+      coalesce(c30, 0) AS trips_30m, coalesce(c60, 0) AS trips_60m, coalesce(c120, 0) AS trips_120m, coalesce(a.attempts, 0) AS move_attempts, coalesce(r.rate, 0) AS rate, coalesce(r.total, 0) AS total, {NOW} - p.seen_at > 300 AS presence_stale
+    FROM presence_now p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, pickup_id DESC) AS n FROM live_pickups) WHERE n = 1) t ON t.user_id = p.user_id
+    LEFT JOIN (SELECT user_id, count(*) FILTER (created_at >= {NOW} - 1800) AS c30, count(*) FILTER (created_at >= {NOW} - 3600) AS c60, count(*) FILTER (created_at >= {NOW} - 7200) AS c120 FROM live_pickups GROUP BY 1) k ON k.user_id = p.user_id
+    LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS m FROM guard_walk WHERE kind = 0) WHERE m = 1) g ON g.user_id = p.user_id
+    LEFT JOIN ({_RATE}) r ON r.user_id = p.user_id
+    LEFT JOIN (SELECT user_id, count(*) AS attempts FROM (
+      SELECT *, sum(hit) OVER (PARTITION BY user_id ORDER BY recommended_at DESC, guidance_id DESC) AS hits FROM (
+        SELECT y.*, CASE WHEN s.guidance_id IS NOT NULL THEN 1 ELSE 0 END AS hit, row_number() OVER (PARTITION BY y.user_id ORDER BY y.recommended_at DESC, y.guidance_id DESC) AS n
+        FROM guidance y LEFT JOIN guidance_settled s ON s.guidance_id = y.guidance_id WHERE y.recommended_at >= {NOW} - 5400)
+      WHERE n <= 40 AND action IN ('move_nearby', 'micro_reposition')) WHERE hits = 0 GROUP BY 1) a ON a.user_id = p.user_id)"""
+
+
 def statements() -> dict[str, str]:
     claims = "user_id, zone_id, pickup_id, recommendation_id, settled_at, minutes_to_trip, distance_miles"
     return {
@@ -107,6 +152,10 @@ def statements() -> dict[str, str]:
           SELECT user_id, pickup_id, guidance_id, action, settled_at, {rounded(['minutes_to_trip'])}, settlement_reason,
             settlement_reason IN ('trip_after_move_target_zone_match', 'trip_after_move_detected', 'trip_after_hold_with_relocation') AS moved_before_trip
           FROM (SELECT *, {_REASON} AS settlement_reason FROM guidance_settled)""", "guidance_settled"),
+        "pickup_guard_state": statement("""
+          SELECT user_id, t AS seen_at, event_id, end_at AS previous_session_end_at, move_start AS movement_streak_started_at, last_motion AS last_meaningful_motion_at FROM guard_walk WHERE kind = 0""", "guard_walk"),
+        "pickup_guard_decision": statement(f"SELECT user_id, event_id, t AS tried_at, decision, {_OK} AS ok FROM guard_walk WHERE kind = 1", "guard_walk"),
+        "activity_snapshot": statement(_SNAPSHOT, "presence_now", "guard_walk", "live_pickups", "resolved_outcomes", "guidance", "guidance_settled"),
         "outcome_modifier": statement(f"""
           SELECT zone_id, sample_count, {_gate('least(greatest(1 + (raw - 1) * support, 0.78), 1.22)', '1')} AS modifier, {_gate('support', '0')} AS support_strength, {_gate('rate', '0')} AS conversion_rate,
             {_gate('raw_rate', '0')} AS raw_conversion_rate, {_gate('med', '0')} AS median_minutes, {_gate('minutes', '0')} AS weighted_minutes, {_gate('miles', '0')} AS weighted_miles, {_gate('raw', '1')} AS raw_modifier

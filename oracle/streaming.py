@@ -4,7 +4,7 @@ watermark where a job emits only complete results."""
 from __future__ import annotations
 
 from oracle.base import r6, rounded, statement, view
-from oracle import drivers  # noqa: F401
+from oracle import drivers, outcomes  # noqa: F401
 
 view("last_event", "SELECT max(seen_at) AS m FROM user_events", "user_events")
 view("dedup_first", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at) AS n FROM subscription_events) WHERE n = 1", "subscription_events")
@@ -27,6 +27,12 @@ def statements() -> dict[str, str]:
               SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen_at DESC, event_id DESC) AS n FROM user_events) WHERE n = 1)""", "user_events", "last_event"),
         "stream_daily_stats": statement(f"""
           SELECT user_id, CAST(nyc_date AS VARCHAR) AS nyc_date, {rounded(['miles_worked', 'hours_worked'])}, heartbeat_count FROM driver_days WHERE heartbeat_count > 0 OR miles_worked > 0""", "driver_days"),
+        "stream_pickup_guard": statement("""
+          SELECT user_id, event_id, t AS tried_at, decision, decision IN ('driving_evidence', 'relocated_from_previous_session', 'relocated_from_last_accepted_trip') AS ok FROM guard_walk WHERE kind = 1""", "guard_walk"),
+        "stream_outcome_settlement": statement("""
+          SELECT r.user_id, r.zone_id, r.recommendation_id, recommended_at, pickup_id, p.created_at AS picked_up_at, pickup_id IS NOT NULL AS converted_to_trip
+          FROM recommendations r LEFT JOIN pickups p ON p.user_id = r.user_id AND p.zone_id = r.zone_id AND p.created_at BETWEEN r.recommended_at AND r.recommended_at + 5400
+          WHERE pickup_id IS NOT NULL OR r.recommended_at + 5400 < least((SELECT max(recommended_at) FROM recommendations), (SELECT max(created_at) FROM pickups)) - 600""", "recommendations", "pickups"),
         "stream_event_dedup": statement("""
           SELECT user_key, event_id, occurred_at, received_at FROM (
             SELECT subscription_id AS user_key, event_id, occurred_at, received_at, max(occurred_at) OVER (PARTITION BY subscription_id ORDER BY received_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM dedup_first)

@@ -16,7 +16,8 @@ def haversine_miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> C
     dlat = F.radians(lat2 - lat1) / 2
     dlng = F.radians(lng2 - lng1) / 2
     a = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlng), 2)
-    return 2 * EARTH_RADIUS_M * MILES_PER_METER * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # ``least`` would turn an unknown position into half the globe.
+    return 2 * EARTH_RADIUS_M * MILES_PER_METER * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))
 
 
 def mercator_x(lng: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rideops.functions.columns import lenient_true
 from rideops.operators.ordered import with_previous, with_running
+from rideops.session import cut_lineage
 
 EVENT_SCHEMA = "custom_user_id string, subscription_id string, customer_id string, email string, status string, period_end long"
 # Provider status to ours, and the status an event type sets by itself.
@@ -63,8 +64,8 @@ def applied_events(resolved: DataFrame) -> DataFrame:
     """
     e = resolved.filter(F.col("event_type").isin(*HANDLED))
     counts = (F.col("event_type") != TRANSACTION) | F.col("period_end").isNotNull() | F.col("customer_id").isNotNull() | F.col("subscription_id").isNotNull()
-    e = with_running(e, "user_id", "received_at", ["received_at", "event_id"], F.when(counts, F.col("occurred_at")), "newest", "max", 86400)
-    e = with_previous(e, "user_id", "received_at", "event_id", ["newest"], 86400)
+    e = with_running(cut_lineage(e), "user_id", "received_at", ["received_at", "event_id"], {"newest": ("max", F.when(counts, F.col("occurred_at")))}, 86400)
+    e = with_previous(cut_lineage(e), "user_id", "received_at", "event_id", ["newest"], 86400)
     return e.filter(F.col("prev_newest").isNull() | (F.col("occurred_at") > F.col("prev_newest"))).withColumn("counts", counts)
 
 

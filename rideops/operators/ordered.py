@@ -7,6 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rideops.session import cut_lineage
+
+
+def with_bucket(df: DataFrame, at: str, bucket_seconds: int = 3600) -> DataFrame:
+    """Add the time bucket once for several of the functions below.
+
+    They then share one hash partitioning by key and bucket, so the rows move only once. Drop
+    ``_bucket`` at the end.
+    """
+    return df.withColumn("_bucket", F.floor(F.col(at) / bucket_seconds))
+
+
+def _bucketed(df: DataFrame, at: str, bucket_seconds: int) -> tuple[DataFrame, list[str]]:
+    if "_bucket" in df.columns:
+        return df, []
+    return with_bucket(df, at, bucket_seconds), ["_bucket"]
+
 
 def with_previous(df: DataFrame, key: str, at: str, tie: str, columns: Sequence[str],
                   bucket_seconds: int = 3600) -> DataFrame:
@@ -17,14 +34,14 @@ def with_previous(df: DataFrame, key: str, at: str, tie: str, columns: Sequence[
     previous bucket, carried by an aggregate with one row per key and bucket.
     """
     packed = F.struct(*columns)
-    rows = df.withColumn("_bucket", F.floor(F.col(at) / bucket_seconds))
+    rows, drop = _bucketed(df, at, bucket_seconds)
     inside = Window.partitionBy(key, "_bucket").orderBy(at, tie)
     tails = rows.groupBy(key, "_bucket").agg(F.max_by(packed, F.struct(at, tie)).alias("_tail"))
     before = F.lag("_tail").over(Window.partitionBy(key).orderBy("_bucket"))
     tails = tails.withColumn("_before", before).select(key, "_bucket", "_before")
     out = rows.withColumn("_prev", F.lag(packed).over(inside)).join(tails, [key, "_bucket"], "left")
     prev = F.coalesce("_prev", "_before")
-    return out.withColumns({f"prev_{c}": prev.getField(c) for c in columns}).drop("_bucket", "_prev", "_before")
+    return out.withColumns({f"prev_{c}": prev.getField(c) for c in columns}).drop(*drop, "_prev", "_before")
 
 
 def with_global_rank(df: DataFrame, value: str, tie: str, name: str = "rank_position",
@@ -35,11 +52,11 @@ def with_global_rank(df: DataFrame, value: str, tie: str, name: str = "rank_posi
     with a larger value, of rows with the same value and a smaller tie range, and the position
     inside that range. Values are counted by coarse bucket (64 per doubling) first, so no window
     sees more than the buckets, the distinct values of a bucket, or one tie range. ``tie`` is an
-    integer, unique per group.
+    integer, unique per group. The input is read several times and therefore checkpointed.
     """
     groups = list(groups)
     v = F.col(value).cast("double")
-    rows = df.withColumns({
+    rows = cut_lineage(df).withColumns({
         "_v": v, "_c": (F.signum(v) * F.floor(64 * F.log2(1 + F.abs(v)))).cast("long"),
         "_t": F.floor(F.col(tie) / 65536)})
     cells = rows.groupBy(*groups, "_c", "_v", "_t").agg(F.count("*").alias("_n"))
@@ -72,23 +89,29 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def with_running(df: DataFrame, key: str | Sequence[str], at: str, order: Sequence[str], value: Column, name: str,
-                 kind: str = "sum", bucket_seconds: int = 3600) -> DataFrame:
-    """Inclusive running sum, min or max of ``value`` per key, spread over time buckets.
+def with_running(df: DataFrame, key: str | Sequence[str], at: str, order: Sequence[str], values: dict[str, tuple[str, Column]],
+                 bucket_seconds: int = 3600) -> DataFrame:
+    """Inclusive running aggregates per key, spread over time buckets.
 
-    Inside a bucket it is a window; across buckets it is the same function over one row per key
-    and bucket, so no task sees all rows of a key.
+    ``values`` maps a new column to ``(kind, value)`` with kind sum, min or max. Inside a bucket
+    each is a window; across buckets it is the same function over one row per key and bucket, so
+    no task sees all rows of a key. The input is read twice: pass all values of one level
+    together and cut the lineage between dependent levels.
     """
-    keys, fn = _keys(key), {"sum": F.sum, "min": F.min, "max": F.max}[kind]
-    rows = df.withColumns({"_bucket": F.floor(F.col(at) / bucket_seconds), "_value": value})
+    keys, functions = _keys(key), {"sum": F.sum, "min": F.min, "max": F.max}
+    rows, drop = _bucketed(df, at, bucket_seconds)
+    rows = rows.withColumns({f"_v_{n}": v for n, (_, v) in values.items()})
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = rows.groupBy(*keys, "_bucket").agg(fn("_value").alias("_total")).withColumn(
-        "_carry", fn("_total").over(before)).select(*keys, "_bucket", "_carry")
-    out = rows.withColumn("_run", fn("_value").over(inside)).join(carry, [*keys, "_bucket"], "left")
-    run, held = F.col("_run"), F.col("_carry")
-    if kind == "sum":
-        total = F.coalesce(run, F.lit(0)) + F.coalesce(held, F.lit(0))
-    else:
-        total = (F.least if kind == "min" else F.greatest)(run, held)
-    return out.withColumn(name, total).drop("_bucket", "_value", "_run", "_carry")
+    carry = rows.groupBy(*keys, "_bucket").agg(*[functions[k](f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in values.items()])
+    carry = carry.select(*keys, "_bucket", *[functions[k](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (k, _) in values.items()])
+    out = rows.withColumns({f"_r_{n}": functions[k](f"_v_{n}").over(inside) for n, (k, _) in values.items()}).join(carry, [*keys, "_bucket"], "left")
+
+    def total(name: str, kind: str) -> Column:
+        run, held = F.col(f"_r_{name}"), F.col(f"_c_{name}")
+        if kind == "sum":
+            return F.coalesce(run, F.lit(0)) + F.coalesce(held, F.lit(0))
+        return (F.least if kind == "min" else F.greatest)(run, held)
+
+    temporary = [f"_{part}_{n}" for n in values for part in "vrc"]
+    return out.withColumns({n: total(n, k) for n, (k, _) in values.items()}).drop(*drop, *temporary)

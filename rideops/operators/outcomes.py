@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from rideops.functions.columns import clip, rounded
 from rideops.operators.folds import fold_sorted
-from rideops.operators.ordered import with_previous, with_running
+from rideops.operators.ordered import with_bucket, with_previous, with_running
+from rideops.session import cut_lineage
 
 WINDOW_SECONDS = 5400
 HOTSPOT_MAX_MILES, MICRO_MAX_MILES = 0.35, 0.20
@@ -65,10 +66,10 @@ def settle_outcomes(recommendations: DataFrame, pickups: DataFrame, max_miles: f
     pick = pickups.select(
         "user_id", "zone_id", F.col("created_at").alias("at"), F.lit(True).alias("is_pickup"),
         F.col("pickup_id").alias("event_id"), "lat", "lng")
-    events = rec.unionByName(pick).withColumn("pair", F.struct("user_id", "zone_id"))
-    seen = with_previous(events, "pair", "at", "event_id", ["at"])
+    events = with_bucket(rec.unionByName(pick).withColumn("pair", F.struct("user_id", "zone_id")), "at")
+    seen = cut_lineage(with_previous(events, "pair", "at", "event_id", ["at"]))
     starts = F.when(F.col("prev_at").isNull() | (F.col("at") - F.col("prev_at") > WINDOW_SECONDS), F.col("at"))
-    cut = with_running(seen, "pair", "at", ["at", "event_id"], starts, "session_at", "max")
+    cut = with_running(seen, "pair", "at", ["at", "event_id"], {"session_at": ("max", starts)})
     rows = cut.select("user_id", "zone_id", "session_at", "at", "is_pickup", "event_id", "lat", "lng")
     return fold_sorted(
         rows, ["user_id", "zone_id", "session_at"], ["at", "is_pickup", "event_id"], list,
@@ -96,18 +97,18 @@ def settle_guidance_outcomes(guidance: DataFrame, pickups: DataFrame) -> DataFra
                              "guidance_id", "action", "source_zone_id", "target_zone_id", F.lit(None).cast("int").alias("zone_id"))
     closed = pickups.select("user_id", F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.col("pickup_id").alias("event_id"),
                             "zone_id")
-    events = opened.unionByName(closed, allowMissingColumns=True)
+    events = with_bucket(opened.unionByName(closed, allowMissingColumns=True), "at")
     order = ["at", "kind", "event_id"]
     is_open = F.col("kind") == 0
-    rows = with_running(events, "user_id", "at", order, F.when(is_open, 1).otherwise(-1), "level")
-    rows = with_running(rows, "user_id", "at", order, F.least(F.col("level"), F.lit(0)), "lowest", "min")
+    rows = cut_lineage(with_running(events, "user_id", "at", order, {"level": ("sum", F.when(is_open, 1).otherwise(-1))}))
+    rows = cut_lineage(with_running(rows, "user_id", "at", order, {"lowest": ("min", F.least(F.col("level"), F.lit(0)))}))
     # Before a pickup the depth is one more, unless the pickup found nothing open.
     depth = F.col("level") - F.col("lowest")
     unmatched = ~is_open & (F.col("level") == F.col("lowest")) & (F.col("prev_lowest") > F.col("lowest"))
     rows = with_previous(rows.withColumn("order_key", F.struct(*order)), "user_id", "at", "order_key", ["lowest"])
     rows = rows.withColumn("prev_lowest", F.coalesce("prev_lowest", F.lit(0))).filter(~unmatched)
     rows = rows.withColumn("depth", F.when(is_open, depth).otherwise(depth + 1)).withColumn("slot", F.struct("user_id", "depth"))
-    found = with_previous(rows, "slot", "at", "order_key", ["guidance_id", "action", "source_zone_id", "target_zone_id", "at"])
+    found = with_previous(cut_lineage(rows), "slot", "at", "order_key", ["guidance_id", "action", "source_zone_id", "target_zone_id", "at"])
     zone, source, target = F.col("zone_id"), F.col("prev_source_zone_id"), F.col("prev_target_zone_id")
     moves = F.col("prev_action").isin("move_nearby", "micro_reposition")
     holds = F.col("prev_action").isin("hold", "wait_dispatch")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rideops.functions import times
 from rideops.functions.columns import rounded_even
 from rideops.operators.scoring import CORRIDOR_ZONE_IDS, CORE_LATITUDE
+from rideops.session import cut_lineage
 
 # Borough keys and display names.
 BOROUGH_NAMES = {
@@ -113,8 +114,14 @@ def borough_bins(local: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def usable_bins(local: DataFrame, zones: DataFrame) -> DataFrame:
-    days = usable_dates(daily_pickups(local)).select("nyc_date")
-    return borough_bins(local, zones).join(days, "nyc_date", "left_semi")
+    """Borough bins of the usable dates.
+
+    Trips are scanned once: the daily totals come from the bins, which are checkpointed because
+    everything that follows reads them (dates x bins x boroughs rows).
+    """
+    bins = cut_lineage(borough_bins(local, zones))
+    daily = bins.groupBy("nyc_date").agg(F.sum("pickups_bin").alias("daily_pickups"))
+    return bins.join(usable_dates(daily).select("nyc_date"), "nyc_date", "left_semi")
 
 
 def with_scopes(bins: DataFrame, root_only: bool = False) -> DataFrame:

@@ -152,8 +152,8 @@ QUERIES = {
     "outcome_listing": outcome_listing,
     "experiment_bin_listing": experiment_bin_listing,
     "retention_prune": retention_prune,
-    "pickup_guard_state": lambda s, sf: _guard(s, sf).filter(F.col("kind") == 0).drop("kind", "decision", "ok"),
-    "pickup_guard_decision": lambda s, sf: _guard(s, sf).filter(F.col("kind") == 1).select("user_id", "event_id", "at", "decision", "ok"),
+    "pickup_guard_state": lambda s, sf: _guard(s, sf).filter(F.col("kind") == 0).drop("kind", "decision", "ok").withColumnRenamed("at", "seen_at"),
+    "pickup_guard_decision": lambda s, sf: _guard(s, sf).filter(F.col("kind") == 1).select("user_id", "event_id", F.col("at").alias("tried_at"), "decision", "ok"),
     "trips_summary": lambda s, sf: g.trips_summary(a.pickups(s, sf), a.NOW),
     "recent_trips": recent_trips,
     "void_reversal": void_reversal,

@@ -13,7 +13,7 @@ def zone_bin_facts(trips: DataFrame, zones: DataFrame, *, bin_minutes: int = 20,
                    source_tz: str | None = "UTC", hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Filled zone-bins from normalised trips."""
     prepared = trip_features.scored_trips(trips, zones, bin_minutes, source_tz)
-    actual = zone_bins.zone_bin_agg(prepared, hot_group_rows)
+    actual = cut_lineage(zone_bins.zone_bin_agg(prepared, hot_group_rows))  # read for the grid and for the facts
     return zone_bins.zone_bin_filled(actual, zones, slice_hours)
 
 

@@ -8,7 +8,7 @@ from rideops.functions.columns import rounded, weighted_average_skip_null
 from rideops.operators import ranks, scoring, trip_features as tf, zone_bins as zb
 from rideops.plans import common
 from rideops.plans.common import r6
-from rideops.plans.scored import zone_bin_scored
+from rideops.plans.scored import zone_bin_facts, zone_bin_scored
 from rideops.sources import adapters
 from rideops.sources.trips import normalize_trips
 
@@ -88,8 +88,8 @@ def zone_bin_grid(spark, sf):
 
 
 def zone_bin_filled(spark, sf):
-    filled = zb.zone_bin_filled(zb.zone_bin_agg(common.prepared(spark, sf)), common.zones(spark, sf))
-    return filled.select(*KEY, "pickups_now", "pickups_next", *r6(*zb.MEDIANS, *zb.SHARES))
+    return zone_bin_facts(common.trips(spark, sf), common.zones(spark, sf)).select(
+        *KEY, "pickups_now", "pickups_next", *r6(*zb.MEDIANS, *zb.SHARES))
 
 
 def next_bin_pickups(spark, sf):
@@ -102,9 +102,8 @@ def od_edges(spark, sf):
 
 
 def downstream_value(spark, sf):
-    prepared = common.prepared(spark, sf)
-    filled = zb.zone_bin_filled(zb.zone_bin_agg(prepared), common.zones(spark, sf))
-    return zb.downstream_value(zb.od_edges(zb.od_counts(prepared)), filled).select(*KEY, *r6("downstream_value_raw", "downstream_coverage"))
+    edges = zb.od_edges(zb.od_counts(common.prepared(spark, sf)))
+    return zb.downstream_value(edges, zone_bin_facts(common.trips(spark, sf), common.zones(spark, sf))).select(*KEY, *r6("downstream_value_raw", "downstream_coverage"))
 
 
 def pickup_density(spark, sf):

@@ -32,7 +32,7 @@ def test_with_running(spark):
     w = Window.partitionBy("k").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
     whole = F.floor("v")
     for kind, fn in (("sum", F.sum), ("min", F.min), ("max", F.max)):
-        _same(with_running(df, "k", "at", ["at", "id"], whole, "r", kind, 500), df.withColumn("r", fn(whole).over(w)))
+        _same(with_running(df, "k", "at", ["at", "id"], {"r": (kind, whole)}, 500), df.withColumn("r", fn(whole).over(w)))
 
 
 def test_global_rank(spark):
