@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import NOW, r6, rounded, statement, view
+from oracle.base import NOW, rounded, statement, view
 from oracle.drivers import ACTIVE, BADGE, NAME
 
 AGE = 900

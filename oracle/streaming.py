@@ -3,7 +3,7 @@ watermark where a job emits only complete results."""
 
 from __future__ import annotations
 
-from oracle.base import r6, rounded, statement, view
+from oracle.base import rounded, statement, view
 from oracle import drivers, outcomes  # noqa: F401
 
 view("last_event", "SELECT max(seen_at) AS m FROM user_events", "user_events")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rideops.functions import times
-from rideops.functions.columns import ladder, lenient_true, rounded, rounded_even
+from rideops.functions.columns import lenient_true, rounded_even
 from rideops.functions.geo import haversine_miles
 from rideops.operators.ordered import with_global_rank, with_previous
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rideops.functions import times
-from rideops.functions.columns import rounded
 from rideops.operators import battles as b, drivers as d
 from rideops.operators.ordered import latest_per_key
 from rideops.plans.common import r6

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rideops.functions.columns import rounded
 from rideops.operators import drivers as d, guidance as g, outcomes as o
 from rideops.operators.ordered import latest_per_key
 from rideops.plans import common

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rideops.functions import times
+from rideops.session import shared_folder
 
 # How a month appears in a file name.
 MONTH_PATTERN = r"((?:19|20)\d{2})[-_]?(0[1-9]|1[0-2])"
@@ -96,10 +96,5 @@ def write_frames(frame_rows: DataFrame, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder (a temporary one only in local mode)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="rideops-scratch-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared folder of the session."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from rideops.operators import guidance as g, outcomes as o
 
 REC = "recommendation_id long, user_id long, zone_id int, recommended_at long, center_lat double, center_lng double"

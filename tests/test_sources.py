@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from rideops.session import shared_folder
 from rideops.sources import store
 from rideops.sources.zones import read_zones
 
@@ -61,3 +62,19 @@ def test_frames_round_trip(spark, tmp_path):
     store.write_frames(store.frames(df, ["n"]), str(tmp_path / "frames"))
     row = spark.read.json(str(tmp_path / "frames")).collect()[0]
     assert row.n_features == 2 and [f.n for f in row.features] == [5, 7]
+
+
+class _Session:
+    """The two parts of a session that the shared folder depends on."""
+
+    def __init__(self, master, settings):
+        self.sparkContext = type("Context", (), {"master": master})()
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: settings.get(key, default))})()
+
+
+def test_shared_folder_comes_from_the_session():
+    cluster = _Session("spark://host", {"spark.checkpoint.dir": "hdfs://shared/"})
+    assert shared_folder(cluster) == "hdfs://shared/"
+    assert store.scratch_path(cluster, "x").startswith("hdfs://shared/x-")
+    with pytest.raises(ValueError):
+        shared_folder(_Session("spark://host", {}))
