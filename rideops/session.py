@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import rideops
+
+# Folds and streaming state run in Python workers. Sending them by value means that the workers
+# need not have this package installed.
+cloudpickle.register_pickle_by_value(rideops)
+
 
 def build_session(app: str = "rideops", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect: UTC, AQE with skew handling."""

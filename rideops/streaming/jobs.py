@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rideops.operators import drivers
+from rideops.operators.drivers import MAX_COUNTED_GAP, MAX_MPH, MIN_MILES, MIN_MPH
 from rideops.operators.guidance import GUARD_SCHEMA, SESSION_BREAK, GuardState, guard_step
 from rideops.operators.outcomes import WINDOW_SECONDS, miles_between
 
@@ -101,8 +102,8 @@ class SegmentProcessor(StatefulProcessor):
             gap = at - last[0] if last else 0
             if gap > 0:
                 d = miles_between(last[1], last[2], lat, lng)
-                if drivers.MIN_MPH <= d / (gap / 3600.0) <= drivers.MAX_MPH and d >= drivers.MIN_MILES:
-                    seconds, miles = min(gap, drivers.MAX_COUNTED_GAP), d
+                if MIN_MPH <= d / (gap / 3600.0) <= MAX_MPH and d >= MIN_MILES:
+                    seconds, miles = min(gap, MAX_COUNTED_GAP), d
             out.append((key[0], event_id, at, seconds, miles))
             if last is None or at >= last[0]:
                 last = (at, lat, lng)
