@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rideops.llm import bpe, language, licenses, media, mixing, quality, toxicity
+from rideops.llm import bpe, language, licenses, media, mixing, quality, suffix, toxicity
 from rideops.llm.common import table
 
 
@@ -34,9 +34,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("media")
 
 
-QUERIES = {q.__name__: q for q in (op1_license_scan, op2_source_mixing, op4_bpe, op5_toxicity, op6_quality_rules, op8_language_id, op10_flac_media)}
+QUERIES = {q.__name__: q for q in (op1_license_scan, op2_source_mixing, op4_bpe, op5_toxicity, op6_quality_rules, op8_language_id, op9_suffix_dedup, op10_flac_media)}
 STATEMENTS = {"op1_license_scan": licenses.SCAN_SQL, "op2_source_mixing": mixing.MIX_SQL}
