@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rideops.llm import bpe, language, licenses, media, mixing, quality, suffix, toxicity
+from rideops.llm import bpe, chosen_path, language, licenses, media, mixing, quality, suffix, toxicity
 from rideops.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("media")
 
 
-QUERIES = {q.__name__: q for q in (op1_license_scan, op2_source_mixing, op4_bpe, op5_toxicity, op6_quality_rules, op8_language_id, op9_suffix_dedup, op10_flac_media)}
+QUERIES = {q.__name__: q for q in (op1_license_scan, op2_source_mixing, op4_bpe, op5_toxicity, op6_quality_rules, op7_chosen_path_dedup, op8_language_id, op9_suffix_dedup, op10_flac_media)}
 STATEMENTS = {"op1_license_scan": licenses.SCAN_SQL, "op2_source_mixing": mixing.MIX_SQL}
