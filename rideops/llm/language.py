@@ -103,9 +103,11 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(langs, np.array([got[k] for k in langs]).reshape(len(langs), BUCKETS), np.array([size[k] for k in langs], float))
 
 
-def language_columns(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
+def language_columns(docs: DataFrame, model: Model, held_out: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Predicted language of each whole text, with its posterior probability, without a shuffle.
 
+    Returns doc_id, held_out, lang_pred, score and the columns named in ``keep``, row by row.
+
     A null text, a text without a letter, and any text under a model that saw no language get
     ``und`` with score 0. Ties go to the language first in code-point order. Repeated rows stay.
     The matrix (128 KB per language) is broadcast; memory holds about two megabytes of text, or
@@ -131,10 +133,12 @@ def language_columns(docs: DataFrame, model: Model, held_out: Column) -> DataFra
                     names.append(fitted.langs[b] if ok else UNKNOWN)
                     scores.append(float(s) if ok else 0.0)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).cast(pa.int64()), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"])
+                batch.column(0).cast(pa.int64()), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
+                *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *keep])
 
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(convert, SCHEMA)
+    kept = docs.select(*keep).schema if keep else []
+    schema = ", ".join([SCHEMA, *(f"{f.name} {f.dataType.simpleString()}" for f in kept)])
+    return docs.select("doc_id", held_out.alias("held_out"), F.col("text").alias("_text"), *keep).mapInArrow(convert, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

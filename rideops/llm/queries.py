@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rideops.llm import bpe, chosen_path, language, licenses, media, mixing, quality, suffix, toxicity
+from rideops.llm import bpe, chosen_path, language, lattice, licenses, media, mixing, quality, suffix, toxicity
 from rideops.llm.common import table
 
 
@@ -16,6 +17,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,12 +44,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    out = suffix.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("media")
 
 
-QUERIES = {q.__name__: q for q in (op1_license_scan, op2_source_mixing, op4_bpe, op5_toxicity, op6_quality_rules, op7_chosen_path_dedup, op8_language_id, op9_suffix_dedup, op10_flac_media)}
+QUERIES = {q.__name__: q for q in (op1_license_scan, op2_source_mixing, op3_lattice_dedup, op4_bpe, op5_toxicity, op6_quality_rules, op7_chosen_path_dedup, op8_language_id, op9_suffix_dedup, op10_flac_media)}
 STATEMENTS = {"op1_license_scan": licenses.SCAN_SQL, "op2_source_mixing": mixing.MIX_SQL}

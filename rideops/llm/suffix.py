@@ -18,7 +18,6 @@ strings always meet in one bucket, and the strings of one anchor are one context
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
@@ -219,8 +218,8 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte covered by a 50-byte string that also starts in a document of smaller id.
 
     Strings are judged on the input; matches never cross documents. Returns per input row:
-    doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept_sha256 and kept (the remaining bytes). Null and short texts stay as they are. Rows with
+    doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans (maximal removed runs) and kept
+    (the remaining bytes). Null and short texts stay as they are. Rows with
     one id count as one document, so they don't take from each other; a null id counts as the
     greatest. Groups follow spark.sql.shuffle.partitions, so a task holds a bounded share of text.
     """
@@ -340,11 +339,11 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         rows = table.take(pa.array(group.order))
         return pa.table({
             "doc_id": rows["doc_id"], **{c: rows[c] for c in keep}, "n_bytes": group.size, "n_removed": total[hi] - total[lo],
-            "n_spans": spans[hi] - spans[lo], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "kept": pa.array(kept, pa.binary())})
+            "n_spans": spans[hi] - spans[lo], "kept": pa.array(kept, pa.binary())})
 
     marks = dealt.groupBy("_pid").applyInArrow(hashes, _ddl(_HASHES))
     known = marks.groupBy("_bucket").applyInArrow(shared, _ddl(_SHARED))
     found = dealt.groupBy("_pid").cogroup(known.groupBy("_pid")).applyInArrow(contexts, _ddl(_CONTEXTS))
     said = found.groupBy("_local", "_key").applyInArrow(answers, _ddl(_ANSWERS))
-    schema = ", ".join(["doc_id long", *keep_types, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"])
+    schema = ", ".join(["doc_id long", *keep_types, "n_bytes long, n_removed long, n_spans long, kept binary"])
     return dealt.groupBy("_pid").cogroup(said.groupBy("_pid")).applyInArrow(cut, schema)
