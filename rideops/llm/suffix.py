@@ -224,8 +224,9 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     greatest. Groups follow spark.sql.shuffle.partitions, so a task holds a bounded share of text.
     """
     conf = docs.sparkSession.conf
-    groups = 4 * int(conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (groups - 1).bit_length())
+    # a group sends one row to each bucket, so both numbers stay near the number of tasks
+    tasks = int(conf.get("spark.sql.shuffle.partitions"))
+    groups, bits = 2 * tasks, max(4, (tasks - 1).bit_length())
     dealt = docs.select("doc_id", "text", *keep).withColumn("_pid", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     keep_types = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
 
