@@ -15,10 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder, read by Spark, with Arrow batches small enough for long texts."""
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder, read by Spark."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

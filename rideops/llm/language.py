@@ -75,14 +75,12 @@ class Model:
         return self.langs, self.counts, self.documents
 
     def log_scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Documents by languages; each document is a sparse vector of bucket counts."""
+        """Documents by languages: the sparse matrix (document, bucket) of n-grams times the log-probabilities."""
         n = len(offsets) - 1
-        bucket, doc = gram_buckets(data, offsets)
-        cell, count = np.unique(doc * np.int64(BUCKETS) + bucket, return_counts=True)
-        row, col = cell // BUCKETS, cell % BUCKETS
+        row, col = gram_buckets(data, offsets)
         out = np.empty((n, len(self.langs)))
         for k in range(len(self.langs)):
-            out[:, k] = np.bincount(row, self.matrix[col, k] * count, n) + self.prior[k]
+            out[:, k] = np.bincount(row, np.ascontiguousarray(self.matrix[:, k])[col], n) + self.prior[k]
         return out
 
 
