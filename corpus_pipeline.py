@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideops.llm import bpe, chosen_path, language, mixing, suffix
-from rideops.llm.common import fold_of, table
+from rideops.llm.common import fold_of, small_batches, table
 from rideops.session import cut_lineage, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,6 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without text or without a letter go."""
+    small_batches(spark)
     held_out = fold_of("doc_id", 4) == 2
     named = language.language_columns(docs, language.train(docs.where(~held_out)), held_out, COLUMNS[1:])
     return named.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
@@ -27,6 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows of one id are one document; equal rows become one. A row without an id stays.
     """
+    small_batches(spark)
     gone = chosen_path.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates()
 
@@ -36,6 +38,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     What is left of a cut character becomes U+FFFD and goes, with any others of that text.
     """
+    small_batches(spark)
     kept = suffix.without_repeats(docs, ("lang", "source")).withColumn("_kept", F.col("kept").cast("string"))
     mended = F.replace(F.make_valid_utf8("_kept"), F.lit("\ufffd"), F.lit(""))
     return kept.withColumn("text", F.coalesce(F.try_validate_utf8("_kept"), mended)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -50,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and digests of the ids and of the text decoded from them."""
+    small_batches(spark)
     return bpe.bpe_columns(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
