@@ -77,7 +77,7 @@ class Model:
     def log_scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Documents by languages: the sparse matrix (document, bucket) of n-grams times the log-probabilities."""
         n = len(offsets) - 1
-        row, col = gram_buckets(data, offsets)
+        col, row = gram_buckets(data, offsets)
         out = np.empty((n, len(self.langs)))
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(row, np.ascontiguousarray(self.matrix[:, k])[col], n) + self.prior[k]
