@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 #: Words and token pairs remembered by one Python worker; beyond it the memory is emptied.
-MEMORY = 400_000
+MEMORY = 150_000
 _NEVER = 1 << 60
 
 

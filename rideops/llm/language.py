@@ -15,6 +15,8 @@ from rideops.llm.common import fold_of, mixed, runs_of, text_bytes
 #: Hash buckets, n-gram sizes, smoothing, and the expected number of training documents.
 BUCKETS, SIZES, SMOOTHING, TRAIN_ROWS = 1 << 15, (1, 2, 3), 0.5, 30_000
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are held at once.
+RUN_BYTES = 1 << 20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -44,7 +46,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = text_bytes(batch.column(1))
         langs = np.array(batch.column(0).to_pylist(), object)
-        for lo, hi in runs_of(at):
+        for lo, hi in runs_of(at, RUN_BYTES):
             bucket, doc = gram_buckets(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
             for lang in set(langs[lo:hi]):
                 found = np.bincount(bucket[(langs[lo:hi] == lang)[doc]], minlength=BUCKETS)
@@ -108,7 +110,7 @@ def language_columns(docs: DataFrame, model: Model, held_out: Column, keep: tupl
 
     A null text, a text without a letter, and any text under a model that saw no language get
     ``und`` with score 0. Ties go to the language first in code-point order. Repeated rows stay.
-    The matrix (128 KB per language) is broadcast; memory holds about two megabytes of text, or
+    The matrix (128 KB per language) is broadcast; memory holds about one megabyte of text, or
     the longest single text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
@@ -119,7 +121,7 @@ def language_columns(docs: DataFrame, model: Model, held_out: Column, keep: tupl
             data, at = text_bytes(batch.column(2))
             letters = [bool(t and _LETTER.search(t)) and bool(fitted.langs) for t in batch.column(2).to_pylist()]
             names, scores = [], []
-            for lo, hi in runs_of(at):
+            for lo, hi in runs_of(at, RUN_BYTES):
                 if not fitted.langs:
                     names += [UNKNOWN] * (hi - lo)
                     scores += [0.0] * (hi - lo)

@@ -207,10 +207,11 @@ def sorted_contexts(contexts: np.ndarray, first: np.ndarray, last: np.ndarray, d
 
 def _local_contexts(group: _Group, doc: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
     """(contexts, first, last offset) of occurrences, bytes outside their strings zeroed."""
-    start = place - (WINDOWS - 1)
-    at = start[:, None] + np.arange(CONTEXT)
-    inside = (at >= first[:, None]) & (at < last[:, None] + LENGTH)
-    contexts = np.where(inside, group.data[np.clip(at, 0, max(len(group.data) - 1, 0))], 0).astype(np.uint8)
+    start, contexts = place - (WINDOWS - 1), np.zeros((len(place), CONTEXT), np.uint8)
+    for b in range(CONTEXT):  # byte by byte: no index of all bytes is held
+        at = start + b
+        inside = np.flatnonzero((at >= first) & (at < last + LENGTH))
+        contexts[inside, b] = group.data[at[inside]]
     return contexts, (first - start).astype(np.uint8), (last - start).astype(np.uint8)
 
 
