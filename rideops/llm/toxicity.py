@@ -157,17 +157,22 @@ def _features(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("toxic", "text").mapInArrow(convert, "toxic int, x0 double, x1 double")
 
 
-def train(rows: DataFrame, bound: int = TRAIN_ROWS) -> Model:
-    """Fit on (doc_id, text, toxic) rows, about ``bound`` of them drawn by a hash of the id.
+def drawn_labels(labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, toxic) of about ``bound`` labelled ids, drawn by a hash of the id; the greater of several labels counts."""
+    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = min(1.0, bound / max(known.count(), 1))
+    drawn = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1 << 20))
+    return known.where(drawn < F.lit(int(share * (1 << 20))))
+
+
+def train(rows: DataFrame) -> Model:
+    """Fit on a bounded sample of (doc_id, text, toxic) rows, one part in five of it for calibration.
 
     Counts are made in Spark. The driver gets words, contexts and bigrams seen more often than the
     discount, of which the bounded sample has a bounded number, and the calibration's features.
     """
-    known = rows.where(F.col("toxic").isin(0, 1))
-    share = min(1.0, bound / max(known.count(), 1))
-    drawn = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1 << 20))
     part = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(5))
-    sample = cut_lineage(known.where(drawn < F.lit(int(share * (1 << 20)))).select("toxic", "text", part.alias("part")))
+    sample = cut_lineage(rows.select("toxic", "text", part.alias("part")))
     grams = sample.where("part <> 0").select("toxic", "text").mapInArrow(_bigrams, "toxic int, v long, w long, s long, n long")
     sums = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(n) for c, n in ((1, "t"), (0, "o"))]
     low = [F.sum(F.least(F.col(n), F.lit(DISCOUNT))).alias(f"low_{n}") for n in "to"]
@@ -239,7 +244,11 @@ def toxicity_columns(docs: DataFrame, model: Model, held_out: Column) -> DataFra
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on labelled documents whose fold of five is not 0, score all."""
+    """Train on labelled documents whose fold of five is not 0, score all.
+
+    The drawn labels, about ``TRAIN_ROWS`` pairs of numbers at any size, are broadcast, so that no
+    text is shuffled.
+    """
     held_out = fold_of("doc_id", 5) == 0
-    known = labels.where(fold_of("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity_columns(docs, train(docs.select("doc_id", "text").join(known, "doc_id")), held_out)
+    drawn = drawn_labels(labels.where(fold_of("doc_id", 5) != 0))
+    return toxicity_columns(docs, train(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")), held_out)
