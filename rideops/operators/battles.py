@@ -38,7 +38,8 @@ def side_totals(battles: DataFrame, stats: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("side") == "b", _metric_value())).alias("b_total"))
     out = battles.join(sums, "battle_id", "left")
     for name, total, start in (("challenger_value", "a_total", "challenger_start"), ("challenged_value", "b_total", "challenged_start")):
-        out = out.withColumn(name, F.greatest(F.coalesce(total, F.lit(0)) - F.coalesce(start, F.lit(0)), F.lit(0)))
+        gained = F.round(F.coalesce(total, F.lit(0)), 4) - F.coalesce(start, F.lit(0))
+        out = out.withColumn(name, F.greatest(F.round(gained, 4), F.lit(0)))
     return out.drop("a_total", "b_total")
 
 

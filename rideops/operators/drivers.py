@@ -111,8 +111,9 @@ def badge(rank: Column) -> Column:
 
 
 def period_totals(stats: DataFrame, users: DataFrame, metric: str, start: Column, end: Column) -> DataFrame:
-    """Metric total per active user with work in [start, end]."""
-    totals = stats.filter(F.col("nyc_date").between(start, end)).groupBy("user_id").agg(F.sum(metric).alias("metric_value"))
+    """Metric total per active user with work in [start, end]; days without a value count as 0."""
+    total = F.coalesce(F.sum(metric), F.lit(0)).alias("metric_value")
+    totals = stats.filter(F.col("nyc_date").between(start, end)).groupBy("user_id").agg(total)
     named = active_users(users).select("user_id", public_name().alias("display_name"))
     return totals.join(named, "user_id")
 
