@@ -127,7 +127,7 @@ view("matches", f"""
     CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_custkey + 1 + o_orderkey % 5 END AS winner_id,
     CASE WHEN o_orderkey % 4 = 0 THEN 'billiards' ELSE 'dominoes' END AS game_type,
     {NOW} - o_orderkey % 5000 * 60 AS completed_at
-  FROM orders WHERE o_orderkey % 2 = 0""")
+  FROM orders""")
 view("room_messages", """
   SELECT conv_id * 1000 + turn AS message_id, CASE WHEN conv_id % 3 = 0 THEN 'global' ELSE 'room' || (conv_id % 5) END AS room,
     CASE WHEN role = 'user' THEN conv_id % 15 ELSE (conv_id + 7) % 15 END AS user_id, text AS message,
@@ -135,7 +135,7 @@ view("room_messages", """
     CASE WHEN turn % 4 = 3 THEN 'image' WHEN turn % 9 = 8 THEN 'voice' ELSE 'text' END AS message_type,
     CASE WHEN turn % 4 = 3 THEN 'img/' || (conv_id * 1000 + turn) END AS image_path,
     CASE WHEN turn % 4 <> 3 AND turn % 9 = 8 THEN 'audio/' || (conv_id * 1000 + turn) END AS audio_path
-  FROM conversations WHERE conv_id % 3 <> 1""")
+  FROM conversations""")
 view("private_messages", """
   SELECT conv_id * 1000 + turn AS message_id,
     CASE WHEN role = 'user' THEN conv_id % 15 ELSE (conv_id + 7) % 15 END AS sender_id,
@@ -145,7 +145,7 @@ view("private_messages", """
     CASE WHEN turn % 4 = 3 THEN 'image' ELSE 'text' END AS message_type,
     CASE WHEN turn % 4 = 3 THEN 'img/' || (conv_id * 1000 + turn) END AS image_path,
     CAST(NULL AS VARCHAR) AS audio_path
-  FROM conversations WHERE conv_id % 3 <> 0""")
+  FROM conversations""")
 
 
 def r6(expr: str, digits: int = 6) -> str:

@@ -50,7 +50,7 @@ def statements() -> dict[str, str]:
           WHERE seen_at >= {NOW} - {AGE} AND lat BETWEEN 40.70 AND 40.72 AND lng BETWEEN -73.98 AND -73.96 AND {ACTIVE} AND NOT ghost_mode""", "presence", "users"),
         "presence_delta": statement(f"""
           SELECT user_id, CASE WHEN reason IS NULL THEN 'item' ELSE 'removed' END AS kind, reason, changed_at_ms, max(changed_at_ms) OVER () AS cursor FROM (
-            SELECT p.user_id, {_REASON} AS reason, seen_at * 1000 AS changed_at_ms FROM presence p LEFT JOIN (SELECT * FROM users WHERE user_id % 29 <> 3) u ON u.user_id = p.user_id
+            SELECT p.user_id, {_REASON} AS reason, seen_at * 1000 AS changed_at_ms FROM presence p LEFT JOIN users u ON u.user_id = p.user_id
             WHERE seen_at * 1000 > CAST({NOW - 3600} AS BIGINT) * 1000)""", "presence", "users"),
         "presence_counts": statement(f"""
           SELECT count(*) AS online, count(*) FILTER (ghost_mode) AS ghosted, count(*) FILTER (({_REASON}) IS NULL) AS visible FROM presence p LEFT JOIN users u ON u.user_id = p.user_id WHERE seen_at >= {NOW} - {AGE}""", "presence", "users"),

@@ -31,12 +31,12 @@ view("shapes", f"""
   FROM (SELECT *, sqrt(zone_area_sq_miles) / 138.0 AS half FROM zones)""", "zones")
 view("side_history", "SELECT zone_id, count(*) * CAST(0.1 AS DOUBLE) AS value FROM zone_points GROUP BY 1", "zone_points")
 view("side_slot", "SELECT zone_id, count(*) * CAST(0.5 AS DOUBLE) AS value FROM recommendations GROUP BY 1", "recommendations")
-view("side_density", "SELECT zone_id, count(*) * CAST(0.05 AS DOUBLE) AS value FROM reports WHERE zone_id % 3 <> 0 GROUP BY 1", "reports")
+view("side_density", "SELECT zone_id, count(*) * CAST(0.05 AS DOUBLE) AS value FROM reports GROUP BY 1", "reports")
 view("zone_live", f"""
   SELECT zone_id, coalesce(l.weighted, 0) AS weighted, coalesce(l.u, 0) AS unique_drivers, coalesce(i.value, 0) AS history, coalesce(s.value, 0) AS slot, coalesce(d.value, 0) AS density, p.value AS previous
-  FROM (SELECT zone_id, round(sum(w), 9) AS weighted, count(DISTINCT user_id) AS u FROM recent_points WHERE zone_id % 5 <> 0 GROUP BY 1) l
-  FULL JOIN (SELECT * FROM side_history WHERE zone_id % 7 <> 0) i USING (zone_id) FULL JOIN side_slot s USING (zone_id)
-  LEFT JOIN side_density d USING (zone_id) LEFT JOIN (SELECT zone_id, round(avg(score), 9) AS value FROM recommendations WHERE zone_id % 2 = 0 GROUP BY 1) p USING (zone_id)""",
+  FROM (SELECT zone_id, round(sum(w), 9) AS weighted, count(DISTINCT user_id) AS u FROM recent_points GROUP BY 1) l
+  FULL JOIN side_history i USING (zone_id) FULL JOIN side_slot s USING (zone_id)
+  LEFT JOIN side_density d USING (zone_id) LEFT JOIN (SELECT zone_id, round(avg(score), 9) AS value FROM recommendations GROUP BY 1) p USING (zone_id)""",
      "recent_points", "side_history", "side_slot", "side_density", "recommendations")
 view("micro_cells", f"""
   SELECT zone_id, gx, gy, sum(w) AS weight, sum(x * w) / sum(w) AS cx, sum(y * w) / sum(w) AS cy, sum(lat * w) / sum(w) AS center_lat, sum(lng * w) / sum(w) AS center_lng,
@@ -119,7 +119,7 @@ def statements() -> dict[str, str]:
         "hotspot_components": statement(f"SELECT zone_id, component, cells, support_points, anchor_rank, {rounded(['component_score', 'peak_score', 'support_weight'])}, {rounded(['centroid_x', 'centroid_y'], 3)} FROM component_rows", "component_rows"),
         "hotspot_limit": statement(f"""
           SELECT zone_id, n AS components, {r6('area')} AS area_sq_miles,
-            CASE WHEN n >= 3 AND area >= 0.5 AND support >= 10 AND s2 / greatest(s0, 0.001) >= 0.42 AND w2 >= 10 AND least({_APART.format(0)}, {_APART.format(1)}) / 1609.344 >= 0.35 THEN 3 ELSE 2 END AS hotspot_limit
+            CASE WHEN n >= 3 AND area >= 2.25 AND support >= 36 AND s2 / greatest(s0, 0.001) >= 0.42 AND w2 >= 10 AND least({_APART.format(0)}, {_APART.format(1)}) / 1609.344 >= 0.35 THEN 3 ELSE 2 END AS hotspot_limit
           FROM (SELECT k.zone_id, count(*) AS n, sum(support_weight) AS support, any_value((max_x - min_x) * (max_y - min_y)) / 2589988.11 AS area,
               max(component_score) FILTER (anchor_rank = 0) AS s0, max(component_score) FILTER (anchor_rank = 2) AS s2, max(support_weight) FILTER (anchor_rank = 2) AS w2,
               {', '.join(f'max(centroid_{a}) FILTER (anchor_rank = {i}) AS {a}{i}' for i in (0, 1, 2) for a in 'xy')}

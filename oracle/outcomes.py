@@ -11,7 +11,7 @@ from oracle.drivers import business, haversine
 SINCE = NOW - 4 * 3600
 
 view("live_pickups", "SELECT * FROM pickups WHERE NOT is_voided", "pickups")
-view("pickup_days", f"SELECT user_id, {business('created_at')} AS d, count(*) AS c FROM live_pickups WHERE counted_for_stats GROUP BY 1, 2", "live_pickups")
+view("pickup_days", f"SELECT user_id, {business('created_at')} AS d, count(*) AS c FROM pickups WHERE counted_for_stats GROUP BY 1, 2", "pickups")
 view("resolved", "SELECT * FROM resolved_outcomes WHERE converted_to_trip IS NOT NULL", "resolved_outcomes")
 
 
@@ -24,7 +24,7 @@ def _claims(name: str, limit: float, fallback: bool) -> None:
     best = (f"(SELECT {{'id': recommendation_id, 'when_at': recommended_at, 'miles': CASE WHEN {miles} <= {limit} THEN {miles} END}} FROM recommendations r "
             f"WHERE r.user_id = p.user_id AND r.zone_id = p.zone_id AND r.recommended_at BETWEEN p.created_at - 5400 AND p.created_at AND {where} "
             f"AND NOT list_contains(w.claimed, r.recommendation_id) ORDER BY {order} LIMIT 1)")
-    view(f"{name}_order", "SELECT *, row_number() OVER (PARTITION BY user_id, zone_id ORDER BY created_at, pickup_id) AS n FROM live_pickups", "live_pickups")
+    view(f"{name}_order", "SELECT *, row_number() OVER (PARTITION BY user_id, zone_id ORDER BY created_at, pickup_id) AS n FROM pickups", "pickups")
     view(name, f"""
       WITH RECURSIVE walk AS (
         SELECT DISTINCT user_id, zone_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS claimed, CAST(NULL AS BIGINT) AS pickup_id, CAST(NULL AS BIGINT) AS settled_at,
@@ -67,7 +67,7 @@ view("bracket", """
   SELECT *, min(least(level, 0)) OVER (PARTITION BY user_id ORDER BY t, kind, event_id) AS lowest FROM (
     SELECT *, sum(CASE WHEN kind = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY t, kind, event_id) AS level FROM (
       SELECT user_id, recommended_at AS t, 0 AS kind, guidance_id AS event_id, action, source_zone_id, target_zone_id, NULL AS zone_id FROM guidance
-      UNION ALL SELECT user_id, created_at, 1, pickup_id, NULL, NULL, NULL, zone_id FROM live_pickups))""", "guidance", "live_pickups")
+      UNION ALL SELECT user_id, created_at, 1, pickup_id, NULL, NULL, NULL, zone_id FROM pickups))""", "guidance", "pickups")
 view("guidance_settled", """
   SELECT p.user_id, p.event_id AS pickup_id, q.event_id AS guidance_id, q.action, p.t AS settled_at, (p.t - q.t) / CAST(60 AS DOUBLE) AS minutes_to_trip, p.zone_id, q.source_zone_id, q.target_zone_id
   FROM bracket p JOIN bracket q ON q.user_id = p.user_id AND q.kind = 0 AND p.kind = 1 AND q.level - q.lowest = p.level - p.lowest + 1 AND (q.t, q.kind, q.event_id) < (p.t, p.kind, p.event_id)
@@ -213,9 +213,9 @@ def statements() -> dict[str, str]:
               SELECT pickup_id, p.user_id, CAST(coalesce(work_xp, 0) + 20 * (earlier + least(n - 1, 25)) AS BIGINT) AS xp_before, CAST(coalesce(work_xp, 0) + 20 * (earlier + least(n, 25)) AS BIGINT) AS xp_after
               FROM (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY created_at, pickup_id) AS n,
                       (SELECT coalesce(sum(least(c, 25)), 0) FROM pickup_days e WHERE e.user_id = q.user_id AND e.d < q.d) AS earlier
-                    FROM (SELECT *, {business('created_at')} AS d FROM live_pickups WHERE counted_for_stats) q) p
+                    FROM (SELECT *, {business('created_at')} AS d FROM pickups WHERE counted_for_stats) q) p
               LEFT JOIN (SELECT user_id, sum({even('miles_worked * 8')} + {even('hours_worked * 30')}) AS work_xp FROM driver_days GROUP BY 1) w ON w.user_id = p.user_id))""",
-            "live_pickups", "pickup_days", "driver_days", "levels"),
+            "pickups", "pickup_days", "driver_days", "levels"),
         "guidance_outlook": statement("SELECT * FROM outlook", "outlook"),
         "outlook_lookup": statement("SELECT * FROM outlook WHERE bin_local_epoch = (SELECT min(bin_local_epoch) FROM scored) AND zone_id IN (119, 120, 131, 999)", "outlook", "scored"),
     }

@@ -21,7 +21,6 @@ def _presence(spark, sf):
 
 
 def _users(spark, sf):
-    """Users, without some that appear in presence, as if their accounts were deleted."""
     return a.users(spark, sf)
 
 
@@ -35,8 +34,7 @@ def presence_viewport(spark, sf):
 
 
 def presence_delta(spark, sf):
-    left = _users(spark, sf).filter(F.col("user_id") % 29 != 3)
-    return c.presence_delta(_presence(spark, sf), left, a.NOW, (a.NOW - 3600) * 1000, AGE)
+    return c.presence_delta(_presence(spark, sf), _users(spark, sf), a.NOW, (a.NOW - 3600) * 1000, AGE)
 
 
 def live_drivers(spark, sf):

@@ -28,14 +28,14 @@ def recency_weight(spark, sf):
 
 
 def _side_inputs(spark, sf):
-    return (_counts(a.zone_points(spark, sf), 0.1), _counts(a.recommendations(spark, sf), 0.5), _counts(a.reports(spark, sf).filter(F.col("zone_id") % 3 != 0), 0.05))
+    return (_counts(a.zone_points(spark, sf), 0.1), _counts(a.recommendations(spark, sf), 0.5), _counts(a.reports(spark, sf), 0.05))
 
 
 def live_zone_score(spark, sf):
     history, slot, density = _side_inputs(spark, sf)
-    previous = a.recommendations(spark, sf).filter(F.col("zone_id") % 2 == 0).groupBy("zone_id").agg(F.round(F.avg("score"), 9).alias("value"))
+    previous = a.recommendations(spark, sf).groupBy("zone_id").agg(F.round(F.avg("score"), 9).alias("value"))
     active = a.heartbeats(spark, sf).filter(F.col("at") >= a.NOW - 300).agg(F.count_distinct("user_id")).scalar()
-    out = h.live_zone_score(_recent(spark, sf).filter(F.col("zone_id") % 5 != 0), history.filter(F.col("zone_id") % 7 != 0), slot, density, previous, active, a.NOW)
+    out = h.live_zone_score(_recent(spark, sf), history, slot, density, previous, active, a.NOW)
     return out.select("zone_id", "unique_drivers", *r6("weighted_trip_count", "final_score", "confidence", "live_strength", "density_penalty"), "recommended")
 
 
@@ -72,7 +72,7 @@ def hotspot_components(spark, sf):
 
 
 def hotspot_limit(spark, sf):
-    return h.hotspot_limit(_components(spark, sf), a.zone_shapes(spark, sf), 0.5, 10.0).select("zone_id", "components", *r6("area_sq_miles"), "hotspot_limit")
+    return h.hotspot_limit(_components(spark, sf), a.zone_shapes(spark, sf)).select("zone_id", "components", *r6("area_sq_miles"), "hotspot_limit")
 
 
 def recent_drift(spark, sf):

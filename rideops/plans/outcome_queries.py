@@ -14,26 +14,22 @@ SINCE = 4 * 3600
 ASKED_ZONES = [119, 120, 131, 999, 120]
 
 
-def _live_pickups(spark, sf):
-    return a.pickups(spark, sf).filter(~F.col("is_voided"))
-
-
 def _micro(spark, sf):
     return a.resolved_outcomes(spark, sf)
 
 
 def settle_hotspot_outcomes(spark, sf):
-    out = o.settle_hotspot_outcomes(a.recommendations(spark, sf), _live_pickups(spark, sf))
+    out = o.settle_hotspot_outcomes(a.recommendations(spark, sf), a.pickups(spark, sf))
     return out.select("user_id", "zone_id", "pickup_id", "recommendation_id", "settled_at", *r6("minutes_to_trip", "distance_miles"), "spatial")
 
 
 def settle_micro_outcomes(spark, sf):
-    out = o.settle_micro_outcomes(a.recommendations(spark, sf), _live_pickups(spark, sf))
+    out = o.settle_micro_outcomes(a.recommendations(spark, sf), a.pickups(spark, sf))
     return out.select("user_id", "zone_id", "pickup_id", "recommendation_id", "settled_at", *r6("minutes_to_trip", "distance_miles"))
 
 
 def _settled_guidance(spark, sf):
-    return o.settle_guidance_outcomes(a.guidance(spark, sf), _live_pickups(spark, sf))
+    return o.settle_guidance_outcomes(a.guidance(spark, sf), a.pickups(spark, sf))
 
 
 def settle_guidance_outcomes(spark, sf):
@@ -77,8 +73,15 @@ def retention_prune(spark, sf):
         F.count("*").alias("kept"), F.min("recommended_at").alias("oldest"))
 
 
-def _guard(spark, sf):
-    return g.pickup_guard(a.heartbeats(spark, sf), a.pickups(spark, sf))
+def pickup_guard_state(spark, sf):
+    states = g.guard_states(a.heartbeats(spark, sf))
+    return states.select("user_id", F.col("at").alias("seen_at"), "event_id", F.col("session_end.prev_at").alias("previous_session_end_at"),
+                         "movement_streak_started_at", "last_meaningful_motion_at")
+
+
+def pickup_guard_decision(spark, sf):
+    decided = g.pickup_guard(a.heartbeats(spark, sf), a.pickups(spark, sf)).filter(F.col("kind") == 1)
+    return decided.select("user_id", "event_id", F.col("at").alias("tried_at"), "decision", "ok")
 
 
 def void_reversal(spark, sf):
@@ -99,7 +102,7 @@ def activity_snapshot(spark, sf):
     advice = a.guidance(spark, sf).join(
         _settled_guidance(spark, sf).select("guidance_id", F.lit(True).alias("converted_to_trip")), "guidance_id", "left")
     outcomes = a.resolved_outcomes(spark, sf)
-    return g.activity_snapshot(_latest(spark, sf), _guard(spark, sf), a.pickups(spark, sf), outcomes, outcomes, advice, a.NOW)
+    return g.activity_snapshot(_latest(spark, sf), g.guard_states(a.heartbeats(spark, sf)), a.pickups(spark, sf), outcomes, outcomes, advice, a.NOW)
 
 
 def guidance_action(spark, sf):
@@ -119,7 +122,7 @@ def nearby_better_zone(spark, sf):
 def pickup_xp_delta(spark, sf):
     work = d.driver_daily_stats(a.heartbeats(spark, sf)).select("user_id", (d.daily_xp()["miles_xp"] + d.daily_xp()["hours_xp"]).alias("xp"))
     total = work.groupBy("user_id").agg(F.sum("xp").alias("work_xp"))
-    out = g.pickup_xp_delta(_live_pickups(spark, sf), total)
+    out = g.pickup_xp_delta(a.pickups(spark, sf), total)
     return out.select("pickup_id", "user_id", "xp_before", "xp_after", "xp_awarded", "level_before", "level_after", "leveled_up")
 
 
@@ -151,8 +154,8 @@ QUERIES = {
     "outcome_listing": outcome_listing,
     "experiment_bin_listing": experiment_bin_listing,
     "retention_prune": retention_prune,
-    "pickup_guard_state": lambda s, sf: _guard(s, sf).filter(F.col("kind") == 0).drop("kind", "decision", "ok").withColumnRenamed("at", "seen_at"),
-    "pickup_guard_decision": lambda s, sf: _guard(s, sf).filter(F.col("kind") == 1).select("user_id", "event_id", F.col("at").alias("tried_at"), "decision", "ok"),
+    "pickup_guard_state": pickup_guard_state,
+    "pickup_guard_decision": pickup_guard_decision,
     "trips_summary": lambda s, sf: g.trips_summary(a.pickups(s, sf), a.NOW),
     "recent_trips": recent_trips,
     "void_reversal": void_reversal,

@@ -246,10 +246,10 @@ def battles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished games between two users, one per order of even key."""
+    """Finished games between two users, one per order."""
     key = F.col("o_orderkey")
     other = F.col("o_custkey") + 1 + key % 5
-    return table(spark, sf_dir, "orders").filter(key % 2 == 0).select(
+    return table(spark, sf_dir, "orders").select(
         key.alias("match_id"), F.col("o_custkey").alias("player_one_id"), other.alias("player_two_id"),
         F.when(key % 3 == 0, F.col("o_custkey")).otherwise(other).alias("winner_id"),
         F.when(key % 4 == 0, "billiards").otherwise("dominoes").alias("game_type"),
@@ -258,9 +258,9 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def room_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Public room messages from two thirds of ``conversations``."""
+    """Every turn of ``conversations`` as a message in a public room."""
     conv, turn = F.col("conv_id"), F.col("turn")
-    return table(spark, sf_dir, "conversations").filter(conv % 3 != 1).select(
+    return table(spark, sf_dir, "conversations").select(
         (conv * 1000 + turn).alias("message_id"),
         F.when(conv % 3 == 0, "global").otherwise(F.concat(F.lit("room"), (conv % 5).cast("string"))).alias("room"),
         F.when(F.col("role") == "user", conv % 15).otherwise((conv + 7) % 15).alias("user_id"),
@@ -273,10 +273,10 @@ def room_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def private_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct messages from two thirds of ``conversations``."""
+    """Every turn of ``conversations`` as a direct message."""
     conv, turn = F.col("conv_id"), F.col("turn")
     from_user = F.col("role") == "user"
-    return table(spark, sf_dir, "conversations").filter(conv % 3 != 0).select(
+    return table(spark, sf_dir, "conversations").select(
         (conv * 1000 + turn).alias("message_id"),
         F.when(from_user, conv % 15).otherwise((conv + 7) % 15).alias("sender_id"),
         F.when(from_user, (conv + 7) % 15).otherwise(conv % 15).alias("recipient_id"),
