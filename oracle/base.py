@@ -1,6 +1,6 @@
 """DuckDB views of the input tables and a helper that composes them into one statement.
 
-Everything here is written from the definitions in FIXTURES.md, apart from the Spark code.
+The views are written from the definitions in FIXTURES.md, apart from the Spark code.
 """
 
 from __future__ import annotations
