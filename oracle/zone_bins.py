@@ -109,17 +109,19 @@ def _c(expr: str, low: float = 0.0, high: float = 1.0) -> str:
 CORE = ("(lower(borough_name) LIKE '%manhattan%' AND centroid_latitude <= CAST(40.795 AS DOUBLE) "
         "AND zone_id NOT IN (41, 42, 74, 75, 116, 127, 128, 151, 152, 166, 243, 244))")
 
+# Saturation multipliers; 0.35 elsewhere. The first that fits counts.
+BOROUGHS = ("[{'word': 'manhattan', 'factor': 1.00}, {'word': 'brooklyn', 'factor': 0.55}, {'word': 'queens', 'factor': 0.50}, "
+            "{'word': 'bronx', 'factor': 0.40}, {'word': 'staten', 'factor': 0.20}]")
+
 view("features_1", f"""
   SELECT *, greatest(demand_now_n, demand_next_n) AS demand_support_n,
     {_c('0.20 + 0.80 * greatest(demand_now_n, demand_next_n)')} AS density_support_n,
-    CASE WHEN lower(borough_name) LIKE '%manhattan%' THEN 1.00 WHEN lower(borough_name) LIKE '%brooklyn%' THEN 0.55
-      WHEN lower(borough_name) LIKE '%queens%' THEN 0.50 WHEN lower(borough_name) LIKE '%bronx%' THEN 0.40
-      WHEN lower(borough_name) LIKE '%staten%' THEN 0.20 ELSE 0.35 END::DOUBLE AS borough_multiplier,
+    coalesce(list_filter({BOROUGHS}, lambda b: contains(lower(borough_name), b.word))[1].factor, 0.35)::DOUBLE AS borough_multiplier,
     {_c('0.45 * same_zone_n + 0.35 * short_trip_n + 0.20 * greatest(density_now_n - greatest(demand_next_n, downstream_n), 0)')} AS churn_pressure_n
   FROM ranked""", "ranked")
 view("features_2", f"""
   SELECT *, density_now_n * density_support_n AS effective_density_now_n, density_next_n * density_support_n AS effective_density_next_n,
-    CASE WHEN {CORE} THEN {_c('0.55 * churn_pressure_n + 0.45 * churn_pressure_n')} ELSE 0 END AS core_saturation_n,
+    CASE WHEN {CORE} THEN churn_pressure_n ELSE 0 END AS core_saturation_n,
     {_c('0.24 * short_trip_n + 0.20 * same_zone_n + 0.18 * airport_exit_n + 0.18 * out_of_network_n + 0.14 * short_external_8mi_n - 0.10 * long_external_n - 0.10 * downstream_n')} AS return_risk
   FROM features_1""", "features_1")
 view("features_3", f"""
@@ -142,9 +144,24 @@ V2_PENALTIES = "short_trip_n pickup_friction_n shared_ride_n".split()
 V3_PENALTIES = "short_trip_n same_zone_n pickup_friction_n shared_ride_n market_saturation_n".split()
 
 
-def _weights():
-    from rideops.operators.scoring import V2_WEIGHTS, V3_WEIGHTS
-    return V2_WEIGHTS, V3_WEIGHTS
+# Profile weights, in the order of the terms and penalties above; v3 has demand now,
+# demand next, density now, density next, the pay terms, balanced share, long share, downstream.
+V2_WEIGHTS = {
+    "citywide_v2": (0.20, 0.14, 0.22, 0.16, 0.10, 0.12, 0.04, 0.03, 0.01),
+    "manhattan_v2": (0.14, 0.18, 0.12, 0.20, 0.06, 0.18, 0.16, 0.10, 0.04),
+    "bronx_wash_heights_v2": (0.18, 0.22, 0.08, 0.14, 0.05, 0.22, 0.05, 0.06, 0.03),
+    "queens_v2": (0.15, 0.20, 0.08, 0.12, 0.11, 0.22, 0.06, 0.04, 0.02),
+    "brooklyn_v2": (0.13, 0.18, 0.09, 0.19, 0.10, 0.20, 0.15, 0.07, 0.03),
+    "staten_island_v2": (0.11, 0.17, 0.18, 0.14, 0.10, 0.19, 0.04, 0.05, 0.02),
+}
+V3_WEIGHTS = {
+    "citywide_v3": (0.11, 0.11, 0.12, 0.09, 0.07, 0.12, 0.07, 0.10, 0.06, 0.11, 0.0855, 0.09, 0.045, 0.027, 0.03),
+    "manhattan_v3": (0.08, 0.10, 0.11, 0.09, 0.07, 0.14, 0.08, 0.11, 0.02, 0.08, 0.055, 0.09, 0.032, 0.012, 0.0),
+    "bronx_wash_heights_v3": (0.13, 0.15, 0.08, 0.07, 0.05, 0.09, 0.05, 0.08, 0.03, 0.14, 0.04275, 0.054, 0.036, 0.018, 0.0),
+    "queens_v3": (0.10, 0.12, 0.12, 0.10, 0.05, 0.09, 0.10, 0.09, 0.06, 0.12, 0.0513, 0.081, 0.027, 0.018, 0.0),
+    "brooklyn_v3": (0.09, 0.10, 0.12, 0.09, 0.06, 0.13, 0.08, 0.10, 0.06, 0.11, 0.0855, 0.099, 0.036, 0.018, 0.0),
+    "staten_island_v3": (0.10, 0.12, 0.04, 0.04, 0.13, 0.13, 0.12, 0.11, 0.02, 0.07, 0.018, 0.020, 0.015, 0.005, 0.0),
+}
 
 
 def _dot(weights, terms) -> str:
@@ -165,9 +182,14 @@ def _v3(w, balanced=None, long=None, saturation=None, plus="0", minus="0") -> st
     return _c(f"{positive} + {plus} - ({negative} + {minus})")
 
 
+# Ratings from which the next tier counts.
+TIER_FLOORS = (48, 60, 73, 87)
+
+
 def _tier(values) -> str:
-    return ("CASE WHEN citywide_pre_tier_rating >= 87 THEN {} WHEN citywide_pre_tier_rating >= 73 THEN {} "
-            "WHEN citywide_pre_tier_rating >= 60 THEN {} WHEN citywide_pre_tier_rating >= 48 THEN {} ELSE {} END::DOUBLE").format(*values)
+    """The value of the tier; values go from the top tier down to the bottom one."""
+    passed = " + ".join(f"(citywide_pre_tier_rating >= {floor})::INTEGER" for floor in TIER_FLOORS)
+    return f"list_extract([{', '.join(map(str, reversed(values)))}], 1 + {passed})::DOUBLE"
 
 
 CITY_PLUS = "0.045 * core_escape_n"
@@ -182,7 +204,7 @@ TRAP = {
 
 
 def _score_views() -> None:
-    v2, v3 = _weights()
+    v2, v3 = V2_WEIGHTS, V3_WEIGHTS
     view("tiered", f"""
       SELECT *, {_tier((0.080, 0.082, 0.090, 0.095, 0.100))} AS citywide_balanced_weight,
         {_tier((0.080, 0.078, 0.070, 0.065, 0.060))} AS citywide_long_weight,
@@ -250,7 +272,7 @@ EXITS = ["is_airport_exit", "is_network_drop", "is_out_of_network", "is_short_ex
 
 
 def _component_sql() -> str:
-    _, v3 = _weights()
+    v3 = V3_WEIGHTS
     out = []
     for p in V3_NAMES:
         w = v3[p]
@@ -293,7 +315,7 @@ def statements() -> dict[str, str]:
         "od_edges": statement(f"SELECT zone_id, drop_zone_id, bin_local_epoch, edge_trips, edge_total, {r6('edge_trips / CAST(edge_total AS DOUBLE)')} AS edge_share, lookup_bin FROM edges", "edges"),
         "downstream_value": statement(f"SELECT {KEY}{rounded(['downstream_value_raw', 'downstream_coverage'])} FROM downstream", "downstream"),
         "pickup_density": statement(f"SELECT {KEY}{rounded(['pickups_per_sq_mile_now', 'pickups_per_sq_mile_next'])} FROM joined", "joined"),
-        "support_strength": statement(f"SELECT {KEY}{r6(_c('pickups_now / CAST(5 AS DOUBLE)'))} AS support_strength FROM zone_bin", "zone_bin"),
+        "support_strength": statement(f"SELECT {KEY}{r6(_c('pickups_now / CAST(25 AS DOUBLE)'))} AS support_strength FROM zone_bin", "zone_bin"),
         "percentile_rank_in_bin": statement(f"SELECT {KEY}{rounded(['pickup_friction_n', 'short_trip_n', 'shared_ride_n', 'downstream_n'])} FROM ranked", "ranked"),
         "percentile_rank_nullable": statement(f"SELECT {KEY}{rounded(['pay_n', 'pay_per_min_n', 'pay_per_mile_n'])} FROM ranked", "ranked"),
         "percentile_rank_share": statement(f"SELECT {KEY}{rounded(['long_trip_n', 'balanced_trip_n', 'same_zone_n', 'airport_exit_n', 'out_of_network_n', 'short_external_6mi_n', 'short_external_8mi_n', 'long_external_n'])} FROM ranked", "ranked"),

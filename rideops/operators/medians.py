@@ -1,9 +1,9 @@
-"""Exact medians per group that survive a group holding a large part of all rows.
+"""Exact medians per group without gathering a group.
 
-Spark's ``median`` keeps the distinct values of one group in one buffer. That is fine for
-ordinary groups. Groups above ``hot_group_rows`` are instead resolved in two steps, neither of
-which brings a group together: value counts are spread over (group, value), counted per
-coarse value bucket to find the bucket holding the middle, and only that bucket is ordered.
+Spark's ``median`` keeps the distinct values of a group in one buffer that does not spill. Here
+value counts are spread over (group, value) and summed per coarse value bucket to find the
+bucket that holds the middle; only that bucket is ordered. Every step is a hash aggregate, a sort
+or a join, so it spills, and a group may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -13,13 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_GROUP_ROWS = 5_000_000
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_group_rows: int) -> DataFrame:
-    """Keys with more rows than the limit; at most rows/limit of them."""
-    return df.groupBy(*keys).count().filter(F.col("count") > hot_group_rows).select(*keys)
-
 
 def bucketed_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Exact interpolated medians, one row per key, without gathering a group."""
@@ -31,7 +24,9 @@ def bucketed_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     counts = long.groupBy(*keys, "measure", "value").agg(F.count("*").alias("n"))
     value = F.col("value")
     # Monotone in the value, 64 buckets per doubling: at most a few thousand per group.
-    counts = counts.withColumn("bucket", (F.signum(value) * F.floor(64 * F.log2(1 + F.abs(value)))).cast("int"))
+    # NaN and infinities fall into the outermost buckets, where they sort last.
+    size = F.floor(64 * F.log2(1 + F.least(F.abs(value), F.lit(1e300)))).cast("int")
+    counts = counts.withColumn("bucket", F.when(value < 0, -size).otherwise(size))
     group = [*keys, "measure"]
     by_bucket = counts.groupBy(*group, "bucket").agg(F.sum("n").alias("bucket_n"))
     w = Window.partitionBy(*group)

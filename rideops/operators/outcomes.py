@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,29 +28,30 @@ def miles_between(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
     return 2 * 6371000.0 * 0.000621371 * math.asin(math.sqrt(min(1.0, a)))
 
 
-def _claim(state: list, row: tuple, max_miles: float, fallback: bool) -> list[tuple]:
-    """One event of a (user, zone) session; the state is the list of open recommendations."""
+def _claim(open_recs: deque, row: tuple, max_miles: float, fallback: bool) -> list[tuple]:
+    """One event of a (user, zone) session; the state holds the recommendations still open.
+
+    A pickup takes the smallest (miles to nine places, newest, largest id); one out of reach
+    counts as infinitely far, and only with ``fallback``.
+    """
     user, zone, _, at, is_pickup, event_id, lat, lng = row
+    while open_recs and at - open_recs[0][0] > WINDOW_SECONDS:
+        open_recs.popleft()
     if not is_pickup:
-        state.append((at, event_id, lat, lng))
+        open_recs.append((at, event_id, lat, lng))
         return []
-    while state and state[0][0] < at - WINDOW_SECONDS:
-        state.pop(0)
-    best = None
-    for i, (when, _, rec_lat, rec_lng) in enumerate(state):
-        if rec_lat is None or rec_lng is None:
-            continue
-        miles = miles_between(lat, lng, rec_lat, rec_lng)
-        if miles > max_miles:
-            continue
-        if best is None or miles < best[0] - 1e-9 or (abs(miles - best[0]) <= 1e-9 and when > best[1]):
-            best = (miles, when, i)
-    if best is None and fallback and state:
-        best = (None, state[-1][0], len(state) - 1)
-    if best is None:
+
+    def distance(rec: tuple) -> float:
+        miles = math.inf if None in (*rec, lat, lng) else miles_between(lat, lng, *rec[2:])
+        return miles if miles <= max_miles else math.inf
+
+    ranked = [(round(miles, 9), -rec[0], -rec[1], miles, rec) for rec in open_recs if (miles := distance(rec)) < math.inf or fallback]
+    if not ranked:
         return []
-    _, rec_id, _, _ = state.pop(best[2])
-    return [(user, zone, event_id, rec_id, at, (at - best[1]) / 60.0, best[0], best[0] is not None)]
+    *_, miles, rec = min(ranked, key=lambda r: r[:3])
+    open_recs.remove(rec)
+    near = miles < math.inf
+    return [(user, zone, event_id, rec[1], at, (at - rec[0]) / 60.0, miles if near else None, near)]
 
 
 def settle_outcomes(recommendations: DataFrame, pickups: DataFrame, max_miles: float, fallback: bool) -> DataFrame:
@@ -72,7 +74,7 @@ def settle_outcomes(recommendations: DataFrame, pickups: DataFrame, max_miles: f
     cut = with_running(seen, "pair", "at", ["at", "event_id"], {"session_at": ("max", starts)})
     rows = cut.select("user_id", "zone_id", "session_at", "at", "is_pickup", "event_id", "lat", "lng")
     return fold_sorted(
-        rows, ["user_id", "zone_id", "session_at"], ["at", "is_pickup", "event_id"], list,
+        rows, ["user_id", "zone_id", "session_at"], ["at", "is_pickup", "event_id"], deque,
         lambda state, row: _claim(state, row, max_miles, fallback),
         "user_id long, zone_id int, pickup_id long, recommendation_id long, settled_at long, "
         "minutes_to_trip double, distance_miles double, spatial boolean")

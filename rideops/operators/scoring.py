@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rideops.functions.columns import RATING_BOTTOM, RATING_LADDER
 
-MIN_TRIPS = 5
+MIN_TRIPS = 25
 
 # Zones of the Bronx / Washington Heights corridor and the core latitude limit.
 CORRIDOR_ZONE_IDS = (41, 42, 74, 75, 116, 127, 128, 151, 152, 166, 243, 244)
@@ -149,7 +149,7 @@ def with_core_features(df: DataFrame) -> DataFrame:
         return f"case when {CORE_GUARD} then {text} else {neutral}D end"
 
     excess = "greatest(density_now_n - greatest(downstream_n, busy_next_n), 0D)"
-    df = _add(df, {"core_saturation_n": core(_clip("0.55D * churn_pressure_n + 0.45D * churn_pressure_n"))})
+    df = _add(df, {"core_saturation_n": core("churn_pressure_n")})
     return _add(df, {
         "core_discount": core(_clip("1D - 0.14D * core_saturation_n", 0.86, 1.0), 1.0),
         "core_trap_n": core(_clip(f"0.52D * short_trip_n + 0.30D * {_nvl('same_zone_n')} + 0.18D * {excess}")),

@@ -48,6 +48,9 @@ SCOPE_MIX = {
     "brooklyn_mode": (0.80, 0.10, 0.10, 0.0),
 }
 DEFAULT_MIX = (0.70, 0.15, 0.15, 0.0)
+# Highest score of the lower bands, strengths from which a sentence says stronger or weaker.
+LOW_UPTO, NORMAL_UPTO = 34, 64
+STRONGER_FROM, WEAKER_UPTO = 0.65, 0.34
 ROOT = "root"
 
 
@@ -183,21 +186,20 @@ def with_tendency_score(df: DataFrame, bin_minutes: int = 20) -> DataFrame:
     """Score 0-100, band, label, confidence and sentence from the three strengths."""
     df = df.withColumn("score_raw", score_mix(F.col("pickup_strength"), F.col("pay_strength"), F.col("breadth_strength")))
     df = df.withColumn("score", F.least(F.greatest(rounded_even(100 * F.col("score_raw")), F.lit(0.0)), F.lit(100.0)).cast("int"))
-    band = F.when(F.col("score") <= 34, "low").when(F.col("score") <= 64, "normal").otherwise("high")
+    band = F.when(F.col("score") <= LOW_UPTO, "low").when(F.col("score") <= NORMAL_UPTO, "normal").otherwise("high")
     raw4 = rounded_even(F.col("score_raw"), 4)
-    relation = (F.when(raw4 >= 0.65, "stronger than most time blocks in this dataset")
-                .when(raw4 <= 0.34, "weaker than most time blocks in this dataset")
+    relation = (F.when(raw4 >= STRONGER_FROM, "stronger than most time blocks in this dataset")
+                .when(raw4 <= WEAKER_UPTO, "weaker than most time blocks in this dataset")
                 .otherwise("near the middle of this dataset"))
     borough = borough_display(F.col("borough_key"))
     label = times.bin_label(F.col("bin_index"), bin_minutes)
     weekday = F.element_at(F.array(*[F.lit(n) for n in times.WEEKDAYS_LONG]), F.col("weekday") + 1)
     kind = F.col("cohort_type")
-    sentence = (
-        F.when(kind == "borough_weekday_bin", F.concat(F.lit("Typical "), borough, F.lit(" "), weekday, F.lit("s around "), label, F.lit(" are "), relation, F.lit(".")))
-        .when(kind == "borough_bin", F.concat(F.lit("Typical "), borough, F.lit(" time blocks around "), label, F.lit(" are "), relation, F.lit(".")))
-        .when(kind == "borough_baseline", F.concat(F.lit("Typical "), borough, F.lit(" time blocks are "), relation, F.lit(".")))
-        .when(kind == "global_bin", F.concat(F.lit("Typical time blocks around "), label, F.lit(" are "), relation, F.lit(".")))
-        .otherwise(F.concat(F.lit("Typical time blocks in this dataset are "), relation, F.lit("."))))
+    by_borough, by_bin = kind.startswith("borough"), kind.endswith("bin")
+    sentence = F.concat(F.concat_ws(
+        " ", F.lit("Typical"), F.when(by_borough, borough),
+        F.when(kind == "borough_weekday_bin", F.concat(weekday, F.lit("s"))).otherwise("time blocks"),
+        F.when(by_bin, F.concat(F.lit("around "), label)), F.when(~by_borough & ~by_bin, "in this dataset"), F.lit("are"), relation), F.lit("."))
     return df.withColumns({
         "band": band,
         "label": F.initcap(band),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rideops.functions.columns import clip, weighted_average_skip_null, zero_if_null
-from rideops.operators.medians import HOT_GROUP_ROWS, bucketed_medians, hot_groups
+from rideops.operators.medians import bucketed_medians
 
 KEYS = ["zone_id", "bin_local_epoch"]
 MEDIANS = {
@@ -32,32 +32,19 @@ SHARES = {
 STABLE_DIGITS = 9
 
 
-def zone_bin_agg(trips: DataFrame, hot_group_rows: int | None = HOT_GROUP_ROWS,
-                 counts: DataFrame | None = None) -> DataFrame:
+def zone_bin_agg(trips: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Count, four medians and ten shares per pickup zone and bin.
 
-    A count per group decides whether any is above ``hot_group_rows``. If none is, everything is
-    one aggregation; otherwise hot groups take the bucketed medians and the others the plain
-    ones. ``counts`` (:func:`od_counts`) saves the extra narrow scan; ``hot_group_rows=None``
-    skips the check.
+    Counts and shares are sums over ``counts`` (:func:`od_counts`, made here if not given); the
+    medians take one scan of their four columns.
     """
+    counts = od_counts(trips) if counts is None else counts
+    facts = counts.groupBy(*KEYS).agg(F.sum("trips").alias("pickups_now"), *[F.sum(c).alias(c) for c in SHARES.values()])
+    facts = facts.select(*KEYS, "pickups_now", *[(F.col(c) / F.col("pickups_now")).alias(name) for name, c in SHARES.items()])
     trips = trips.withColumn("request_min", F.when(F.col("request_min") >= 0, F.col("request_min")))
-    counts_and_shares = [F.count("*").alias("pickups_now"),
-                         *[F.avg(F.col(c)).alias(name) for name, c in SHARES.items()]]
-    plain = [F.round(F.median(c), STABLE_DIGITS).alias(name) for name, c in MEDIANS.items()]
-    order = [*KEYS, "pickups_now", *MEDIANS, *SHARES]
-    hot = None
-    if hot_group_rows is not None:
-        hot = hot_groups(trips, KEYS, hot_group_rows) if counts is None else (
-            counts.groupBy(*KEYS).agg(F.sum("trips").alias("n")).filter(F.col("n") > hot_group_rows).select(*KEYS))
-    if hot is None or hot.isEmpty():
-        return trips.groupBy(*KEYS).agg(*counts_and_shares, *plain).select(*order)
-    cool = trips.join(hot, KEYS, "left_anti").groupBy(*KEYS).agg(*counts_and_shares, *plain)
-    heavy = trips.join(hot, KEYS, "left_semi")
-    middles = bucketed_medians(heavy, KEYS, list(MEDIANS.values())).select(
+    middles = bucketed_medians(trips, KEYS, list(MEDIANS.values())).select(
         *KEYS, *[F.round(c, STABLE_DIGITS).alias(name) for name, c in MEDIANS.items()])
-    heavy = heavy.groupBy(*KEYS).agg(*counts_and_shares).join(middles, KEYS, "left")
-    return cool.select(*order).unionByName(heavy.select(*order))
+    return facts.join(middles, KEYS, "left").select(*KEYS, "pickups_now", *MEDIANS, *SHARES)
 
 
 def slice_of(epoch: Column, slice_hours: int | None) -> Column:
@@ -96,8 +83,9 @@ def zone_bin_filled(actual: DataFrame, zones: DataFrame, slice_hours: int | None
 
 
 def od_counts(trips: DataFrame) -> DataFrame:
-    """Trips per origin, destination and bin; combines before the shuffle."""
-    return trips.groupBy("zone_id", "drop_zone_id", "bin_local_epoch", "is_network_drop").agg(F.count("*").alias("trips"))
+    """Trips and flagged trips per origin, destination and bin; combines before the shuffle."""
+    return trips.groupBy("zone_id", "drop_zone_id", "bin_local_epoch", "is_network_drop").agg(
+        F.count("*").alias("trips"), *[F.sum(c).alias(c) for c in SHARES.values()])
 
 
 def od_edges(counts: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from rideops.plans.scored import zone_bin_joined, zone_bin_scored
 from rideops.sources import adapters
 from rideops.sources.trips import normalize_trips
 
+#: Support threshold of the score queries: the test tables hold a few trips per zone and bin.
+TEST_MIN_TRIPS = 5
+
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -43,7 +46,7 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir, "scored", lambda: zone_bin_scored(trips(spark, sf_dir), zones(spark, sf_dir)))
+    return shared(spark, sf_dir, "scored", lambda: zone_bin_scored(trips(spark, sf_dir), zones(spark, sf_dir), min_trips=TEST_MIN_TRIPS))
 
 
 def r6(*names: str, digits: int = 6) -> list[Column]:

@@ -5,30 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from rideops.operators import ranks, scoring, trip_features, zone_bins
-from rideops.operators.medians import HOT_GROUP_ROWS
 from rideops.session import cut_lineage
 
 
 def zone_bin_facts(trips: DataFrame, zones: DataFrame, *, bin_minutes: int = 20, slice_hours: int | None = 6,
-                   source_tz: str | None = "UTC", hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+                   source_tz: str | None = "UTC") -> DataFrame:
     """Filled zone-bins from normalised trips."""
     prepared = trip_features.scored_trips(trips, zones, bin_minutes, source_tz)
-    actual = cut_lineage(zone_bins.zone_bin_agg(prepared, hot_group_rows))  # read for the grid and for the facts
+    actual = cut_lineage(zone_bins.zone_bin_agg(prepared))  # read for the grid and for the facts
     return zone_bins.zone_bin_filled(actual, zones, slice_hours)
 
 
 def zone_bin_joined(trips: DataFrame, zones: DataFrame, *, bin_minutes: int = 20, slice_hours: int | None = 6,
-                    edge_lookup: str = "row", source_tz: str | None = "UTC",
-                    hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+                    edge_lookup: str = "row", source_tz: str | None = "UTC") -> DataFrame:
     """Filled zone-bins with flows and densities.
 
-    Trips are scanned twice: narrow for the origin-destination counts, wide for the zone-bin
-    facts. Both results are small next to the trips and read more than once, with different
+    Trips are scanned twice: for the origin-destination counts with their flags, and for the
+    medians. Both results are small next to the trips and read more than once, with different
     columns, so Spark could not reuse their exchanges: they are checkpointed.
     """
     prepared = trip_features.scored_trips(trips, zones, bin_minutes, source_tz)
     counts = cut_lineage(zone_bins.od_counts(prepared))
-    actual = cut_lineage(zone_bins.zone_bin_agg(prepared, hot_group_rows, counts))
+    actual = cut_lineage(zone_bins.zone_bin_agg(prepared, counts))
     filled = zone_bins.zone_bin_filled(actual, zones, slice_hours)
     return zone_bins.with_flows(filled, zone_bins.od_edges(counts), slice_hours, edge_lookup)
 

@@ -135,13 +135,13 @@ def citywide_tiered_score(spark, sf):
 
 def profile_confidence(spark, sf):
     names = (*scoring.V2_WEIGHTS, *scoring.V3_WEIGHTS)
-    return scoring.with_confidence(_raw(spark, sf)).select(
+    return scoring.with_confidence(_raw(spark, sf), common.TEST_MIN_TRIPS).select(
         *KEY, *r6(*[f"confidence_{p}" for p in names], *[f"score_{p}" for p in names]))
 
 
 def trap_candidate_score(spark, sf):
     names = [n for p in scoring.V3_WEIGHTS for n in (f"score_{p}_candidate", f"confidence_{p}_candidate", f"delta_{p}")]
-    return scoring.with_trap_candidates(scoring.with_confidence(_raw(spark, sf))).select(*KEY, *r6(*names))
+    return scoring.with_trap_candidates(scoring.with_confidence(_raw(spark, sf), common.TEST_MIN_TRIPS)).select(*KEY, *r6(*names))
 
 
 def rating_bucket_color(spark, sf):
@@ -156,7 +156,7 @@ def score_components(spark, sf):
 
 def flagship(spark, sf):
     """Trips to scored zone-bins, nothing shared with other queries."""
-    out = zone_bin_scored(common.trips(spark, sf), common.zones(spark, sf))
+    out = zone_bin_scored(common.trips(spark, sf), common.zones(spark, sf), min_trips=common.TEST_MIN_TRIPS)
     return out.select(
         "zone_id", "zone_name", "borough_name", "bin_local_epoch", "pickups_now", "pickups_next",
         *r6(*zb.MEDIANS, *zb.SHARES, "downstream_value_raw", "downstream_coverage", "return_risk", "escape_quality",

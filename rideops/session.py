@@ -22,9 +22,6 @@ def build_session(app: str = "rideops", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Medians per zone and bin: keep hashing beyond the default of 128 groups per task, where
-        # the aggregate would fall back to sorting every trip. Some ten kilobytes per group.
-        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "8192")
         # The scoring plan alone generates more classes than the default cache of 100 holds.
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")

@@ -156,7 +156,7 @@ class GuardProcessor(StatefulProcessor):
             row = tuple(self.state.get())
             for i, f in enumerate(self.FIELDS):
                 setattr(guard, f, row[3 * i:3 * i + 3] if row[3 * i] is not None else None)
-            guard.move_start, guard.last_motion = row[9], row[10]
+            guard.streak = tuple(row[9:11])
         return guard
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -165,7 +165,7 @@ class GuardProcessor(StatefulProcessor):
         for row in _tuples(_sorted(rows, ["at", "kind", "event_id"]), columns):
             out.extend(guard_step(guard, row))
         held = [v for f in self.FIELDS for v in (getattr(guard, f) or (None, None, None))]
-        self.state.update((*held, guard.move_start, guard.last_motion))
+        self.state.update((*held, *guard.streak))
         yield pd.DataFrame(out, columns=[part.split()[0] for part in GUARD_SCHEMA.split(",")])
 
     def close(self) -> None:

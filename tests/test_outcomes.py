@@ -95,9 +95,9 @@ def test_guard_session_break():
     s = g.GuardState()
     s.heartbeat(0, 40.70, -73.98)
     s.heartbeat(60, 40.71, -73.98)
-    assert (s.move_start, s.last_motion) == (0, 60)
+    assert s.streak == (0, 60)
     s.heartbeat(540, 40.71, -73.98)          # a gap of exactly 480 s is no break, but the motion is stale
-    assert s.session_end is None and s.move_start is None
+    assert s.session_end is None and s.streak == (None, None)
     s.heartbeat(1021, 40.71, -73.98)
     assert s.session_end[0] == 540
 

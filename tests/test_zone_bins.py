@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from rideops.operators import ranks, trip_features as tf, zone_bins as zb
+from rideops.operators.medians import bucketed_medians
 from rideops.plans import common, scored
 from rideops.sources.trips import normalize_trips, read_trips
 from tests.conftest import SF
@@ -69,13 +70,19 @@ def test_rank_ties_nulls_and_guard(spark):
     assert [out[z].guard for z in (1, 2, 3, 4)] == [0.5, 0.0, 0.0, 0.0]
 
 
-def test_hot_groups_give_the_same_facts(spark):
+def test_facts_equal_plain_aggregates(spark):
     prepared = common.prepared(spark, SF)
-    plain = zb.zone_bin_agg(prepared, None)
-    split = zb.zone_bin_agg(prepared, 2)
-    assert zb.hot_groups(prepared, zb.KEYS, 2).count() > 0
-    cols = sorted(plain.columns)
-    assert sorted(map(str, plain.select(cols).collect())) == sorted(map(str, split.select(cols).collect()))
+    plain = prepared.withColumn("request_min", F.when(F.col("request_min") >= 0, F.col("request_min"))).groupBy(*zb.KEYS).agg(
+        F.count("*").alias("pickups_now"), *[F.round(F.median(c), 9).alias(n) for n, c in zb.MEDIANS.items()],
+        *[F.avg(c).alias(n) for n, c in zb.SHARES.items()])
+    facts = zb.zone_bin_agg(prepared)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, facts.collect()))
+
+
+def test_medians_of_one_group_with_odd_values(spark):
+    rows = [("a", v) for v in (3.0, -1.0, -0.0, 0.5, 1e308)] + [("b", float("nan")), ("b", 1.0), ("b", 2.0), ("c", None), ("d", 4.0), ("d", None), ("d", 5.0)]
+    got = {r.k: r.v for r in bucketed_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], ["v"]).collect()}
+    assert got == {"a": 0.5, "b": 2.0, "d": 4.5}  # NaN sorts last; a group without values has no row
 
 
 def test_next_bin_stays_in_the_slice(spark):
