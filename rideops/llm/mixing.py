@@ -13,6 +13,9 @@ from rideops.session import cut_lineage
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
 #: Hexadecimal digits of the sampling key that name a bucket: 4096 buckets for each source.
 BUCKET_DIGITS = 3
+#: A plan is broadcast up to this size: its source names and a fixed part for each row. Above it,
+#: the plan is repeated for this many salts.
+BROADCAST_BYTES, PLAN_ROW_BYTES, SALTS = 32 << 20, 64, 32
 
 
 def word_count(text: str = "text") -> Column:
@@ -93,14 +96,23 @@ def mixing_plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs:
                     F.coalesce("l.last_key", F.lit("g")).alias("last_key")))
 
 
-def with_copies(docs: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
+def with_copies(docs: DataFrame, plan: DataFrame, seed: str = SEED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add the plan's columns and ``copies``, how often the mix takes each document.
 
-    The plan has one row per source; Spark broadcasts it while it is small and otherwise splits
-    the skewed side of the join.
+    The plan has one row per source. It is broadcast after its size has been measured, so that no
+    text is shuffled. A plan above ``broadcast_bytes`` is repeated once per salt, and documents
+    meet it by source and salt, so that the rows of one source are spread over tasks.
     """
+    plan = cut_lineage(plan)
+    measured = plan.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + PLAN_ROW_BYTES), F.lit(0))).first()[0]
+    same = F.col("_d.source").eqNullSafe(F.col("_p.source"))
+    if measured <= broadcast_bytes:
+        plan = F.broadcast(plan)
+    else:
+        plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same &= F.pmod(F.xxhash64("_d.doc_id"), F.lit(SALTS)) == F.col("_p._salt")
     once_more = sampling_key(seed=seed) <= F.col("_p.last_key")
-    return (docs.alias("_d").join(plan.alias("_p"), F.col("_d.source").eqNullSafe(F.col("_p.source")), "left")
+    return (docs.alias("_d").join(plan.alias("_p"), same, "left")
             .select("_d.*", F.col("_p.source_size"), F.col("_p.target"), (F.col("_p.whole") + once_more.cast("long")).alias("copies")))
 
 

@@ -79,6 +79,10 @@ def test_mixing(spark, rows, docs, empty):
     assert mixing.mix(empty).count() == 0
     only = spark.createDataFrame([(1, None, None, None, None), (2, "", None, "a", None)], brute.DOCS)
     assert [(r.size, r.target, r.taken) for r in mixing.mix(only).collect()] == [(0, 0.0, 0)] * 2
+    sized = docs.select("doc_id", "source", mixing.word_count().alias("size")).withColumn("_salt", F.lit("x"))
+    plan = mixing.mixing_plan(sized)
+    small, large = (mixing.with_copies(sized, plan, broadcast_bytes=limit) for limit in (1 << 20, 0))
+    assert not small.exceptAll(large).count() and small.count() == large.count() == len(rows)
 
 
 def test_near_vectors(spark):
