@@ -202,6 +202,32 @@ def test_large_nodes_and_blocks_give_the_same(spark, rows, docs, monkeypatch):
     assert got == brute.near_duplicates(texts_of(rows), 2)
 
 
+def test_loose_cluster_meets_in_bounded_cells(spark, monkeypatch):
+    """Documents of similarity about 0.7 to each other chain into one cluster with tiny components."""
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(80)]
+    texts = []
+    for i in range(150):
+        own = base[:66] + [f"u{i}x{j}" for j in range(14)]
+        texts += [own] if i % 3 else [own, own[:-1] + [f"v{i}"]]
+    order = rng.permutation(len(texts))
+    texts = {int(k): " ".join(texts[i]) for k, i in enumerate(order)}
+    limit, whole = 1600, chosen_path.full_set_links
+
+    def bounded(texts, words, percent, first=None):
+        size = sum(len(t.split()) for t in texts)
+        if size > 4 * limit:
+            raise AssertionError(f"one group holds {size} words")
+        return whole(texts, words, percent, first)
+
+    monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", limit)
+    monkeypatch.setattr(chosen_path, "PIVOTS", 2)
+    monkeypatch.setattr(chosen_path, "full_set_links", bounded)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosen_path.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 2).collect()}
+    want = brute.near_duplicates(texts, 2)
+    assert got == want and len({c for _, c in want.values()}) == 150
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
