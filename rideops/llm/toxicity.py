@@ -19,9 +19,11 @@ from rideops.llm.common import WordHasher, fold_of, mixed, runs_of, text_bytes
 from rideops.session import cut_lineage
 
 #: Expected number of labelled documents used (one part in five of them calibrates), discount of the
-#: models, words of a window, bytes of a stem. The discount is above the usual 0.75 so that words seen by chance in a few
+#: models, words of the windows, bytes of a stem. The discount is above the usual 0.75 so that words seen by chance in a few
 #: documents of the smaller class rest on the shared counts.
-TRAIN_ROWS, DISCOUNT, WINDOW, STEM = 16_000, 3.0, 1, 4
+TRAIN_ROWS, DISCOUNT, WINDOWS, STEM = 16_000, 3.0, (1, 5, 20, 80), 4
+#: Features of a text: the greatest mean of each window, the mean of all words, the logarithm of their number.
+FEATURES = len(WINDOWS) + 2
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, worst_passage double, mean_log_ratio double"
 
 #: A-Z lowered, ASCII punctuation as space.
@@ -111,18 +113,23 @@ class Model:
         return np.where(known, value, back)
 
     def features(self, hasher: WordHasher, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per document: greatest mean ratio of any window of words, and the mean of all words."""
+        """Per document: greatest mean ratio over the windows of each length, mean of all words, log(1 + words).
+
+        A text shorter than a window is one window.
+        """
         h, before, stem, first = _words(hasher, data, offsets)
-        size, out = np.diff(first), np.zeros((len(first) - 1, 2))
+        size, out = np.diff(first), np.zeros((len(first) - 1, FEATURES))
         total = np.append(0.0, np.cumsum(self.ratios(h, before, stem), dtype=np.float64))
         some = size > 0
-        out[some, 1] = (total[first[1:]] - total[first[:-1]])[some] / size[some]
-        out[:, 0] = out[:, 1]
-        long = np.flatnonzero(size > WINDOW)
-        if len(long):
-            means = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
-            cuts = np.stack([first[long], first[long + 1] - WINDOW + 1], 1).ravel()
-            out[long, 0] = np.maximum.reduceat(np.append(means, -np.inf), cuts)[::2]
+        out[some, -2] = (total[first[1:]] - total[first[:-1]])[some] / size[some]
+        out[:, -1] = np.log1p(size)
+        for k, window in enumerate(WINDOWS):
+            out[:, k] = out[:, -2]
+            long = np.flatnonzero(size > window)
+            if len(long):
+                means = (total[window:] - total[:-window]) / window
+                cuts = np.stack([first[long], first[long + 1] - window + 1], 1).ravel()
+                out[long, k] = np.maximum.reduceat(np.append(means, -np.inf), cuts)[::2]
         return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
@@ -143,18 +150,36 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Intercept and weights of the features.
+
+    The greatest of more windows is greater by chance, so each window counts by what it exceeds the
+    line that ordinary texts of its length follow; the length itself is no evidence.
+    """
+    level = np.column_stack([np.ones(len(x)), x[:, -1]])
+    lines = np.linalg.lstsq(level[y == 0], x[y == 0, :-2], rcond=None)[0] if (y == 0).any() else np.zeros((2, len(WINDOWS)))
+    w = _logistic(np.column_stack([x[:, :-2] - level @ lines, x[:, -2]]), y)
+    base, length = -(lines @ w[1:-1])
+    return np.concatenate([[w[0] + base], w[1:], [length]])
+
+
+def _worst(x: np.ndarray) -> np.ndarray:
+    """Greatest mean ratio of a passage: a window of more than one word, or the whole shorter text."""
+    return x[:, 1:len(WINDOWS)].max(1)
+
+
 def _features(rows: DataFrame, model: Model) -> DataFrame:
-    """(toxic, x0, x1) of labelled texts."""
+    """(toxic, x) of labelled texts."""
     shared = rows.sparkSession.sparkContext.broadcast(model.plain())
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, fitted = WordHasher(), Model.of(shared.value)
         for batch in batches:
             data, at = text_bytes(batch.column(1))
-            x = np.concatenate([fitted.features(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]) for lo, hi in runs_of(at)] or [np.zeros((0, 2))])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "x0", "x1"])
+            x = np.concatenate([fitted.features(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]) for lo, hi in runs_of(at)] or [np.zeros((0, FEATURES))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    return rows.select("toxic", "text").mapInArrow(convert, "toxic int, x0 double, x1 double")
+    return rows.select("toxic", "text").mapInArrow(convert, "toxic int, x array<double>")
 
 
 def drawn_labels(labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
@@ -185,7 +210,7 @@ def train(rows: DataFrame) -> Model:
     labels = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not all_words.t or not all_words.o:
         empty, prior = _Table(np.zeros(0, np.uint64), np.zeros(0), 0.0), (labels.get(1, 0) + 1) / (sum(labels.values()) + 2)
-        return Model(empty, empty, empty, empty, np.array([np.log(prior / (1 - prior)), 0.0, 0.0]))
+        return Model(empty, empty, empty, empty, np.append(np.log(prior / (1 - prior)), np.zeros(FEATURES)))
     often = (F.col("t") > DISCOUNT) | (F.col("o") > DISCOUNT)
     z, v, b = (t.where(often).toPandas() for t in (stems, contexts, pairs))
     w = words.where(often).join(stems.select("s", F.col("t").alias("stem_t"), F.col("o").alias("stem_o"), F.col("cont").alias("stem_cont")), "s").toPandas()
@@ -215,9 +240,9 @@ def train(rows: DataFrame) -> Model:
         _Table(hashes(z, "s"), np.log(of_stem(z, "t", "") / of_stem(z, "o", "")), unseen(all_stems)),
         _Table(hashes(w, "w"), np.log(p["t"] / p["o"]), unseen(all_words)),
         _Table(hashes(v, "v"), np.log(gamma["t"] / gamma["o"]), 0.0),
-        _Table(_pair(hashes(b, "v"), hashes(b, "w")), np.log(q["t"] / q["o"]), 0.0), np.zeros(3))
+        _Table(_pair(hashes(b, "v"), hashes(b, "w")), np.log(q["t"] / q["o"]), 0.0), np.zeros(FEATURES + 1))
     check = _features(sample.where("part = 0"), model).toPandas()
-    model.weights = _logistic(check[["x0", "x1"]].to_numpy(float), check["toxic"].to_numpy(float))
+    model.weights = _calibrated(np.array(check["x"].tolist(), float).reshape(-1, FEATURES), check["toxic"].to_numpy(float))
     return model
 
 
@@ -225,7 +250,8 @@ def toxicity_columns(docs: DataFrame, model: Model, held_out: Column) -> DataFra
     """Score each whole text, without a shuffle: one row per input row.
 
     A text's log-likelihoods under both models are compared per word: over the whole text and in
-    its worst window of words. Null and empty texts have ratio 0 and the calibration's score for
+    its worst windows of 1, 5, 20 and 80 words, set off against what ordinary texts of that length
+    reach by chance. Null and empty texts have ratio 0 and the calibration's score for
     it. Repeated rows stay. Memory holds about two megabytes of text, or the longest single text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
@@ -234,10 +260,10 @@ def toxicity_columns(docs: DataFrame, model: Model, held_out: Column) -> DataFra
         hasher, fitted = WordHasher(), Model.of(shared.value)
         for batch in batches:
             data, at = text_bytes(batch.column(2))
-            x = np.concatenate([fitted.features(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]) for lo, hi in runs_of(at)] or [np.zeros((0, 2))])
+            x = np.concatenate([fitted.features(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]) for lo, hi in runs_of(at)] or [np.zeros((0, FEATURES))])
             score = fitted.scores(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])],
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(_worst(x)), pa.array(x[:, -2])],
                 names=["doc_id", "held_out", "score", "predicted", "worst_passage", "mean_log_ratio"])
 
     return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(convert, SCHEMA)

@@ -172,6 +172,28 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxic_passages_of_mild_words():
+    """A passage counts though none of its words stands out; a long ordinary text does not drift upward."""
+    hasher, rng = toxicity.WordHasher(), np.random.default_rng(8)
+
+    def words(texts):
+        raw = [" ".join(t).encode() for t in texts]
+        return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+
+    known = [f"w{i}" for i in range(200)]
+    ratio = np.where(np.arange(200) < 40, 0.5, -0.125)
+    empty = toxicity._Table(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    table = toxicity._Table(toxicity._words(hasher, *words([known]))[0], ratio, 0.0)
+    model = toxicity.Model(empty, table, empty, empty, None)
+    texts = [list(rng.choice(known, n)) for n in rng.integers(300, 6000, 300)]
+    y = np.arange(300) % 2
+    passages = [t[:100] + list(rng.choice(known[:40], 20)) + t[100:] if foul else t for t, foul in zip(texts, y)]
+    x = model.features(hasher, *words(passages))
+    half = np.arange(300) < 150
+    model.weights = toxicity._calibrated(x[half], y[half].astype(float)) if hasattr(toxicity, "_calibrated") else toxicity._logistic(x[half], y[half].astype(float))
+    assert ((model.scores(x[~half]) >= 0.5) == (y[~half] == 1)).mean() > 0.97
+
+
 def test_quality(spark, empty):
     docs, labels = _labelled(spark, " ".join, lambda w: " | ".join(w[:3] * 12).upper(), "quality")
     out = quality.quality(docs.withColumn("quality", F.lit("x")), labels).toPandas()
