@@ -11,19 +11,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from rideops.llm.common import WordHasher, fold_of, mixed, runs_of, text_bytes
 from rideops.session import cut_lineage
 
-#: Expected number of labelled documents used (one part in five of them calibrates), discount of the
+#: One part in five of so many labelled documents calibrates (all others are counted), discount of the
 #: models, words of the windows, bytes of a stem. The discount is above the usual 0.75 so that words seen by chance in a few
 #: documents of the smaller class rest on the shared counts.
 TRAIN_ROWS, DISCOUNT, WINDOWS, STEM = 16_000, 3.0, (1, 5, 20, 80), 4
 #: Features of a text: the greatest mean of each window, the mean of all words, the logarithm of their number.
 FEATURES = len(WINDOWS) + 2
+#: Entries of a model's shard, and shards that a worker keeps in memory; of more it holds one at a time.
+SHARD, KEPT = 2_000_000, 6
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, worst_passage double, mean_log_ratio double"
 
 #: A-Z lowered, ASCII punctuation as space.
@@ -48,43 +52,71 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(v * np.uint64(0x9FB21C651E98DF25) + w)
 
 
+@F.pandas_udf(LongType())
+def _pair_column(v: pd.Series, w: pd.Series) -> pd.Series:
+    return pd.Series(_pair(v.to_numpy(np.int64).view(np.uint64), w.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, previous word, word, its stem, count), summed within a run of texts."""
+    """(previous word, word, stem, n), summed within a run; n is the count in toxic texts * 2^32 + that in ordinary ones, 0 without a label.
+
+    The stem stands in one row of each word and is null in the others, to be shuffled once.
+    """
     hasher = WordHasher()
     for batch in batches:
-        toxic = np.array(batch.column(0).to_pylist(), np.int64)
+        toxic = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
         data, at = text_bytes(batch.column(1))
         for lo, hi in runs_of(at):
             h, before, stem, first = _words(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
             label = np.repeat(toxic[lo:hi], np.diff(first))
-            rows = np.stack([label.astype(np.uint64), before, h, stem])
-            order = np.lexsort(rows)
-            rows = rows[:, order]
-            new = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))) if rows.shape[1] else np.zeros(0, int)
-            n = np.diff(np.append(new, rows.shape[1]))
+            _, new, place = np.unique(_pair(before, h), return_index=True, return_inverse=True)
+            t, o = (np.bincount(place[label == c], minlength=len(new)).astype(np.int64) for c in (1, 0))
+            other = np.ones(len(new), bool)
+            other[np.unique(h[new], return_index=True)[1]] = False
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0, new].astype(np.int32)), *(pa.array(rows[i, new].view(np.int64)) for i in (1, 2, 3)), pa.array(n)],
-                names=["toxic", "v", "w", "s", "n"])
+                [*(pa.array(x[new].view(np.int64)) for x in (before, h)), pa.array(stem[new].view(np.int64), mask=other), pa.array((t << 32) + o)],
+                names=["v", "w", "s", "n"])
 
 
 class _Table:
-    """Sorted hashes with a value each and a default for the rest."""
+    """Hashes with a value each and a default for the rest.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, default: float) -> None:
-        order = np.argsort(keys)
-        self.keys, self.values, self.default = keys[order], values[order].astype(np.float32), default
+    ``shards``: the entries by hash modulo their number, each shard (sorted hashes, values) or a
+    broadcast of that; a shard that is not ``kept`` is let go after each look-up.
+    """
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), self.default, np.float32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], np.float32(self.default))
+    def __init__(self, shards: list, default: float, kept: bool = True) -> None:
+        self.shards, self.default, self.kept = shards, default, kept
 
     def has(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, self.values[at]
+        known, value = np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+        for i, shard in enumerate(self.shards):
+            mine = np.flatnonzero(keys.view(np.int64) % len(self.shards) == i) if len(self.shards) > 1 else np.arange(len(keys))
+            k, v = shard if isinstance(shard, tuple) else shard.value
+            if len(k) and len(mine):
+                at = np.minimum(np.searchsorted(k, keys[mine]), len(k) - 1)
+                hit = k[at] == keys[mine]
+                known[mine[hit]], value[mine[hit]] = True, v[at[hit]]
+            if not self.kept and not isinstance(shard, tuple):
+                shard.__dict__.pop("_value", None)
+        return known, value
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        known, value = self.has(keys)
+        return np.where(known, value, np.float32(self.default))
+
+
+def _table(entries: DataFrame, default: float) -> _Table:
+    """A table of (key, value) rows. The driver holds one shard at a time."""
+    spark = entries.sparkSession
+    entries = cut_lineage(entries.select(F.col("key").cast("long").alias("key"), F.col("value").cast("float").alias("value")))
+    n, out = max(-(-entries.count() // SHARD), 1), []
+    for i in range(n):
+        shard = entries.where(F.pmod("key", F.lit(n)) == i).toPandas()
+        keys = shard["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        out.append(spark.sparkContext.broadcast((keys[order], shard["value"].to_numpy(np.float32)[order])))
+    return _Table(out, default)
 
 
 @dataclass
@@ -98,12 +130,17 @@ class Model:
     weights: np.ndarray
 
     def plain(self) -> tuple:
-        """What a broadcast carries: arrays and numbers, no class of this library."""
-        return tuple((t.keys, t.values, t.default) for t in (self.stem, self.word, self.context, self.bigram)), self.weights
+        """What a task carries: broadcasts and numbers, no class of this library."""
+        return tuple((t.shards, t.default) for t in (self.stem, self.word, self.context, self.bigram)), self.weights
 
     @staticmethod
     def of(plain: tuple) -> Model:
-        return Model(*(_Table(*t) for t in plain[0]), plain[1])
+        kept = sum(len(shards) for shards, _ in plain[0]) <= KEPT
+        return Model(*(_Table(*t, kept) for t in plain[0]), plain[1])
+
+    def run_bytes(self) -> int:
+        """Text of a run: more when shards are loaded for each."""
+        return 1 << 21 if self.word.kept else 1 << 23
 
     def ratios(self, h: np.ndarray, before: np.ndarray, stem: np.ndarray) -> np.ndarray:
         """log p(word | previous word, toxic) - log p(word | previous word, ordinary)."""
@@ -170,78 +207,91 @@ def _worst(x: np.ndarray) -> np.ndarray:
 
 def _features(rows: DataFrame, model: Model) -> DataFrame:
     """(toxic, x) of labelled texts."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.plain())
+    plain = model.plain()
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, fitted = WordHasher(), Model.of(shared.value)
+        hasher, fitted = WordHasher(), Model.of(plain)
         for batch in batches:
             data, at = text_bytes(batch.column(1))
-            x = np.concatenate([fitted.features(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]) for lo, hi in runs_of(at)] or [np.zeros((0, FEATURES))])
+            x = np.concatenate([fitted.features(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]) for lo, hi in runs_of(at, fitted.run_bytes())] or [np.zeros((0, FEATURES))])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     return rows.select("toxic", "text").mapInArrow(convert, "toxic int, x array<double>")
 
 
-def drawn_labels(labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, toxic) of about ``bound`` labelled ids, drawn by a hash of the id; the greater of several labels counts."""
+def known_labels(labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, toxic, calibrate) of all labelled ids; the greater of several labels counts.
+
+    About a fifth of ``bound`` ids at most, drawn by a hash of the id, calibrate.
+    """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, bound / max(known.count(), 1))
-    drawn = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1 << 20))
-    return known.where(drawn < F.lit(int(share * (1 << 20))))
+    share = min(1.0, bound / max(known.count(), 1)) / 5
+    drawn = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(1 << 20))
+    return known.withColumn("calibrate", drawn < F.lit(int(share * (1 << 20))))
+
+
+def _smoothed(count: Column, whole: Column, low: Column, base: Column) -> Column:
+    return (F.greatest(count - DISCOUNT, F.lit(0.0)) + low * base) / whole
 
 
 def train(rows: DataFrame) -> Model:
-    """Fit on a bounded sample of (doc_id, text, toxic) rows, one part in five of it for calibration.
+    """Fit on all (doc_id, text, toxic, calibrate) rows; ``toxic`` is null for texts without a label.
 
-    Counts are made in Spark. The driver gets words, contexts and bigrams seen more often than the
-    discount, of which the bounded sample has a bounded number, and the calibration's features.
+    Class counts are those of all labelled texts that do not calibrate, shared counts those of all
+    other texts too. Counts, probabilities and ratios are made in Spark. Entries not above the
+    discount in either class equal their backoff, so the tables without them are exact; they are
+    broadcast in shards of bounded size, as many as it takes.
     """
-    part = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(5))
-    sample = cut_lineage(rows.select("toxic", "text", part.alias("part")))
-    grams = sample.where("part <> 0").select("toxic", "text").mapInArrow(_bigrams, "toxic int, v long, w long, s long, n long")
-    sums = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(n) for c, n in ((1, "t"), (0, "o"))]
+    counted = rows.where(~F.coalesce("calibrate", F.lit(False)))
+    grams = counted.select("toxic", "text").mapInArrow(_bigrams, "v long, w long, s long, n long")
     low = [F.sum(F.least(F.col(n), F.lit(DISCOUNT))).alias(f"low_{n}") for n in "to"]
     both = [F.sum(n).alias(n) for n in "to"]
-    pairs = cut_lineage(grams.groupBy("v", "w", "s").agg(*sums))
-    words = cut_lineage(pairs.groupBy("w", "s").agg(*both, F.count("*").alias("cont")))
-    stems = words.groupBy("s").agg(*both, F.sum("cont").alias("cont"))
-    contexts = pairs.groupBy("v").agg(*both, *low)
+    often = (F.col("t") > DISCOUNT) | (F.col("o") > DISCOUNT)
+    pairs = grams.groupBy("v", "w").agg(F.max("s").alias("s"), F.sum("n").alias("n"))
+    pairs = pairs.select("v", "w", "s", F.shiftright("n", 32).alias("t"), F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("o"))
+
+    def row(kind: int, first: str, second: Column, s: Column, cont: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(first).alias("v"), second.cast("long").alias("w"), s.cast("long").alias("s"), F.lit(cont).cast("long").alias("cont"))
+
+    # One pass over the distinct pairs, which are not kept: words, contexts, and pairs above the discount.
+    none = F.lit(None)
+    kinds = F.array_compact(F.array(row(0, "w", F.lit(0), F.col("s"), 1), row(1, "v", F.lit(0), none, 0), F.when(often, row(2, "v", F.col("w"), none, 0))))
+    sums = pairs.select("t", "o", F.explode(kinds).alias("k")).select("k.*", "t", "o").groupBy("kind", "v", "w").agg(F.max("s").alias("s"), F.sum("cont").alias("cont"), *both, *low)
+    sums = cut_lineage(sums)
+    words = sums.where("kind = 0").select(F.col("v").alias("w"), "s", "t", "o", "cont")
+    contexts = sums.where("kind = 1").select("v", "t", "o", "low_t", "low_o")
+    pairs = sums.where("kind = 2").select("v", "w", "t", "o")
+    stems = cut_lineage(words.groupBy("s").agg(*both, F.sum("cont").alias("cont")))
     all_words, all_stems = (t.agg(*both, *low, F.sum("cont").alias("cont")).first() for t in (words, stems))
-    labels = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not all_words.t or not all_words.o:
-        empty, prior = _Table(np.zeros(0, np.uint64), np.zeros(0), 0.0), (labels.get(1, 0) + 1) / (sum(labels.values()) + 2)
+        labels = {r[0]: r[1] for r in rows.where(F.col("toxic").isNotNull()).groupBy("toxic").count().collect()}
+        empty, prior = _Table([], 0.0), (labels.get(1, 0) + 1) / (sum(labels.values()) + 2)
         return Model(empty, empty, empty, empty, np.append(np.log(prior / (1 - prior)), np.zeros(FEATURES)))
-    often = (F.col("t") > DISCOUNT) | (F.col("o") > DISCOUNT)
-    z, v, b = (t.where(often).toPandas() for t in (stems, contexts, pairs))
-    w = words.where(often).join(stems.select("s", F.col("t").alias("stem_t"), F.col("o").alias("stem_o"), F.col("cont").alias("stem_cont")), "s").toPandas()
-
-    def hashes(frame, name: str) -> np.ndarray:
-        return frame[name].to_numpy(np.int64).view(np.uint64)
-
-    def place(frame, name: str, keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(hashes(frame, name))
-        return order[np.searchsorted(hashes(frame, name)[order], keys)]
 
-    def smoothed(count, whole, low_mass, base) -> np.ndarray:
-        return (np.maximum(count - DISCOUNT, 0) / whole + low_mass / whole * base).to_numpy(float)
+    def smoothed(c: str, total, base: Column) -> Column:
+        return _smoothed(F.col(c), F.lit(float(total[c])), F.lit(float(total[f"low_{c}"])), base)
 
-    def of_stem(frame, c: str, prefix: str) -> np.ndarray:
-        return smoothed(frame[prefix + c], all_stems[c], all_stems[f"low_{c}"], frame[prefix + "cont"] / all_stems.cont)
+    def ratio(prefix: str) -> Column:
+        return F.log(F.col(f"{prefix}t") / F.col(f"{prefix}o")).alias("value")
 
-    p = {c: smoothed(w[c], all_words[c], all_words[f"low_{c}"], of_stem(w, c, "stem_") * w["cont"] / w["stem_cont"]) for c in "to"}
-    gamma = {c: np.where(v[c] > 0, v[f"low_{c}"] / np.maximum(v[c], 1), 1.0) for c in "to"}
-    i, j = place(w, "w", hashes(b, "w")), place(v, "v", hashes(b, "v"))
-    q = {c: np.maximum(b[c] - DISCOUNT, 0).to_numpy(float) / np.maximum(v[c].to_numpy(float)[j], 1) + gamma[c][j] * p[c][i] for c in "to"}
+    z = stems.select("s", "t", "o", F.col("cont").alias("stem_cont"), *(smoothed(c, all_stems, F.col("cont") / F.lit(float(all_stems.cont))).alias(f"f_{c}") for c in "to"))
+    w = words.where(often).join(z.select("s", "stem_cont", "f_t", "f_o"), "s")
+    w = cut_lineage(w.select("w", *(smoothed(c, all_words, F.col(f"f_{c}") * F.col("cont") / F.col("stem_cont")).alias(f"p_{c}") for c in "to")))
+    gamma = [F.when(F.col(c) > 0, F.col(f"low_{c}") / F.col(c)).otherwise(1.0).alias(f"g_{c}") for c in "to"]
+    v = cut_lineage(contexts.where(often).select("v", *(F.greatest(F.col(c), F.lit(1)).alias(f"v_{c}") for c in "to"), *gamma))
+    b = pairs.join(w, "w").join(v, "v")
+    b = b.select(_pair_column("v", "w").alias("key"), *(
+        (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"v_{c}") + F.col(f"g_{c}") * F.col(f"p_{c}")).alias(f"q_{c}") for c in "to"))
 
     def unseen(total) -> float:
         return float(np.log((total.low_t / total.t) / (total.low_o / total.o)))
 
     model = Model(
-        _Table(hashes(z, "s"), np.log(of_stem(z, "t", "") / of_stem(z, "o", "")), unseen(all_stems)),
-        _Table(hashes(w, "w"), np.log(p["t"] / p["o"]), unseen(all_words)),
-        _Table(hashes(v, "v"), np.log(gamma["t"] / gamma["o"]), 0.0),
-        _Table(_pair(hashes(b, "v"), hashes(b, "w")), np.log(q["t"] / q["o"]), 0.0), np.zeros(FEATURES + 1))
-    check = _features(sample.where("part = 0"), model).toPandas()
+        _table(z.where(often).select(F.col("s").alias("key"), ratio("f_")), unseen(all_stems)),
+        _table(w.select(F.col("w").alias("key"), ratio("p_")), unseen(all_words)),
+        _table(v.select(F.col("v").alias("key"), ratio("g_")), 0.0),
+        _table(b.select("key", ratio("q_")), 0.0), np.zeros(FEATURES + 1))
+    check = _features(rows.where("calibrate"), model).toPandas()
     model.weights = _calibrated(np.array(check["x"].tolist(), float).reshape(-1, FEATURES), check["toxic"].to_numpy(float))
     return model
 
@@ -254,13 +304,13 @@ def toxicity_columns(docs: DataFrame, model: Model, held_out: Column) -> DataFra
     reach by chance. Null and empty texts have ratio 0 and the calibration's score for
     it. Repeated rows stay. Memory holds about two megabytes of text, or the longest single text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
+    plain = model.plain()
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, fitted = WordHasher(), Model.of(shared.value)
+        hasher, fitted = WordHasher(), Model.of(plain)
         for batch in batches:
             data, at = text_bytes(batch.column(2))
-            x = np.concatenate([fitted.features(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]) for lo, hi in runs_of(at)] or [np.zeros((0, FEATURES))])
+            x = np.concatenate([fitted.features(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]) for lo, hi in runs_of(at, fitted.run_bytes())] or [np.zeros((0, FEATURES))])
             score = fitted.scores(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(_worst(x)), pa.array(x[:, -2])],
@@ -270,11 +320,10 @@ def toxicity_columns(docs: DataFrame, model: Model, held_out: Column) -> DataFra
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on labelled documents whose fold of five is not 0, score all.
+    """Train on documents whose fold of five is not 0, with all their labels, and score all.
 
-    The drawn labels, about ``TRAIN_ROWS`` pairs of numbers at any size, are broadcast, so that no
-    text is shuffled.
+    Labels are a few bytes a row; Spark broadcasts them while they are small.
     """
-    held_out = fold_of("doc_id", 5) == 0
-    drawn = drawn_labels(labels.where(fold_of("doc_id", 5) != 0))
-    return toxicity_columns(docs, train(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")), held_out)
+    other = fold_of("doc_id", 5) != 0
+    known = known_labels(labels.where(other))
+    return toxicity_columns(docs, train(docs.where(other).select("doc_id", "text").join(known, "doc_id", "left")), ~other)

@@ -182,8 +182,9 @@ def test_toxic_passages_of_mild_words():
 
     known = [f"w{i}" for i in range(200)]
     ratio = np.where(np.arange(200) < 40, 0.5, -0.125)
-    empty = toxicity._Table(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    table = toxicity._Table(toxicity._words(hasher, *words([known]))[0], ratio, 0.0)
+    empty, h = toxicity._Table([], 0.0), toxicity._words(hasher, *words([known]))[0]
+    order = np.argsort(h)
+    table = toxicity._Table([(h[order], ratio[order].astype(np.float32))], 0.0)
     model = toxicity.Model(empty, table, empty, empty, None)
     texts = [list(rng.choice(known, n)) for n in rng.integers(300, 6000, 300)]
     y = np.arange(300) % 2
@@ -194,6 +195,23 @@ def test_toxic_passages_of_mild_words():
     assert ((model.scores(x[~half]) >= 0.5) == (y[~half] == 1)).mean() > 0.97
 
 
+def test_toxicity_counts_every_labelled_text(spark, monkeypatch):
+    """A tiny bound leaves the calibration small, never the counts; a sharded model scores the same."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 300)
+    monkeypatch.setattr(toxicity.known_labels if hasattr(toxicity, "known_labels") else toxicity.drawn_labels, "__defaults__", (300,))
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list("abcdefghi"), 6)) for _ in range(300)]
+    foul = ["".join(rng.choice(list("pqrstuvw"), 6)) for _ in range(150)]
+    rows = [(i, " ".join([*rng.choice(plain, 30), *([foul[i // 2 % 150]] * (i % 2))]), None, None, None) for i in range(3000)]
+    docs, labels = spark.createDataFrame(rows, brute.DOCS), spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels).toPandas().set_index("doc_id")
+    held = out[out.held_out]
+    assert (held.predicted == held.index % 2).mean() > 0.97
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    sharded = toxicity.toxicity(docs, labels).toPandas().set_index("doc_id")
+    assert np.allclose(out.score, sharded.score.loc[out.index], atol=1e-6)
+
+
 def test_quality(spark, empty):
     docs, labels = _labelled(spark, " ".join, lambda w: " | ".join(w[:3] * 12).upper(), "quality")
     out = quality.quality(docs.withColumn("quality", F.lit("x")), labels).toPandas()
