@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,29 @@ KNOWN = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+#: Identifiers whose ``SPDX-License-Identifier`` line is a notice.
+SPDX = tuple((
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 "
+    "CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 "
+    "EUPL-1.1 EUPL-1.2 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later "
+    "ISC LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 "
+    "MPL-2.0 MS-PL MS-RL NCSA OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 Unlicense UPL-1.0 WTFPL Zlib").split())
+_GNU = ("This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free "
+        "Software Foundation; either version {version} of the License, or (at your option) any later version.")
+#: Header notices as published, each a paragraph however it is wrapped or set as a comment; all hold the word license.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+                   "You may obtain a copy of the License at"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+                "this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+                "this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *((f"{short}-{version}.0-or-later" if "." not in version else f"{short}-{version}-or-later",
+       _GNU.format(what=what, name=name, version=version))
+      for short, name, versions in (("GPL", "General Public License", ("2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")),
+                                    ("LGPL", "Library General Public License", ("2",)), ("AGPL", "Affero General Public License", ("3",)))
+      for version in versions for what in ("program", "library", "file")),
+)
 SPELLINGS = (("licence", "license"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"),
              ("authorisation", "authorization"), ("merchantibility", "merchantability"), ("non-commercial", "noncommercial"),
              ("sub-license", "sublicense"), ("per cent", "percent"))
@@ -61,13 +86,32 @@ COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright (?:\(c\)|©|[0-9])|\(c\) ?[
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
-def canonical_lines(text: Column) -> Column:
-    """Lines in lower case without copyright lines, with one spelling and words parted by one space."""
+def _all_lines(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     for other, one in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(one))
-    lines = F.transform(F.split(F.regexp_replace(out, NOT_WORD, " "), "\n"), lambda line: F.trim(line))
-    return F.filter(lines, lambda line: line != "")
+    return F.transform(F.split(F.regexp_replace(out, NOT_WORD, " "), "\n"), lambda line: F.trim(line))
+
+
+def canonical_lines(text: Column) -> Column:
+    """Lines in lower case without copyright lines, with one spelling and words parted by one space."""
+    return F.filter(_all_lines(text), lambda line: line != "")
+
+
+def canonical_paragraphs(text: Column) -> Column:
+    """Canonical lines between lines without a word, joined by a space."""
+    parts = F.split(F.array_join(_all_lines(text), "\n"), "\n\n+")
+    return F.transform(parts, lambda part: F.trim(F.replace(part, F.lit("\n"), F.lit(" "))))
+
+
+def published() -> tuple[tuple[str, str], ...]:
+    """``KNOWN``, the full texts of ``license_texts``, also without what follows their terms, and SPDX identifier lines."""
+    out = list(KNOWN)
+    for file in sorted((pathlib.Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        terms, end, more = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(file.stem, text)] + ([(file.stem, terms + end), (file.stem, terms)] if more.strip() else [])
+    return (*out, *((i, f"SPDX-License-Identifier: {i}") for i in SPDX))
 
 
 def digest(lines: Column) -> Column:
@@ -81,25 +125,31 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return rows.select("license_id", digest(canonical_lines(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def license_scan(docs: DataFrame, known=KNOWN) -> DataFrame:
-    """Licenses each document is, and license notices it holds as a line of its own.
+def license_scan(docs: DataFrame, known=KNOWN, headers=()) -> DataFrame:
+    """Licenses each document is, and license notices it holds as a line of its own, ``headers`` as a paragraph.
 
     Returns per row: doc_id, digest (of the whole canonical text), license_id (null unless the
     whole text is a known one), n_words of the canonical text, notices (ids of known lines, sorted,
-    distinct, joined by commas; empty if none). Null and empty texts have the digest of the empty
+    distinct, joined by commas; empty if none). Headers must hold the word license. Null and empty texts have the digest of the empty
     text and no license. Repeated rows stay; other columns are not looked at. Whole texts and lines
     are looked up by hash join; what is shuffled is one digest per row and the few lines that are known.
     """
     lines = canonical_lines(F.coalesce(F.col("text"), F.lit("")))
     digests = [r.digest for r in known_digests(docs.sparkSession, known).collect()]  # as many as known texts
-    rows = docs.select("doc_id", lines.alias("_lines")).select(
+    hits = F.filter(F.transform("_lines", lambda line: F.md5(line)), lambda d: d.isin(digests))
+    if headers:
+        wanted = [r.digest for r in known_digests(docs.sparkSession, headers).collect()]
+        parts = F.filter(F.transform(canonical_paragraphs(F.col("text")), lambda part: F.md5(part)), lambda d: d.isin(wanted))
+        hits = F.when(F.lower("text").contains("licen"), F.concat(hits, parts)).otherwise(hits)
+    rows = docs.select("doc_id", "text", lines.alias("_lines")).select(
         "doc_id", digest(F.col("_lines")).alias("digest"),
         F.aggregate("_lines", F.lit(0).cast("long"), lambda n, line: n + F.size(F.split(line, " "))).alias("n_words"),
-        F.filter(F.transform("_lines", lambda line: F.md5(line)), lambda d: d.isin(digests)).alias("_hits"))
+        hits.alias("_hits"))
     rows = cut_lineage(rows)
     table = known_digests(docs.sparkSession, known)
+    notices = known_digests(docs.sparkSession, (*known, *headers))
     found = (rows.where(F.size("_hits") > 0).select("doc_id", F.col("digest").alias("_whole"), F.explode("_hits").alias("digest"))
-             .join(F.broadcast(table), "digest")
+             .join(F.broadcast(notices), "digest")
              .groupBy("doc_id", "_whole").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices")))
     same = F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.digest") == F.col("f._whole"))
     return (rows.alias("r").join(found.alias("f"), same, "left")

@@ -10,7 +10,7 @@ from rideops.llm.common import table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(table(spark, sf_dir, "documents"), licenses.published(), licenses.HEADERS)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,22 @@ def test_license_scan(spark, rows, docs, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_license_scan_knows_published_texts_and_headers(spark, tmp_path):
+    from rideops.llm.queries import op1_license_scan
+
+    folder = licenses.__file__.rsplit("/", 1)[0] + "/license_texts"
+    whole = {i: open(f"{folder}/{i}.txt", encoding="utf-8").read() for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense")}
+    apache = ('/*\n * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n'
+              " * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\nint x;")
+    gpl = ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+           "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# More.")
+    texts = [*whole.values(), "// SPDX-License-Identifier: GPL-2.0-only\nint y;", apache, gpl, whole["GPL-3.0"].split("END OF TERMS")[0], "A license of its own.", None]
+    spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], brute.DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op1_license_scan(spark, str(tmp_path)).collect()}
+    assert [got[i].license_id for i in range(12)] == [*whole, None, None, None, "GPL-3.0", None, None]
+    assert [got[i].notices for i in (6, 7, 8, 10, 11)] == ["GPL-2.0-only", "Apache-2.0", "GPL-3.0-or-later", "", ""]
+
+
 def test_mixing(spark, rows, docs, empty):
     repeated = rows + rows[:5]
     out = mixing.mix(spark.createDataFrame(repeated, brute.DOCS))
