@@ -174,29 +174,41 @@ def classes_of(rows: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     return members, cut_lineage(members.groupBy("class").agg(F.min("near").alias("near"), F.count("*").alias("members"), centre.alias("unit")))
 
 
-def _candidates(classes: DataFrame, cosine: float) -> DataFrame:
-    """(a, b) classes that meet in a cell, one of them at home there, and whose sketches allow a link."""
+def _candidates(members: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
+    """(a, b) classes of which members meet in a cell, one of them at home there, and whose centres' sketches allow a link.
+
+    Every member brings its own cells, so that two vectors meet as likely in classes as alone.
+    """
     angle = float(np.arccos(cosine))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: dict[int, Projections] = {}
         for batch in batches:
-            units = [v.values.to_numpy(zero_copy_only=False) for v in batch.column(2)]
+            units = [v.values.to_numpy(zero_copy_only=False) for v in batch.column(1)]
             for at, unit in _by_length(units):
                 p = ready[unit.shape[1]] = ready.get(unit.shape[1]) or Projections(unit.shape[1])
                 home, near = p.cells(unit)
-                sketch = p.sketch(unit)
-                cells = np.concatenate([home, near.reshape(len(at), -1)], 1).view(np.int64)
-                n, k = cells.shape
-                ids = batch.column(0).take(pa.array(at))
+                n, k = len(at), TABLES * (1 + BLOCKS * PROBES)
+                cells = np.concatenate([home, near.reshape(n, -1)], 1).ravel()
+                ids, at_home = np.repeat(batch.column(0).to_numpy()[at], k), np.tile(np.arange(k) < TABLES, n)
+                order = np.lexsort((~at_home, cells, ids))  # a class's cell once a batch, at home if any member is
+                first = order[np.append(True, (np.diff(ids[order]) != 0) | (np.diff(cells[order]) != 0))]
+                yield pa.RecordBatch.from_arrays([pa.array(cells[first].view(np.int64)), pa.array(ids[first]), pa.array(at_home[first])], names=["cell", "class", "home"])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[int, Projections] = {}
+        for batch in batches:
+            units = [v.values.to_numpy(zero_copy_only=False) for v in batch.column(2)]
+            for at, unit in _by_length(units):
+                p = ready[unit.shape[1]] = ready.get(unit.shape[1]) or Projections(unit.shape[1])
                 radius = np.arccos(np.clip(batch.column(1).to_numpy()[at], -1, 1))
-                raw = [s.tobytes() for s in sketch]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(cells.ravel()), ids.take(pa.array(np.repeat(np.arange(n), k))), pa.array(np.tile(np.arange(k) < TABLES, n)),
-                    pa.array(np.repeat(radius, k)), pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(n), k)))],
-                    names=["cell", "class", "home", "radius", "sketch"])
+                    batch.column(0).take(pa.array(at)), pa.array(radius), pa.array([x.tobytes() for x in p.sketch(unit)], pa.binary())],
+                    names=["class", "radius", "sketch"])
 
-    rows = classes.select("class", "near", "unit").mapInArrow(spread, "cell long, class long, home boolean, radius double, sketch binary")
+    centres = classes.select("class", "near", "unit").mapInArrow(sketched, "class long, radius double, sketch binary")
+    cells = members.select("class", "unit").mapInArrow(spread, "cell long, class long, home boolean")
+    rows = cells.groupBy("cell", "class").agg(F.max("home").alias("home"))
     buckets = 16 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -221,7 +233,7 @@ def _candidates(classes: DataFrame, cosine: float) -> DataFrame:
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     alone = rows.groupBy("cell").agg(F.count("*").alias("_n"), F.max("home").alias("_h")).where("_n > 1 and _h").select("cell")
-    met = rows.join(alone, "cell").withColumn("_bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)))
+    met = rows.join(alone, "cell").join(centres, "class").withColumn("_bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)))
     return met.groupBy("_bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -237,7 +249,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     rows = vectors.select("vec_id", "embedding").withColumn("rid", F.xxhash64("vec_id", "embedding"))
     usable = cut_lineage(hashed_vectors(rows.dropDuplicates(["rid"])))
     members, classes = classes_of(usable, cosine)
-    candidates = _candidates(classes, cosine)
+    candidates = _candidates(members, classes, cosine)
     block = F.pmod(F.xxhash64("rid"), F.ceil(F.col("members") / BLOCK))
     blocks = (members.join(classes.select("class", "members"), "class").groupBy("class", block.alias("_block"))
               .agg(F.collect_list("rid").alias("rids"), F.collect_list("unit").alias("units")))

@@ -125,6 +125,23 @@ def test_near_vectors(spark):
     assert [(r.n_links, r.component_id) for r in twice] == [(0, 0)] * 2
 
 
+def test_touching_dense_groups_are_linked(spark):
+    """Members on facing sides of two classes, their centres far apart, meet by their own cells."""
+    rng = np.random.default_rng(21)
+
+    def turned(c, d, degrees):
+        return np.cos(np.radians(degrees)) * c + np.sin(np.radians(degrees)) * d
+
+    vectors = []
+    for _ in range(60):
+        c, d = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        vectors += [turned(c, d, a) for a in (*rng.normal(0, 0.05, 12), 12, 36, *rng.normal(48, 0.05, 12))]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in lattice.near_vectors(frame).collect()}
+    joined = [got[26 * k + 12] == got[26 * k + 13] for k in range(60)]
+    assert np.mean(joined) > 0.95
+
+
 def test_lattice_points():
     x = np.random.default_rng(1).standard_normal((200, 8)) * 2
     p = lattice.nearest_point(x) / 2
