@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rideops.llm import bpe, chosen_path, language, lattice, licenses, media, mixing, quality, suffix, toxicity
+from rideops.llm import bpe, chosen_path, language, lattice, licenses, media, mixing, periodic, quality, suffix, toxicity
 from rideops.llm.common import table
 
 
@@ -52,5 +52,10 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("media")
 
 
-QUERIES = {q.__name__: q for q in (op1_license_scan, op2_source_mixing, op3_lattice_dedup, op4_bpe, op5_toxicity, op6_quality_rules, op7_chosen_path_dedup, op8_language_id, op9_suffix_dedup, op10_flac_media)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_columns(periodic.find_runs(periodic.with_planted_tails(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {q.__name__: q for q in (op1_license_scan, op2_source_mixing, op3_lattice_dedup, op4_bpe, op5_toxicity, op6_quality_rules, op7_chosen_path_dedup, op8_language_id, op9_suffix_dedup, op10_flac_media,
+                                  op11_periodic_runs)}
 STATEMENTS = {"op1_license_scan": licenses.SCAN_SQL, "op2_source_mixing": mixing.MIX_SQL}
