@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rideops.llm import alignment, bpe, chosen_path, language, lattice, licenses, media, mixing, periodic, quality, suffix, toxicity
+from rideops.llm import alignment, bpe, chosen_path, language, lattice, licenses, media, mixing, periodic, quality, secrets, suffix, toxicity
 from rideops.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_columns(periodic.find_runs(periodic.with_planted_tails(table(spark, sf_dir, "documents"))))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_columns(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,5 +68,5 @@ def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_license_scan, op2_source_mixing, op3_lattice_dedup, op4_bpe, op5_toxicity, op6_quality_rules, op7_chosen_path_dedup, op8_language_id, op9_suffix_dedup, op10_flac_media,
-                                  op11_periodic_runs, op13_pair_bitmaps)}
+                                  op11_periodic_runs, op12_secret_scan, op13_pair_bitmaps)}
 STATEMENTS = {"op1_license_scan": licenses.SCAN_SQL, "op2_source_mixing": mixing.MIX_SQL}
