@@ -17,12 +17,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -32,8 +32,13 @@ from rideops.session import shared_folder
 
 #: A container holds so many documents and about so many bytes of text at most.
 CONTAINER_DOCS, CONTAINER_BYTES = 1 << 16, 16 << 20
-#: Bytes of text tokenized at a time; longer texts are cut between words, where no token crosses.
-PART_BYTES, PIECE = 1 << 20, 1 << 19
+#: Characters of text worked on at a time; longer texts are cut between words, where no token crosses.
+PART, PIECE = 1 << 20, 1 << 19
+#: Bytes of words and their groups that a worker remembers; beyond them its memory is emptied.
+MEMORY = 128 << 20
+#: So many plain words, which begin with a space and end in a letter or digit, are encoded as one text.
+JOINED = 4096
+WORD_EDGES = re.compile(r" \w(?:.*\w)?", re.DOTALL).fullmatch
 BETWEEN_WORDS = r"(?<=\w) (?=\w)"
 SCHEMA = ("container long, idx int, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, "
           "a int, b int, present binary, planes array<binary>")
@@ -86,27 +91,52 @@ class Aligner:
         pieces = [self.second.id_to_piece(i) for i in range(self.second.vocab_size())]
         self.b = Tokens([bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         # Long texts may be cut before a space only if no piece goes on over it.
-        self.cut = regex.compile(BETWEEN_WORDS) if not any("▁" in p.lstrip("▁") for p in pieces) else None
-
-    def pieces(self, text: str) -> Iterator[str]:
-        """Parts of space + text that both tokenizers encode apart as they do together."""
-        at, whole = 0, " " + text
-        while self.cut and len(whole) - at > PIECE:
-            end = self.cut.search(whole, at + PIECE)
-            if end is None:
-                break
-            yield whole[at:end.start()]
-            at = end.start()
-        yield whole[at:] if at else whole
+        self.cut = re.compile(BETWEEN_WORDS) if not any("▁" in p.lstrip("▁") for p in pieces) else None
+
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.lines, self.held = {}, [], 0
+        self.good, self.n_a, self.n_b, self.n_groups = np.zeros(0, bool), *(np.zeros(0, np.int64) for _ in range(3))
+        self.pairs = np.zeros(0, np.uint64)
+
+    def words(self, text: str) -> list[list[str]]:
+        """The text's words, a few hundred thousand characters at a time.
+
+        Both tokenizers encode a word with the space before it apart as they do in the text.
+        """
+        if not self.cut:
+            return [[text]]
+        at, out = 0, []
+        while at < len(text):
+            end = self.cut.search(text, at + PIECE)
+            to = end.start() if end else len(text)
+            out.append(self.cut.split(text[at:to]))
+            at = to + 1
+        return out
+
+    def slots(self, words: list[str]) -> np.ndarray:
+        """Places of the words in memory; those not seen before are tokenized and aligned."""
+        if self.held > MEMORY:
+            self._forget()
+        fresh = list(set(words).difference(self.known))
+        if fresh:
+            out = self.align([" " + w for w in fresh])
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+            text, ends = out["groups"].tobytes(), out["ends"].tolist()
+            self.lines += [text[lo:hi] for lo, hi in zip(ends, ends[1:])]
+            for name in ("good", "n_a", "n_b", "n_groups"):
+                setattr(self, name, np.concatenate([getattr(self, name), out[name]]))
+            self.pairs = np.concatenate([self.pairs, out["a"].astype(np.uint64) << np.uint64(24) | out["b"].astype(np.uint64)])
+            self.held += sum(map(len, fresh)) + len(text) + 8 * len(out["a"]) + 250 * len(fresh)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def align(self, parts: list[str]) -> dict[str, np.ndarray]:
-        """Tokens, groups and links of parts that each begin with a space."""
+        """Tokens, groups and links of parts that each begin with a space; all of a part or nothing."""
         raw = [p.encode() for p in parts]
         size = np.array([len(r) for r in raw], np.int64)
-        in_a = [e.ids for e in self.first.encode_batch_fast(parts, add_special_tokens=False)]
-        in_b = self.second.encode([p[1:] for p in parts], num_threads=1)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (in_a, in_b))
-        ids_a, ids_b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((in_a, n_a), (in_b, n_b)))
+        ids_a, n_a = self._ids(self.a, parts, size, lambda texts: [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)])
+        ids_b, n_b = self._ids(self.b, parts, size, lambda texts: self.second.encode([t[1:] for t in texts], num_threads=1))
         sums = [np.concatenate([[0], np.cumsum(t.sizes(ids))])[np.concatenate([[0], np.cumsum(n)])] for t, ids, n in
                 ((self.a, ids_a, n_a), (self.b, ids_b, n_b))]
         good = (np.diff(sums[0]) == size) & (np.diff(sums[1]) == size)
@@ -125,6 +155,35 @@ class Aligner:
         return {"good": good, "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(part, minlength=len(parts)), "part": part,
                 "a": ids_a[at_a], "b": ids_b[at_b], "groups": groups, "ends": np.concatenate([[0], ends])[np.concatenate([[0], last])]}
 
+    def _ids(self, tokens: Tokens, parts: list[str], size: np.ndarray, encode: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts and how many each has. Plain words are encoded many at once, which is cheaper."""
+        plain = np.array([WORD_EDGES(p) is not None for p in parts]) if self.cut else np.zeros(len(parts), bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        line, texts, n = [], [], int(plain.sum())
+        for at in range(0, n, JOINED):
+            texts.append("".join(parts[i] for i in order[at:min(at + JOINED, n)]))
+        counts = np.zeros(len(parts), np.int64)
+        for k, ids in enumerate(encode(texts)):
+            line.append(np.array(ids, np.int64))
+            members = order[k * JOINED:min((k + 1) * JOINED, n)]
+            # A token belongs to the part in which it ends; a joined text that does not come back whole leaves counts that do not fit.
+            ends, to = np.cumsum(tokens.sizes(line[-1])), np.cumsum(size[members])
+            counts[members] = np.diff(np.searchsorted(ends, to, "right"), prepend=0)
+            if counts[members].sum() < len(ends) or not np.isin(to, ends).all():
+                line[-1:], counts[members] = self._alone(encode, [parts[i] for i in members])
+        if n < len(parts):
+            ids, counts[order[n:]] = self._alone(encode, [parts[i] for i in order[n:]])
+            line += ids
+        flat = np.concatenate([np.zeros(0, np.int64), *line])
+        begin = np.empty(len(parts), np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[np.arange(len(flat)) + np.repeat(begin - (np.cumsum(counts) - counts), counts)], counts
+
+    @staticmethod
+    def _alone(encode: Callable[[list[str]], list[list[int]]], parts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        ids = encode(parts)
+        return [np.array([i for x in ids for i in x], np.int64)], [len(x) for x in ids]
+
     def _lines(self, ids_a: np.ndarray, ids_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The groups as text, each closed by a semicolon, and where each group's text ends."""
         held_a, held_b = np.diff(np.concatenate([[-1], at_a])), np.diff(np.concatenate([[-1], at_b]))
@@ -241,8 +300,7 @@ def _documents(aligner: Aligner, container: Container, batch: pa.RecordBatch, gr
     """Rows of the next documents of a container; their links go into it."""
     n = batch.num_rows
     counts = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups")}
-    good, lines = np.ones(n, bool), [[] for _ in range(n)]
-    digests = [None] * n
+    good, lines, digests = np.ones(n, bool), [[] for _ in range(n)], [None] * n
     keys, times = [], []
     waiting, owner, size = [], [], 0
 
@@ -250,20 +308,23 @@ def _documents(aligner: Aligner, container: Container, batch: pa.RecordBatch, gr
         nonlocal size
         if not waiting:
             return
-        out, doc = aligner.align(waiting), np.array(owner)
-        np.logical_and.at(good, doc, out["good"])
+        slots = aligner.slots([w for words in waiting for w in words])
+        doc = np.repeat(owner, [len(words) for words in waiting])
+        good[doc[~aligner.good[slots]]] = False
         for c, total in counts.items():
-            np.add.at(total, doc, out[c])
-        text = out["groups"].tobytes()
-        for d, lo, hi in zip(owner, out["ends"].tolist(), out["ends"][1:].tolist()):
-            if lo == hi:
-                continue
-            digests[d] = digests[d] or hashlib.sha256()
+            total += np.bincount(doc, getattr(aligner, c)[slots], n).astype(np.int64)
+        at, places = 0, slots.tolist()
+        for d, words in zip(owner, waiting):
+            text = b"".join(map(aligner.lines.__getitem__, places[at:at + len(words)]))
+            at += len(words)
             # A semicolon stands between groups, so a text's last one is held back.
-            digests[d].update((b";" if lines[d] else b"") + text[lo:hi - 1])
-            lines[d] = [*lines[d], text[lo:hi - 1].decode()] if groups else [""]
-        key, again = np.unique(out["a"].astype(np.uint64) << np.uint64(40) | out["b"].astype(np.uint64) << np.uint64(16)
-                               | (doc[out["part"]] + container.docs).astype(np.uint64), return_counts=True)
+            digests[d].update(b";" + text[:-1]) if digests[d] else digests.__setitem__(d, hashlib.sha256(text[:-1]))
+            if groups:
+                lines[d].append(text[:-1].decode())
+        links = aligner.n_groups[slots]
+        to, begin = np.cumsum(links), np.cumsum(aligner.n_groups) - aligner.n_groups
+        pairs = aligner.pairs[np.arange(int(links.sum())) + np.repeat(begin[slots] - (to - links), links)]
+        key, again = np.unique(pairs << np.uint64(16) | np.repeat(doc + container.docs, links).astype(np.uint64), return_counts=True)
         keys.append(key)
         times.append(again)
         waiting.clear()
@@ -271,12 +332,11 @@ def _documents(aligner: Aligner, container: Container, batch: pa.RecordBatch, gr
         size = 0
 
     for i, text in enumerate(batch.column(1)):
-        whole = text.as_py()
-        for part in aligner.pieces(whole) if whole else ():
-            waiting.append(part)
+        for words in aligner.words(text.as_py() or ""):
+            waiting.append(words)
             owner.append(i)
-            size += len(part)
-            if size >= PART_BYTES:
+            size += sum(map(len, words))
+            if size >= PART:
                 flush()
     flush()
     for key, again in zip(keys, times):
@@ -314,8 +374,9 @@ def align(docs: DataFrame, byte_file: str, piece_model: str, groups: bool = Fals
     most frequent of its b, ties included), count_sum (the pair counts of all links), the digest
     of the groups and, if asked for, their text ``a1,a2|b1;a3|b2,b3``. Null and empty texts, and
     texts that a tokenizer does not give back, have zeros and ''. Repeated rows count each; a null
-    id stays null; other columns are not looked at. A long text is cut between words and never
-    tokenized whole.
+    id stays null; other columns are not looked at. Texts are cut between words, where neither
+    tokenizer has a token that crosses, so a long text is never tokenized whole, and a word is
+    tokenized and aligned once for all its occurrences that a worker remembers.
     """
     indexed = index(docs, byte_file, piece_model, groups)
     postings = postings_of(indexed)

@@ -83,15 +83,17 @@ def test_long_texts_are_cut_where_no_token_crosses(monkeypatch):
     monkeypatch.setattr(alignment, "PIECE", 40)
     aligner = alignment.Aligner(open(FILES[0], encoding="utf-8").read(), open(FILES[1], "rb").read())
     text = "  Many words, don't  you think?\n\n été 中文 字 and  " * 40
-    parts = list(aligner.pieces(text))
-    assert len(parts) > 20 and "".join(parts) == " " + text
+    pieces = aligner.words(text)
+    parts = [" " + w for words in pieces for w in words]
+    assert len(pieces) > 20 and "".join(parts) == " " + text
     assert [i for p in parts for i in aligner.first.encode(p, add_special_tokens=False).ids] == aligner.first.encode(" " + text, add_special_tokens=False).ids
     assert [i for p in parts for i in aligner.second.encode(p[1:])] == aligner.second.encode(text)
 
 
 def test_a_text_longer_than_a_part(spark, monkeypatch):
     monkeypatch.setattr(alignment, "PIECE", 50)
-    monkeypatch.setattr(alignment, "PART_BYTES", 120)
+    monkeypatch.setattr(alignment, "PART", 120)
+    monkeypatch.setattr(alignment, "MEMORY", 500)
     rows = [(1, "one two three four " * 200, None, None, None), (2, "good text here " * 50 + " ▁ " + "more text here " * 50, None, None, None), (3, "short", None, None, None)]
     got = alignment.align(spark.createDataFrame(rows, brute.DOCS), *FILES, groups=True)
     assert sorted(tuple(r) for r in got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups").collect()) == plain(rows)
