@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rideops.session import cut_lineage
+
 #: Words in the guesser's dictionary (fixed size, broadcast), and their longest length.
 DICTIONARY, LONGEST = 30_000, 24
 #: Decades of guesses from which a value is a span, and the shortest such value.
@@ -217,8 +219,9 @@ def scan(text: str, ranks: dict[str, int], least: float = LEAST) -> list[tuple[i
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
     """The words of most documents, by falling number (ties by text), counted over all texts.
 
-    Values in a credential context are no words. Counts are combined in each task before the
-    shuffle; only the ``size`` first words reach the driver.
+    Values in a credential context are no words. Numbers of documents are graded in sixteenths of
+    a doubling; as many grades are taken from the top as hold ``size`` words at most, so that the
+    driver receives a table of grades (a thousand rows) and the dictionary itself, nothing else.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +246,16 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
         yield rows()
 
     counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = cut_lineage(counts).withColumn("grade", F.floor(16 * F.log2("n")))
+    held, least = 0, None
+    for grade, words in sorted(map(tuple, counts.groupBy("grade").count().collect()), reverse=True):
+        held += words
+        if held > size:
+            break
+        least = grade
+    if least is None:
+        return []
+    return [r.word for r in sorted(counts.where(F.col("grade") >= least).select("n", "word").collect(), key=lambda r: (-r.n, r.word))]
 
 
 SPAN = "struct<kind:string,start:long,end:long,decades:double>"
