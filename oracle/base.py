@@ -6,6 +6,8 @@ The views are written from the definitions in FIXTURES.md, apart from the Spark
 from __future__ import annotations
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
+#: Views read more than once by their successors.
+KEPT: set[str] = set()
 
 
 def view(name: str, sql: str, *needs: str) -> None:
@@ -24,7 +26,7 @@ def statement(body: str, *needs: str) -> str:
 
     for need in needs:
         visit(need)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in KEPT)}({VIEWS[n][1]})" for n in ordered)
     return f"WITH {ctes}\n{body}" if ctes else body
 
 
@@ -103,13 +105,15 @@ view("daily_stats", """
     CAST(sum(CAST(floor(o_totalprice + 0.5) AS BIGINT) % 200) AS BIGINT) AS miles_worked,
     CAST(sum(o_orderkey % 12) AS BIGINT) AS hours_worked, CAST(sum(o_orderkey % 40) AS BIGINT) AS pickups_recorded
   FROM orders GROUP BY 1, 2""")
-view("drivers", """
+view("drivers", f"""
   SELECT c_custkey AS user_id, 'user' || c_custkey || '@example.com' AS email,
     CASE WHEN c_custkey % 5 <> 0 THEN 'Driver ' || c_custkey END AS display_name,
     CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey % 17 = 0 END AS is_disabled,
     c_custkey % 19 = 0 AS is_suspended, c_custkey % 10 = 0 AS ghost_mode,
     CASE WHEN c_custkey % 2 = 0 THEN 'sub_' || c_custkey END AS subscription_id, CASE WHEN c_custkey % 3 = 0 THEN 'ctm_' || c_custkey END AS customer_id,
-    CASE WHEN c_custkey % 5 = 0 THEN 'trialing' END AS subscription_status
+    CASE WHEN c_custkey % 5 = 0 THEN 'trialing' END AS subscription_status,
+    CASE WHEN c_custkey % 4 = 0 THEN {NOW} + c_custkey % 30 * 86400 END AS subscription_current_period_end,
+    CASE WHEN c_custkey % 7 = 0 THEN {NOW} + c_custkey % 500 * 60 END AS subscription_updated_at
   FROM customer""")
 view("battles", f"""
   SELECT o_orderkey AS battle_id,
@@ -176,6 +180,11 @@ view("subscription_events", f"""
   SELECT 'evt_' || (o_orderkey - CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END) AS event_id,
     CASE o_orderkey % 5 WHEN 0 THEN 'subscription.created' WHEN 1 THEN 'subscription.updated' WHEN 2 THEN 'subscription.canceled' WHEN 3 THEN 'transaction.completed' ELSE 'customer.created' END AS event_type,
     {NOW} + o_orderkey % 997 * 60 AS occurred_at, {NOW} + o_orderkey * 30 AS received_at,
-    CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS custom_user_id, 'sub_' || o_custkey AS subscription_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'ctm_' || o_custkey END AS customer_id,
-    CASE o_orderkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'past_due' ELSE 'trialing' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN {NOW} + o_orderkey % 60 * 86400 END AS period_end
+    CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS own_id,
+    CASE WHEN o_orderkey % 11 <> 0 THEN 'sub_' || o_custkey || CASE WHEN o_orderkey % 7 = 0 THEN 'b' ELSE '' END END AS subscription_id,
+    CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 8 IN (1, 2, 3) THEN 'ctm_' || o_custkey END AS customer_id,
+    CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 8 IN (1, 2, 3, 5, 6, 7) THEN 'ctm_' || o_custkey END AS customer_ref,
+    CASE WHEN o_orderkey % 9 IN (0, 1, 2, 3, 6) OR (o_orderkey % 11 <> 0 AND o_orderkey % 8 = 6) THEN 'user' || o_custkey || '@example.com' END AS mail,
+    CASE o_orderkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'past_due' ELSE 'trialing' END AS status,
+    CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 10 IN (5, 7) THEN {NOW} + o_orderkey % 60 * 86400 END AS period_end
   FROM orders""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import NOW, rounded, statement, view
+from oracle.base import KEPT, NOW, rounded, statement, view
 from oracle.drivers import ACTIVE, BADGE, NAME
 
 AGE = 900
@@ -24,11 +24,37 @@ _PURGE = {"heartbeats": f"user_id {_IN}", "room_messages": f"user_id {_IN}", "pr
           "pickups": f"user_id {_IN}", "daily_stats": f"user_id {_IN}", "users": f"user_id {_IN}"}
 _REASON = f"""CASE WHEN email IS NULL THEN 'account_deleted' WHEN coalesce(is_disabled, FALSE) THEN 'disabled' WHEN is_suspended THEN 'suspended' WHEN ghost_mode THEN 'ghost_mode' WHEN seen_at < {NOW} - {AGE} THEN 'stale' END"""
 view("sub_first", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at) AS n FROM subscription_events) WHERE n = 1", "subscription_events")
-view("sub_resolved", """
-  SELECT e.*, coalesce(e.custom_user_id, s.user_id, c.user_id) AS user_id FROM sub_first e LEFT JOIN drivers s ON s.subscription_id = e.subscription_id LEFT JOIN drivers c ON c.customer_id = e.customer_id
-  WHERE coalesce(e.custom_user_id, s.user_id, c.user_id) IN (SELECT user_id FROM drivers) AND event_type <> 'customer.created'""", "sub_first", "drivers")
-view("sub_applied", """
-  SELECT * FROM (SELECT *, max(occurred_at) OVER (PARTITION BY user_id ORDER BY received_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM sub_resolved) WHERE newest IS NULL OR occurred_at > newest""", "sub_resolved")
+view("sub_known", "SELECT * FROM sub_first WHERE event_type <> 'customer.created'", "sub_first")
+view("sub_own", "SELECT *, own_id AS user_id FROM sub_known WHERE own_id IN (SELECT user_id FROM drivers)", "sub_known", "drivers")
+view("sub_rest", "SELECT e.*, d.user_id AS mail_user FROM sub_known e LEFT JOIN drivers d ON d.email = e.mail WHERE own_id IS NULL", "sub_known", "drivers")
+#: Rounds written out; the Spark side goes on until nothing changes.
+ROUNDS = 5
+
+
+def _spans(name: str, k: int) -> str:
+    """Who holds an id when: stored ones, replacements, and a transaction's where there was none."""
+    return f"""(SELECT key, user_id AS holder, t AS since, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t), 1000000000000) AS until FROM (
+      SELECT user_id, -1 AS t, {name} AS key FROM drivers WHERE {name} IS NOT NULL
+      UNION ALL SELECT user_id, received_at, {name} FROM sub_applied_{k} WHERE {name} IS NOT NULL AND event_type LIKE 'subscription.%'
+      UNION ALL SELECT f.user_id, f.t, f.key FROM (SELECT user_id, min(received_at) AS t, arg_min({name}, received_at) AS key FROM sub_applied_{k} WHERE {name} IS NOT NULL AND event_type LIKE 'transaction.%' GROUP BY 1) f
+        JOIN drivers d ON d.user_id = f.user_id AND d.{name} IS NULL
+        LEFT JOIN (SELECT user_id, min(received_at) AS t FROM sub_applied_{k} WHERE {name} IS NOT NULL AND event_type LIKE 'subscription.%' GROUP BY 1) s ON s.user_id = f.user_id WHERE s.t IS NULL OR f.t < s.t))"""
+
+
+for _k in range(ROUNDS):
+    view(f"sub_resolved_{_k}", "SELECT * FROM sub_own" if _k == 0 else
+         f"SELECT * FROM sub_own UNION ALL SELECT r.* EXCLUDE (mail_user), l.user_id FROM sub_rest r JOIN sub_links_{_k - 1} l ON l.event_id = r.event_id WHERE l.user_id IS NOT NULL",
+         "sub_own", *([f"sub_links_{_k - 1}", "sub_rest"] if _k else []))
+    view(f"sub_applied_{_k}", f"""
+      SELECT * FROM (SELECT r.*, greatest(d.subscription_updated_at, max(occurred_at) OVER (PARTITION BY r.user_id ORDER BY received_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS newest
+        FROM (SELECT *, event_type = 'transaction.completed' AND period_end IS NULL AND customer_id IS NULL AND subscription_id IS NULL AS idle FROM sub_resolved_{_k}) r JOIN drivers d ON d.user_id = r.user_id)
+      WHERE newest IS NULL OR occurred_at > newest""".replace("max(occurred_at)", "max(CASE WHEN NOT idle THEN occurred_at END)"), f"sub_resolved_{_k}", "drivers")
+    view(f"sub_links_{_k}", f"""
+      SELECT r.event_id, coalesce(s.u, c.u, mail_user) AS user_id FROM sub_rest r
+      LEFT JOIN (SELECT event_id, min(holder) AS u FROM sub_rest JOIN {_spans('subscription_id', _k)} ON key = subscription_id AND since < received_at AND received_at <= until GROUP BY 1) s ON s.event_id = r.event_id
+      LEFT JOIN (SELECT event_id, min(holder) AS u FROM sub_rest JOIN {_spans('customer_id', _k)} ON key = customer_ref AND since < received_at AND received_at <= until GROUP BY 1) c ON c.event_id = r.event_id""",
+         f"sub_applied_{_k}", "sub_rest", "drivers")
+    KEPT.update({f"sub_resolved_{_k}", f"sub_applied_{_k}", f"sub_links_{_k}", "sub_rest", "sub_own"})
 _STATUS = """CASE WHEN event_type IN ('subscription.created', 'subscription.updated') THEN status WHEN event_type = 'subscription.canceled' THEN 'cancelled' WHEN period_end IS NOT NULL THEN 'active' END"""
 
 
@@ -93,10 +119,10 @@ def statements() -> dict[str, str]:
             "purge_users", "resolved_outcomes", *_PURGE),
         "subscription_state": statement(f"""
           SELECT f.user_id, applied_events, coalesce(f.status, d.subscription_status, CASE WHEN created THEN 'trialing' END) AS subscription_status, coalesce(sub, d.subscription_id, sub_fill) AS subscription_id,
-            coalesce(cus, d.customer_id, cus_fill) AS customer_id, f.period_end AS current_period_end, updated_at
-          FROM (SELECT user_id, count(*) AS applied_events, {_last(_STATUS)} AS status, bool_or(event_type = 'subscription.created') AS created, {_last('period_end')} AS period_end, max(occurred_at) AS updated_at,
+            coalesce(cus, d.customer_id, cus_fill) AS customer_id, coalesce(f.period_end, d.subscription_current_period_end) AS current_period_end, coalesce(updated_at, d.subscription_updated_at) AS updated_at
+          FROM (SELECT user_id, count(*) AS applied_events, {_last(_STATUS)} AS status, bool_or(event_type = 'subscription.created') AS created, {_last('period_end')} AS period_end, max(occurred_at) FILTER (NOT idle) AS updated_at,
               {_last(f'CASE WHEN {sub} THEN subscription_id END')} AS sub, {_last(f'CASE WHEN NOT {sub} THEN subscription_id END', 'arg_min')} AS sub_fill,
-              {_last(f'CASE WHEN {sub} THEN customer_id END')} AS cus, {_last(f'CASE WHEN NOT {sub} THEN customer_id END', 'arg_min')} AS cus_fill FROM sub_applied GROUP BY 1) f JOIN drivers d ON d.user_id = f.user_id""", "sub_applied", "drivers"),
+              {_last(f'CASE WHEN {sub} THEN customer_id END')} AS cus, {_last(f'CASE WHEN NOT {sub} THEN customer_id END', 'arg_min')} AS cus_fill FROM sub_applied_{ROUNDS - 1} GROUP BY 1) f JOIN drivers d ON d.user_id = f.user_id""", f"sub_applied_{ROUNDS - 1}", "drivers"),
         "access_status": statement(f"""
           SELECT user_id, {paid} AS paid, {comp} AS comp, {trial} AS trial, is_admin AS admin, CASE WHEN {paid} THEN {days.format('subscription_current_period_end')} END AS paid_days,
             CASE WHEN {comp} AND comp_expires_at IS NOT NULL THEN {days.format('comp_expires_at')} END AS comp_days, CASE WHEN {trial} THEN {days.format('trial_expires_at')} END AS trial_days,

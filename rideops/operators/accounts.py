@@ -1,4 +1,4 @@
-"""Subscription state folded from an event log, and access rules."""
+"""Access rules of accounts."""
 
 from __future__ import annotations
 
@@ -6,101 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rideops.functions.columns import lenient_true
-from rideops.operators.ordered import with_previous, with_running
-from rideops.session import cut_lineage
-
-EVENT_SCHEMA = "custom_user_id string, subscription_id string, customer_id string, email string, status string, period_end long"
-# Provider status to ours, and the status an event type sets by itself.
-STATUS_MAP = {"active": "active", "trialing": "trialing", "past_due": "past_due", "paused": "paused",
-              "canceled": "cancelled", "cancelled": "cancelled"}
-TYPE_STATUS = {"subscription.trialing": "trialing", "subscription.activated": "active", "subscription.resumed": "active",
-               "subscription.canceled": "cancelled", "subscription.past_due": "past_due", "transaction.payment_failed": "past_due"}
-PAYLOAD_STATUS = ("subscription.created", "subscription.updated")
-TRANSACTION = "transaction.completed"
-HANDLED = (*TYPE_STATUS, *PAYLOAD_STATUS, TRANSACTION)
-
-
-def first_deliveries(events: DataFrame) -> DataFrame:
-    """The first received row of each event id."""
-    rest = [c for c in events.columns if c != "event_id"]
-    return events.groupBy("event_id").agg(F.min_by(F.struct(*rest), F.struct("received_at", "raw_event_json")).alias("e")).select("event_id", "e.*")
-
-
-def _map(value: Column, table: dict[str, str]) -> Column:
-    out = None
-    for k, v in table.items():
-        out = F.when(value == k, v) if out is None else out.when(value == k, v)
-    return out
-
-
-def resolve_users(events: DataFrame, users: DataFrame) -> DataFrame:
-    """Attach the user: by own id, else stored subscription id, customer id, e-mail.
-
-    Stored ids are those of the users table. Events without a known user are dropped.
-    """
-    e = events.withColumn("d", F.from_json("raw_event_json", EVENT_SCHEMA)).select("event_id", "event_type", "occurred_at", "received_at", "d.*")
-
-    def lookup(column: str, name: str) -> DataFrame:
-        return users.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"_{column}")).agg(F.min("user_id").alias(name))
-
-    e = e.withColumns({"u_own": F.col("custom_user_id").try_cast("long"), "_subscription_id": F.nullif(F.trim("subscription_id"), F.lit("")),
-                       "_customer_id": F.nullif(F.trim("customer_id"), F.lit("")), "_email": F.lower(F.trim("email"))})
-    lower = users.withColumn("email", F.lower(F.trim("email")))
-    e = e.join(lookup("subscription_id", "u_subscription"), "_subscription_id", "left").join(
-        lookup("customer_id", "u_customer"), "_customer_id", "left")
-    mail = lower.filter(F.col("email").isNotNull()).groupBy(F.col("email").alias("_email")).agg(F.min("user_id").alias("u_email"))
-    e = e.join(mail, "_email", "left").withColumn("user_id", F.coalesce("u_own", "u_subscription", "u_customer", "u_email"))
-    known = users.select("user_id").distinct()
-    return e.filter(F.col("user_id").isNotNull()).join(known, "user_id", "left_semi").select(
-        "event_id", "event_type", "occurred_at", "received_at", "user_id", F.col("_subscription_id").alias("subscription_id"),
-        F.col("_customer_id").alias("customer_id"), "status", "period_end")
-
-
-def applied_events(resolved: DataFrame) -> DataFrame:
-    """Events that take effect, in arrival order: newer than every one applied before.
-
-    A skipped event never raises the maximum, so "newer than all applied" is "newer than all
-    before", a running maximum. A completed transaction without period and ids does not count.
-    """
-    e = resolved.filter(F.col("event_type").isin(*HANDLED))
-    counts = (F.col("event_type") != TRANSACTION) | F.col("period_end").isNotNull() | F.col("customer_id").isNotNull() | F.col("subscription_id").isNotNull()
-    e = with_running(cut_lineage(e), "user_id", "received_at", ["received_at", "event_id"], {"newest": ("max", F.when(counts, F.col("occurred_at")))}, 86400)
-    e = with_previous(cut_lineage(e), "user_id", "received_at", "event_id", ["newest"], 86400)
-    return e.filter(F.col("prev_newest").isNull() | (F.col("occurred_at") > F.col("prev_newest"))).withColumn("counts", counts)
-
-
-def subscription_state(events: DataFrame, users: DataFrame) -> DataFrame:
-    """Subscription fields per user after the whole log.
-
-    Every field is the value of the last event that sets it, so the fold is one aggregation that
-    combines before the shuffle.
-    """
-    a = applied_events(resolve_users(first_deliveries(events), users))
-    kind, order = F.col("event_type"), F.struct("received_at", "event_id")
-    is_transaction = kind == TRANSACTION
-    status = (F.when(kind.isin(*PAYLOAD_STATUS), _map(F.lower(F.trim("status")), STATUS_MAP))
-              .when(is_transaction, F.when(F.col("period_end").isNotNull(), "active")).otherwise(_map(kind, TYPE_STATUS)))
-    period = F.when(kind != "transaction.payment_failed", F.col("period_end"))
-
-    def last(value: Column) -> Column:
-        return F.max_by(value, F.when(value.isNotNull(), order))
-
-    def own_id(name: str) -> tuple[Column, Column]:
-        sets = F.when(kind.startswith("subscription."), F.col(name))
-        fills = F.when(is_transaction, F.col(name))
-        return last(sets), F.min_by(fills, F.when(fills.isNotNull(), order))
-
-    sub, sub_fill = own_id("subscription_id")
-    cus, cus_fill = own_id("customer_id")
-    folded = a.withColumns({"_status": status, "_period": period}).groupBy("user_id").agg(
-        F.count("*").alias("applied_events"), last(F.col("_status")).alias("status"), F.max((kind == "subscription.created").cast("int")).alias("created"),
-        last(F.col("_period")).alias("period_end"), F.max(F.when(F.col("counts"), F.col("occurred_at"))).alias("updated_at"),
-        sub.alias("sub"), sub_fill.alias("sub_fill"), cus.alias("cus"), cus_fill.alias("cus_fill"))
-    stored = users.select("user_id", F.col("subscription_status").alias("old_status"), F.col("subscription_id").alias("old_sub"), F.col("customer_id").alias("old_cus"))
-    return folded.join(stored, "user_id").select(
-        "user_id", "applied_events", F.coalesce("status", "old_status", F.when(F.col("created") == 1, "trialing")).alias("subscription_status"),
-        F.coalesce("sub", "old_sub", "sub_fill").alias("subscription_id"), F.coalesce("cus", "old_cus", "cus_fill").alias("customer_id"),
-        F.col("period_end").alias("current_period_end"), "updated_at")
 
 
 def access_status(users: DataFrame, now: int) -> DataFrame:

@@ -90,8 +90,8 @@ def _keys(key: str | Sequence[str]) -> list[str]:
 
 
 def with_running(df: DataFrame, key: str | Sequence[str], at: str, order: Sequence[str], values: dict[str, tuple[str, Column]],
-                 bucket_seconds: int = 3600) -> DataFrame:
-    """Inclusive running aggregates per key, spread over time buckets.
+                 bucket_seconds: int = 3600, strict: bool = False) -> DataFrame:
+    """Running aggregates per key, spread over time buckets; a row counts itself unless ``strict``.
 
     ``values`` maps a new column to ``(kind, value)`` with kind sum, min or max. Inside a bucket
     each is a window; across buckets it is the same function over one row per key and bucket, so
@@ -101,7 +101,7 @@ def with_running(df: DataFrame, key: str | Sequence[str], at: str, order: Sequen
     keys, functions = _keys(key), {"sum": F.sum, "min": F.min, "max": F.max}
     rows, drop = _bucketed(df, at, bucket_seconds)
     rows = rows.withColumns({f"_v_{n}": v for n, (_, v) in values.items()})
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = rows.groupBy(*keys, "_bucket").agg(*[functions[k](f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in values.items()])
     carry = carry.select(*keys, "_bucket", *[functions[k](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (k, _) in values.items()])

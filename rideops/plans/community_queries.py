@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rideops.operators import accounts as ac, community as c, drivers as d
+from rideops.operators import accounts as ac, community as c, drivers as d, subscriptions
 from rideops.plans.common import r6
 from rideops.sources import adapters as a
 
@@ -89,7 +89,7 @@ def account_purge(spark, sf):
 
 
 def subscription_state(spark, sf):
-    return ac.subscription_state(a.subscription_events(spark, sf), a.drivers(spark, sf))
+    return subscriptions.subscription_state(a.subscription_events(spark, sf), a.drivers(spark, sf))
 
 
 def campaign_audience(spark, sf):

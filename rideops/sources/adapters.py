@@ -221,6 +221,8 @@ def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(user % 2 == 0, F.concat(F.lit("sub_"), user.cast("string"))).alias("subscription_id"),
         F.when(user % 3 == 0, F.concat(F.lit("ctm_"), user.cast("string"))).alias("customer_id"),
         F.when(user % 5 == 0, "trialing").alias("subscription_status"),
+        F.when(user % 4 == 0, F.lit(NOW) + user % 30 * 86400).alias("subscription_current_period_end"),
+        F.when(user % 7 == 0, F.lit(NOW) + user % 500 * 60).alias("subscription_updated_at"),
     )
 
 
@@ -309,17 +311,33 @@ def _as_subscription_events(orders: DataFrame) -> DataFrame:
         (key - F.when(key % 13 == 0, 1).otherwise(0)).alias("n"), "o_custkey",
         kind.alias("event_type"), occurred.alias("occurred_at"),
         (F.lit(NOW) + key * 30).alias("received_at"), key.alias("k"))
-    number = F.col("k")
+    number, user = F.col("k"), F.col("o_custkey").cast("string")
+    about, has_ids = F.col("event_type").startswith("subscription."), number % 11 != 0
+    subscription = F.concat(F.lit("sub_"), user, F.when(number % 7 == 0, "b").otherwise(""))
+    customer, mail = F.concat(F.lit("ctm_"), user), F.concat(F.lit("user"), user, F.lit("@example.com"))
+
+    def iso(hours: int, zone: str) -> Column:
+        return F.concat(F.date_format(F.timestamp_seconds(F.lit(NOW + 3600 * hours) + number % 60 * 86400), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(zone))
+
     data = F.struct(
-        F.when(number % 3 == 0, F.col("o_custkey")).cast("string").alias("custom_user_id"),
-        F.concat(F.lit("sub_"), F.col("o_custkey").cast("string")).alias("subscription_id"),
-        F.when(number % 4 != 0, F.concat(F.lit("ctm_"), F.col("o_custkey").cast("string"))).alias("customer_id"),
+        F.when(~about, F.concat(F.lit("txn_"), number.cast("string"))).when(has_ids, subscription).alias("id"),
+        F.when(~about & has_ids, subscription).alias("subscription_id"),
+        F.when(has_ids & (number % 8).isin(1, 2, 3), customer).alias("customer_id"),
+        F.when(has_ids & (number % 8).isin(5, 6, 7), F.struct(customer.alias("id"), F.when(number % 8 == 6, mail).alias("email"))).alias("customer"),
+        F.when((number % 3 == 0) & (number % 15 != 0), F.struct(user.alias("user_id"))).alias("custom_data"),
+        F.when(number % 9 == 0, F.concat(F.lit(" User"), user, F.lit("@Example.com "))).when(number % 9 == 2, "nobody@example.org").alias("email"),
+        F.when(number % 9 == 3, mail).alias("customer_email"), F.when((number % 9).isin(2, 6), mail).alias("user_email"),
         F.element_at(F.array(F.lit("active"), F.lit("past_due"), F.lit("trialing")), (number % 3 + 1).cast("int")).alias("status"),
-        F.when(number % 2 == 0, F.lit(NOW) + number % 60 * 86400).alias("period_end"),
+        F.when(number % 2 == 0, F.struct(iso(0, "Z").alias("ends_at"))).alias("current_billing_period"),
+        F.when(number % 10 == 5, F.struct(iso(2, "+02:00").alias("ends_at"))).alias("billing_period"),
+        F.when(number % 10 == 7, iso(0, "+00:00")).when(number % 10 == 9, "soon").alias("next_billed_at"),
     )
+    event = F.struct(
+        "event_type", F.when(number % 15 == 0, F.struct(F.col("o_custkey").alias("user_id"))).alias("custom_data"),
+        F.when(number % 9 == 1, mail).alias("email"), data.alias("data"))
     return base.select(
         F.concat(F.lit("evt_"), F.col("n").cast("string")).alias("event_id"), "event_type",
-        "occurred_at", "received_at", F.to_json(data).alias("raw_event_json"))
+        "occurred_at", "received_at", F.to_json(event).alias("raw_event_json"))
 
 
 def experiment_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
