@@ -43,25 +43,27 @@ _claims("micro_claims", 0.20, False)
 # The guard as a walk over every user's heartbeats and attempts in time order.
 view("guard_order", """
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, kind, event_id) AS n FROM (
-    SELECT user_id, seen_at AS t, 0 AS kind, event_id, lat, lng FROM heartbeats UNION ALL SELECT user_id, created_at, 1, pickup_id, lat, lng FROM pickups)""", "heartbeats", "pickups")
+    SELECT user_id, seen_at AS t, 0 AS kind, event_id, lat, lng, NULL AS voided_at FROM heartbeats UNION ALL SELECT user_id, created_at, 1, pickup_id, lat, lng, voided_at FROM pickups)""", "heartbeats", "pickups")
 view("guard_walk", f"""
   WITH RECURSIVE walk AS (
     SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS t, 0 AS kind, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS decision,
       CAST(NULL AS BIGINT) AS last_at, CAST(NULL AS DOUBLE) AS last_lat, CAST(NULL AS DOUBLE) AS last_lng, CAST(NULL AS BIGINT) AS end_at, CAST(NULL AS DOUBLE) AS end_lat, CAST(NULL AS DOUBLE) AS end_lng,
-      CAST(NULL AS BIGINT) AS move_start, CAST(NULL AS BIGINT) AS last_motion, CAST(NULL AS BIGINT) AS acc_at, CAST(NULL AS DOUBLE) AS acc_lat, CAST(NULL AS DOUBLE) AS acc_lng FROM guard_order
+      CAST(NULL AS BIGINT) AS move_start, CAST(NULL AS BIGINT) AS last_motion, CAST([] AS STRUCT(t BIGINT, lat DOUBLE, lng DOUBLE, voided BIGINT)[]) AS taken FROM guard_order
     UNION ALL
     SELECT user_id, n, t, kind, event_id, decision, CASE WHEN kind = 0 THEN t ELSE last_at END, CASE WHEN kind = 0 THEN lat ELSE last_lat END, CASE WHEN kind = 0 THEN lng ELSE last_lng END,
       CASE WHEN broke THEN last_at ELSE end_at END, CASE WHEN broke THEN last_lat ELSE end_lat END, CASE WHEN broke THEN last_lng ELSE end_lng END,
       CASE WHEN kind = 1 THEN move_start WHEN moved THEN coalesce(CASE WHEN NOT broke THEN move_start END, last_at) WHEN broke OR stale THEN NULL ELSE move_start END,
       CASE WHEN kind = 1 THEN last_motion WHEN moved THEN t WHEN broke OR stale THEN NULL ELSE last_motion END,
-      CASE WHEN accepted THEN t ELSE acc_at END, CASE WHEN accepted THEN lat ELSE acc_lat END, CASE WHEN accepted THEN lng ELSE acc_lng END
+      CASE WHEN accepted THEN list_append(taken, {{'t': t, 'lat': lat, 'lng': lng, 'voided': voided_at}}) ELSE taken END
     FROM (SELECT *, coalesce(decision IN ('driving_evidence', 'relocated_from_previous_session', 'relocated_from_last_accepted_trip'), FALSE) AS accepted FROM (
       SELECT *, CASE WHEN kind = 0 THEN NULL WHEN t < acc_at + 600 THEN 'pickup_cooldown_active' WHEN t - move_start >= 360 AND t - last_motion <= 180 THEN 'driving_evidence'
           WHEN from_end >= 0.25 THEN 'relocated_from_previous_session' WHEN from_acc >= 0.25 THEN 'relocated_from_last_accepted_trip' WHEN from_acc <= 0.08 THEN 'pickup_same_position' ELSE 'pickup_needs_recent_driving' END AS decision FROM (
-        SELECT o.user_id, o.n, o.t, o.kind, o.event_id, o.lat, o.lng, last_at, last_lat, last_lng, end_at, end_lat, end_lng, move_start, last_motion, acc_at, acc_lat, acc_lng,
+        SELECT *, {haversine('acc.lat', 'acc.lng', 'lat', 'lng')} AS from_acc, acc.t AS acc_at FROM (
+        SELECT o.user_id, o.n, o.t, o.kind, o.event_id, o.lat, o.lng, o.voided_at, last_at, last_lat, last_lng, end_at, end_lat, end_lng, move_start, last_motion, taken,
+          list_last(list_filter(taken, lambda x: x.voided IS NULL OR x.voided > o.t)) AS acc,
           coalesce(o.kind = 0 AND o.t - last_at > 480, FALSE) AS broke, coalesce(o.kind = 0 AND {haversine('last_lat', 'last_lng', 'o.lat', 'o.lng')} >= 0.05, FALSE) AS moved,
-          coalesce(o.kind = 0 AND o.t - last_motion > 180, FALSE) AS stale, {haversine('end_lat', 'end_lng', 'o.lat', 'o.lng')} AS from_end, {haversine('acc_lat', 'acc_lng', 'o.lat', 'o.lng')} AS from_acc
-        FROM walk w JOIN guard_order o ON o.user_id = w.user_id AND o.n = w.n + 1))))
+          coalesce(o.kind = 0 AND o.t - last_motion > 180, FALSE) AS stale, {haversine('end_lat', 'end_lng', 'o.lat', 'o.lng')} AS from_end
+        FROM walk w JOIN guard_order o ON o.user_id = w.user_id AND o.n = w.n + 1)))))
   SELECT * FROM walk WHERE n > 0""", "guard_order")
 view("bracket", """
   SELECT *, min(least(level, 0)) OVER (PARTITION BY user_id ORDER BY t, kind, event_id) AS lowest FROM (

@@ -30,12 +30,12 @@ def statements() -> dict[str, str]:
         "stream_pickup_guard": statement("""
           SELECT user_id, event_id, t AS tried_at, decision, decision IN ('driving_evidence', 'relocated_from_previous_session', 'relocated_from_last_accepted_trip') AS ok FROM guard_walk WHERE kind = 1""", "guard_walk"),
         "stream_outcome_settlement": statement("""
-          SELECT r.user_id, r.zone_id, r.recommendation_id, recommended_at, pickup_id, p.created_at AS picked_up_at, pickup_id IS NOT NULL AS converted_to_trip
-          FROM recommendations r LEFT JOIN pickups p ON p.user_id = r.user_id AND p.zone_id = r.zone_id AND p.created_at BETWEEN r.recommended_at AND r.recommended_at + 5400
-          WHERE pickup_id IS NOT NULL OR r.recommended_at + 5400 < least((SELECT max(recommended_at) FROM recommendations), (SELECT max(created_at) FROM pickups)) - 600""", "recommendations", "pickups"),
+          SELECT r.user_id, r.zone_id, r.recommendation_id, recommended_at, pickup_id, c.settled_at AS picked_up_at, minutes_to_trip, distance_miles, pickup_id IS NOT NULL AS converted_to_trip
+          FROM recommendations r LEFT JOIN hotspot_claims c ON c.recommendation_id = r.recommendation_id, (SELECT max(seen_at) - 600 AS m FROM user_events WHERE event_type IN ('view', 'purchase'))
+          WHERE c.settled_at < m OR (c.settled_at IS NULL AND recommended_at + 5400 < m)""", "recommendations", "hotspot_claims", "user_events"),
         "stream_event_dedup": statement("""
           SELECT user_key, event_id, occurred_at, received_at FROM (
-            SELECT subscription_id AS user_key, event_id, occurred_at, received_at, max(occurred_at) OVER (PARTITION BY subscription_id ORDER BY received_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM dedup_first)
+            SELECT coalesce(subscription_id, 'none') AS user_key, event_id, occurred_at, received_at, max(occurred_at) OVER (PARTITION BY coalesce(subscription_id, 'none') ORDER BY received_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM dedup_first)
           WHERE newest IS NULL OR occurred_at > newest""", "dedup_first"),
         "stream_expiry": statement("""
           SELECT event_id AS item_id, seen_at AS created_at, seen_at + 1800 AS expired_at FROM user_events

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rideops.functions.columns import clip
@@ -28,30 +28,57 @@ def miles_between(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
     return 2 * 6371000.0 * 0.000621371 * math.asin(math.sqrt(min(1.0, a)))
 
 
-def _claim(open_recs: deque, row: tuple, max_miles: float, fallback: bool) -> list[tuple]:
-    """One event of a (user, zone) session; the state holds the recommendations still open.
+def best_claim(open_recs: Iterable[tuple], at: int, lat: float | None, lng: float | None, max_miles: float, fallback: bool) -> tuple[tuple, float | None] | None:
+    """The open recommendation (at, id, lat, lng) a pickup takes, and its miles if it is near.
 
-    A pickup takes the smallest (miles to nine places, newest, largest id); one out of reach
-    counts as infinitely far, and only with ``fallback``.
+    It takes the smallest (miles to nine places, newest, largest id); one out of reach counts as
+    infinitely far, and only with ``fallback``.
     """
-    user, zone, _, at, is_pickup, event_id, lat, lng = row
-    while open_recs and at - open_recs[0][0] > WINDOW_SECONDS:
-        open_recs.popleft()
-    if not is_pickup:
-        open_recs.append((at, event_id, lat, lng))
-        return []
-
     def distance(rec: tuple) -> float:
         miles = math.inf if None in (*rec, lat, lng) else miles_between(lat, lng, *rec[2:])
         return miles if miles <= max_miles else math.inf
 
     ranked = [(round(miles, 9), -rec[0], -rec[1], miles, rec) for rec in open_recs if (miles := distance(rec)) < math.inf or fallback]
     if not ranked:
-        return []
+        return None
     *_, miles, rec = min(ranked, key=lambda r: r[:3])
+    return rec, miles if miles < math.inf else None
+
+
+def _claim(open_recs: deque, row: tuple, max_miles: float, fallback: bool) -> list[tuple]:
+    """One event of a (user, zone) chain; the state holds the recommendations still open."""
+    user, zone, _, at, is_pickup, event_id, lat, lng = row
+    while open_recs and at - open_recs[0][0] > WINDOW_SECONDS:
+        open_recs.popleft()
+    if not is_pickup:
+        open_recs.append((at, event_id, lat, lng))
+        return []
+    found = best_claim(open_recs, at, lat, lng, max_miles, fallback)
+    if found is None:
+        return []
+    rec, miles = found
     open_recs.remove(rec)
-    near = miles < math.inf
-    return [(user, zone, event_id, rec[1], at, (at - rec[0]) / 60.0, miles if near else None, near)]
+    return [(user, zone, event_id, rec[1], at, (at - rec[0]) / 60.0, miles, miles is not None)]
+
+
+def _linked(events: DataFrame) -> DataFrame:
+    """Per (user, zone, bucket of 5400 s) what its events can reach, and the chain of the bucket.
+
+    A pickup reaches recommendations of its own bucket and of the one before, so the first and
+    last times of both kinds tell exactly whether an event has a partner at all, and whether a
+    claim can cross the border of two buckets. Chains end where none can.
+    """
+    is_pickup, at = F.col("is_pickup"), F.col("at")
+    parts = events.groupBy("user_id", "zone_id", "_bucket").agg(
+        F.min(F.when(~is_pickup, at)).alias("first_rec"), F.max(F.when(~is_pickup, at)).alias("last_rec"),
+        F.min(F.when(is_pickup, at)).alias("first_pickup"), F.max(F.when(is_pickup, at)).alias("last_pickup"))
+    order = Window.partitionBy("user_id", "zone_id").orderBy("_bucket")
+    parts = parts.withColumns({
+        "rec_before": F.when(F.lag("_bucket").over(order) == F.col("_bucket") - 1, F.lag("last_rec").over(order)),
+        "pickup_after": F.when(F.lead("_bucket").over(order) == F.col("_bucket") + 1, F.lead("first_pickup").over(order))})
+    crossed = F.coalesce(F.col("first_pickup") - F.col("rec_before") <= WINDOW_SECONDS, F.lit(False))
+    chain = F.max(F.when(~crossed, F.col("_bucket"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return parts.select("user_id", "zone_id", "_bucket", "first_rec", "last_pickup", "rec_before", "pickup_after", chain.alias("chain"))
 
 
 def settle_outcomes(recommendations: DataFrame, pickups: DataFrame, max_miles: float, fallback: bool) -> DataFrame:
@@ -59,8 +86,10 @@ def settle_outcomes(recommendations: DataFrame, pickups: DataFrame, max_miles: f
 
     The nearest centre within ``max_miles`` of those made in the last 5400 s wins, the newer on
     ties; with ``fallback`` the newest open one is taken when none is near enough. A claim closes
-    the recommendation for later pickups, which makes the rule sequential. Events more than
-    5400 s apart cannot interact, so a user's events are cut there and the parts fold in parallel.
+    the recommendation for later pickups, which makes the rule sequential. Events without a partner
+    within 5400 s are dropped first, by an exact semi-join on buckets; the others are folded in
+    chains that end where no claim can cross. Two scans, no checkpoint; rows without a time, user
+    or zone settle nothing.
     """
     rec = recommendations.select(
         "user_id", "zone_id", F.col("recommended_at").alias("at"), F.lit(False).alias("is_pickup"),
@@ -68,13 +97,14 @@ def settle_outcomes(recommendations: DataFrame, pickups: DataFrame, max_miles: f
     pick = pickups.select(
         "user_id", "zone_id", F.col("created_at").alias("at"), F.lit(True).alias("is_pickup"),
         F.col("pickup_id").alias("event_id"), "lat", "lng")
-    events = with_bucket(rec.unionByName(pick).withColumn("pair", F.struct("user_id", "zone_id")), "at")
-    seen = cut_lineage(with_previous(events, "pair", "at", "event_id", ["at"]))
-    starts = F.when(F.col("prev_at").isNull() | (F.col("at") - F.col("prev_at") > WINDOW_SECONDS), F.col("at"))
-    cut = with_running(seen, "pair", "at", ["at", "event_id"], {"session_at": ("max", starts)})
-    rows = cut.select("user_id", "zone_id", "session_at", "at", "is_pickup", "event_id", "lat", "lng")
+    events = with_bucket(rec.unionByName(pick).dropna(subset=["user_id", "zone_id", "at"]), "at", WINDOW_SECONDS)
+    rows = events.join(_linked(events), ["user_id", "zone_id", "_bucket"])
+    at = F.col("at")
+    partner = F.when(F.col("is_pickup"), (F.col("first_rec") <= at) | (F.col("rec_before") >= at - WINDOW_SECONDS)).otherwise(
+        (F.col("last_pickup") >= at) | (F.col("pickup_after") <= at + WINDOW_SECONDS))
+    rows = rows.filter(partner).select("user_id", "zone_id", "chain", "at", "is_pickup", "event_id", "lat", "lng")
     return fold_sorted(
-        rows, ["user_id", "zone_id", "session_at"], ["at", "is_pickup", "event_id"], deque,
+        rows, ["user_id", "zone_id", "chain"], ["at", "is_pickup", "event_id"], deque,
         lambda state, row: _claim(state, row, max_miles, fallback),
         "user_id long, zone_id int, pickup_id long, recommendation_id long, settled_at long, "
         "minutes_to_trip double, distance_miles double, spatial boolean")

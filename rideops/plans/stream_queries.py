@@ -50,8 +50,10 @@ def stream_daily_stats(spark, sf):
 def stream_pickup_guard(spark, sf):
     _stateful(spark)
     e = a.user_events_stream(spark, sf)
-    both = F.when(F.col("event_type") == "purchase", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    events = e.select("user_id", "at", "ts", "event_id", "lat", "lng", F.explode(both).alias("kind"))
+    kinds = F.when(F.col("event_type") != "purchase", F.array(F.lit(0))).when(F.col("event_id") % 11 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
+    events = e.select("user_id", "at", "ts", "event_id", "lat", "lng", F.explode(kinds).alias("kind"))
+    # A void arrives half an hour after its attempt.
+    events = events.withColumn("at", F.when(F.col("kind") == 2, F.col("at") + 1800).otherwise(F.col("at"))).withColumn("ts", F.timestamp_seconds("at"))
     return _run(spark, jobs.pickup_guard(events), "guard").filter(F.col("kind") == 1).select(
         "user_id", "event_id", F.col("at").alias("tried_at"), "decision", "ok")
 
@@ -59,7 +61,8 @@ def stream_pickup_guard(spark, sf):
 def stream_event_dedup(spark, sf):
     _stateful(spark)
     e = a.subscription_events_stream(spark, sf)
-    keyed = e.withColumn("user_key", F.get_json_object("raw_event_json", "$.subscription_id"))
+    own = F.when(F.col("event_type").startswith("subscription."), F.get_json_object("raw_event_json", "$.data.id"))
+    keyed = e.withColumn("user_key", F.coalesce(F.get_json_object("raw_event_json", "$.data.subscription_id"), own, F.lit("none")))
     return _run(spark, jobs.event_dedup(keyed, "30 days"), "dedup")
 
 
@@ -75,11 +78,14 @@ def stream_expiry(spark, sf):
 
 
 def stream_outcome_settlement(spark, sf):
+    _stateful(spark)
     e = a.user_events_stream(spark, sf)
-    rec = e.filter(F.col("event_type") == "view").select("user_id", "zone_id", F.col("event_id").alias("recommendation_id"), F.col("at").alias("recommended_at"), "ts")
-    again = a.user_events_stream(spark, sf)
-    pick = again.filter(F.col("event_type") == "purchase").select("user_id", "zone_id", F.col("event_id").alias("pickup_id"), F.col("at").alias("created_at"), "ts")
-    return _run(spark, jobs.outcome_settlement(rec, pick), "settlement")
+    is_view = F.col("event_type") == "view"
+    events = e.filter(F.col("event_type").isin("view", "purchase")).select(
+        "user_id", "zone_id", "ts", "at", F.when(is_view, 0).otherwise(1).alias("kind"), "event_id",
+        F.when(is_view, F.col("next_lat")).otherwise(F.col("lat")).alias("lat"), F.when(is_view, F.col("next_lng")).otherwise(F.col("lng")).alias("lng"))
+    out = _run(spark, jobs.outcome_settlement(events), "settlement")
+    return out.select("user_id", "zone_id", "recommendation_id", "recommended_at", "pickup_id", "picked_up_at", *r6("minutes_to_trip", "distance_miles"), "converted_to_trip")
 
 
 QUERIES = {

@@ -17,8 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rideops.operators import drivers
 from rideops.operators.drivers import MAX_COUNTED_GAP, MAX_MPH, MIN_MILES, MIN_MPH
-from rideops.operators.guidance import GUARD_SCHEMA, SESSION_BREAK, GuardState, guard_step
-from rideops.operators.outcomes import WINDOW_SECONDS, miles_between
+from rideops.operators.guidance import GUARD_SCHEMA, SESSION_BREAK, AcceptedTrips, GuardState, guard_step
+from rideops.operators.outcomes import HOTSPOT_MAX_MILES, WINDOW_SECONDS, best_claim, miles_between
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STALE_SECONDS = 300
@@ -142,13 +142,17 @@ def read_daily_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 class GuardProcessor(StatefulProcessor):
-    """The pickup guard's fold with its state kept between triggers."""
+    """The pickup guard's fold with its state kept between triggers.
 
-    FIELDS = ("last", "session_end", "accepted")
+    Accepted pickups are a list, since a void brings back the one before it.
+    """
+
+    FIELDS = ("last", "session_end")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         triples = ", ".join(f"{f}_at long, {f}_lat double, {f}_lng double" for f in self.FIELDS)
         self.state = handle.getValueState("guard", f"{triples}, move_start long, last_motion long")
+        self.accepted = handle.getListState("accepted", "at long, event_id long, lat double, lng double")
 
     def _load(self) -> GuardState:
         guard = GuardState()
@@ -156,7 +160,9 @@ class GuardProcessor(StatefulProcessor):
             row = tuple(self.state.get())
             for i, f in enumerate(self.FIELDS):
                 setattr(guard, f, row[3 * i:3 * i + 3] if row[3 * i] is not None else None)
-            guard.streak = tuple(row[9:11])
+            guard.streak = tuple(row[6:8])
+        if self.accepted.exists():
+            guard.accepted = AcceptedTrips([(*row, None) for row in self.accepted.get()])
         return guard
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -166,6 +172,10 @@ class GuardProcessor(StatefulProcessor):
             out.extend(guard_step(guard, row))
         held = [v for f in self.FIELDS for v in (getattr(guard, f) or (None, None, None))]
         self.state.update((*held, *guard.streak))
+        if guard.accepted.rows:
+            self.accepted.put([row[:4] for row in guard.accepted.rows])
+        elif self.accepted.exists():
+            self.accepted.clear()
         yield pd.DataFrame(out, columns=[part.split()[0] for part in GUARD_SCHEMA.split(",")])
 
     def close(self) -> None:
@@ -173,7 +183,7 @@ class GuardProcessor(StatefulProcessor):
 
 
 def pickup_guard(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Guard states and decisions over united heartbeats (kind 0) and attempts (kind 1)."""
+    """Guard states and decisions over united heartbeats (kind 0), attempts (kind 1) and their voids (kind 2)."""
     return events.withWatermark("ts", delay).groupBy("user_id").transformWithStateInPandas(
         GuardProcessor(), outputStructType=GUARD_SCHEMA, outputMode="Append", timeMode="EventTime")
 
@@ -246,18 +256,90 @@ def expiry(items: DataFrame, ttl_seconds: int = 86400, delay: str = "10 minutes"
         ExpiryProcessor(ttl_seconds), outputStructType="item_id long, created_at long, expired_at long", outputMode="Append", timeMode="EventTime")
 
 
-def outcome_settlement(recommendations: DataFrame, pickups: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Recommendations with every pickup of the user and zone in the following 5400 s.
+SETTLED = ("user_id long, zone_id int, recommendation_id long, recommended_at long, pickup_id long, picked_up_at long, "
+           "minutes_to_trip double, distance_miles double, converted_to_trip boolean")
+
+
+class SettlementProcessor(StatefulProcessor):
+    """One-to-one claims of one user and zone.
+
+    Events wait in a list until the watermark has passed their time, so that none before them can
+    still arrive; then they are taken in time order, whatever triggers brought them. Open
+    recommendations are a list as well: a pickup claims one as in the batch operator, and one that
+    outlives its window comes out unconverted.
+    """
+
+    def __init__(self, max_miles: float, fallback: bool) -> None:
+        self.max_miles, self.fallback = max_miles, fallback
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, kind int, event_id long, lat double, lng double")
+        self.open = handle.getListState("open", "at long, event_id long, lat double, lng double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            new = list(_tuples(batch, ["at", "kind", "event_id", "lat", "lng"]))
+            self.waiting.appendList(new)
+            first = min([r[0] for r in new] + ([] if first is None else [first]))
+        self.handle.registerTimer(first * 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        out = []
+
+        def expire(at: float) -> None:
+            for rec in [r for r in held if at - r[0] > WINDOW_SECONDS]:
+                held.remove(rec)
+                out.append((*key, rec[1], rec[0], None, None, None, None, False))
+
+        ready = sorted(r for r in waiting if r[0] * 1000 < now)
+        for at, kind, event_id, lat, lng in ready:
+            expire(at)
+            if kind == 0:
+                held.append((at, event_id, lat, lng))
+                continue
+            found = best_claim(held, at, lat, lng, self.max_miles, self.fallback)
+            if found:
+                rec, miles = found
+                held.remove(rec)
+                out.append((*key, rec[1], rec[0], event_id, at, (at - rec[0]) / 60.0, miles, True))
+        expire(now / 1000)
+        later = [r for r in waiting if r[0] * 1000 >= now]
+        for state, rows in ((self.waiting, later), (self.open, held)):
+            if rows:
+                state.put(rows)
+            elif state.exists():
+                state.clear()
+        times = [r[0] for r in later] + [r[0] + WINDOW_SECONDS for r in held]
+        if times:
+            self.handle.registerTimer(min(times) * 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=[part.split()[0] for part in SETTLED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def settlement_events(recommendations: DataFrame, pickups: DataFrame) -> DataFrame:
+    """Both inputs of :func:`outcome_settlement` as one stream; kind 0 recommends, 1 picks up."""
+    rec = recommendations.select("user_id", "zone_id", "ts", F.col("recommended_at").alias("at"), F.lit(0).alias("kind"), F.col("recommendation_id").alias("event_id"),
+                                 F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"))
+    return rec.unionByName(pickups.select("user_id", "zone_id", "ts", F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.col("pickup_id").alias("event_id"), "lat", "lng"))
+
+
+def outcome_settlement(events: DataFrame, max_miles: float = HOTSPOT_MAX_MILES, fallback: bool = True, delay: str = "10 minutes") -> DataFrame:
+    """Settled recommendations of a stream of :func:`settlement_events`, each once.
 
-    A recommendation without one comes out unconverted when the watermark passes its window. A
-    batch pass over the pairs (:mod:`rideops.operators.outcomes`) makes them one to one.
+    What comes out is what :func:`rideops.operators.outcomes.settle_outcomes` gives, for pickups
+    before the watermark, and the recommendations whose window of 5400 s lies before it unclaimed.
     """
-    rec = recommendations.withWatermark("ts", delay).alias("r")
-    pick = pickups.withWatermark("ts", delay).alias("p")
-    cond = F.expr(f"r.user_id = p.user_id and r.zone_id = p.zone_id and p.ts >= r.ts and p.ts <= r.ts + interval {WINDOW_SECONDS} seconds")
-    return rec.join(pick, cond, "leftOuter").select(
-        "r.user_id", "r.zone_id", "r.recommendation_id", "r.recommended_at", "p.pickup_id", F.col("p.created_at").alias("picked_up_at"),
-        F.col("p.pickup_id").isNotNull().alias("converted_to_trip"))
+    return events.withWatermark("ts", delay).groupBy("user_id", "zone_id").transformWithStateInPandas(
+        SettlementProcessor(max_miles, fallback), outputStructType=SETTLED, outputMode="Append", timeMode="EventTime")
 
 
 def run_available(stream: DataFrame, path: str) -> DataFrame:

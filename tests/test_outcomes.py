@@ -41,6 +41,26 @@ def test_claims_match_brute_force(spark):
         assert len({x.recommendation_id for x in rows}) == len(rows)
 
 
+def test_claims_of_a_user_who_never_pauses(spark):
+    """Half of all rows are one user's, an event every minute for days, at every border of the buckets."""
+    rng = random.Random(8)
+    recs = [(i, 1, 1, 60 * i + rng.randint(0, 3), 40.70 + rng.randint(0, 9) / 1000, -73.98) for i in range(3000)]
+    picks = [(i, 1, 1, rng.choice([300 * i, 5400 * (i // 18) + rng.choice([-1, 0, 1, 5399])]), 40.70 + rng.randint(0, 9) / 1000, -73.98) for i in range(500)]
+    more = [(10_000 + i, 2 + i % 700, 1, rng.randint(0, 180_000), 40.70, -73.98) for i in range(3000)]
+    lone = [(10_000 + i, 2 + i % 700, 1, rng.randint(0, 180_000), 40.70, -73.98) for i in range(500)]
+    r, p = spark.createDataFrame(recs + more, REC), spark.createDataFrame(picks + lone, PICK)
+    for fn, limit, fallback in ((o.settle_hotspot_outcomes, 0.35, True), (o.settle_micro_outcomes, 0.20, False)):
+        got = {(x.pickup_id, x.recommendation_id) for x in fn(r, p).collect()}
+        assert got == _brute(recs, picks, limit, fallback) | _brute(more, lone, limit, fallback)
+
+
+def test_rows_without_a_place_or_time(spark):
+    r = spark.createDataFrame([(1, 7, 1, 100, None, None), (2, 7, 1, None, 40.70, -73.98), (3, None, 1, 100, 40.70, -73.98)], REC)
+    p = spark.createDataFrame([(11, 7, 1, 200, 40.70, -73.98), (12, None, 1, 200, 40.70, -73.98), (13, 7, None, 200, None, None)], PICK)
+    assert [(x.pickup_id, x.recommendation_id, x.spatial) for x in o.settle_hotspot_outcomes(r, p).collect()] == [(11, 1, False)]
+    assert o.settle_micro_outcomes(r, p).count() == 0
+
+
 def test_two_pickups_compete(spark):
     r = spark.createDataFrame([(1, 7, 1, 100, 40.70, -73.98)], REC)
     p = spark.createDataFrame([(11, 7, 1, 200, 40.70, -73.98), (12, 7, 1, 300, 40.70, -73.98), (13, 7, 1, 9000, 40.70, -73.98)], PICK)
@@ -91,6 +111,58 @@ def test_guard_fold(spark):
                                           "relocated_from_last_accepted_trip"]
 
 
+def _walk(beats, tries):
+    """The guard one event after the other, voids included."""
+    events = sorted([(b[2], 0, b[0], b[1], b[3], b[4], None) for b in beats] + [(t[4], 1, t[0], t[1], t[5], t[6], t[7]) for t in tries])
+    states, out = {}, []
+    for at, kind, event_id, user, lat, lng, voided_at in events:
+        s, taken = states.setdefault(user, (g.GuardState(), []))
+        decision = None
+        if kind == 0:
+            s.heartbeat(at, lat, lng)
+        else:
+            valid = [x for x in taken if x[3] is None or x[3] > at]
+            decision, ok = g.verdict(at, lat, lng, s.session_end, s.streak, valid[-1][:3] if valid else None)
+            if ok:
+                taken.append((at, lat, lng, voided_at))
+        out.append((user, at, kind, event_id, decision, s.session_end and s.session_end[0], *s.streak))
+    return sorted(out, key=str)
+
+
+def test_guard_equals_a_walk_with_half_of_the_rows_one_driver(spark):
+    """Standing, driving, breaks, ties and hours without a heartbeat; a bucket's border may fall anywhere."""
+    rng = random.Random(11)
+    beats, tries, at, lat = [], [], {1: 0, 2: 0, 3: 500}, {1: 40.7, 2: 40.7, 3: 40.7}
+    for i in range(2400):
+        user = 1 if i % 2 else rng.choice([2, 3])
+        at[user] += rng.choice([0, 10, 60, 60, 60, 100, 179, 181, 200, 480, 481, 2000 if rng.random() < 0.2 else 60])
+        lat[user] += rng.choice([0, 0, 0, 0.0005, 0.001, 0.004])
+        beats.append((i, user, at[user], lat[user], -73.98))
+        if rng.random() < 0.15:
+            when = at[user] + rng.choice([0, 1, 5000 if rng.random() < 0.1 else 30])
+            tries.append((i, user, 1, 1, when, lat[user] + rng.choice([0, 0.0005, 0.003]), -73.98, when + rng.choice([1, 500, 5000]) if rng.random() < 0.4 else None))
+    hb = spark.createDataFrame(beats, "event_id long, user_id long, at long, lat double, lng double")
+    tr = spark.createDataFrame(tries, "pickup_id long, user_id long, zone_id int, x int, created_at long, lat double, lng double, voided_at long")
+    for bucket in (600, 3600):
+        rows = g.pickup_guard(hb, tr, bucket).collect()
+        got = sorted(((r.user_id, r.at, r.kind, r.event_id, r.decision, r.previous_session_end_at, r.movement_streak_started_at, r.last_meaningful_motion_at) for r in rows), key=str)
+        assert got == _walk(beats, tries)
+    assert len({r.decision for r in rows}) == 7
+
+
+def test_void_between_two_attempts_changes_the_second(spark):
+    hb = spark.createDataFrame([(t, 1, t, 40.70 + t / 20_000, -73.98) for t in range(0, 500, 60)], "event_id long, user_id long, at long, lat double, lng double")
+
+    def decisions(voided_at):
+        tries = [(1, 1, 1, 480, 40.724, -73.98, None), (2, 1, 1, 1200, 40.730, -73.98, voided_at), (3, 1, 1, 2000, 40.730, -73.98, None)]
+        out = g.pickup_guard(hb, spark.createDataFrame(tries, PICK + ", voided_at long")).filter("kind = 1").orderBy("event_id").collect()
+        return [r.decision for r in out]
+
+    moved = ["driving_evidence", "relocated_from_last_accepted_trip"]
+    assert decisions(None) == decisions(2001) == [*moved, "pickup_same_position"]
+    assert decisions(1500) == decisions(2000) == [*moved, "relocated_from_last_accepted_trip"]
+
+
 def test_guard_session_break():
     s = g.GuardState()
     s.heartbeat(0, 40.70, -73.98)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rideops.operators import drivers, guidance
+from rideops.operators import drivers, guidance, outcomes
 from rideops.sources import adapters as a
 from rideops.streaming import jobs
 from tests.conftest import SF
@@ -43,16 +43,22 @@ def test_guard_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_settlement_pairs_equal_batch(spark, tmp_path):
-    rec = _with_ts(a.recommendations(spark, SF).withColumn("at", F.col("recommended_at")))
-    pick = _with_ts(a.pickups(spark, SF).withColumn("at", F.col("created_at")))
-    (tmp_path / "r").mkdir(), (tmp_path / "p").mkdir()
-    out = jobs.run_available(jobs.outcome_settlement(_replay(spark, rec, tmp_path / "r", 1), _replay(spark, pick, tmp_path / "p", 1)), str(tmp_path))
-    got = {(r.recommendation_id, r.pickup_id) for r in out.filter("converted_to_trip").collect()}
-    pairs = rec.alias("r").join(pick.alias("p"), F.expr("r.user_id = p.user_id and r.zone_id = p.zone_id and p.at between r.at and r.at + 5400"))
-    assert got == {(r.recommendation_id, r.pickup_id) for r in pairs.collect()} and got
-    lone = {r.recommendation_id for r in out.filter("not converted_to_trip").collect()}
-    assert not lone & {x for x, _ in got}
+def test_settlement_equals_batch_whatever_the_triggers(spark, tmp_path):
+    """Rows in random order over five triggers; what the watermark has passed is the batch's result."""
+    rec, pick = a.recommendations(spark, SF), a.pickups(spark, SF)
+    events = jobs.settlement_events(rec.withColumn("ts", F.timestamp_seconds("recommended_at")), pick.withColumn("ts", F.timestamp_seconds("created_at")))
+    path = str(tmp_path / "in")
+    for part in range(5):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == part).coalesce(1).write.mode("append").parquet(path)
+    last = events.agg(F.max("at")).first()[0]
+    # A row of the far future moves the watermark past everything else.
+    late = events.limit(1).withColumns({"user_id": F.lit(-1).cast("long"), "at": F.lit(last + 200_000), "ts": F.timestamp_seconds(F.lit(last + 200_000))})
+    late.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = jobs.run_available(jobs.outcome_settlement(stream, delay="1 day"), str(tmp_path)).collect()
+    want = outcomes.settle_hotspot_outcomes(rec, pick).collect()
+    assert {(r.recommendation_id, r.pickup_id, r.picked_up_at) for r in out if r.converted_to_trip} == {(r.recommendation_id, r.pickup_id, r.settled_at) for r in want} and want
+    assert sorted(r.recommendation_id for r in out) == sorted(r.recommendation_id for r in rec.collect())
 
 
 def test_expiry_timers(spark, tmp_path):
