@@ -63,7 +63,7 @@ def stream_event_dedup(spark, sf):
     e = a.subscription_events_stream(spark, sf)
     own = F.when(F.col("event_type").startswith("subscription."), F.get_json_object("raw_event_json", "$.data.id"))
     keyed = e.withColumn("user_key", F.coalesce(F.get_json_object("raw_event_json", "$.data.subscription_id"), own, F.lit("none")))
-    return _run(spark, jobs.event_dedup(keyed, "30 days"), "dedup")
+    return _run(spark, jobs.event_dedup(keyed, 30 * 86400), "dedup")
 
 
 def stream_expiry(spark, sf):
@@ -73,7 +73,7 @@ def stream_expiry(spark, sf):
     items = e.filter(F.col("event_type").isin("view", "purchase")).select(
         "user_id", F.col("event_id").alias("item_id"), F.lit("created").alias("kind"), "at", "ts")
     answered = e.filter((F.col("event_type") == "view") & (F.col("event_id") % 3 == 0)).select(
-        "user_id", F.col("event_id").alias("item_id"), F.lit("responded").alias("kind"), (F.col("at") + 600).alias("at"), "ts")
+        "user_id", F.col("event_id").alias("item_id"), F.lit("responded").alias("kind"), (F.col("at") + 600).alias("at"), F.timestamp_seconds(F.col("at") + 600).alias("ts"))
     return _run(spark, jobs.expiry(items.union(answered), 1800, "10 minutes"), "expiry")
 
 

@@ -87,10 +87,10 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_user_events(table(spark, sf_dir, "events"))
 
 
-def user_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`user_events` as a stream, with the event time as a timestamp."""
+def user_events_stream(spark: SparkSession, sf_dir: str, max_bytes: int = 8 << 30) -> DataFrame:
+    """:func:`user_events` as a stream, with the event time as a timestamp; a trigger takes ``max_bytes`` at most, or one file."""
     schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", str(max_bytes)).parquet(sf_dir)
     return _as_user_events(raw).withColumn("ts", F.timestamp_seconds("at"))
 
 

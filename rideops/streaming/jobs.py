@@ -1,14 +1,16 @@
 """Structured Streaming versions of the stateful operators, in event time.
 
 Input streams carry a timestamp column ``ts`` next to the epoch column of their batch
-counterpart. State per key is one small row; a trigger's rows of a key are ordered before they
-are folded, so out-of-order rows inside a trigger give the batch result. The stateful jobs need
-the RocksDB state store (:func:`require_state_store`).
+counterpart. Jobs whose result depends on order keep rows in state until the watermark has passed
+them and take them in time order, so the result does not depend on how rows fell into triggers:
+it is the batch result of the rows before the watermark. ``maxBytesPerTrigger`` of the source
+bounds a trigger. The stateful jobs need the RocksDB state store (:func:`require_state_store`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,18 +21,20 @@ from rideops.operators import drivers
 from rideops.operators.drivers import MAX_COUNTED_GAP, MAX_MPH, MIN_MILES, MIN_MPH
 from rideops.operators.guidance import GUARD_SCHEMA, SESSION_BREAK, AcceptedTrips, GuardState, guard_step
 from rideops.operators.outcomes import HOTSPOT_MAX_MILES, WINDOW_SECONDS, best_claim, miles_between
+from rideops.streaming.totals import append_totals, read_totals
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STALE_SECONDS = 300
+#: Rows of one output frame.
+FRAME_ROWS = 10_000
 
 
 def require_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    parts = list(rows)
-    return (parts[0] if len(parts) == 1 else pd.concat(parts)).sort_values(by, kind="stable")
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
 
 
 def _tuples(batch: pd.DataFrame, columns: list[str]) -> Iterator[tuple]:
@@ -38,6 +42,71 @@ def _tuples(batch: pd.DataFrame, columns: list[str]) -> Iterator[tuple]:
     return zip(*[batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in columns])
 
 
+class OrderedProcessor(StatefulProcessor):
+    """Takes the rows of a key in time order, each once the watermark has passed it.
+
+    ``ROW`` is the schema of the kept rows, ``at`` first and then what breaks ties; ``OUT`` that of
+    the output. :meth:`take` gets the rows that are due, sorted, and gives output rows;
+    :meth:`due` says up to which second a state waits for the watermark, if it does. Rows lie in a
+    list in state and output leaves in frames of bounded size, so memory holds one key's rows
+    within the watermark's delay.
+    """
+
+    ROW = OUT = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.ROW)
+        self.open_state(handle)
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def take(self, key: tuple, rows: list[tuple], now: float) -> Iterable[tuple]:
+        """Output for the due ``rows``, in order, and for the passage of time up to ``now`` (seconds)."""
+        raise NotImplementedError
+
+    def due(self) -> int | None:
+        return None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            new = list(_tuples(batch, _names(self.ROW)))
+            self.waiting.appendList(new)
+            first = min([r[0] for r in new] + ([] if first is None else [first]))
+        self.handle.registerTimer(first * 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        out = iter(self.take(tuple(key), sorted(r for r in waiting if r[0] < now), now))
+        while frame := list(islice(out, FRAME_ROWS)):
+            yield pd.DataFrame(frame, columns=_names(self.OUT))
+        later = [r for r in waiting if r[0] >= now]
+        keep(self.waiting, later)
+        times = [t for t in (min((r[0] for r in later), default=None), self.due()) if t is not None]
+        if times:
+            self.handle.registerTimer(min(times) * 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def keep(state: object, rows: list[tuple]) -> None:
+    """A list in state becomes ``rows``."""
+    if rows:
+        state.put(rows)
+    elif state.exists():
+        state.clear()
+
+
+def ordered(stream: DataFrame, keys: list[str], processor: OrderedProcessor, delay: str) -> DataFrame:
+    return stream.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
+        processor, outputStructType=processor.OUT, outputMode="Append", timeMode="EventTime")
+
+
 def zone_demand(points: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Pickups per zone in 20-minute windows, emitted once the watermark passes them."""
     counts = points.withWatermark("ts", delay).groupBy(F.window("ts", "20 minutes"), "zone_id").agg(F.count("*").alias("pickups"))
@@ -55,101 +124,93 @@ def sessions(heartbeats: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return out.select("user_id", "started_at", "ended_at", "heartbeats")
 
 
-class PresenceProcessor(StatefulProcessor):
-    """Last position per driver; a removal when nothing newer arrives for 300 s."""
+class PresenceProcessor(OrderedProcessor):
+    """Every position of a driver, and a removal when nothing follows for 300 s."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at long, lat double, lng double")
+    ROW = "at long, event_id long, lat double, lng double"
+    OUT = "user_id long, kind string, at long, lat double, lng double"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = _sorted(rows, ["at", "event_id"]).iloc[-1]
-        held = self.last.get() if self.last.exists() else None
-        if held is None or newest["at"] >= held[0]:
-            if held is not None:
-                self.handle.deleteTimer((held[0] + STALE_SECONDS) * 1000)
-            at = int(newest["at"])
-            self.last.update((at, float(newest["lat"]), float(newest["lng"])))
-            self.handle.registerTimer((at + STALE_SECONDS) * 1000)
-            yield pd.DataFrame([(key[0], "item", at, float(newest["lat"]), float(newest["lng"]))], columns=["user_id", "kind", "at", "lat", "lng"])
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long, lat double, lng double")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists():
-            at, lat, lng = self.last.get()
+    def take(self, key: tuple, rows: list[tuple], now: float) -> Iterable[tuple]:
+        last = tuple(self.last.get()) if self.last.exists() else None
+        for at, _, lat, lng in rows:
+            if last is not None and at - last[0] > STALE_SECONDS:
+                yield (*key, "stale", *last)
+            last = (at, lat, lng)
+            yield (*key, "item", *last)
+        if last is not None and now - last[0] > STALE_SECONDS:
+            yield (*key, "stale", *last)
+            last = None
+        if last is not None:
+            self.last.update(last)
+        elif self.last.exists():
             self.last.clear()
-            yield pd.DataFrame([(key[0], "stale", at, lat, lng)], columns=["user_id", "kind", "at", "lat", "lng"])
 
-    def close(self) -> None:
-        pass
+    def due(self) -> int | None:
+        return self.last.get()[0] + STALE_SECONDS if self.last.exists() else None
 
 
 def presence(heartbeats: DataFrame, delay: str = "1 minute") -> DataFrame:
-    return heartbeats.withWatermark("ts", delay).groupBy("user_id").transformWithStateInPandas(
-        PresenceProcessor(), outputStructType="user_id long, kind string, at long, lat double, lng double", outputMode="Append", timeMode="EventTime")
+    return ordered(heartbeats, ["user_id"], PresenceProcessor(), delay)
 
 
-class SegmentProcessor(StatefulProcessor):
-    """Counted interval from the previous heartbeat. Rows older than it add no movement."""
+class SegmentProcessor(OrderedProcessor):
+    """Counted interval from the previous heartbeat."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    ROW = "at long, event_id long, lat double, lng double"
+    OUT = "user_id long, event_id long, at long, counted_seconds long, counted_miles double"
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at long, lat double, lng double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def take(self, key: tuple, rows: list[tuple], now: float) -> Iterable[tuple]:
         last = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for at, event_id, lat, lng in _tuples(_sorted(rows, ["at", "event_id"]), ["at", "event_id", "lat", "lng"]):
+        for at, event_id, lat, lng in rows:
             seconds, miles = 0, 0.0
             gap = at - last[0] if last else 0
             if gap > 0:
                 d = miles_between(last[1], last[2], lat, lng)
                 if MIN_MPH <= d / (gap / 3600.0) <= MAX_MPH and d >= MIN_MILES:
                     seconds, miles = min(gap, MAX_COUNTED_GAP), d
-            out.append((key[0], event_id, at, seconds, miles))
-            if last is None or at >= last[0]:
-                last = (at, lat, lng)
-        self.last.update(last)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "at", "counted_seconds", "counted_miles"])
-
-    def close(self) -> None:
-        pass
+            last = (at, lat, lng)
+            yield (*key, event_id, at, seconds, miles)
+        if last is not None:
+            self.last.update(last)
 
 
 def daily_segments(heartbeats: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Per heartbeat what it adds; feed to :func:`append_daily_stats` in ``foreachBatch``."""
-    return heartbeats.withWatermark("ts", delay).groupBy("user_id").transformWithStateInPandas(
-        SegmentProcessor(), outputStructType="user_id long, event_id long, at long, counted_seconds long, counted_miles double",
-        outputMode="Append", timeMode="EventTime")
+    return ordered(heartbeats, ["user_id"], SegmentProcessor(), delay)
 
 
-def append_daily_stats(path: str):
-    """A ``foreachBatch`` writer: the trigger's totals per driver and date, under its batch id.
+def append_daily_stats(path: str, compact_every: int = 50) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer of the trigger's totals per driver and date; see :mod:`rideops.streaming.totals`."""
+    def totals(batch: DataFrame) -> DataFrame:
+        rows = drivers.split_by_business_day(batch).select("user_id", "nyc_date", F.col("split_miles").alias("miles"), F.col("seconds").cast("long").alias("seconds"), F.lit(0).cast("long").alias("beats"))
+        return rows.unionByName(batch.select("user_id", drivers.times.business_date(F.col("at")).alias("nyc_date"), F.lit(0.0).alias("miles"), F.lit(0).cast("long").alias("seconds"),
+                                             F.lit(1).cast("long").alias("beats")))
 
-    Replaying a batch overwrites its own folder, so totals over the table stay exact.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = drivers.split_by_business_day(batch).select("user_id", "nyc_date", F.col("split_miles").alias("miles"), "seconds", F.lit(0).alias("beats"))
-        beats = batch.select("user_id", drivers.times.business_date(F.col("at")).alias("nyc_date"), F.lit(0.0).alias("miles"), F.lit(0).cast("long").alias("seconds"), F.lit(1).alias("beats"))
-        totals = rows.unionByName(beats).groupBy("user_id", "nyc_date").agg(
-            F.sum("miles").alias("miles"), F.sum("seconds").alias("seconds"), F.sum("beats").alias("beats"))
-        totals.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return write
+    return append_totals(path, totals, ["user_id"], "nyc_date", ["miles", "seconds", "beats"], compact_every)
 
 
 def read_daily_stats(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("user_id", "nyc_date").agg(
-        F.sum("miles").alias("miles_worked"), (F.sum("seconds") / 3600.0).alias("hours_worked"), F.sum("beats").alias("heartbeat_count"))
+    return read_totals(spark, path, ["user_id"], "nyc_date", ["miles", "seconds", "beats"]).select(
+        "user_id", "nyc_date", F.col("miles").alias("miles_worked"), (F.col("seconds") / 3600.0).alias("hours_worked"), F.col("beats").alias("heartbeat_count"))
 
 
-class GuardProcessor(StatefulProcessor):
+class GuardProcessor(OrderedProcessor):
     """The pickup guard's fold with its state kept between triggers.
 
     Accepted pickups are a list, since a void brings back the one before it.
     """
 
+    ROW = "at long, kind int, event_id long, lat double, lng double"
+    OUT = GUARD_SCHEMA
     FIELDS = ("last", "session_end")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         triples = ", ".join(f"{f}_at long, {f}_lat double, {f}_lng double" for f in self.FIELDS)
         self.state = handle.getValueState("guard", f"{triples}, move_start long, last_motion long")
         self.accepted = handle.getListState("accepted", "at long, event_id long, lat double, lng double")
@@ -165,164 +226,156 @@ class GuardProcessor(StatefulProcessor):
             guard.accepted = AcceptedTrips([(*row, None) for row in self.accepted.get()])
         return guard
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        guard, out = self._load(), []
-        columns = ["user_id", "at", "kind", "event_id", "lat", "lng"]
-        for row in _tuples(_sorted(rows, ["at", "kind", "event_id"]), columns):
-            out.extend(guard_step(guard, row))
+    def take(self, key: tuple, rows: list[tuple], now: float) -> Iterable[tuple]:
+        guard = self._load()
+        for row in rows:
+            yield from guard_step(guard, (*key, *row))
         held = [v for f in self.FIELDS for v in (getattr(guard, f) or (None, None, None))]
         self.state.update((*held, *guard.streak))
-        if guard.accepted.rows:
-            self.accepted.put([row[:4] for row in guard.accepted.rows])
-        elif self.accepted.exists():
-            self.accepted.clear()
-        yield pd.DataFrame(out, columns=[part.split()[0] for part in GUARD_SCHEMA.split(",")])
-
-    def close(self) -> None:
-        pass
+        keep(self.accepted, [row[:4] for row in guard.accepted.rows])
 
 
 def pickup_guard(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Guard states and decisions over united heartbeats (kind 0), attempts (kind 1) and their voids (kind 2)."""
-    return events.withWatermark("ts", delay).groupBy("user_id").transformWithStateInPandas(
-        GuardProcessor(), outputStructType=GUARD_SCHEMA, outputMode="Append", timeMode="EventTime")
+    return ordered(events, ["user_id"], GuardProcessor(), delay)
+
+
+class FirstProcessor(StatefulProcessor):
+    """The copy of an event that was received first; later ones go while it is remembered."""
+
+    def __init__(self, remember_seconds: int) -> None:
+        self.remember = remember_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "received_at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["received_at", "occurred_at", "user_key", "ts"]
+        first = min((row for batch in rows for row in zip(*[batch[c].tolist() for c in columns])), key=lambda r: r[:3])
+        if self.seen.exists():
+            return
+        self.seen.update((int(first[0]),))
+        self.handle.registerTimer((int(first[0]) + self.remember) * 1000)
+        yield pd.DataFrame([(first[2], key[0], first[1], first[0], first[3])], columns=["user_key", "event_id", "occurred_at", "received_at", "ts"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 class NewestProcessor(StatefulProcessor):
-    """Drops events that are not newer than the newest one let through before."""
+    """Drops events that are not newer than the newest one let through before, in order of arrival."""
+
+    OUT = "user_key string, event_id string, occurred_at long, received_at long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", "occurred_at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest, out = (self.newest.get()[0] if self.newest.exists() else None), []
-        columns = ["user_key", "event_id", "occurred_at", "received_at"]
-        for row in _tuples(_sorted(rows, ["received_at", "event_id"]), columns):
-            if newest is None or row[2] > newest:
-                newest = row[2]
-                out.append(row)
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        arrived = sorted(((received, event, occurred) for batch in rows for received, event, occurred in _tuples(batch, ["received_at", "event_id", "occurred_at"])))
+        out = []
+        for received, event, occurred in arrived:
+            if newest is None or occurred > newest:
+                newest = occurred
+                out.append((key[0], event, occurred, received))
         if newest is not None:
             self.newest.update((newest,))
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=_names(self.OUT))
 
     def close(self) -> None:
         pass
 
 
-def event_dedup(events: DataFrame, delay: str = "1 day") -> DataFrame:
+def event_dedup(events: DataFrame, delay_seconds: int = 86400) -> DataFrame:
     """First delivery of each event id, then only events newer than the key's newest one.
 
-    Repeats are recognised within the watermark delay, which bounds the state.
+    Of several copies the one received first survives. An id is remembered for the watermark's
+    delay, which bounds the state.
     """
-    fresh = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    return fresh.groupBy("user_key").transformWithStateInPandas(
-        NewestProcessor(), outputStructType="user_key string, event_id string, occurred_at long, received_at long",
-        outputMode="Append", timeMode="EventTime")
+    fresh = events.select("event_id", "received_at", "occurred_at", "user_key", "ts").withWatermark("ts", f"{delay_seconds} seconds").groupBy("event_id").transformWithStateInPandas(
+        FirstProcessor(delay_seconds), outputStructType="user_key string, event_id string, occurred_at long, received_at long, ts timestamp",
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts")
+    return fresh.groupBy("user_key").transformWithStateInPandas(NewestProcessor(), outputStructType=NewestProcessor.OUT, outputMode="Append", timeMode="EventTime")
+
 
+class ExpiryProcessor(OrderedProcessor):
+    """Pending items that get no response within the time to live. Creating one again renews it."""
 
-class ExpiryProcessor(StatefulProcessor):
-    """Pending items that get no response within the time to live."""
+    ROW = "at long, kind string"
+    OUT = "item_id long, created_at long, expired_at long"
 
     def __init__(self, ttl_seconds: int) -> None:
         self.ttl = ttl_seconds
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.created = handle.getValueState("created", "at long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for kind, at in _tuples(_sorted(rows, ["at"]), ["kind", "at"]):
-            if kind == "created":
-                self.created.update((at,))
-                self.handle.registerTimer((at + self.ttl) * 1000)
-            elif self.created.exists() and at < self.created.get()[0] + self.ttl:
-                self.handle.deleteTimer((self.created.get()[0] + self.ttl) * 1000)
-                self.created.clear()
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.created.exists():
-            at = self.created.get()[0]
+    def take(self, key: tuple, rows: list[tuple], now: float) -> Iterable[tuple]:
+        pending = self.created.get()[0] if self.created.exists() else None
+        for at, kind in [*rows, (now, "")]:
+            if pending is not None and (at > pending + self.ttl if kind == "" else at >= pending + self.ttl):
+                yield (*key, pending, pending + self.ttl)
+                pending = None
+            if kind:
+                pending = at if kind == "created" else None
+        if pending is not None:
+            self.created.update((pending,))
+        elif self.created.exists():
             self.created.clear()
-            yield pd.DataFrame([(key[0], at, at + self.ttl)], columns=["item_id", "created_at", "expired_at"])
 
-    def close(self) -> None:
-        pass
+    def due(self) -> int | None:
+        return self.created.get()[0] + self.ttl if self.created.exists() else None
 
 
 def expiry(items: DataFrame, ttl_seconds: int = 86400, delay: str = "10 minutes") -> DataFrame:
     """Expired items of a stream of (item_id, kind created|responded, at, ts)."""
-    return items.withWatermark("ts", delay).groupBy("item_id").transformWithStateInPandas(
-        ExpiryProcessor(ttl_seconds), outputStructType="item_id long, created_at long, expired_at long", outputMode="Append", timeMode="EventTime")
+    return ordered(items, ["item_id"], ExpiryProcessor(ttl_seconds), delay)
 
 
 SETTLED = ("user_id long, zone_id int, recommendation_id long, recommended_at long, pickup_id long, picked_up_at long, "
            "minutes_to_trip double, distance_miles double, converted_to_trip boolean")
 
 
-class SettlementProcessor(StatefulProcessor):
+class SettlementProcessor(OrderedProcessor):
     """One-to-one claims of one user and zone.
 
-    Events wait in a list until the watermark has passed their time, so that none before them can
-    still arrive; then they are taken in time order, whatever triggers brought them. Open
-    recommendations are a list as well: a pickup claims one as in the batch operator, and one that
-    outlives its window comes out unconverted.
+    Open recommendations are a list in state: a pickup claims one as in the batch operator, and one
+    that outlives its window comes out unconverted.
     """
 
+    ROW = "at long, kind int, event_id long, lat double, lng double"
+    OUT = SETTLED
+
     def __init__(self, max_miles: float, fallback: bool) -> None:
         self.max_miles, self.fallback = max_miles, fallback
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, kind int, event_id long, lat double, lng double")
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getListState("open", "at long, event_id long, lat double, lng double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            new = list(_tuples(batch, ["at", "kind", "event_id", "lat", "lng"]))
-            self.waiting.appendList(new)
-            first = min([r[0] for r in new] + ([] if first is None else [first]))
-        self.handle.registerTimer(first * 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+    def take(self, key: tuple, rows: list[tuple], now: float) -> Iterable[tuple]:
         held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        out = []
-
-        def expire(at: float) -> None:
-            for rec in [r for r in held if at - r[0] > WINDOW_SECONDS]:
-                held.remove(rec)
-                out.append((*key, rec[1], rec[0], None, None, None, None, False))
-
-        ready = sorted(r for r in waiting if r[0] * 1000 < now)
-        for at, kind, event_id, lat, lng in ready:
-            expire(at)
+        for at, kind, event_id, lat, lng in [*rows, (now, None, None, None, None)]:
+            gone = [r for r in held if at - r[0] > WINDOW_SECONDS]
+            held = held[len(gone):]  # oldest first
+            for rec in gone:
+                yield (*key, rec[1], rec[0], None, None, None, None, False)
             if kind == 0:
                 held.append((at, event_id, lat, lng))
-                continue
-            found = best_claim(held, at, lat, lng, self.max_miles, self.fallback)
+            found = best_claim(held, at, lat, lng, self.max_miles, self.fallback) if kind == 1 else None
             if found:
                 rec, miles = found
                 held.remove(rec)
-                out.append((*key, rec[1], rec[0], event_id, at, (at - rec[0]) / 60.0, miles, True))
-        expire(now / 1000)
-        later = [r for r in waiting if r[0] * 1000 >= now]
-        for state, rows in ((self.waiting, later), (self.open, held)):
-            if rows:
-                state.put(rows)
-            elif state.exists():
-                state.clear()
-        times = [r[0] for r in later] + [r[0] + WINDOW_SECONDS for r in held]
-        if times:
-            self.handle.registerTimer(min(times) * 1000 + 1)
-        if out:
-            yield pd.DataFrame(out, columns=[part.split()[0] for part in SETTLED.split(", ")])
+                yield (*key, rec[1], rec[0], event_id, at, (at - rec[0]) / 60.0, miles, True)
+        keep(self.open, held)
+        self.oldest = held[0][0] if held else None
 
-    def close(self) -> None:
-        pass
+    def due(self) -> int | None:
+        return None if self.oldest is None else self.oldest + WINDOW_SECONDS
 
 
 def settlement_events(recommendations: DataFrame, pickups: DataFrame) -> DataFrame:
@@ -338,8 +391,7 @@ def outcome_settlement(events: DataFrame, max_miles: float = HOTSPOT_MAX_MILES,
     What comes out is what :func:`rideops.operators.outcomes.settle_outcomes` gives, for pickups
     before the watermark, and the recommendations whose window of 5400 s lies before it unclaimed.
     """
-    return events.withWatermark("ts", delay).groupBy("user_id", "zone_id").transformWithStateInPandas(
-        SettlementProcessor(max_miles, fallback), outputStructType=SETTLED, outputMode="Append", timeMode="EventTime")
+    return ordered(events, ["user_id", "zone_id"], SettlementProcessor(max_miles, fallback), delay)
 
 
 def run_available(stream: DataFrame, path: str) -> DataFrame:
