@@ -21,7 +21,7 @@ STEPS = 8
 def value_bucket(value: Column) -> Column:
     """Monotone in the value. NaN and infinities fall into the outermost buckets, where they sort last."""
     size = F.floor(STEPS * F.log2(1 + F.least(F.abs(value), F.lit(1e300)))).cast("int")
-    return F.when(value < 0, -size).otherwise(size)
+    return F.when(value < 0, -size).when(value.isNotNull(), size)
 
 
 def bucketed_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
