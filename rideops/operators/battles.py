@@ -7,35 +7,34 @@ from pyspark.sql import functions as F
 
 from rideops.functions.columns import lenient_true
 from rideops.operators.drivers import public_name
+from rideops.operators.ordered import with_running
 
 # XP of a won and a lost game, presence freshness in seconds.
 WINNER_XP, LOSER_XP = 60, 0
 ONLINE_SECONDS = 300
+MONTH_SECONDS = 30 * 86400
 METRIC_COLUMNS = {"miles": "miles_worked", "hours": "hours_worked"}
 
 
-def _metric_value() -> Column:
-    out = None
-    for key, name in METRIC_COLUMNS.items():
-        cond = F.col("metric") == key
-        out = F.when(cond, F.col(name)) if out is None else out.when(cond, F.col(name))
-    return out.otherwise(0)
-
-
 def side_totals(battles: DataFrame, stats: DataFrame) -> DataFrame:
     """Period total of both sides less their start values, not below 0.
 
-    ``start_date`` and ``end_date`` of a battle bound the days. One equi-join on the user covers
-    both sides; AQE splits it where one user has very many battles.
+    ``start_date`` and ``end_date`` of a battle bound the days. A total is the difference of two
+    running totals of the user, so a side looks up two days among the user's days and is never
+    joined with the days between them. Users with very many battles or days are spread over months.
     """
-    sides = battles.select("battle_id", "metric", "start_date", "end_date", F.explode(F.array(
-        F.struct(F.lit("a").alias("side"), F.col("challenger_id").alias("user_id")),
-        F.struct(F.lit("b").alias("side"), F.col("challenged_id").alias("user_id")))).alias("s")).select(
-        "battle_id", "metric", "start_date", "end_date", "s.*")
-    joined = sides.join(stats, "user_id").filter(F.col("nyc_date").between(F.col("start_date"), F.col("end_date")))
-    sums = joined.groupBy("battle_id").agg(
-        F.sum(F.when(F.col("side") == "a", _metric_value())).alias("a_total"),
-        F.sum(F.when(F.col("side") == "b", _metric_value())).alias("b_total"))
+    length = F.greatest("end_date", F.date_sub("start_date", 1))
+    looks = F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(user).alias("user_id"), day.alias("nyc_date"), F.lit(sign).alias("sign"))
+        for side, user in (("a", "challenger_id"), ("b", "challenged_id")) for day, sign in ((length, 1), (F.date_sub("start_date", 1), -1))])
+    metrics = {name: F.coalesce(name, F.lit(0)).alias(name) for name in METRIC_COLUMNS.values()}
+    days = stats.select("user_id", "nyc_date", F.lit(0).alias("kind"), *metrics.values())
+    asked = battles.select("battle_id", "metric", F.explode(looks).alias("s")).select("battle_id", "metric", "s.*").withColumn("kind", F.lit(1))
+    rows = days.unionByName(asked, allowMissingColumns=True).withColumn("at", F.unix_date("nyc_date").cast("long") * 86400)
+    running = with_running(rows, "user_id", "at", ["at", "kind"], {f"sum_{m}": ("sum", F.col(m)) for m in metrics}, MONTH_SECONDS)
+    value = F.coalesce(*[F.when(F.col("metric") == key, F.col(f"sum_{name}")) for key, name in METRIC_COLUMNS.items()], F.lit(0)) * F.col("sign")
+    sums = running.filter("kind = 1").groupBy("battle_id").agg(
+        F.sum(F.when(F.col("side") == "a", value)).alias("a_total"), F.sum(F.when(F.col("side") == "b", value)).alias("b_total"))
     out = battles.join(sums, "battle_id", "left")
     for name, total, start in (("challenger_value", "a_total", "challenger_start"), ("challenged_value", "b_total", "challenged_start")):
         gained = F.round(F.coalesce(total, F.lit(0)), 4) - F.coalesce(start, F.lit(0))

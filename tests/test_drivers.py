@@ -1,6 +1,7 @@
 """Business days, battles, levels and games with literal expectations."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,22 @@ def test_expiry_boundary(spark):
     df = spark.createDataFrame([("pending", 10), ("active", 10)], "status string, expires_at long")
     assert [r.status for r in b.expire_pending(df, 10).collect()] == ["expired", "active"]
     assert [r.status for r in b.expire_pending(df, 10, inclusive=False).collect()] == ["pending", "active"]
+
+
+def test_battle_totals_equal_days_between(spark):
+    """One user has half of all battles; borders on days without work, empty and reversed periods."""
+    rng = random.Random(2)
+    first = datetime.date(2024, 11, 1)
+    days = [(u, first + datetime.timedelta(days=k), rng.randint(0, 9) / 8, rng.randint(0, 4) / 4) for u in (1, 2, 3) for k in range(200) if rng.random() < 0.6]
+    rows = []
+    for i in range(80):
+        start = first + datetime.timedelta(days=rng.randint(-5, 210))
+        rows.append((i, rng.choice(["miles", "hours", "other"]), 1, rng.choice([2, 3, 4]), start, start + datetime.timedelta(days=rng.choice([-1, 0, 6, 29, 100])), rng.choice([None, 1.5]), 0.0))
+    battles = spark.createDataFrame(rows, "battle_id long, metric string, challenger_id long, challenged_id long, start_date date, end_date date, challenger_start double, challenged_start double")
+    got = {r.battle_id: (r.challenger_value, r.challenged_value) for r in b.side_totals(battles, spark.createDataFrame(days, "user_id long, nyc_date date, miles_worked double, hours_worked double")).collect()}
+
+    def total(row, user, start):
+        col = {"miles": 2, "hours": 3}.get(row[1])
+        return max(round(round(sum(d[col] for d in days if col and d[0] == user and row[4] <= d[1] <= row[5]), 4) - (start or 0), 4), 0)
+
+    assert got == {r[0]: (total(r, r[2], r[6]), total(r, r[3], r[7])) for r in rows}
