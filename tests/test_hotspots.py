@@ -1,5 +1,7 @@
 """Literal cases of the hotspot and presence reads that the test tables do not hold."""
 
+import random
+
 import pytest
 
 from rideops.operators import community as c, hotspots as h
@@ -33,6 +35,37 @@ def test_third_hotspot_needs_area_and_support(spark):
     assert {r.zone_id: r.hotspot_limit for r in h.hotspot_limit(parts, shapes).collect()} == {1: 3, 2: 2, 3: 2}
 
 
+def test_nearest_zone_of_any_point_equals_all_distances(spark):
+    """Points inside, between and far outside the zones; cells hold few of the centroids."""
+    from rideops.operators.outcomes import miles_between
+
+    rng = random.Random(4)
+    zones = [(i, 40.5 + rng.random() / 2, -74.2 + rng.random() / 2) for i in range(60)]
+    rows = [(i, [[[x - 0.004, y - 0.003], [x + 0.004, y - 0.003], [x + 0.004, y + 0.003], [x - 0.004, y + 0.003], [x - 0.004, y - 0.003]]], y, x) for i, y, x in zones]
+    shapes = spark.createDataFrame(rows, "zone_id int, rings array<array<array<double>>>, centroid_latitude double, centroid_longitude double")
+    places = [(i, 40.4 + rng.random() * 0.7, -74.3 + rng.random() * 0.7) for i in range(800)] + [(900, 0.0, 0.0), (901, -33.9, 151.2)]
+    out = h.point_to_zone(spark.createDataFrame([*places, (902, None, None)], "event_id long, lat double, lng double"), shapes)
+    got = {r.event_id: r for r in out.collect()}
+    for i, y, x in places:
+        nearest = min((miles_between(y, x, zy, zx), z) for z, zy, zx in zones)
+        inside = [z for z, zy, zx in zones if abs(x - zx) < 0.004 and abs(y - zy) < 0.003]
+        assert got[i].nearest_zone_id == nearest[1] and got[i].containing_zone_id == (min(inside) if inside else None)
+    assert got[902].current_zone_id is None and len(got) == 803
+
+
+def test_pairs_of_zones_meet_once_wherever_cells_lie(spark):
+    """Boxes over many cells, in one borough spelled three ways; one zone has no borough."""
+    def square(x, y, side):
+        return [[[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]]
+
+    boxes = [(1, "Queens", 0.0, 0.0, 0.3), (2, " queens", 0.3, 0.0, 0.2), (3, "QUEENS ", 0.3002, 0.2, 0.1), (4, "Bronx", 0.0, 0.3, 0.1), (5, "", 0.1, 0.3, 0.1), (6, "Queens", 0.302, 0.302, 0.1)]
+    shapes = spark.createDataFrame([(z, b, square(x, y, s)) for z, b, x, y, s in boxes], "zone_id int, borough_name string, rings array<array<array<double>>>")
+    parts = spark.createDataFrame([(z, 0, 1.0, 1.0, 0.0, 0.0) for z, *_ in boxes], "zone_id int, anchor_rank int, component_score double, support_weight double, centroid_x double, centroid_y double")
+    recent = spark.createDataFrame([(1, 0.0, 0.0)], "zone_id int, lat double, lng double")
+    got = sorted((r.zone_id_a, r.zone_id_b, r.borough_name) for r in h.adjacent_hotspot_merge(parts, shapes, recent).collect())
+    assert got == [(1, 2, "queens"), (1, 3, "queens"), (2, 3, "queens")]
+
+
 def test_presence_of_a_deleted_account_is_removed(spark):
     presence = spark.createDataFrame([(1, NOW - 10), (2, NOW - 10), (3, NOW - 5000)], "user_id long, at long")
     users = spark.createDataFrame([(1, False, False, False, "a", "a@b"), (3, False, False, False, "c", "c@b")],
