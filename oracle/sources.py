@@ -38,8 +38,10 @@ def statements() -> dict[str, str]:
         "zone_bin_store": statement(f"""
           SELECT zone_id, bin_local_epoch, pickups_now, rating_citywide_v3, {rounded(['score_citywide_v3'])}, strftime({_DAY}, '%Y-%m') AS month_key FROM scored
           WHERE bin_local_epoch = (SELECT min(bin_local_epoch) FROM scored)""", "scored"),
-        "frame_export": statement("""
-          SELECT bin_local_epoch, CAST(count(*) AS INTEGER) AS n_features, string_agg(zone_id || ':' || rating_citywide_v3 || ':' || bucket_citywide_v3, ',' ORDER BY zone_id) AS features FROM scored GROUP BY 1""", "scored"),
+        "frame_export": statement(f"""
+          SELECT bin_local_epoch, strftime({_DAY}, '%Y-%m-%dT%H:%M:%S') AS frame_time, CAST(count(*) OVER (PARTITION BY bin_local_epoch) AS INTEGER) AS n_features, zone_id AS location_id, 'Feature' AS type,
+            CASE WHEN zone_id % 5 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type, zone_name, borough_name AS borough, FALSE AS airport_excluded, rating_citywide_v3 AS rating, bucket_citywide_v3 AS bucket,
+            pickups_now AS pickups, color_citywide_v3 AS fill, pickups_next, {r6('median_driver_pay')} AS avg_driver_pay, {r6('confidence_citywide_v3')} AS confidence FROM scored""", "scored"),
         "timeline": statement(f"""
           SELECT DISTINCT bin_local_epoch, strftime({_DAY}, '%Y-%m-%d') AS frame_date, strftime({_DAY}, '%A') AS weekday_name, strftime({_DAY}, '%H:%M') AS time_label FROM scored""", "scored"),
         "month_timeline_bootstrap": statement(f"""

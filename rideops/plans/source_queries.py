@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rideops.functions.columns import rounded
 from rideops.plans import common
 from rideops.plans.common import r6
-from rideops.sources import adapters as a, store
+from rideops.sources import adapters as a, geojson, store
 from rideops.sources.zones import zone_geometry, zones_from_features
 
 
@@ -43,9 +44,22 @@ def zone_bin_store(spark, sf):
 
 
 def frame_export(spark, sf):
-    frames = store.frames(common.scored(spark, sf), ["rating_citywide_v3", "bucket_citywide_v3"])
-    text = F.transform("features", lambda f: F.concat_ws(":", f.zone_id.cast("string"), f.rating_citywide_v3.cast("string"), f.bucket_citywide_v3))
-    return frames.select("bin_local_epoch", "n_features", F.array_join(text, ",").alias("features"))
+    """The frame documents, read again: one row per feature."""
+    documents = geojson.frame_documents(common.scored(spark, sf), a.zone_features(spark, sf), ["zone_area_sq_miles", "pickups_next", "confidence_citywide_v3"])
+    v = documents.select("bin_local_epoch", "frame_time", "n_features", F.parse_json("document").alias("v"))
+    v = v.withColumn("f", F.explode(F.try_variant_get("v", "$.polygons.features", "array<variant>")))
+
+    def of(path, kind):
+        return F.try_variant_get("f", path, kind)
+
+    p = "$.properties."
+    return v.select(
+        "bin_local_epoch", F.try_variant_get("v", "$.time", "string").alias("frame_time"), "n_features", of(p + "LocationID", "int").alias("location_id"),
+        of("$.type", "string").alias("type"), of("$.geometry.type", "string").alias("geometry_type"), of(p + "zone_name", "string").alias("zone_name"),
+        of(p + "borough", "string").alias("borough"), of(p + "airport_excluded", "boolean").alias("airport_excluded"), of(p + "rating", "int").alias("rating"),
+        of(p + "bucket", "string").alias("bucket"), of(p + "pickups", "long").alias("pickups"), of(p + "style.fillColor", "string").alias("fill"),
+        of(p + "pickups_next_shadow", "long").alias("pickups_next"), rounded(of(p + "avg_driver_pay", "double"), 6).alias("avg_driver_pay"),
+        rounded(of(p + "confidence_citywide_v3_shadow", "double"), 6).alias("confidence"))
 
 
 def timeline(spark, sf):

@@ -84,17 +84,6 @@ def read_bin(spark: SparkSession, path: str, month: str, bin_local_epoch: int |
     return spark.read.parquet(path).filter((F.col("month_key") == month) & (F.col("bin_local_epoch") == bin_local_epoch))
 
 
-def frames(scored: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One document per bin with its zones as features; a bin has one row per zone."""
-    feature = F.struct("zone_id", *columns)
-    return scored.groupBy("bin_local_epoch").agg(F.sort_array(F.collect_list(feature)).alias("features")).withColumn(
-        "n_features", F.size("features"))
-
-
-def write_frames(frame_rows: DataFrame, path: str) -> None:
-    frame_rows.withColumn("frame_date", times.epoch_date(F.col("bin_local_epoch"))).write.mode("overwrite").partitionBy("frame_date").json(path)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder of the session."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
