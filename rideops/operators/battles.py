@@ -9,8 +9,8 @@ from rideops.functions.columns import lenient_true
 from rideops.operators.drivers import public_name
 from rideops.operators.ordered import with_running
 
-# XP of a won and a lost game, presence freshness in seconds.
-WINNER_XP, LOSER_XP = 60, 0
+# Matches that award XP, presence freshness in seconds.
+AWARDING = ("completed", "forfeited")
 ONLINE_SECONDS = 300
 MONTH_SECONDS = 30 * 86400
 METRIC_COLUMNS = {"miles": "miles_worked", "hours": "hours_worked"}
@@ -117,10 +117,16 @@ def game_record(matches: DataFrame, recent: int = 10) -> DataFrame:
 
 
 def game_xp(matches: DataFrame) -> DataFrame:
-    """One award per match and user, however often the match is delivered."""
-    sides = match_sides(matches.filter(F.col("winner_id").isNotNull()))
-    return sides.groupBy("match_id", "user_id").agg(
-        F.max(F.when(F.col("winner_id") == F.col("user_id"), WINNER_XP).otherwise(LOSER_XP)).alias("xp_awarded"))
+    """One award per match and user, however often the match is delivered.
+
+    Completed and forfeited matches award what they say (``winner_xp_awarded`` and
+    ``loser_xp_awarded``, null: 0) to the winner and the loser they name. Deliveries that differ
+    award the least of what they say.
+    """
+    sides = F.array(F.struct(F.col("winner_id").alias("user_id"), F.col("winner_xp_awarded").alias("xp")),
+                    F.struct(F.col("loser_id").alias("user_id"), F.col("loser_xp_awarded").alias("xp")))
+    named = matches.filter(F.col("status").isin(*AWARDING)).select("match_id", F.explode(sides).alias("s")).filter("s.user_id is not null")
+    return named.groupBy("match_id", "s.user_id").agg(F.min(F.coalesce("s.xp", F.lit(0))).alias("xp_awarded"))
 
 
 def user_cards(users: DataFrame, presence: DataFrame, levels: DataFrame, badges: DataFrame, now: int) -> DataFrame:

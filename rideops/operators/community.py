@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,14 +68,32 @@ def _from_active(messages: DataFrame, users: DataFrame, sender: str = "user_id")
     return messages.join(active_users(users).select(F.col("user_id").alias(sender)), sender, "left_semi")
 
 
-def room_messages(messages: DataFrame, users: DataFrame, room: str, limit: int, after_id: int | None = None,
-                  after_time: int | None = None) -> DataFrame:
-    """The newest ``limit`` messages of a room oldest first, or those after a cursor."""
+def parse_cursor(after: str | None) -> tuple[str, int] | None:
+    """A message id (digits) or an ISO time, UTC if it names no offset; nothing without a text."""
+    text = (after or "").strip()
+    if not text:
+        return None
+    if text.isdigit():
+        return "message_id", int(text)
+    try:
+        at = datetime.fromisoformat(text.replace("Z", "+00:00"))
+    except ValueError:
+        raise ValueError("a cursor is a message id or an ISO time") from None
+    return "created_at", int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp())
+
+
+def room_messages(messages: DataFrame, users: DataFrame, room: str, limit: int, after: str | None = None) -> DataFrame:
+    """The newest messages of a room, or the first ones after a cursor; oldest first either way.
+
+    Between 1 and 200 messages; those of blocked users do not count.
+    """
+    room, cursor, limit = room.strip(), parse_cursor(after), max(1, min(200, limit))
+    if not room:
+        raise ValueError("a room is required")
     kept = _from_active(messages.filter(F.col("room") == room), users)
-    if after_id is not None:
-        return kept.filter(F.col("message_id") > after_id).orderBy("message_id").limit(limit)
-    if after_time is not None:
-        return kept.filter(F.col("created_at") > after_time).orderBy("message_id").limit(limit)
+    if cursor is not None:
+        field, value = cursor
+        return kept.filter(F.col(field) > value).orderBy("message_id").limit(limit)
     return kept.orderBy(F.desc("message_id")).limit(limit).orderBy("message_id")
 
 
@@ -197,26 +216,40 @@ def user_detail(users: DataFrame, presence: DataFrame, pickups: DataFrame, repor
         0, ["pickup_count", "voided_pickup_count", "police_report_count"])
 
 
-def account_purge(tables: dict[str, tuple[DataFrame, list[str]]], anonymize: dict[str, tuple[DataFrame, str]],
-                  leaving: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Remove accounts: remaining rows per table, and what was deleted or anonymised.
+def account_purge(tables: dict[str, tuple[DataFrame, list[str]]], anonymize: dict[str, tuple[DataFrame, str]], media: dict[str, list[str]],
+                  leaving: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Remove accounts: remaining rows per table, what was deleted or anonymised, and files to delete.
 
     ``tables`` gives the user columns of each; a row goes when any of them is leaving. Rows of
-    ``anonymize`` stay, without the user.
+    ``anonymize`` stay, without the user. ``media`` names columns of the tables that hold paths:
+    the third result has each path of a deleted row once. Remaining rows come from one pass with
+    anti-joins; a count reads only the user columns.
     """
-    remaining, counts = {}, []
-    for name, (df, columns) in tables.items():
-        hit = df
+    leaving = leaving.select(F.col("user_id").alias("_leaving")).distinct()
+
+    def going(df: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+        return df.join(leaving, F.col(column) == F.col("_leaving"), how)
+
+    def split(df: DataFrame, columns: list[str]) -> list[DataFrame]:
+        """The rows that go, apart by the first column that is leaving."""
+        parts, rest = [], df
         for c in columns:
-            gone = leaving.select(F.col("user_id").alias(c), F.lit(True).alias(f"_gone_{c}"))
-            hit = hit.join(gone, c, "left")
-        flags = [F.coalesce(f"_gone_{c}", F.lit(False)) for c in columns]
-        any_gone = reduce(lambda a, b: a | b, flags)
-        counts.append(hit.agg(F.count_if(any_gone).alias("rows")).select(F.lit(name).alias("table_name"), F.lit("deleted").alias("what"), "rows"))
-        remaining[name] = hit.filter(~any_gone).select(*df.columns)
+            parts.append(going(rest, c))
+            rest = going(rest, c, "left_anti")
+        return [*parts, rest]
+
+    remaining, counts, files = {}, [], []
+    for name, (df, columns) in tables.items():
+        *parts, remaining[name] = split(df, columns)
+        gone = reduce(DataFrame.unionByName, split(df.select(*columns), columns)[:-1])
+        counts.append(gone.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), F.lit("deleted").alias("what"), "rows"))
+        if media.get(name):
+            paths = F.array_distinct(F.array_compact(F.array(*[F.nullif(F.trim(c), F.lit("")) for c in media[name]])))
+            files += [p.select(F.explode(paths).alias("path")) for p in parts]
     for name, (df, column) in anonymize.items():
-        gone = leaving.select(F.col("user_id").alias(column), F.lit(True).alias("_gone"))
-        hit = df.join(gone, column, "left")
-        counts.append(hit.agg(F.count_if(F.col("_gone")).alias("rows")).select(F.lit(name).alias("table_name"), F.lit("anonymized").alias("what"), "rows"))
-        remaining[name] = hit.withColumn(column, F.when(F.col("_gone"), F.lit(None)).otherwise(F.col(column))).select(*df.columns)
-    return remaining, reduce(DataFrame.unionByName, counts)
+        gone = going(df.select(column), column)
+        counts.append(gone.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), F.lit("anonymized").alias("what"), "rows"))
+        hit = df.join(leaving, F.col(column) == F.col("_leaving"), "left")
+        remaining[name] = hit.withColumn(column, F.when(F.col("_leaving").isNull(), F.col(column))).select(*df.columns)
+    paths = reduce(DataFrame.unionByName, files).distinct() if files else leaving.select(F.lit("").alias("path")).limit(0)
+    return remaining, reduce(DataFrame.unionByName, counts), paths

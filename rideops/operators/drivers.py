@@ -217,8 +217,13 @@ def progression(stats: DataFrame, game_awards: DataFrame | None = None) -> DataF
     return with_level(sums.withColumn("total_xp", F.col("miles_xp") + F.col("hours_xp") + F.col("report_xp") + F.col("game_xp")))
 
 
-def period_report(stats: DataFrame, users: DataFrame, sent: DataFrame, today: Column, period: str) -> DataFrame:
-    """Totals, both ranks and best badge of the last complete period for users not yet mailed."""
+def period_report(stats: DataFrame, users: DataFrame, sent: DataFrame, today: Column, period: str, preferences: DataFrame) -> DataFrame:
+    """Totals, both ranks and best badge of the last complete period for users to be mailed.
+
+    Those are active users with an e-mail address who asked for this kind of report
+    (``<period>_enabled`` of ``preferences``; no row is no) and did not get it yet. A user without
+    work in the period has zeros, no ranks and no badge. Ranks count all active users.
+    """
     this_start, _, _ = period_bounds(today, period)
     start, end, key = period_bounds(F.date_sub(this_start, 1), period)
     inside = stats.filter(F.col("nyc_date").between(start, end))
@@ -226,6 +231,9 @@ def period_report(stats: DataFrame, users: DataFrame, sent: DataFrame, today: Co
                                            F.sum("pickups_recorded").alias("pickups"))
     totals = totals.join(active_users(users).select("user_id", "email", public_name().alias("display_name")), "user_id")
     ranked = with_global_rank(with_global_rank(totals, "miles", "user_id", "miles_rank"), "hours", "user_id", "hours_rank")
+    wants = preferences.filter(lenient_true(F.col(f"{period}_enabled"))).select("user_id").distinct()
+    readers = active_users(users).filter(F.trim("email") != "").select("user_id", "email", public_name().alias("display_name")).join(wants, "user_id", "left_semi")
     already = sent.filter(F.col("report_type") == period).select("user_id", F.col("period_key"))
-    return ranked.withColumns({"period_key": key, "badge_code": badge(F.least("miles_rank", "hours_rank"))}).join(
-        already, ["user_id", "period_key"], "left_anti")
+    out = readers.withColumn("period_key", key).join(already, ["user_id", "period_key"], "left_anti").join(
+        ranked.drop("email", "display_name"), "user_id", "left").fillna(0, ["miles", "hours", "pickups"])
+    return out.withColumn("badge_code", badge(F.least("miles_rank", "hours_rank")))

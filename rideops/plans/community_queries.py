@@ -43,8 +43,14 @@ def live_drivers(spark, sf):
     return out.select("user_id", "display_name", F.col("at").alias("seen_at"), "ghost_mode", "badge_code", *r6("lat", "lng"))
 
 
-def newest_per_room(spark, sf):
-    return c.newest_per_room(a.room_messages(spark, sf), _users(spark, sf), 50).select("room", "message_id", "user_id", "created_at", "message_type", "message", "age_rank")
+def room_messages(spark, sf):
+    """The newest messages of every room, and two reads of a room behind a cursor."""
+    messages, users = a.room_messages(spark, sf), _users(spark, sf)
+    columns = ["room", "message_id", "user_id", "created_at", "message_type", "message"]
+    out = c.newest_per_room(messages, users, 50).select(F.lit("newest").alias("read"), *columns, "age_rank")
+    for read, room, limit, after in (("after_id", "global", 500, "60000"), ("after_time", "room1", 40, "2025-01-04T00:05:00Z"), ("tail", "room2", 30, " ")):
+        out = out.unionByName(c.room_messages(messages, users, room, limit, after).select(F.lit(read).alias("read"), *columns), allowMissingColumns=True)
+    return out
 
 
 def dm_threads(spark, sf):
@@ -77,15 +83,27 @@ def user_detail(spark, sf):
                       "pickup_count", "voided_pickup_count", "police_report_count", *r6("lat", "lng"))
 
 
-def account_purge(spark, sf):
+def _purged(spark, sf):
     leaving = _users(spark, sf).filter(F.col("user_id") % 11 == 3).select("user_id")
+    presence, stats = _presence(spark, sf), a.daily_stats(spark, sf)
+    work = a.heartbeats(spark, sf).groupBy("user_id").agg(F.max("at").alias("last_heartbeat_at"))
     tables = {
-        "heartbeats": (a.heartbeats(spark, sf), ["user_id"]), "room_messages": (a.room_messages(spark, sf), ["user_id"]),
-        "private_messages": (a.private_messages(spark, sf), ["sender_id", "recipient_id"]), "reports": (a.reports(spark, sf), ["user_id"]),
-        "pickups": (a.pickups(spark, sf), ["user_id"]), "daily_stats": (a.daily_stats(spark, sf), ["user_id"]), "users": (_users(spark, sf), ["user_id"])}
-    remaining, counts = c.account_purge(tables, {"outcomes": (a.resolved_outcomes(spark, sf), "user_id")}, leaving)
-    left = c.table_counts(remaining).withColumnRenamed("rows", "remaining")
-    return counts.join(left, "table_name")
+        "presence": (presence, ["user_id"]), "presence_runtime_state": (presence.select("user_id", F.col("at").alias("changed_at")), ["user_id"]),
+        "room_messages": (a.room_messages(spark, sf), ["user_id"]), "private_messages": (a.private_messages(spark, sf), ["sender_id", "recipient_id"]),
+        "reports": (a.reports(spark, sf), ["user_id"]), "pickups": (a.pickups(spark, sf), ["user_id"]),
+        "pickup_guard_state": (work.withColumnRenamed("last_heartbeat_at", "last_seen_at"), ["user_id"]), "driver_work_state": (work, ["user_id"]),
+        "daily_stats": (stats, ["user_id"]), "badges": (d.current_badges(stats, a.drivers(spark, sf), F.lit("2025-06-18").cast("date")), ["user_id"]), "users": (_users(spark, sf), ["user_id"])}
+    media = {t: ["audio_path"] for t in ("room_messages", "private_messages")}
+    return c.account_purge(tables, {"outcomes": (a.resolved_outcomes(spark, sf), "user_id")}, media, leaving)
+
+
+def account_purge(spark, sf):
+    remaining, counts, _ = _purged(spark, sf)
+    return counts.join(c.table_counts(remaining).withColumnRenamed("rows", "remaining"), "table_name")
+
+
+def purged_media(spark, sf):
+    return _purged(spark, sf)[2]
 
 
 def subscription_state(spark, sf):
@@ -104,7 +122,7 @@ QUERIES = {
     "presence_counts": lambda s, sf: c.presence_counts(_presence(s, sf), _users(s, sf), a.NOW, AGE),
     "live_drivers": live_drivers,
     "active_users": lambda s, sf: d.active_users(_users(s, sf)).select("user_id", "email"),
-    "room_messages": newest_per_room,
+    "room_messages": room_messages,
     "room_summary": lambda s, sf: c.room_summary(a.room_messages(s, sf), _users(s, sf), 100_000),
     "dm_threads": dm_threads,
     "dm_conversation": lambda s, sf: c.dm_conversation(a.private_messages(s, sf), 1, 8, 100).select("message_id", "sender_id", "recipient_id", "created_at", "text"),
@@ -118,6 +136,7 @@ QUERIES = {
     "table_counts": table_counts,
     "user_detail": user_detail,
     "account_purge": account_purge,
+    "purged_media": purged_media,
     "subscription_state": subscription_state,
     "access_status": lambda s, sf: ac.access_status(_users(s, sf), a.NOW),
     "active_comps": lambda s, sf: ac.active_comps(_users(s, sf), a.NOW, "r"),

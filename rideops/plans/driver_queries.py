@@ -81,7 +81,11 @@ def _sent(spark, sf):
 
 
 def period_report(spark, sf):
-    return d.period_report(a.daily_stats(spark, sf), a.drivers(spark, sf), _sent(spark, sf), _today(), "monthly")
+    user = F.col("user_id")
+    users = a.drivers(spark, sf).withColumn("email", F.when(user % 29 == 0, " ").when(user % 31 != 0, F.col("email")))
+    preferences = users.filter(user % 7 != 0).select("user_id", (user % 3 != 1).alias("monthly_enabled"), F.lit(True).alias("weekly_enabled"))
+    return d.period_report(a.daily_stats(spark, sf), users, _sent(spark, sf), _today(), "monthly", preferences).select(
+        "user_id", "email", "display_name", "miles", "hours", "pickups", "miles_rank", "hours_rank", "period_key", "badge_code")
 
 
 def _settled(spark, sf):

@@ -102,7 +102,7 @@ def activity_snapshot(spark, sf):
     advice = a.guidance(spark, sf).join(
         _settled_guidance(spark, sf).select("guidance_id", F.lit(True).alias("converted_to_trip")), "guidance_id", "left")
     outcomes = a.resolved_outcomes(spark, sf)
-    return g.activity_snapshot(_latest(spark, sf), g.guard_states(a.heartbeats(spark, sf)), a.pickups(spark, sf), outcomes, outcomes, advice, a.NOW)
+    return g.activity_snapshot(_latest(spark, sf), g.guard_states(a.heartbeats(spark, sf)), a.pickups(spark, sf), outcomes, outcomes, advice, a.guidance_states(spark, sf), a.NOW)
 
 
 def guidance_action(spark, sf):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rideops.functions.columns import rounded
 from rideops.plans import common
 from rideops.plans.common import r6
-from rideops.sources import adapters as a, geojson, store
+from rideops.sources import adapters as a, footers, geojson, store
 from rideops.sources.zones import zone_geometry, zones_from_features
 
 
@@ -19,6 +22,12 @@ def zone_geometry_metrics(spark, sf):
     return zone_geometry(zones_from_features(a.zone_features(spark, sf))).select("zone_id", *r6("zone_area_sq_miles", "centroid_latitude"))
 
 
+def parquet_inventory(spark, sf):
+    """Three tables, each with a time column of its own."""
+    spans = [footers.file_spans(spark, [f"{sf}/{name}.parquet"], column) for name, column in a.TIMED_TABLES]
+    return store.with_inventory_warnings(store.with_month(reduce(DataFrame.unionByName, spans)))
+
+
 def _monthly(spark, sf):
     """The inventory again, one entry per file and month of its rows."""
     rows = a.file_times(spark, sf)
@@ -77,7 +86,7 @@ def month_timeline_bootstrap(spark, sf):
 QUERIES = {
     "zones_scan": zones_scan,
     "zone_geometry_metrics": zone_geometry_metrics,
-    "parquet_inventory": lambda s, sf: store.with_inventory_warnings(store.file_spans(a.file_times(s, sf))),
+    "parquet_inventory": parquet_inventory,
     "zone_bin_store": zone_bin_store,
     "frame_export": frame_export,
     "timeline": timeline,

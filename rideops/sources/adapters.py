@@ -248,14 +248,18 @@ def battles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished games between two users, one per order."""
+    """Games between two users, one per order; some are still open, some without a winner."""
     key = F.col("o_orderkey")
     other = F.col("o_custkey") + 1 + key % 5
+    winner, loser = F.when(key % 3 == 0, F.col("o_custkey")).otherwise(other), F.when(key % 3 == 0, other).otherwise(F.col("o_custkey"))
     return table(spark, sf_dir, "orders").select(
         key.alias("match_id"), F.col("o_custkey").alias("player_one_id"), other.alias("player_two_id"),
-        F.when(key % 3 == 0, F.col("o_custkey")).otherwise(other).alias("winner_id"),
+        winner.alias("winner_id"),
         F.when(key % 4 == 0, "billiards").otherwise("dominoes").alias("game_type"),
         (F.lit(NOW) - key % 5000 * 60).alias("completed_at"),
+        F.when(key % 17 != 0, loser).alias("loser_id"),
+        F.when(key % 10 == 0, "active").when(key % 10 == 1, "forfeited").otherwise("completed").alias("status"),
+        F.when(key % 13 != 0, F.lit(60) - key % 2 * 15).alias("winner_xp_awarded"), (key % 5 * 2).alias("loser_xp_awarded"),
     )
 
 
@@ -363,6 +367,15 @@ def guidance_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 7 != 0, last).alias("last_action"), (F.lit(NOW) - key % 1200).alias("last_move_at"))
 
 
+def guidance_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored guidance state of two thirds of the users."""
+    user = F.col("user_id")
+    action = F.element_at(F.array(*[F.lit(a) for a in GUIDANCE_ACTIONS]), (user % 4 + 1).cast("int"))
+    return users(spark, sf_dir).filter(user % 3 != 0).select(
+        "user_id", F.when(user % 5 != 0, user % 4).alias("recent_move_attempts_without_trip"), action.alias("last_action"),
+        F.when(user % 2 == 0, F.lit(NOW) + user % 600).alias("hold_until"))
+
+
 def zone_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GeoJSON features (JSON text) drawn around the zones: squares, every fifth one doubled
     into a MultiPolygon and every seventh with a hole. Property spellings vary."""
@@ -385,10 +398,13 @@ def zone_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select(F.coalesce(spelled, other).alias("properties"), geometry.alias("geometry"))
 
 
+TIMED_TABLES = (("lineitem", "l_shipdate"), ("orders", "o_orderdate"), ("events", "ts"))
+
+
 def file_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File name and time of every row of three tables, as an inventory's input."""
     out = None
-    for name, column in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"), ("events", "ts")):
+    for name, column in TIMED_TABLES:
         part = table(spark, sf_dir, name).select(F.col("_metadata.file_name").alias("file_name"), F.col(column).cast("timestamp").alias("t"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rideops.functions import times
 from rideops.session import shared_folder
+from rideops.sources import footers
 
 # How a month appears in a file name.
 MONTH_PATTERN = r"((?:19|20)\d{2})[-_]?(0[1-9]|1[0-2])"
@@ -18,15 +19,12 @@ MONTH_PATTERN = r"((?:19|20)\d{2})[-_]?(0[1-9]|1[0-2])"
 def parquet_inventory(spark: SparkSession, paths: Sequence[str], time_column: str = "pickup_datetime") -> DataFrame:
     """Rows and time span per file, the month in its name, and warnings about overlaps.
 
-    Only the time column and the file metadata are read.
+    Only footers are read, and the time column of files whose footers do not tell the span.
     """
-    rows = spark.read.parquet(*paths).select(F.col("_metadata.file_name").alias("file_name"), F.col(time_column).cast("timestamp").alias("t"))
-    return with_inventory_warnings(file_spans(rows))
+    return with_inventory_warnings(with_month(footers.file_spans(spark, paths, time_column)))
 
 
-def file_spans(rows: DataFrame) -> DataFrame:
-    spans = rows.groupBy("file_name").agg(
-        F.unix_timestamp(F.min("t")).alias("first_epoch"), F.unix_timestamp(F.max("t")).alias("last_epoch"), F.count("*").alias("rows"))
+def with_month(spans: DataFrame) -> DataFrame:
     year, month = F.regexp_extract("file_name", MONTH_PATTERN, 1), F.regexp_extract("file_name", MONTH_PATTERN, 2)
     return spans.withColumn("month_key", F.when(year != "", F.concat_ws("-", year, month)))
 

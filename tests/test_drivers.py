@@ -81,10 +81,25 @@ def test_xp_rounds_per_day_and_caps_pickups(spark):
     assert (row.miles_xp, row.hours_xp, row.report_xp) == (0, 0, 540)
 
 
+MATCH = "match_id long, status string, winner_id long, loser_id long, winner_xp_awarded long, loser_xp_awarded long"
+
+
 def test_game_awards_once(spark):
-    m = spark.createDataFrame([(1, 10, 20, 10, "dominoes", 5), (1, 10, 20, 10, "dominoes", 5)],
-                              "match_id long, player_one_id long, player_two_id long, winner_id long, game_type string, completed_at long")
-    assert {(r.user_id, r.xp_awarded) for r in b.game_xp(m).collect()} == {(10, 60), (20, 0)}
+    rows = [(1, "completed", 10, 20, 60, 0), (1, "completed", 10, 20, 60, 0), (2, "forfeited", 20, 10, 45, 5), (3, "active", 10, 20, 60, 0), (4, "completed", 30, None, None, 7)]
+    got = {(r.match_id, r.user_id, r.xp_awarded) for r in b.game_xp(spark.createDataFrame(rows, MATCH)).collect()}
+    assert got == {(1, 10, 60), (1, 20, 0), (2, 20, 45), (2, 10, 5), (4, 30, 0)}
+
+
+def test_period_report_goes_to_those_who_want_it(spark):
+    day = datetime.date(2025, 5, 7)
+    stats = _stats(spark, [(1, day, 9.0, 1.0, 3), (2, day, 5.0, 2.0, 1), (3, day, 7.0, 9.0, 1), (9, datetime.date(2025, 6, 1), 50.0, 9.0, 1)])
+    users = spark.createDataFrame([(1, "a@x", None), (2, "b@x", "B"), (3, " ", "C"), (4, "d@x", "D"), (5, "e@x", "E"), (6, None, "F"), (9, "i@x", "I")],
+                                  "user_id long, email string, display_name string").withColumns({"is_disabled": F.lit(False), "is_suspended": F.lit(False)})
+    prefs = spark.createDataFrame([(1, True), (2, False), (3, True), (4, True), (5, None), (6, True), (9, True)], "user_id long, monthly_enabled boolean")
+    sent = spark.createDataFrame([(4, "monthly", "2025-04"), (9, "monthly", "2025-05"), (1, "weekly", "2025-05")], "user_id long, report_type string, period_key string")
+    out = d.period_report(stats, users, sent, F.lit("2025-06-18").cast("date"), "monthly", prefs).collect()
+    got = {r.user_id: (r.miles, r.pickups, r.miles_rank, r.hours_rank, r.badge_code) for r in out}
+    assert got == {1: (9.0, 3, 1, 3, "crown"), 4: (0.0, 0, None, None, None)}
 
 
 def test_expiry_boundary(spark):

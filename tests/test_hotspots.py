@@ -72,3 +72,35 @@ def test_presence_of_a_deleted_account_is_removed(spark):
                                   "user_id long, is_disabled boolean, is_suspended boolean, ghost_mode boolean, display_name string, email string")
     got = {r.user_id: r.kind for r in c.presence_delta(presence, users, NOW, (NOW - 3600) * 1000, 900).collect()}
     assert got == {1: "item", 2: "removed"}
+
+
+def test_message_cursors(spark):
+    rows = [(i, "global" if i % 2 else "other", 1 if i % 5 else 2, 1_736_000_000 + 60 * i) for i in range(1, 500)]
+    messages = spark.createDataFrame(rows, "message_id long, room string, user_id long, created_at long")
+    users = spark.createDataFrame([(1, False, False), (2, True, False)], "user_id long, is_disabled boolean, is_suspended boolean")
+
+    def read(limit, after=None, room="global"):
+        return [r.message_id for r in c.room_messages(messages, users, room, limit, after).collect()]
+
+    mine = [i for i in range(1, 500) if i % 2 and i % 5]
+    assert read(10) == mine[-10:] and read(10, "  ") == mine[-10:] and read(10, None, " global ") == mine[-10:]
+    assert read(1000) == mine[-200:] and read(0) == mine[-1:]
+    assert read(7, " 100 ") == [i for i in mine if i > 100][:7]
+    assert read(7, "2025-01-04T17:33:20Z") == read(7, "2025-01-04T12:33:20-05:00") == read(7, "2025-01-04T17:33:20") == [i for i in mine if i > 200][:7]
+    with pytest.raises(ValueError):
+        read(7, "yesterday")
+    with pytest.raises(ValueError):
+        read(7, None, " ")
+
+
+def test_purge_names_rows_and_files(spark):
+    chat = spark.createDataFrame([(1, 3, "a"), (2, 4, "b"), (3, 3, " "), (4, 3, "a"), (5, 3, None)], "message_id long, user_id long, audio_path string")
+    direct = spark.createDataFrame([(1, 3, 3, "c"), (2, 3, 4, "d"), (3, 4, 3, "a"), (4, 4, 5, "e"), (5, None, 4, "f")], "message_id long, sender_id long, recipient_id long, audio_path string")
+    seen = spark.createDataFrame([(1, 3), (2, 4), (3, None)], "row_id long, user_id long")
+    leaving = spark.createDataFrame([(3,), (3,), (9,)], "user_id long")
+    tables = {"chat": (chat, ["user_id"]), "direct": (direct, ["sender_id", "recipient_id"])}
+    remaining, counts, paths = c.account_purge(tables, {"seen": (seen, "user_id")}, {"chat": ["audio_path"], "direct": ["audio_path"]}, leaving)
+    assert {(r.table_name, r.what): r.rows for r in counts.collect()} == {("chat", "deleted"): 4, ("direct", "deleted"): 3, ("seen", "anonymized"): 1}
+    assert sorted(r.message_id for r in remaining["direct"].collect()) == [4, 5] and [r.message_id for r in remaining["chat"].collect()] == [2]
+    assert sorted((r.row_id, r.user_id) for r in remaining["seen"].collect()) == [(1, None), (2, 4), (3, None)]
+    assert sorted(r.path for r in paths.collect()) == ["a", "c", "d"]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rideops.session import shared_folder
-from rideops.sources import geojson, store
+from rideops.sources import footers, geojson, store
 from rideops.sources.trips import read_trips
 from rideops.sources.zones import read_zones
 
@@ -47,15 +47,29 @@ def test_month_store_replaces_only_its_months(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(month_key" in one._jdf.queryExecution().executedPlan().toString()
 
 
-def test_inventory_warnings(spark, tmp_path):
-    t = datetime.datetime(2025, 1, 3)
-    for name, when in (("trips_2025-01.parquet", t), ("copy_202501.parquet", t), ("trips_2025-02.parquet", t + datetime.timedelta(days=31))):
-        spark.createDataFrame([(when,)], "pickup_datetime timestamp").coalesce(1).write.parquet(str(tmp_path / name))
-    rows = spark.read.parquet(*[str(p) for p in tmp_path.iterdir()]).select(
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("file_name"), F.col("pickup_datetime").alias("t"))
-    got = {r.file_name: (r.month_key, r.same_month, r.same_span) for r in store.with_inventory_warnings(store.file_spans(rows)).collect()}
-    assert got == {"trips_2025-01.parquet": ("2025-01", True, True), "copy_202501.parquet": ("2025-01", True, True),
-                   "trips_2025-02.parquet": ("2025-02", False, False)}
+def test_inventory_from_footers(spark, tmp_path):
+    """Months in names, spans from statistics; a file with 96-bit timestamps and one of nulls alone are scanned or told apart."""
+    t = datetime.datetime(2025, 1, 3, 7, 30, 1, 900_000)
+    names = ("trips_2025-01.parquet", "copy_202501.parquet", "trips_2025-02.parquet", "old.parquet", "nulls.parquet")
+    for i, name in enumerate(names):
+        when = None if name.startswith("nulls") else t + datetime.timedelta(days=31 * (i == 2))
+        spark.conf.set("spark.sql.parquet.outputTimestampType", "INT96" if name.startswith("old") else "TIMESTAMP_MICROS")
+        spark.createDataFrame([(when,), (None,), (when and when + datetime.timedelta(seconds=9),)], "pickup_datetime timestamp").coalesce(1).write.parquet(f"{tmp_path}/{name}-dir")
+        part = next((tmp_path / f"{name}-dir").glob("*.parquet"))
+        part.rename(tmp_path / name)
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    first = int(t.replace(tzinfo=datetime.timezone.utc).timestamp())
+    out = store.parquet_inventory(spark, [str(tmp_path / n) for n in names])
+    got = {r.file_name: (r.first_epoch, r.last_epoch, r.rows, r.month_key, r.same_month, r.same_span) for r in out.collect()}
+    month = 31 * 86400
+    assert got == {names[0]: (first, first + 9, 3, "2025-01", True, True), names[1]: (first, first + 9, 3, "2025-01", True, True),
+                   names[2]: (first + month, first + month + 9, 3, "2025-02", False, False), names[3]: (first, first + 9, 3, None, False, True),
+                   names[4]: (None, None, 3, None, False, False)}
+    told = footers.file_spans(spark, [str(tmp_path / n) for n in names[:3]], "pickup_datetime")
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "parquet_footers" in plan
+    folder = footers.footers(spark, [str(tmp_path / f"{names[0]}-dir"), f"file://{tmp_path / names[1]}"], "PICKUP_datetime").collect()
+    assert [r.rows for r in folder] == [3]
 
 
 def _frames(spark):
