@@ -30,7 +30,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     small_batches(spark)
     gone = chosen_path.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    # Only rows that share an id can be equal; no other text is shuffled to find out.
+    shared = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    alone = kept.where("doc_id is not null").join(shared, "doc_id", "left_anti")
+    return alone.unionByName(kept.join(shared, "doc_id", "left_semi").unionByName(kept.where("doc_id is null")).dropDuplicates())
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
