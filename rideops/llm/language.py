@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rideops.llm.common import fold_of, mixed, runs_of, text_bytes
+from rideops.llm.common import fold_of, mixed, runs_of, text_bytes, tidy
 
 #: Hash buckets, n-gram sizes, smoothing, and the expected number of training documents.
 BUCKETS, SIZES, SMOOTHING, TRAIN_ROWS = 1 << 15, (1, 2, 3), 0.5, 30_000
@@ -97,7 +97,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     share = F.lit(int(min(1.0, rows / max(n, 1)) * (1 << 30)))
     drawn = known.where(F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30)) < share)
     size = {r[0]: r[1] for r in drawn.groupBy("lang").count().collect()}
-    counts = drawn.select("lang", "text").mapInArrow(_counts, "lang string, counts binary")
+    counts = drawn.select("lang", "text").mapInArrow(tidy(_counts), "lang string, counts binary")
     got = {r[0]: np.frombuffer(r[1], "<i8") for r in counts.groupBy("lang").applyInPandas(_summed, "lang string, counts binary").collect()}
     langs = sorted(got)
     return Model(langs, np.array([got[k] for k in langs]).reshape(len(langs), BUCKETS), np.array([size[k] for k in langs], float))
@@ -138,7 +138,7 @@ def language_columns(docs: DataFrame, model: Model, held_out: Column, keep: tupl
 
     kept = docs.select(*keep).schema if keep else []
     schema = ", ".join([SCHEMA, *(f"{f.name} {f.dataType.simpleString()}" for f in kept)])
-    return docs.select("doc_id", held_out.alias("held_out"), F.col("text").alias("_text"), *keep).mapInArrow(convert, schema)
+    return docs.select("doc_id", held_out.alias("held_out"), F.col("text").alias("_text"), *keep).mapInArrow(tidy(convert), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rideops.llm.common import mixed, runs_of, text_bytes
+from rideops.llm.common import mixed, runs_of, text_bytes, tidy_group, tidy_pair
 
 LENGTH, GRAM = 50, 20
 WINDOWS = LENGTH - GRAM + 1
 CONTEXT = LENGTH + WINDOWS - 1
 #: A difference cover modulo 13: every distance is a difference of two members.
 COVER, MODULUS = (0, 1, 3, 9), 13
-#: Bits of a position inside a run of documents.
-PLACE = 28
+#: Bits of a position inside a run of documents; windows of a long document that are named at a time.
+PLACE, PIECE = 28, 1 << 23
+#: Bytes of text in a group.
+GROUP_BYTES = 32 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -62,8 +64,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none.astype(np.uint64), none, none
-    if len(data) >> PLACE:
-        raise ValueError("a document longer than 256 MB")
     h = gram_hashes(data)
     key = h >> np.uint64(PLACE) << np.uint64(PLACE) | np.arange(len(h), dtype=np.uint64)
     have = 1
@@ -83,6 +83,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return place[new], h[place[new]], start[new], start[last]
 
 
+def _anchors_of_long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`anchors` of one document, its windows taken in pieces; a run cut between two pieces is joined again."""
+    parts = []
+    for at in range(0, len(data) - LENGTH + 1, PIECE):
+        piece = data[at:at + PIECE + LENGTH - 1]
+        place, h, first, last = anchors(piece, np.array([0, len(piece)]))
+        parts.append([place + at, h, first + at, last + at])
+        if len(parts) > 1 and parts[-2][0][-1] == parts[-1][0][0]:
+            parts[-1][2][0] = parts[-2][2][-1]
+            parts[-2] = [x[:-1] for x in parts[-2]]
+            if not len(parts[-2][0]):
+                parts.pop(-2)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 class _Group:
     """The documents of one group in a fixed order, as one byte array."""
 
@@ -95,15 +110,16 @@ class _Group:
             order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], data[at[i]:at[i + 1]].tobytes())))
         self.order, self.ids, self.size = order, ids[order], np.diff(at)[order]
         self.offsets = np.append(0, np.cumsum(self.size))
-        take = np.repeat(at[order] - self.offsets[:-1], self.size) + np.arange(self.offsets[-1])
-        self.data = data[take]
+        self.data = np.concatenate([np.zeros(0, np.uint8), *(data[at[i]:at[i + 1]] for i in order)])
 
     def anchors(self) -> tuple[np.ndarray, ...]:
         """(document, anchor start, hash, first and last window start), all in the group's bytes."""
         out = []
         for lo, hi in runs_of(self.offsets):
             base = self.offsets[lo]
-            place, h, first, last = anchors(self.data[base:self.offsets[hi]], self.offsets[lo:hi + 1] - base)
+            body = self.data[base:self.offsets[hi]]
+            long = hi - lo == 1 and len(body) > PIECE + LENGTH
+            place, h, first, last = _anchors_of_long(body) if long else anchors(body, self.offsets[lo:hi + 1] - base)
             out.append((place + base, h, first + base, last + base))
         place, h, first, last = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
         return np.searchsorted(self.offsets, place, "right") - 1, place, h.astype(np.uint64), first, last
@@ -222,12 +238,14 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans (maximal removed runs) and kept
     (the remaining bytes). Null and short texts stay as they are. Rows with
     one id count as one document, so they don't take from each other; a null id counts as the
-    greatest. Groups follow spark.sql.shuffle.partitions, so a task holds a bounded share of text.
+    greatest. Texts are dealt into groups of about ``GROUP_BYTES`` of text, measured by one pass
+    over the texts' lengths, so a task's memory does not grow with the input.
     """
-    conf = docs.sparkSession.conf
-    # a group sends one row to each bucket, so both numbers stay near the number of tasks
-    tasks = int(conf.get("spark.sql.shuffle.partitions"))
-    groups, bits = 2 * tasks, max(4, (tasks - 1).bit_length())
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a group sends one row to each bucket, so there are about as many buckets as groups
+    groups = max(2 * tasks, -(-size // GROUP_BYTES))
+    bits = max(4, (groups // 2 - 1).bit_length())
     dealt = docs.select("doc_id", "text", *keep).withColumn("_pid", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     keep_types = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
 
@@ -343,9 +361,9 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             "doc_id": rows["doc_id"], **{c: rows[c] for c in keep}, "n_bytes": group.size, "n_removed": total[hi] - total[lo],
             "n_spans": spans[hi] - spans[lo], "kept": pa.array(kept, pa.binary())})
 
-    marks = dealt.groupBy("_pid").applyInArrow(hashes, _ddl(_HASHES))
-    known = marks.groupBy("_bucket").applyInArrow(shared, _ddl(_SHARED))
-    found = dealt.groupBy("_pid").cogroup(known.groupBy("_pid")).applyInArrow(contexts, _ddl(_CONTEXTS))
-    said = found.groupBy("_local", "_key").applyInArrow(answers, _ddl(_ANSWERS))
+    marks = dealt.groupBy("_pid").applyInArrow(tidy_group(hashes), _ddl(_HASHES))
+    known = marks.groupBy("_bucket").applyInArrow(tidy_group(shared), _ddl(_SHARED))
+    found = dealt.groupBy("_pid").cogroup(known.groupBy("_pid")).applyInArrow(tidy_pair(contexts), _ddl(_CONTEXTS))
+    said = found.groupBy("_local", "_key").applyInArrow(tidy_group(answers), _ddl(_ANSWERS))
     schema = ", ".join(["doc_id long", *keep_types, "n_bytes long, n_removed long, n_spans long, kept binary"])
-    return dealt.groupBy("_pid").cogroup(said.groupBy("_pid")).applyInArrow(cut, schema)
+    return dealt.groupBy("_pid").cogroup(said.groupBy("_pid")).applyInArrow(tidy_pair(cut), schema)

@@ -357,3 +357,21 @@ def test_flac_blocks_and_damage():
     bad[-20] ^= 1
     with pytest.raises(flac.Damaged):
         flac.decode([bytes(bad)])
+
+
+def test_long_documents_are_named_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    for size, letters in ((2000, 3), (3000, 40), (500, 1), (701, 2)):
+        data = rng.integers(97, 97 + letters, size).astype(np.uint8)
+        want = suffix.anchors(data, np.array([0, size]))
+        for piece in (64, 100, 333):
+            monkeypatch.setattr(suffix, "PIECE", piece)
+            assert all((a == b).all() for a, b in zip(suffix._anchors_of_long(data), want))
+
+
+def test_suffix_groups_follow_the_bytes(spark, rows, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(suffix, "PIECE", 300)
+    want = brute.without_repeats(texts_of(rows))
+    out = suffix.without_repeats(spark.createDataFrame(rows, brute.DOCS)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == want
