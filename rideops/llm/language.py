@@ -21,21 +21,36 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTER = regex.compile(r"\p{L}")
 
 
+#: Lower case of the characters up to U+FFFF, where that is one character.
+_LOWER = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(1 << 16)], np.int32)
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of UTF-8 texts in lower case, offsets of the texts among them)."""
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+    lead, more = padded[first], [padded[first + k] & 0x3F for k in (1, 2, 3)]
+    code = np.where(lead < 0x80, lead, np.where(
+        lead < 0xE0, (lead & 0x1F) << 6 | more[0], np.where(
+            lead < 0xF0, (lead & 0x0F) << 12 | more[0] << 6 | more[1], (lead & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2])))
+    return np.where(code < len(_LOWER), _LOWER[np.minimum(code, len(_LOWER) - 1)], code), np.searchsorted(first, offsets)
+
+
 def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all n-grams, document of each), n-grams never crossing documents.
+    """(buckets of all n-grams of characters, document of each), n-grams never crossing documents.
 
-    Characters are UTF-8 bytes with A-Z lowered, so a letter outside ASCII is an n-gram of two.
+    An n-gram is its characters in 21 bits each, hashed together with n.
     """
-    low = np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint64)
-    size = np.diff(offsets)
+    chars, ends = code_points(data, offsets)
+    low, size = chars.astype(np.uint64), np.diff(ends)
     doc = np.repeat(np.arange(len(size)), size)
-    left = np.repeat(offsets[1:], size) - np.arange(len(low))
+    left = np.repeat(ends[1:], size) - np.arange(len(low))
     code, buckets, docs = np.zeros(len(low), np.uint64), [], []
     for n in range(1, max(SIZES) + 1):
-        code = code[:len(low) - n + 1] << np.uint64(8) | low[n - 1:]
+        code = code[:max(len(low) - n + 1, 0)] << np.uint64(21) | low[n - 1:]
         if n in SIZES:
             keep = left[:len(code)] >= n
-            buckets.append((mixed(code[keep] + np.uint64(n << 56)) % np.uint64(BUCKETS)).astype(np.int32))
+            buckets.append((mixed(code[keep] ^ np.uint64(n << 60)) % np.uint64(BUCKETS)).astype(np.int32))
             docs.append(doc[:len(code)][keep])
     return np.concatenate(buckets), np.concatenate(docs)
 
