@@ -132,10 +132,14 @@ def leaderboard(stats: DataFrame, users: DataFrame, metric: str, period: str, to
 
 
 def my_rank(stats: DataFrame, users: DataFrame, user_id: int, metric: str, period: str, today: Column) -> DataFrame:
-    """One user's total and rank: 1 + users ahead, a count rather than a sort."""
+    """One user's total and rank: 1 + users ahead, a count rather than a sort.
+
+    The user's own rows are read by id; the totals of all users are made once.
+    """
     start, end, key = period_bounds(today, period)
+    own = F.col("user_id") == user_id
+    mine = period_totals(stats.filter(own), users.filter(own), metric, start, end)
     totals = period_totals(stats, users, metric, start, end)
-    mine = totals.filter(F.col("user_id") == user_id)
     value = mine.select("metric_value").scalar()
     ahead = totals.agg(F.count_if((F.col("metric_value") > value)
                                   | ((F.col("metric_value") == value) & (F.col("user_id") < user_id)))).scalar()

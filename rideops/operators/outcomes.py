@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from rideops.functions.columns import clip
 from rideops.operators.folds import fold_sorted
-from rideops.operators.ordered import with_bucket, with_previous, with_running
-from rideops.session import cut_lineage
+from rideops.operators.ordered import with_bucket, with_previous
 
 WINDOW_SECONDS = 5400
 HOTSPOT_MAX_MILES, MICRO_MAX_MILES = 0.35, 0.20
@@ -123,24 +122,35 @@ def settle_guidance_outcomes(guidance: DataFrame, pickups: DataFrame) -> DataFra
 
     Taking the newest open one is bracket matching: with guidance as +1 and pickups as -1, the
     depth never falling below 0, a pickup at depth d closes the last guidance that reached d. The
-    depth comes from running sums, so nothing is folded row by row and any user can be split.
+    depth comes from running sums over hours, carried by one row per user and hour, so nothing is
+    folded row by row, nothing is checkpointed and any user can be split.
     """
     opened = guidance.select("user_id", F.col("recommended_at").alias("at"), F.lit(0).alias("kind"), F.col("guidance_id").alias("event_id"),
                              "guidance_id", "action", "source_zone_id", "target_zone_id", F.lit(None).cast("int").alias("zone_id"))
     closed = pickups.select("user_id", F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.col("pickup_id").alias("event_id"),
                             "zone_id")
-    events = with_bucket(opened.unionByName(closed, allowMissingColumns=True), "at")
     order = ["at", "kind", "event_id"]
     is_open = F.col("kind") == 0
-    rows = cut_lineage(with_running(events, "user_id", "at", order, {"level": ("sum", F.when(is_open, 1).otherwise(-1))}))
-    rows = cut_lineage(with_running(rows, "user_id", "at", order, {"lowest": ("min", F.least(F.col("level"), F.lit(0)))}))
+    step = F.when(is_open, 1).otherwise(-1)
+    events = with_bucket(opened.unionByName(closed, allowMissingColumns=True), "at")
+    here = Window.partitionBy("user_id", "_bucket").orderBy(*order)
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = events.withColumn("_n", F.sum(step).over(upto)).withColumn("_low", F.min("_n").over(upto))
+    # One row per user and bucket: how far it moves the level, and how low it goes on the way.
+    parts = events.groupBy("user_id", "_bucket").agg(F.sum(step).alias("_net"), F.min("_n").alias("_least"))
+    before = Window.partitionBy("user_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_level", F.coalesce(F.sum("_net").over(before), F.lit(0)))
+    parts = parts.withColumn("_lowest", F.least(F.lit(0), F.coalesce(F.min(F.col("_level") + F.col("_least")).over(before), F.lit(0))))
+    rows = events.join(parts.select("user_id", "_bucket", "_level", "_lowest"), ["user_id", "_bucket"])
+    lowest = F.least("_lowest", F.col("_level") + F.col("_low"))
+    prev_lowest = F.least("_lowest", F.col("_level") + F.lag("_low").over(here))
+    rows = rows.withColumns({"level": F.col("_level") + F.col("_n"), "lowest": lowest, "prev_lowest": prev_lowest})
     # Before a pickup the depth is one more, unless the pickup found nothing open.
     depth = F.col("level") - F.col("lowest")
     unmatched = ~is_open & (F.col("level") == F.col("lowest")) & (F.col("prev_lowest") > F.col("lowest"))
-    rows = with_previous(rows.withColumn("order_key", F.struct(*order)), "user_id", "at", "order_key", ["lowest"])
-    rows = rows.withColumn("prev_lowest", F.coalesce("prev_lowest", F.lit(0))).filter(~unmatched)
-    rows = rows.withColumn("depth", F.when(is_open, depth).otherwise(depth + 1)).withColumn("slot", F.struct("user_id", "depth"))
-    found = with_previous(cut_lineage(rows), "slot", "at", "order_key", ["guidance_id", "action", "source_zone_id", "target_zone_id", "at"])
+    rows = rows.filter(~unmatched).withColumns({"order_key": F.struct(*order), "slot": F.struct("user_id", F.when(is_open, depth).otherwise(depth + 1).alias("depth"))})
+    rows = rows.select("user_id", "at", "kind", "event_id", "guidance_id", "action", "source_zone_id", "target_zone_id", "zone_id", "order_key", "slot", "_bucket")
+    found = with_previous(rows, "slot", "at", "order_key", ["guidance_id", "action", "source_zone_id", "target_zone_id", "at"])
     zone, source, target = F.col("zone_id"), F.col("prev_source_zone_id"), F.col("prev_target_zone_id")
     moves = F.col("prev_action").isin("move_nearby", "micro_reposition")
     holds = F.col("prev_action").isin("hold", "wait_dispatch")

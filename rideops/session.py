@@ -14,6 +14,9 @@ import rideops
 cloudpickle.register_pickle_by_value(rideops)
 
 
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def build_session(app: str = "rideops", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect: UTC, AQE with skew handling."""
     builder = (
@@ -36,14 +39,17 @@ def build_session(app: str = "rideops", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session without that setting gets a temporary folder; on a cluster a missing
-    setting is an error, because an executor-local folder does not survive its executor.
+    Only a local session without that setting gets a temporary folder, one per application, removed
+    when Python ends; on a cluster a missing setting is an error, because an executor-local folder does not survive its executor.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.mkdtemp(prefix="rideops-shared-")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.TemporaryDirectory(prefix="rideops-shared-", ignore_cleanup_errors=True)
+        folder = _LOCAL[app].name
     return folder
 
 
