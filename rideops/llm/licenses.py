@@ -7,8 +7,6 @@ import pathlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rideops.session import cut_lineage
-
 # Published license texts and notices, and spellings that count as equal.
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
@@ -83,6 +81,7 @@ SPELLINGS = (("licence", "license"), ("acknowledgement", "acknowledgment"), ("or
              ("authorisation", "authorization"), ("merchantibility", "merchantability"), ("non-commercial", "noncommercial"),
              ("sub-license", "sublicense"), ("per cent", "percent"))
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright (?:\(c\)|©|[0-9])|\(c\) ?[0-9]|© ?[0-9]|all rights reserved)[^\n]*$"
+SPDX_LINE = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n*]+)"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
@@ -125,37 +124,50 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return rows.select("license_id", digest(canonical_lines(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def spdx_ids(text: Column) -> Column:
+    """Ids named by SPDX identifier lines, single or in expressions of OR, AND, WITH and brackets; an exception after WITH is no license."""
+    def listed(expression: Column) -> Column:
+        names = F.split(F.lower(expression), r"\s+(?:or|and)\s+|[()]")
+        return F.transform(names, lambda name: F.element_at(ids, F.trim(F.regexp_replace(F.regexp_replace(name, r"\s+with\s.*", ""), r"\+\s*$", "-or-later"))))
+
+    ids = F.create_map(*[F.lit(x) for i in SPDX for x in (i.lower(), i)])
+    lines = F.regexp_extract_all(text, F.lit(SPDX_LINE), F.lit(1))
+    return F.array_compact(F.flatten(F.transform(lines, listed)))
+
+
 def license_scan(docs: DataFrame, known=KNOWN, headers=()) -> DataFrame:
     """Licenses each document is, and license notices it holds as a line of its own, ``headers`` as a paragraph.
 
     Returns per row: doc_id, digest (of the whole canonical text), license_id (null unless the
-    whole text is a known one), n_words of the canonical text, notices (ids of known lines, sorted,
-    distinct, joined by commas; empty if none). Headers must hold the word license. Null and empty texts have the digest of the empty
-    text and no license. Repeated rows stay; other columns are not looked at. Whole texts and lines
-    are looked up by hash join; what is shuffled is one digest per row and the few lines that are known.
+    whole text is a known one), n_words of the canonical text, notices (ids of known lines and of
+    SPDX identifier lines, sorted, distinct, joined by commas; empty if none). Headers must hold the
+    word license. Null and empty texts have the digest of the empty text and no license. Repeated
+    rows stay, each with its own notices; other columns are not looked at. Whole texts are looked up
+    by hash join, lines in the row itself; nothing else is shuffled.
     """
     lines = canonical_lines(F.coalesce(F.col("text"), F.lit("")))
-    digests = [r.digest for r in known_digests(docs.sparkSession, known).collect()]  # as many as known texts
-    hits = F.filter(F.transform("_lines", lambda line: F.md5(line)), lambda d: d.isin(digests))
+    spark = docs.sparkSession
+    names = {r.digest: r.license_id for r in known_digests(spark, (*known, *headers)).collect()}  # as many as known texts
+
+    lined = [(i, t) for i, t in known if not t.startswith("SPDX-")]  # SPDX lines are read as expressions
+
+    def among(digests: Column, which: list[str]) -> Column:
+        return F.filter(digests, lambda d: d.isin(which))
+
+    hits = among(F.transform("_lines", lambda line: F.md5(line)), [r.digest for r in known_digests(spark, lined).collect()])
     if headers:
-        wanted = [r.digest for r in known_digests(docs.sparkSession, headers).collect()]
-        parts = F.filter(F.transform(canonical_paragraphs(F.col("text")), lambda part: F.md5(part)), lambda d: d.isin(wanted))
+        wanted = [r.digest for r in known_digests(spark, headers).collect()]
+        parts = among(F.transform(canonical_paragraphs(F.col("text")), lambda part: F.md5(part)), wanted)
         hits = F.when(F.lower("text").contains("licen"), F.concat(hits, parts)).otherwise(hits)
+    spdx = F.when(F.lower("text").contains("spdx-license-identifier"), spdx_ids(F.col("text")))
     rows = docs.select("doc_id", "text", lines.alias("_lines")).select(
         "doc_id", digest(F.col("_lines")).alias("digest"),
         F.aggregate("_lines", F.lit(0).cast("long"), lambda n, line: n + F.size(F.split(line, " "))).alias("n_words"),
-        hits.alias("_hits"))
-    rows = cut_lineage(rows)
-    table = known_digests(docs.sparkSession, known)
-    notices = known_digests(docs.sparkSession, (*known, *headers))
-    found = (rows.where(F.size("_hits") > 0).select("doc_id", F.col("digest").alias("_whole"), F.explode("_hits").alias("digest"))
-             .join(F.broadcast(notices), "digest")
-             .groupBy("doc_id", "_whole").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices")))
-    same = F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.digest") == F.col("f._whole"))
-    return (rows.alias("r").join(found.alias("f"), same, "left")
-            .select("r.doc_id", "r.digest", "r.n_words", F.coalesce("f.notices", F.lit("")).alias("notices"))
-            .join(F.broadcast(table), "digest", "left")
-            .select("doc_id", "digest", "license_id", "n_words", "notices"))
+        hits.alias("_hits"), F.coalesce(spdx, F.array().cast("array<string>")).alias("_spdx"))
+    ids = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    notices = F.concat(F.transform("_hits", lambda d: F.element_at(ids, d)), "_spdx")
+    rows = rows.select("doc_id", "digest", "n_words", F.array_join(F.array_sort(F.array_distinct(notices)), ",").alias("notices"))
+    return rows.join(known_digests(spark, known), "digest", "left").select("doc_id", "digest", "license_id", "n_words", "notices")
 
 
 def _quoted(text: str) -> str:

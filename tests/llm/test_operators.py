@@ -375,3 +375,13 @@ def test_suffix_groups_follow_the_bytes(spark, rows, monkeypatch):
     want = brute.without_repeats(texts_of(rows))
     out = suffix.without_repeats(spark.createDataFrame(rows, brute.DOCS)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == want
+
+
+def test_license_notices_belong_to_their_row(spark):
+    """Rows of one id and one digest differ in their lines; SPDX expressions name several licenses."""
+    texts = ["foo\nReleased under the MIT License.", "foo Released under the MIT License.", "// SPDX-License-Identifier: MIT OR Apache-2.0\nx",
+             "# SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND bsd-3-clause\ny", "/* SPDX-License-Identifier: GPL-3.0+ */", "SPDX-License-Identifier: Nothing-1.0", None]
+    rows = [(1, t, None, None, None) for t in texts]
+    got = sorted((r.digest, r.notices) for r in licenses.license_scan(spark.createDataFrame(rows, brute.DOCS), licenses.published(), licenses.HEADERS).collect())
+    assert len({d for d, _ in got}) == len(texts) - 1
+    assert sorted(n for _, n in got) == ["", "", "", "Apache-2.0,MIT", "BSD-3-Clause,GPL-2.0-only", "GPL-3.0-or-later", "MIT"]
