@@ -262,6 +262,11 @@ def _layout(stream: bytes) -> tuple[int, int, bytes, np.ndarray, np.ndarray]:
     return total, block, info[18:34], np.array(found, np.int64), np.arange(len(found)) * block
 
 
+def shape(stream: bytes) -> tuple[int, int]:
+    """(samples, samples of a block) of a stream."""
+    return _layout(stream)[:2]
+
+
 class _Reader:
     """A bit position per frame over one shared buffer."""
 

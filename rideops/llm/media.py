@@ -62,3 +62,36 @@ def media_columns(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 ], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(convert, SCHEMA)
+
+
+def samples_of(stream: bytes, first: int, count: int) -> bytes:
+    """``count`` stored bytes from sample ``first`` on, of which only the blocks that hold them are read, by their seek offsets."""
+    total, block = flac.shape(stream)
+    first, end = min(first, total), min(first + count, total)
+    if first >= end:
+        return b""
+    low = first // block
+    read = flac.decode([stream], [(low, -(-end // block) - low)])[0]
+    return (read[first - low * block:end - low * block].view(np.uint8) ^ np.uint8(128)).tobytes()
+
+
+def pcm_blocks(stored: DataFrame, at_once: int = 256) -> DataFrame:
+    """PCM blocks of FLAC streams: one row per block of every row of ``stored`` (doc_id, media).
+
+    Returns doc_id, block (from 0), first_sample (the block's offset) and pcm (its bytes, as they
+    were stored). Blocks are found by their seek offsets and decoded ``at_once`` at a time, so a
+    long stream is never held decoded; checksums of frames are verified. A null stream has no
+    blocks; repeated rows stay repeated.
+    """
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, stream in zip(batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1).to_pylist()):
+                total, size = flac.shape(stream) if stream is not None else (0, BLOCK)
+                for low in range(0, total, at_once * size):
+                    pcm = samples_of(stream, low, at_once * size)
+                    cuts = range(0, len(pcm), size)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([doc_id] * len(cuts), pa.int64()), pa.array([(low + c) // size for c in cuts], pa.int64()), pa.array([low + c for c in cuts], pa.int64()),
+                        pa.array([pcm[c:c + size] for c in cuts], pa.binary())], names=["doc_id", "block", "first_sample", "pcm"])
+
+    return stored.select("doc_id", "media").mapInArrow(convert, "doc_id long, block long, first_sample long, pcm binary")

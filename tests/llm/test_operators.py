@@ -385,3 +385,27 @@ def test_license_notices_belong_to_their_row(spark):
     got = sorted((r.digest, r.notices) for r in licenses.license_scan(spark.createDataFrame(rows, brute.DOCS), licenses.published(), licenses.HEADERS).collect())
     assert len({d for d, _ in got}) == len(texts) - 1
     assert sorted(n for _, n in got) == ["", "", "", "Apache-2.0,MIT", "BSD-3-Clause,GPL-2.0-only", "GPL-3.0-or-later", "MIT"]
+
+
+def test_pcm_blocks_by_seek_offset(spark, rows):
+    docs = spark.createDataFrame(rows + [(7000, "long text " * 30_000, None, None, None), (7000, "long text " * 30_000, None, None, None)], brute.DOCS)
+    stored = media.media_columns(docs).cache()
+    out = media.pcm_blocks(stored.select("doc_id", "media"), 100).toPandas().sort_values(["doc_id", "block"], kind="stable")
+    streams = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    text = {r[0]: (r[1] or "").encode() for r in rows} | {7000: b"long text " * 30_000}
+    for doc_id, part in out.groupby("doc_id"):
+        part = part.iloc[::2] if doc_id == 7000 else part  # the repeated row's blocks come twice
+        want = text[doc_id] + b"\xff" * (max(1, -(-len(text[doc_id]) // 576)) * 576 - len(text[doc_id]))
+        assert b"".join(map(bytes, part["pcm"])) == want
+        assert part["first_sample"].tolist() == [576 * b for b in range(len(want) // 576)] == (part["block"] * 576).tolist()
+        for first, count in ((0, 1), (575, 2), (len(want) - 3, 99), (len(want), 5), (100, 2000)):
+            assert media.samples_of(streams[doc_id], first, count) == want[first:first + count]
+    assert set(out["doc_id"]) == set(text)
+    # Only the blocks that are asked for are read: a damaged one does not keep the others from being read.
+    total, offsets = flac.shape(streams[7000])[0], flac._layout(streams[7000])[3]
+    damaged = bytearray(streams[7000])
+    damaged[int(offsets[5]) + 20] ^= 1
+    assert media.samples_of(bytes(damaged), 0, 5 * 576) + media.samples_of(bytes(damaged), 6 * 576, total) == text[7000][:5 * 576] + (text[7000] + b"\xff" * 576)[6 * 576:total]
+    with pytest.raises(flac.Damaged):
+        media.samples_of(bytes(damaged), 5 * 576 + 3, 1)
+    assert media.pcm_blocks(stored.select("doc_id", F.lit(None).cast("binary").alias("media"))).count() == 0
