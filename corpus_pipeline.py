@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideops.llm import bpe, chosen_path, language, mixing, suffix
-from rideops.llm.common import fold_of, small_batches, table
+from rideops.llm.common import fold_of, measured, small_batches, table
 from rideops.session import cut_lineage, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,10 +29,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows of one id are one document; equal rows become one. A row without an id stays.
     """
     small_batches(spark)
-    gone = chosen_path.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = measured(chosen_path.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     # Only rows that share an id can be equal; no other text is shuffled to find out.
-    shared = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    shared = measured(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     alone = kept.where("doc_id is not null").join(shared, "doc_id", "left_anti")
     return alone.unionByName(kept.join(shared, "doc_id", "left_semi").unionByName(kept.where("doc_id is null")).dropDuplicates())
 

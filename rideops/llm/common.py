@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rideops.session import cut_lineage
+
 #: Separators of words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; a batch also ends at ``BATCH_BYTES``.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Narrow rows (an id and a flag or two) that are broadcast at most, some 80 MB where they are hashed.
+BROADCAST_ROWS = 2_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -28,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def measured(ids: DataFrame) -> DataFrame:
+    """A narrow table, checkpointed and counted: hinted for broadcast if it has ``BROADCAST_ROWS`` rows at most, else left to a shuffled join."""
+    ids = cut_lineage(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def fold_of(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
