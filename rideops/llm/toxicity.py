@@ -7,7 +7,7 @@ to one distribution shared by both classes, which counts in how many different w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from rideops.llm.common import WordHasher, fold_of, mixed, runs_of, text_bytes
+from rideops.llm.common import WordHasher, fold_of, measured, mixed, runs_of, text_bytes, tidy, tidy_group
 from rideops.session import cut_lineage
 
 #: One part in five of so many labelled documents calibrates (all others are counted), discount of the
@@ -26,6 +26,9 @@ from rideops.session import cut_lineage
 TRAIN_ROWS, DISCOUNT, WINDOWS, STEM = 16_000, 3.0, (1, 5, 20, 80), 4
 #: Features of a text: the greatest mean of each window, the mean of all words, the logarithm of their number.
 FEATURES = len(WINDOWS) + 2
+#: Bytes of text whose pairs are packed together, bytes of text for each bucket of words, and the share of all words (1 / HOT) that
+#: makes a word hot.
+PACK, BUCKET_BYTES, HOT = 8 << 20, 24 << 20, 1000
 #: Entries of a model's shard, and shards that a worker keeps in memory; of more it holds one at a time.
 SHARD, KEPT = 2_000_000, 6
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, worst_passage double, mean_log_ratio double"
@@ -57,25 +60,156 @@ def _pair_column(v: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series(_pair(v.to_numpy(np.int64).view(np.uint64), w.to_numpy(np.int64).view(np.uint64)).view(np.int64))
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(previous word, word, stem, n), summed within a run; n is the count in toxic texts * 2^32 + that in ordinary ones, 0 without a label.
+PACKED = "bucket long, n long, m long, v binary, vi binary, w binary, wn binary, s binary, si binary, labelled binary, t binary, o binary"
+SUMS = "kind int, v long, w long, s long, t long, o long, cont long, low_t double, low_o double, hot boolean"
+_PARTS = [f.split()[0] for f in PACKED.split(", ")]
+WORD, CONTEXT, PAIR, STEM_PART, ALL = range(5)
 
-    The stem stands in one row of each word and is null in the others, to be shuffled once.
-    """
-    hasher = WordHasher()
+
+def _small(x: np.ndarray) -> bytes:
+    """Counts or indices in the fewest bytes (1, 2, 4 or 8) that hold them all."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * np.dtype(t).itemsize)).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _word_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words that make up 1 / ``HOT`` of a task's words or more, and (null, all its words)."""
+    hasher, known, total = WordHasher(), {}, 0
     for batch in batches:
-        toxic = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-        data, at = text_bytes(batch.column(1))
+        data, at = text_bytes(batch.column(0))
         for lo, hi in runs_of(at):
-            h, before, stem, first = _words(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
-            label = np.repeat(toxic[lo:hi], np.diff(first))
-            _, new, place = np.unique(_pair(before, h), return_index=True, return_inverse=True)
-            t, o = (np.bincount(place[label == c], minlength=len(new)).astype(np.int64) for c in (1, 0))
-            other = np.ones(len(new), bool)
-            other[np.unique(h[new], return_index=True)[1]] = False
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x[new].view(np.int64)) for x in (before, h)), pa.array(stem[new].view(np.int64), mask=other), pa.array((t << 32) + o)],
-                names=["v", "w", "s", "n"])
+            h, n = np.unique(_words(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])[0], return_counts=True)
+            total += int(n.sum())
+            keep = n * (4 * HOT) >= n.sum()  # less could not add up to the share in all runs
+            for w, c in zip(h[keep].view(np.int64).tolist(), n[keep].tolist()):
+                known[w] = known.get(w, 0) + c
+    found = {w: c for w, c in known.items() if c * 2 * HOT >= total}
+    yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.int64()), pa.array([*found.values(), total], pa.int64())], names=["w", "n"])
+
+
+def hot_words(texts: DataFrame) -> np.ndarray:
+    """Hashes of all words that make up a large share of all words (at most a few thousand).
+
+    They only steer where pairs are counted.
+    """
+    counts = texts.select("text").mapInArrow(_word_shares, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    total = counts.where("w is null").select("n").first()
+    least = F.lit((total[0] if total else 0) // (4 * HOT) + 1)
+    return np.sort(np.array([r.w for r in counts.where(F.col("w").isNotNull() & (F.col("n") >= least)).collect()], np.int64).view(np.uint64))
+
+
+def _bigrams(buckets: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct pairs (previous word, word) of about ``PACK`` bytes of text, packed into one row per bucket of words.
+
+    A pair costs an index into the row's previous words; words, stems and previous words stand in
+    it once. Counts are those in labelled texts. The pairs of a word share a bucket, those of a hot
+    word are spread over all of them.
+    """
+    def packed(v: np.ndarray, w: np.ndarray, s: np.ndarray, t: np.ndarray, o: np.ndarray) -> pa.RecordBatch:
+        bucket = (w >> np.uint64(3)) % np.uint64(buckets)
+        if len(hot):
+            spread = np.isin(w, hot)
+            bucket[spread] = _pair(v[spread], w[spread]) % np.uint64(buckets)
+        order = np.lexsort((w, bucket))
+        bucket = bucket[order]
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))), len(bucket))
+        rows = {c: [] for c in _PARTS}
+        for lo, hi in zip(cuts, cuts[1:]):
+            i = order[lo:hi]
+            words, first, n = np.unique(w[i], return_index=True, return_counts=True)
+            before, vi = np.unique(v[i], return_inverse=True)
+            stems, si = np.unique(s[i][first], return_inverse=True)
+            labelled = np.flatnonzero(t[i] + o[i])
+            values = (int(bucket[lo]), len(i), len(labelled), before.tobytes(), _small(vi), words.tobytes(), _small(n), stems.tobytes(), _small(si), _small(labelled),
+                      _small(t[i][labelled]), _small(o[i][labelled]))
+            for c, x in zip(_PARTS, values):
+                rows[c].append(x)
+        return pa.RecordBatch.from_arrays([pa.array(rows[c], pa.int64() if c in ("bucket", "n", "m") else pa.binary()) for c in _PARTS], names=_PARTS)
+
+    def counted(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, before, stem, label = (np.concatenate(x) for x in zip(*parts))
+        _, new, place = np.unique(_pair(before, h), return_index=True, return_inverse=True)
+        t, o = (np.bincount(place[label == c], minlength=len(new)).astype(np.int64) for c in (1, 0))
+        return packed(before[new], h[new], stem[new], t, o)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, parts, held = WordHasher(), [], 0
+        for batch in batches:
+            toxic = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+            data, at = text_bytes(batch.column(1))
+            for lo, hi in runs_of(at):
+                h, before, stem, first = _words(hasher, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
+                parts.append((h, before, stem, np.repeat(toxic[lo:hi], np.diff(first)).astype(np.int8)))
+                held += int(at[hi] - at[lo])
+                if held >= PACK:
+                    yield counted(parts)
+                    parts, held = [], 0
+        if parts:
+            yield counted(parts)
+
+    return tidy(convert)
+
+
+def _grouped(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, and the sums of the values of each."""
+    found, place = np.unique(keys, return_inverse=True)
+    return found, *(np.bincount(place, v, len(found)) for v in values)
+
+
+def _sums(hot: np.ndarray) -> Callable[[tuple, pa.Table], pa.Table]:
+    """What a bucket's pairs add to: words (those that count), contexts of labelled pairs, pairs above the discount, stems, and all words."""
+    def least(x: np.ndarray) -> np.ndarray:
+        return np.minimum(x, DISCOUNT)
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts, stems = [], {}
+        for row in table.to_pylist():
+            n, words = row["n"], np.frombuffer(row["w"], np.uint64)
+            t, o = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            few = _wide(row["labelled"], row["m"])
+            t[few], o[few] = _wide(row["t"], row["m"]), _wide(row["o"], row["m"])
+            stem = np.frombuffer(row["s"], np.uint64)[_wide(row["si"], len(words))]
+            parts.append((np.frombuffer(row["v"], np.uint64)[_wide(row["vi"], n)], np.repeat(words, _wide(row["wn"], len(words))), t, o))
+            stems.setdefault("w", []).append(words)
+            stems.setdefault("s", []).append(stem)
+        v, w, t, o = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        _, new, place = np.unique(_pair(v, w), return_index=True, return_inverse=True)
+        t, o = (np.bincount(place, x, len(new)) for x in (t, o))
+        v, w = v[new], w[new]
+        known, first = np.unique(np.concatenate(stems["w"]), return_index=True)
+        stem = np.concatenate(stems["s"])[first]
+        words, word_t, word_o, cont = _grouped(w, t, o, np.ones(len(w)))
+        is_hot = np.isin(words, hot)
+        counts = is_hot | (word_t > DISCOUNT) | (word_o > DISCOUNT)
+        some = t + o > 0
+        contexts = _grouped(v[some], t[some], o[some], least(t[some]), least(o[some]))
+        often = (t > DISCOUNT) | (o > DISCOUNT)
+        parts_of = _grouped(stem, word_t, word_o, cont)  # words and known are in the same order
+        out = [
+            _sum_rows(WORD, words[counts], s=stem[counts], t=word_t[counts], o=word_o[counts], cont=cont[counts], hot=is_hot[counts]),
+            _sum_rows(CONTEXT, contexts[0], t=contexts[1], o=contexts[2], low_t=contexts[3], low_o=contexts[4]),
+            _sum_rows(PAIR, v[often], w=w[often], t=t[often], o=o[often]),
+            _sum_rows(STEM_PART, parts_of[0], t=parts_of[1], o=parts_of[2], cont=parts_of[3]),
+            _sum_rows(ALL, np.zeros(1, np.uint64), t=word_t[~is_hot].sum(keepdims=True), o=word_o[~is_hot].sum(keepdims=True), cont=cont[~is_hot].sum(keepdims=True),
+                      low_t=least(word_t[~is_hot]).sum(keepdims=True), low_o=least(word_o[~is_hot]).sum(keepdims=True))]
+        return pa.concat_tables(out)
+
+    return tidy_group(work)
+
+
+def _sum_rows(kind: int, v: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """Rows of :data:`SUMS`; columns that are not given are 0."""
+    n, out = len(v), {}
+    for name, kind_of in (f.split() for f in SUMS.split(", ")):
+        x = np.full(n, kind) if name == "kind" else v if name == "v" else columns.get(name, np.zeros(n))
+        x = x.view(np.int64) if x.dtype == np.uint64 else x
+        out[name] = pa.array(x.astype({"int": np.int32, "long": np.int64, "double": np.float64, "boolean": bool}[kind_of]))
+    return pa.table(out)
 
 
 class _Table:
@@ -112,10 +246,10 @@ def _table(entries: DataFrame, default: float) -> _Table:
     entries = cut_lineage(entries.select(F.col("key").cast("long").alias("key"), F.col("value").cast("float").alias("value")))
     n, out = max(-(-entries.count() // SHARD), 1), []
     for i in range(n):
-        shard = entries.where(F.pmod("key", F.lit(n)) == i).toPandas()
-        keys = shard["key"].to_numpy(np.int64).view(np.uint64)
+        shard = entries.where(F.pmod("key", F.lit(n)) == i).toArrow()  # never as Python rows
+        keys = shard["key"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
-        out.append(spark.sparkContext.broadcast((keys[order], shard["value"].to_numpy(np.float32)[order])))
+        out.append(spark.sparkContext.broadcast((keys[order], shard["value"].to_numpy().astype(np.float32)[order])))
     return _Table(out, default)
 
 
@@ -234,35 +368,33 @@ def _smoothed(count: Column, whole: Column, low: Column, base: Column) -> Column
     return (F.greatest(count - DISCOUNT, F.lit(0.0)) + low * base) / whole
 
 
-def train(rows: DataFrame) -> Model:
+def train(rows: DataFrame, texts: DataFrame | None = None) -> Model:
     """Fit on all (doc_id, text, toxic, calibrate) rows; ``toxic`` is null for texts without a label.
 
     Class counts are those of all labelled texts that do not calibrate, shared counts those of all
     other texts too. Counts, probabilities and ratios are made in Spark. Entries not above the
     discount in either class equal their backoff, so the tables without them are exact; they are
-    broadcast in shards of bounded size, as many as it takes.
+    broadcast in shards of bounded size, as many as it takes. ``texts`` are the same texts without
+    their labels, if they can be read more cheaply; they only steer how pairs are dealt.
     """
+    texts = rows if texts is None else texts
     counted = rows.where(~F.coalesce("calibrate", F.lit(False)))
-    grams = counted.select("toxic", "text").mapInArrow(_bigrams, "v long, w long, s long, n long")
     low = [F.sum(F.least(F.col(n), F.lit(DISCOUNT))).alias(f"low_{n}") for n in "to"]
     both = [F.sum(n).alias(n) for n in "to"]
     often = (F.col("t") > DISCOUNT) | (F.col("o") > DISCOUNT)
-    pairs = grams.groupBy("v", "w").agg(F.max("s").alias("s"), F.sum("n").alias("n"))
-    pairs = pairs.select("v", "w", "s", F.shiftright("n", 32).alias("t"), F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("o"))
-
-    def row(kind: int, first: str, second: Column, s: Column, cont: int) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.col(first).alias("v"), second.cast("long").alias("w"), s.cast("long").alias("s"), F.lit(cont).cast("long").alias("cont"))
-
-    # One pass over the distinct pairs, which are not kept: words, contexts, and pairs above the discount.
-    none = F.lit(None)
-    kinds = F.array_compact(F.array(row(0, "w", F.lit(0), F.col("s"), 1), row(1, "v", F.lit(0), none, 0), F.when(often, row(2, "v", F.col("w"), none, 0))))
-    sums = pairs.select("t", "o", F.explode(kinds).alias("k")).select("k.*", "t", "o").groupBy("kind", "v", "w").agg(F.max("s").alias("s"), F.sum("cont").alias("cont"), *both, *low)
-    sums = cut_lineage(sums)
-    words = sums.where("kind = 0").select(F.col("v").alias("w"), "s", "t", "o", "cont")
-    contexts = sums.where("kind = 1").select("v", "t", "o", "low_t", "low_o")
-    pairs = sums.where("kind = 2").select("v", "w", "t", "o")
-    stems = cut_lineage(words.groupBy("s").agg(*both, F.sum("cont").alias("cont")))
-    all_words, all_stems = (t.agg(*both, *low, F.sum("cont").alias("cont")).first() for t in (words, stems))
+    hot = hot_words(texts)
+    buckets = max(8, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    # One exchange of packed pairs; a bucket's task counts them and sends on only what the model needs.
+    packed = counted.select("toxic", "text").mapInArrow(_bigrams(buckets, hot), PACKED)
+    sums = cut_lineage(packed.groupBy("bucket").applyInArrow(_sums(hot), SUMS))
+    words = sums.where(F.col("kind") == WORD).groupBy(F.col("v").alias("w")).agg(F.max("s").alias("s"), *both, F.sum("cont").alias("cont"), F.max("hot").alias("hot"))
+    contexts = sums.where(F.col("kind") == CONTEXT).groupBy("v").agg(*both, *[F.sum(c).alias(c) for c in ("low_t", "low_o")])
+    pairs = sums.where(F.col("kind") == PAIR).select("v", "w", "t", "o")
+    stems = cut_lineage(sums.where(F.col("kind") == STEM_PART).groupBy(F.col("v").alias("s")).agg(*both, F.sum("cont").alias("cont")))
+    all_stems = stems.agg(*both, *low, F.sum("cont").alias("cont")).first()
+    rest = sums.where(F.col("kind") == ALL).select("t", "o", "low_t", "low_o")
+    each = words.where("hot").select("t", "o", *(F.least(F.col(n), F.lit(DISCOUNT)).alias(f"low_{n}") for n in "to"))
+    all_words = rest.unionByName(each).agg(*[F.sum(c).alias(c) for c in ("t", "o", "low_t", "low_o")]).first()
     if not all_words.t or not all_words.o:
         labels = {r[0]: r[1] for r in rows.where(F.col("toxic").isNotNull()).groupBy("toxic").count().collect()}
         empty, prior = _Table([], 0.0), (labels.get(1, 0) + 1) / (sum(labels.values()) + 2)
@@ -322,8 +454,10 @@ def toxicity_columns(docs: DataFrame, model: Model, held_out: Column) -> DataFra
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on documents whose fold of five is not 0, with all their labels, and score all.
 
-    Labels are a few bytes a row; Spark broadcasts them while they are small.
+    Labels are a few bytes a row and are broadcast up to a measured number; beyond it every pass
+    over the training texts shuffles them to their labels.
     """
     other = fold_of("doc_id", 5) != 0
-    known = known_labels(labels.where(other))
-    return toxicity_columns(docs, train(docs.where(other).select("doc_id", "text").join(known, "doc_id", "left")), ~other)
+    known = measured(known_labels(labels.where(other)))
+    texts = docs.where(other).select("doc_id", "text")
+    return toxicity_columns(docs, train(texts.join(known, "doc_id", "left"), texts), ~other)
