@@ -7,6 +7,7 @@ to one distribution shared by both classes, which counts in how many different w
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ TRAIN_ROWS, DISCOUNT, WINDOWS, STEM = 16_000, 3.0, (1, 5, 20, 80), 4
 FEATURES = len(WINDOWS) + 2
 #: Bytes of text whose pairs are packed together, bytes of text for each bucket of words, and the share of all words (1 / HOT) that
 #: makes a word hot.
-PACK, BUCKET_BYTES, HOT = 8 << 20, 24 << 20, 1000
+PACK, BUCKET_BYTES, HOT = 8 << 20, 40 << 20, 1000
 #: Entries of a model's shard, and shards that a worker keeps in memory; of more it holds one at a time.
 SHARD, KEPT = 2_000_000, 6
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, worst_passage double, mean_log_ratio double"
@@ -72,6 +73,16 @@ def _small(x: np.ndarray) -> bytes:
     return x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * np.dtype(t).itemsize)).tobytes()
 
 
+def _sorted_bytes(x: np.ndarray) -> bytes:
+    """Distinct sorted hashes: their differences byte by byte of weight, the upper ones of which are mostly 0."""
+    return zlib.compress(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _sorted(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _wide(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
@@ -124,7 +135,7 @@ def _bigrams(buckets: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch
             before, vi = np.unique(v[i], return_inverse=True)
             stems, si = np.unique(s[i][first], return_inverse=True)
             labelled = np.flatnonzero(t[i] + o[i])
-            values = (int(bucket[lo]), len(i), len(labelled), before.tobytes(), _small(vi), words.tobytes(), _small(n), stems.tobytes(), _small(si), _small(labelled),
+            values = (int(bucket[lo]), len(i), len(labelled), _sorted_bytes(before), _small(vi), _sorted_bytes(words), _small(n), _sorted_bytes(stems), _small(si), _small(labelled),
                       _small(t[i][labelled]), _small(o[i][labelled]))
             for c, x in zip(_PARTS, values):
                 rows[c].append(x)
@@ -168,12 +179,12 @@ def _sums(hot: np.ndarray) -> Callable[[tuple, pa.Table], pa.Table]:
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts, stems = [], {}
         for row in table.to_pylist():
-            n, words = row["n"], np.frombuffer(row["w"], np.uint64)
+            n, words = row["n"], _sorted(row["w"])
             t, o = np.zeros(n, np.int64), np.zeros(n, np.int64)
             few = _wide(row["labelled"], row["m"])
             t[few], o[few] = _wide(row["t"], row["m"]), _wide(row["o"], row["m"])
-            stem = np.frombuffer(row["s"], np.uint64)[_wide(row["si"], len(words))]
-            parts.append((np.frombuffer(row["v"], np.uint64)[_wide(row["vi"], n)], np.repeat(words, _wide(row["wn"], len(words))), t, o))
+            stem = _sorted(row["s"])[_wide(row["si"], len(words))]
+            parts.append((_sorted(row["v"])[_wide(row["vi"], n)], np.repeat(words, _wide(row["wn"], len(words))), t, o))
             stems.setdefault("w", []).append(words)
             stems.setdefault("s", []).append(stem)
         v, w, t, o = (np.concatenate(x) for x in zip(*parts))
