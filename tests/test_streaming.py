@@ -125,3 +125,26 @@ def test_dedup_and_order(spark, tmp_path):
     df = spark.createDataFrame(rows, "user_key string, event_id string, occurred_at long, received_at long").withColumn("at", F.col("received_at") + 1000)
     out = jobs.run_available(jobs.event_dedup(_replay(spark, _with_ts(df), tmp_path, 2)), str(tmp_path))
     assert sorted((r.event_id, r.received_at) for r in out.collect()) == [("e1", 1), ("e3", 4), ("e4", 5)]
+
+
+def test_keys_of_a_bucket_share_its_state(spark, tmp_path, monkeypatch):
+    """One group for all keys: each keeps its own rows between triggers, and one without a key counts too."""
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    rows = [(i, "created", 100 + i) for i in range(50)] + [(i, "responded", 700 + i) for i in range(0, 50, 2)] + [(None, "created", 120), (99, "created", 30_000)]
+    items = _with_ts(spark.createDataFrame(rows, "item_id long, kind string, at long"))
+    out = jobs.run_available(jobs.expiry(_replay(spark, items, tmp_path), 1_000, "10 seconds"), str(tmp_path)).collect()
+    assert {(r.item_id, r.created_at) for r in out} == {(i, 100 + i) for i in range(1, 50, 2)} | {(None, 120)} and len(out) == 26
+
+
+def test_many_events_share_few_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 2)
+    rows = [(f"u{i % 7}", f"e{i // 2}", i // 3 * 10 % 401, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "user_key string, event_id string, occurred_at long, received_at long").withColumn("at", F.col("received_at"))
+    out = jobs.run_available(jobs.event_dedup(_replay(spark, _with_ts(df), tmp_path, 2)), str(tmp_path))
+    first, newest, want = set(), {}, []
+    for user, event, occurred, received in rows:
+        if event not in first and occurred > newest.get(user, -1):
+            newest[user] = occurred
+            want.append((event, received))
+        first.add(event)
+    assert sorted((r.event_id, r.received_at) for r in out.collect()) == sorted(want)
