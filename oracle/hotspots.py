@@ -89,7 +89,7 @@ def _to(side: str) -> str:
 
 
 view("merge_zones", """
-  SELECT s.*, component_score, support_weight, centroid_x, centroid_y, CASE WHEN s.zone_id = 131 THEN NULL WHEN (s.zone_id - 118) // 5 % 2 = 0 THEN 'north' ELSE 'south' END AS side,
+  SELECT s.*, component_score, support_weight, centroid_x, centroid_y, CASE WHEN (s.zone_id - 118) // 5 % 2 = 0 THEN 'north' ELSE 'south' END AS side,
     (SELECT count(*) FROM recent_points p WHERE p.zone_id = s.zone_id) AS recent FROM shapes s JOIN component_rows k ON k.zone_id = s.zone_id AND anchor_rank = 0""", "shapes", "component_rows", "recent_points")
 _MIX = f"(0.62 * {c('component_score / 9')} + 0.38 * {c('support_weight / 14')})"
 _APART = "sqrt(pow(x2 - x{0}, 2) + pow(y2 - y{0}, 2))"
@@ -138,7 +138,7 @@ def statements() -> dict[str, str]:
                   sqrt(pow(greatest(a.min_x - b.max_x, b.min_x - a.max_x, 0), 2) + pow(greatest(a.min_y - b.max_y, b.min_y - a.max_y, 0), 2)) AS boundary,
                   a.recent + b.recent AS recents, a.support_weight + b.support_weight AS supports, a.component_score + b.component_score AS merged_score, greatest(a.component_score, b.component_score) AS top,
                   (SELECT count(*) FROM recent_points p WHERE p.zone_id IN (a.zone_id, b.zone_id) AND {_to('a')} <= 75 AND {_to('b')} <= 75) AS band
-                FROM merge_zones a JOIN merge_zones b ON a.side = b.side AND a.zone_id < b.zone_id)) WHERE boundary <= 60)""", "merge_zones", "recent_points"),
+                FROM merge_zones a JOIN merge_zones b ON a.side = b.side AND a.zone_id < b.zone_id)))""", "merge_zones", "recent_points"),
         "quality_modifier": statement(f"""
           SELECT zone_id, bin_local_epoch, {r6(c("1 - 0.18 * short_trip_share - CASE WHEN borough_name = 'Manhattan' THEN 0.20 ELSE 0.14 END * market_saturation_n + 0.10 * downstream_n", '0.72', '1.18'))} AS quality_modifier FROM scored""", "scored"),
         "point_to_zone": statement(f"""

@@ -66,6 +66,18 @@ def test_pairs_of_zones_meet_once_wherever_cells_lie(spark):
     assert got == [(1, 2, "queens"), (1, 3, "queens"), (2, 3, "queens")]
 
 
+def test_far_zones_of_a_borough_are_named_as_such(spark):
+    def square(x):
+        return [[[x, 0.0], [x + 0.1, 0.0], [x + 0.1, 0.1], [x, 0.1], [x, 0.0]]]
+
+    boxes = [(1, "Queens", 0.0), (2, "queens ", 0.1), (3, "QUEENS", 5.0), (4, "Bronx", 0.2), (5, "", 0.0), (6, " ", 0.1)]
+    shapes = spark.createDataFrame([(z, b, square(x)) for z, b, x in boxes], "zone_id int, borough_name string, rings array<array<array<double>>>")
+    parts = spark.createDataFrame([(z, 0, 1.0, 1.0, 0.0, 0.0) for z, *_ in boxes], "zone_id int, anchor_rank int, component_score double, support_weight double, centroid_x double, centroid_y double")
+    recent = spark.createDataFrame([(1, 0.0, 0.0)], "zone_id int, lat double, lng double")
+    got = {(r.zone_id_a, r.zone_id_b): r.reason for r in h.adjacent_hotspot_merge(parts, shapes, recent, every_pair=True).collect()}
+    assert got == {(1, 2): "weak_boundary_activity", (1, 3): "zone_boundary_too_far", (2, 3): "zone_boundary_too_far"}
+
+
 def test_presence_of_a_deleted_account_is_removed(spark):
     presence = spark.createDataFrame([(1, NOW - 10), (2, NOW - 10), (3, NOW - 5000)], "user_id long, at long")
     users = spark.createDataFrame([(1, False, False, False, "a", "a@b"), (3, False, False, False, "c", "c@b")],
