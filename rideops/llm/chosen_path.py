@@ -3,8 +3,8 @@
 A document's shingle set has a signature of minwise tokens. In each of several independent trees a
 node picks one coordinate of the signature, by a hash of the path so far, and sends each document to
 the child its minwise token there selects: two documents of similarity s stay together with
-probability s at each step. Nodes that have become small are compared exhaustively, by one-bit
-sketches. What the trees find are candidate clusters; a cluster's documents then meet once, with
+probability s at each step. After a fixed number of steps all documents of a node are compared, by
+one-bit sketches, however many they are. What the trees find are candidate clusters; a cluster's documents then meet once, with
 their whole texts, and links are decided on full sets.
 """
 
@@ -22,9 +22,9 @@ from rideops.llm.common import WordHasher, mixed, runs_of, text_bytes, tidy, tid
 from rideops.llm.components import connected_components, forest
 from rideops.session import cut_lineage
 
-#: Minwise tokens of a signature, independent trees, steps of a path, documents of a small node.
-TOKENS, TREES, STEPS, SMALL = 128, 16, 8, 1000
-#: Documents of a node handled in one task; larger nodes are split further along the path.
+#: Minwise tokens of a signature, independent trees, steps of a path, rows compared in one array.
+TOKENS, TREES, STEPS, SMALL = 128, 28, 5, 1000
+#: Documents of a node in one group; the parts of a larger node meet in pairs.
 LARGE = 20_000
 #: Equal sketch bits of a candidate pair: similarity 0.8 has 115 of 128 on average, deviation 3.4.
 SKETCH_BITS = 102
@@ -95,34 +95,29 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(convert), "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
 
 
-_TREE_SCHEMA = "rep long, p2 long, p4 long, p6 long, pack binary"
-_STEP_ROW = np.dtype([("sketch", "<u8", (TOKENS // 64,)), ("n", "<u4"), ("steps", "<u4", (STEPS - 2,))])
+_TREE_SCHEMA = "rep long, node long, pack binary"
+_STEP_ROW = np.dtype([("sketch", "<u8", (TOKENS // 64,)), ("n", "<u4")])
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document and tree: its path, its sketch and its size."""
+    """One row per document and tree: the node its path ends in, its sketch and its size."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(n, TOKENS)
-        rep, size, every = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.arange(n)
+        rep, every = batch.column(0), np.arange(n)
         pack = np.zeros(n, _STEP_ROW)
         pack["sketch"] = np.packbits((mixed(sig.astype(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
-        pack["n"] = size
+        pack["n"] = batch.column(1).to_numpy()
+        raw, width = pack.tobytes(), _STEP_ROW.itemsize
+        packs = pa.array([raw[i * width:(i + 1) * width] for i in range(n)], pa.binary())
         for tree in range(TREES):
-            path, kept = np.full(n, mixed(np.array([tree + 1], np.uint64))[0]), {}
-            for step in range(1, STEPS + 1):
+            path = np.full(n, mixed(np.array([tree + 1], np.uint64))[0])
+            for _ in range(STEPS):
                 token = sig[every, (path % np.uint64(TOKENS)).astype(np.int64)]
                 path = mixed(path * np.uint64(0x9FB21C651E98DF25) + token)
-                kept[step] = path.view(np.int64)
-                if step > 2:
-                    pack["steps"][:, step - 3] = (path >> np.uint64(32)).astype(np.uint32)
-            raw = pack.tobytes()
-            width = _STEP_ROW.itemsize
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rep), *(pa.array(kept[s]) for s in (2, 4, 6)), pa.array([raw[i * width:(i + 1) * width] for i in range(n)], pa.binary())],
-                names=["rep", "p2", "p4", "p6", "pack"])
+            yield pa.RecordBatch.from_arrays([rep, pa.array(path.view(np.int64)), packs], names=["rep", "node", "pack"])
 
 
 def _alike(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -133,51 +128,38 @@ def _alike(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, p
 
 
 def _node_links(rep: np.ndarray, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the candidate pairs of one node, found by descending its path."""
-    sketch, size, steps = rows["sketch"], rows["n"].astype(np.int64), rows["steps"]
-    todo, left, right = [(np.arange(len(rep)), 0)], [], []
-    while todo:
-        i, step = todo.pop()
-        if len(i) > SMALL and step < steps.shape[1]:
-            order = i[np.argsort(steps[i, step], kind="stable")]
-            cuts = np.flatnonzero(np.diff(steps[order, step])) + 1
-            todo += [(part, step + 1) for part in np.split(order, cuts) if len(part) > 1]
-        elif len(i) <= SMALL:
-            x, y = np.nonzero(np.triu(_alike(sketch, size, i, i, percent), 1))
-            if len(x):
-                a, b = forest(rep[i[x]], rep[i[y]])
-                left.append(a)
-                right.append(b)
-        else:  # a path that does not part them: breadth first, each row against what is not yet reached
-            rest = i
-            while len(rest):
-                front, rest, root = rest[:1], rest[1:], rep[rest[0]]
-                while len(front) and len(rest):
-                    hit = np.flatnonzero(_alike(sketch, size, front[:64], rest, percent).any(0))
-                    front = np.concatenate([front[64:], rest[hit]])
-                    left.append(np.full(len(hit), root))
-                    right.append(rep[rest[hit]])
-                    rest = np.delete(rest, hit)
+    """A spanning forest of all candidate pairs among the rows of one group."""
+    sketch, size, rest = rows["sketch"], rows["n"].astype(np.int64), np.arange(len(rep))
     none = np.zeros(0, np.int64)
+    if len(rest) <= SMALL:
+        x, y = np.nonzero(np.triu(_alike(sketch, size, rest, rest, percent), 1))
+        return forest(rep[x], rep[y]) if len(x) else (none, none)
+    left, right = [], []  # breadth first, each row against what is not yet reached
+    while len(rest):
+        front, rest, root = rest[:1], rest[1:], rep[rest[0]]
+        while len(front) and len(rest):
+            hit = np.flatnonzero(_alike(sketch, size, front[:64], rest, percent).any(0))
+            front = np.concatenate([front[64:], rest[hit]])
+            left.append(np.full(len(hit), root))
+            right.append(rep[rest[hit]])
+            rest = np.delete(rest, hit)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
 def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
     """(a, b) links whose components hold every candidate pair. ``reps``: (rep, n_shingles, signature).
 
-    Documents meet at the second step of their paths. Nodes too large for a task go on to the
-    fourth and sixth step; what even that does not part (documents alike almost everywhere) is
-    dealt into blocks anew in every tree, and the trees together connect it.
+    Documents meet where their paths end, after the same number of steps at any size of the input,
+    and every pair of a node is compared. A node too large for one group is dealt into parts, and
+    every two parts meet in a group of their own.
     """
     paths = reps.select("rep", "n_shingles", "signature").mapInArrow(tidy(_paths), _TREE_SCHEMA)
-    hot = paths.groupBy("p2").count().where(F.col("count") > LARGE).select("p2", F.lit(True).alias("hot2"))
-    hot = cut_lineage(hot)
-    deeper = paths.select("p2", "p4", "p6").join(hot, "p2").groupBy("p4", "p6").count()
-    deeper = cut_lineage(deeper.groupBy("p4").agg(F.sum("count").alias("n4"), F.max("count").alias("n6")).where(F.col("n4") > LARGE))
-    blocks = F.ceil(F.col("n6") / LARGE)
-    block = F.when(blocks > 1, F.pmod(F.xxhash64("rep", "p6"), blocks)).otherwise(0)
-    key = F.when(F.col("hot2").isNull(), F.col("p2")).when(F.col("n4").isNull(), F.col("p4")).otherwise(F.xxhash64("p6", block))
-    nodes = paths.join(hot, "p2", "left").join(deeper, "p4", "left").select(key.alias("node"), "rep", "pack")
+    parts = paths.groupBy("node").count().where(F.col("count") > LARGE).select("node", F.ceil(2 * F.col("count") / LARGE).alias("_parts"))
+    dealt = paths.join(cut_lineage(parts), "node", "left").withColumn("_own", F.pmod(F.xxhash64("rep"), "_parts"))
+    others = F.when(F.col("_parts").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+    met = dealt.withColumn("_other", F.explode(others))
+    cell = F.when(F.col("_parts").isNull(), F.col("node")).otherwise(F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other")))
+    nodes = met.select(cell.alias("node"), "rep", "pack")
 
     buckets = 16 * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -346,6 +328,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def recall(similarity: float, depth: float, trees: int = TREES) -> float:
-    """Share of pairs that meet in a node of at least one tree when nodes are small at ``depth`` steps."""
+def recall(similarity: float, depth: float = STEPS, trees: int = TREES) -> float:
+    """Share of pairs that meet in a node of at least one tree after ``depth`` steps."""
     return 1 - math.pow(1 - similarity ** depth, trees)

@@ -275,6 +275,25 @@ def test_large_nodes_and_blocks_give_the_same(spark, rows, docs, monkeypatch):
     assert got == brute.near_duplicates(texts_of(rows), 2)
 
 
+def test_links_do_not_depend_on_the_size_of_nodes(spark, monkeypatch):
+    """One tree: what meets in its nodes is the same whether nodes are whole, dealt into parts or compared row by row."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 32, chosen_path.TOKENS, dtype=np.uint32)
+    rows = []
+    for i in range(400):  # neighbours in a chain are alike, most others are not
+        base = np.where(rng.random(chosen_path.TOKENS) < 0.12, rng.integers(0, 1 << 32, chosen_path.TOKENS, dtype=np.uint32), base)
+        rows.append((i, 50, base.tobytes()))
+    reps = spark.createDataFrame(rows, "rep long, n_shingles long, signature binary")
+    monkeypatch.setattr(chosen_path, "TREES", 1)
+    found = []
+    for large, small in ((20_000, 1000), (4, 2), (7, 1)):
+        monkeypatch.setattr(chosen_path, "LARGE", large)
+        monkeypatch.setattr(chosen_path, "SMALL", small)
+        links = chosen_path.connected_components(chosen_path.candidate_links(reps, 80)).collect()
+        found.append({(r.node, r.component) for r in links})
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_loose_cluster_meets_in_bounded_cells(spark, monkeypatch):
     """Documents of similarity about 0.7 to each other chain into one cluster with tiny components."""
     rng = np.random.default_rng(12)
