@@ -138,7 +138,7 @@ def test_keys_of_a_bucket_share_its_state(spark, tmp_path, monkeypatch):
 
 def test_many_events_share_few_groups(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "BUCKETS", 2)
-    rows = [(f"u{i % 7}", f"e{i // 2}", i // 3 * 10 % 401, i) for i in range(300)]
+    rows = [(f"u{i % 7}", f"e{i // 2}", i // 3 * 10 % 401, 1_000 + i) for i in range(300)]
     df = spark.createDataFrame(rows, "user_key string, event_id string, occurred_at long, received_at long").withColumn("at", F.col("received_at"))
     out = jobs.run_available(jobs.event_dedup(_replay(spark, _with_ts(df), tmp_path, 2)), str(tmp_path))
     first, newest, want = set(), {}, []
