@@ -14,6 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rideops.session import cut_lineage
+
+#: Groups whose middle buckets are broadcast to the rows; of more, rows and groups are shuffled to each other.
+FEW_GROUPS = 100_000
 #: Buckets per doubling of a value: more of them let fewer values through, but count finer.
 STEPS = 8
 
@@ -27,8 +31,9 @@ def value_bucket(value: Column) -> Column:
 def bucketed_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Exact interpolated medians, one row per key, without gathering a group.
 
-    The second pass joins each row once, for all columns, with its group's middle buckets; where
-    these are few enough Spark broadcasts them and the rows are not shuffled at all.
+    The second pass joins each row once, for all columns, with its group's middle buckets. They are
+    checkpointed and counted first: up to ``FEW_GROUPS`` groups they are broadcast and the rows are
+    not shuffled at all. The input is read twice.
     """
     keys = list(keys)
     every = range(len(columns))
@@ -48,7 +53,8 @@ def bucketed_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
         (F.col("before") <= F.ceil(last / 2)) & (F.col("upto") > F.floor(last / 2)))
     ends = middle.groupBy(*keys, "measure").agg(F.struct(
         F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.min("before").alias("before"), F.max("total").alias("total")).alias("_r"))
-    wide = ends.groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == i, F.col("_r"))).alias(f"_r{i}") for i in every])
+    wide = cut_lineage(ends.groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == i, F.col("_r"))).alias(f"_r{i}") for i in every]))
+    wide = F.broadcast(wide) if wide.count() <= FEW_GROUPS else wide
 
     near = stacked(rows.join(wide, keys), ["if(_b{i} between _r{i}.low and _r{i}.high, _m{i}, null)", "_r{i}.before", "_r{i}.total"], "value, before, total")
     values = near.filter("value is not null").groupBy(*keys, "measure", "value").agg(

@@ -32,6 +32,16 @@ SHARES = {
 STABLE_DIGITS = 9
 
 
+def packed_rows(trips: DataFrame) -> DataFrame:
+    """What zone-bins take from each trip, its flags as bits of one number."""
+    flags = sum((F.col(c) * (1 << i) for i, c in enumerate(SHARES.values())), F.lit(0))
+    return trips.select(*KEYS, "drop_zone_id", "is_network_drop", flags.alias("_flags"), *MEDIANS.values())
+
+
+def unpacked_rows(packed: DataFrame) -> DataFrame:
+    return packed.withColumns({c: F.shiftright("_flags", i).bitwiseAND(1) for i, c in enumerate(SHARES.values())}).drop("_flags")
+
+
 def zone_bin_agg(trips: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Count, four medians and ten shares per pickup zone and bin.
 

@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
+from pyspark.storagelevel import StorageLevel
 
 from rideops.operators import ranks, scoring, trip_features, zone_bins
 from rideops.session import cut_lineage
 
 
+@contextmanager
+def held_rows(prepared: DataFrame) -> Iterator[DataFrame]:
+    """The columns of the trips that zone-bins read, on the executors' disks until they have been read.
+
+    Counts and both passes of the medians read them, with different columns, so that without this
+    the trips would be joined and shuffled three times.
+    """
+    packed = zone_bins.packed_rows(prepared).persist(StorageLevel.DISK_ONLY)
+    try:
+        yield zone_bins.unpacked_rows(packed)
+    finally:
+        packed.unpersist()
+
+
 def zone_bin_facts(trips: DataFrame, zones: DataFrame, *, bin_minutes: int = 20, slice_hours: int | None = 6,
                    source_tz: str | None = "UTC") -> DataFrame:
     """Filled zone-bins from normalised trips."""
     prepared = trip_features.scored_trips(trips, zones, bin_minutes, source_tz)
-    actual = cut_lineage(zone_bins.zone_bin_agg(prepared))  # read for the grid and for the facts
+    with held_rows(prepared) as rows:
+        actual = cut_lineage(zone_bins.zone_bin_agg(rows))  # read for the grid and for the facts
     return zone_bins.zone_bin_filled(actual, zones, slice_hours)
 
 
@@ -20,13 +39,14 @@ def zone_bin_joined(trips: DataFrame, zones: DataFrame, *, bin_minutes: int = 20
                     edge_lookup: str = "row", source_tz: str | None = "UTC") -> DataFrame:
     """Filled zone-bins with flows and densities.
 
-    Trips are scanned twice: for the origin-destination counts with their flags, and for the
-    medians. Both results are small next to the trips and read more than once, with different
-    columns, so Spark could not reuse their exchanges: they are checkpointed.
+    Trips are scanned once; their rows are held for the origin-destination counts with their flags,
+    and for the medians. Both results are small next to the trips and read more than once, with
+    different columns, so Spark could not reuse their exchanges: they are checkpointed.
     """
     prepared = trip_features.scored_trips(trips, zones, bin_minutes, source_tz)
-    counts = cut_lineage(zone_bins.od_counts(prepared))
-    actual = cut_lineage(zone_bins.zone_bin_agg(prepared, counts))
+    with held_rows(prepared) as rows:
+        counts = cut_lineage(zone_bins.od_counts(rows))
+        actual = cut_lineage(zone_bins.zone_bin_agg(rows, counts))
     filled = zone_bins.zone_bin_filled(actual, zones, slice_hours)
     return zone_bins.with_flows(filled, zone_bins.od_edges(counts), slice_hours, edge_lookup)
 

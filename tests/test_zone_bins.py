@@ -106,3 +106,23 @@ def test_edge_shares_sum_to_one_and_next_bin_lookup(spark):
 def test_plan_has_no_cross_join(spark):
     plan = scored.zone_bin_facts(common.trips(spark, SF), common.zones(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_trips_are_joined_once_and_medians_do_not_shuffle_them(spark):
+    joins = []
+    rows = common.prepared(spark, SF)
+    with scored.held_rows(rows) as held:
+        want = sorted(map(str, rows.select(*zb.KEYS, "drop_zone_id", "is_network_drop", *zb.SHARES.values(), *zb.MEDIANS.values()).collect()))
+        assert sorted(map(str, held.select(*zb.KEYS, "drop_zone_id", "is_network_drop", *zb.SHARES.values(), *zb.MEDIANS.values()).collect())) == want
+        for df in (zb.od_counts(held), bucketed_medians(held, zb.KEYS, list(zb.MEDIANS.values()))):
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString())
+    assert all("InMemoryRelation" in plan for plan in joins)
+    assert "strategy=broadcast" in joins[1]
+    assert "InMemoryRelation" not in zb.od_counts(rows)._jdf.queryExecution().optimizedPlan().toString()  # let go again
+
+
+def test_medians_of_more_groups_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("rideops.operators.medians.FEW_GROUPS", 1)
+    rows = [("a", 1.0), ("a", 4.0), ("b", 7.0), (None, 3.0)]
+    got = {r.k: r.v for r in bucketed_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], ["v"]).collect()}
+    assert got == {"a": 2.5, "b": 7.0}
