@@ -5,7 +5,8 @@ some of them are only known because an earlier event of the log taught them: a s
 customer id belongs to a user from the event that stored it until another one replaces it. These
 spans and the events' users depend on each other, so both are computed in rounds until nothing
 changes. An id serves events received in a later second, so each round settles at least the next
-event of every chain and the fixed point is unique; usual logs need two or three rounds.
+event of every chain and the fixed point is unique; usual logs need two or three rounds. A round
+looks again only at ids whose spans the one before changed and at users whose events it changed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from rideops.operators.ordered import with_previous, with_running
 from rideops.operators.spans import FOREVER, least_holder
 from rideops.session import cut_lineage
+from rideops.sources.store import scratch_path
 
 # Provider status to ours, and the status an event type sets by itself.
 STATUS_MAP = {"active": "active", "trialing": "trialing", "past_due": "past_due", "paused": "paused",
@@ -28,12 +30,37 @@ HANDLED = (*TYPE_STATUS, *PAYLOAD_STATUS, TRANSACTION)
 # Where a payload may hold an e-mail address, first to last.
 EMAIL_PATHS = ("$.data.customer.email", "$.data.email", "$.data.customer_email", "$.data.user_email", "$.email")
 DAY = 86400
+REFS = {"subscription_id": "subscription_ref", "customer_id": "customer_ref"}
+#: What the rounds carry of an event.
+CARRIED = ("event_id", "event_type", "occurred_at", "received_at", "subscription_id", "customer_id", "status", "period_end")
+#: Changed users or ids that are broadcast, and rounds between which events are written anew.
+FEW, WRITE_EVERY = 2_000_000, 8
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet below the shared folder: compressed, and read by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpointed and counted; hinted for broadcast if it has ``FEW`` rows at most."""
+    df = cut_lineage(df)
+    n = df.count()
+    return (F.broadcast(df) if n <= FEW else df), n
 
 
 def first_deliveries(events: DataFrame) -> DataFrame:
-    """The first received row of each event id."""
+    """The first received row of each event id.
+
+    Rows are long and an id seldom comes twice, so they are dealt by id first: combining before the
+    shuffle would sort all of them by id and leave as many.
+    """
     rest = [c for c in events.columns if c != "event_id"]
-    return events.groupBy("event_id").agg(F.min_by(F.struct(*rest), F.struct("received_at", "raw_event_json")).alias("e")).select("event_id", "e.*")
+    order = ["received_at", "raw_event_json"]
+    first = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("e")
+    return events.repartition("event_id").groupBy("event_id").agg(first).select("event_id", *[F.col(f"e.{c}") for c in rest])
 
 
 def _text(path: str) -> Column:
@@ -123,36 +150,82 @@ def id_spans(applied: DataFrame, users: DataFrame, name: str) -> DataFrame:
     return spans.select("key", F.col("user_id").alias("holder"), F.col("at").alias("since"), F.coalesce("prev_at", F.lit(FOREVER)).alias("until"))
 
 
-def resolve_users(parsed: DataFrame, users: DataFrame) -> DataFrame:
-    """Events with their user: by own id, else subscription id, customer id, first known e-mail.
+def _settled(parsed: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events with a known own id, the other events with their user or null, events that take effect), all narrow.
 
-    An own id ends the search even if no such user exists. Of several holders of an id the
-    smallest user counts. Events without a known user are dropped.
+    A round looks up the ids whose spans changed, finds the users whose events this changes, and
+    computes their applied events and spans again; where these are most users, all are.
     """
     known = users.select("user_id").distinct()
-    owned = parsed.filter(F.col("own_id").isNotNull()).withColumn("user_id", F.col("own_id")).join(known, "user_id", "left_semi")
+    population = known.count()
+    owned = _written(parsed.filter(F.col("own_id").isNotNull()).withColumn("user_id", F.col("own_id")).join(known, "user_id", "left_semi").select("user_id", *CARRIED), "owned")
     rest = parsed.filter(F.col("own_id").isNull())
     address = users.select("user_id", F.lower(F.trim("email")).alias("email")).filter(F.col("email") != "").groupBy("email").agg(F.min("user_id").alias("user_id"))
     by_mail = rest.select("event_id", F.posexplode("emails").alias("_p", "email")).join(address, "email").groupBy("event_id").agg(
         F.min_by("user_id", "_p").alias("u_email"))
-    rest = cut_lineage(rest.join(by_mail, "event_id", "left"))
+    nobody = F.lit(None).cast(users.schema["user_id"].dataType)
+    links = _written(rest.select(*CARRIED, *REFS.values()).join(by_mail, "event_id", "left").withColumns(
+        {"user_id": nobody, **{f"u_{name}": nobody for name in REFS}}), "links")
+    applied = _written(applied_events(owned, users), "applied")
+    spans = {name: cut_lineage(id_spans(applied, users, name)) for name in REFS}
+    stale: dict[str, DataFrame | None] = dict.fromkeys(REFS)  # ids to look up; None: all
+
+    def renewed(links: DataFrame, name: str) -> DataFrame:
+        """``links`` with the holders of the stale ids of kind ``name``."""
+        asked, held = links.filter(F.col(REFS[name]).isNotNull()).withColumn("key", F.col(REFS[name])), spans[name]
+        if stale[name] is not None:
+            asked, held = (cut_lineage(df.join(stale[name], "key", "left_semi")) for df in (asked.select("event_id", "key", "received_at"), held))
+        found = least_holder(asked.select(F.col("event_id").alias("point_id"), "key", F.col("received_at").alias("at")), held)
+        found = found.select(F.col("point_id").alias("event_id"), F.col("holder").alias("_holder"))
+        if stale[name] is None:
+            return links.drop(f"u_{name}").join(found, "event_id", "left").withColumnRenamed("_holder", f"u_{name}")
+        again, _ = _counted(asked.select("event_id", F.lit(True).alias("_again")).join(found, "event_id", "left"))
+        holder = F.when(F.col("_again"), F.col("_holder")).otherwise(F.col(f"u_{name}"))
+        return links.join(again, "event_id", "left").withColumn(f"u_{name}", holder).drop("_again", "_holder")
+
+    turn = 0
+    while True:
+        turn += 1
+        links = links.withColumnRenamed("user_id", "_before")
+        for name in REFS:
+            links = renewed(links, name)
+        links = links.withColumn("user_id", F.coalesce("u_subscription_id", "u_customer_id", "u_email"))
+        write = stale["subscription_id"] is None or turn % WRITE_EVERY == 0
+        links = _written(links, "links") if write else links
+        moved = links.filter(~F.col("user_id").eqNullSafe(F.col("_before"))).select(F.explode(F.array("_before", "user_id")).alias("user_id"))
+        touched, n = _counted(moved.filter(F.col("user_id").isNotNull()).distinct())
+        links = links.drop("_before")
+        if n == 0:
+            return owned, links, applied
+        resolved = owned.unionByName(links.filter(F.col("user_id").isNotNull()).select("user_id", *CARRIED))
+        if n * 2 > population:
+            applied = _written(applied_events(resolved, users), "applied")
+            spans = {name: cut_lineage(id_spans(applied, users, name)) for name in REFS}
+            stale = dict.fromkeys(REFS)
+            continue
+        theirs = users.join(touched, "user_id", "left_semi")
+        new = _written(applied_events(resolved.join(touched, "user_id", "left_semi"), theirs), "applied")
+        applied = applied.join(touched, "user_id", "left_anti").unionByName(new)
+        holders = touched.withColumnRenamed("user_id", "holder")
+        for name in REFS:
+            old, now = spans[name].join(holders, "holder", "left_semi"), cut_lineage(id_spans(new, theirs, name))
+            differ = old.withColumn("_n", F.lit(-1)).unionByName(now.withColumn("_n", F.lit(1))).groupBy("key", "holder", "since", "until").agg(F.sum("_n").alias("_n")).filter("_n != 0")
+            stale[name] = _counted(differ.select("key").distinct())[0]
+            spans[name] = spans[name].join(holders, "holder", "left_anti").unionByName(now)
+        if turn % WRITE_EVERY == 0:
+            applied, spans = _written(applied, "applied"), {name: cut_lineage(held) for name, held in spans.items()}
 
-    def by_id(applied: DataFrame, name: str, ref: str) -> DataFrame:
-        points = rest.filter(F.col(ref).isNotNull()).select(F.col("event_id").alias("point_id"), F.col(ref).alias("key"), F.col("received_at").alias("at"))
-        return least_holder(points, cut_lineage(id_spans(applied, users, name))).select(F.col("point_id").alias("event_id"), F.col("holder").alias(f"u_{name}"))
 
-    links, mark = None, None
-    while True:
-        resolved = owned if links is None else owned.unionByName(rest.drop("u_email").join(links, "event_id"))
-        applied = cut_lineage(applied_events(resolved, users))
-        found = rest.select("event_id", "u_email")
-        for name, ref in (("subscription_id", "subscription_ref"), ("customer_id", "customer_ref")):
-            found = found.join(by_id(applied, name, ref), "event_id", "left")
-        links = cut_lineage(found.select("event_id", F.coalesce("u_subscription_id", "u_customer_id", "u_email").alias("user_id")).filter("user_id is not null"))
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("event_id", "user_id").cast("decimal(38,0)"))).first())
-        if now == mark:
-            return resolved
-        mark = now
+def resolve_users(parsed: DataFrame, users: DataFrame) -> DataFrame:
+    """Events with their user: by own id, else subscription id, customer id, first known e-mail.
+
+    An own id ends the search even if no such user exists. Of several holders of an id the
+    smallest user counts. Events without a known user are dropped.
+    """
+    known = users.select("user_id").distinct()
+    owned = parsed.filter(F.col("own_id").isNotNull()).withColumn("user_id", F.col("own_id")).join(known, "user_id", "left_semi")
+    links = _settled(parsed, users)[1].filter(F.col("user_id").isNotNull()).select("event_id", "user_id")
+    return owned.unionByName(parsed.filter(F.col("own_id").isNull()).join(links, "event_id"))
 
 
 def subscription_state(events: DataFrame, users: DataFrame) -> DataFrame:
@@ -162,8 +235,8 @@ def subscription_state(events: DataFrame, users: DataFrame) -> DataFrame:
     subscription_current_period_end and subscription_updated_at. Every field is the value of the
     last event that sets it, so the fold is one aggregation that combines before the shuffle.
     """
-    parsed = cut_lineage(parsed_events(first_deliveries(events)))
-    a = applied_events(resolve_users(parsed, users), users)
+    parsed = _written(parsed_events(first_deliveries(events)), "parsed")
+    a = _settled(parsed, users)[2]
     kind, order = F.col("event_type"), F.struct("received_at", "event_id")
     is_transaction = kind == TRANSACTION
     status = (F.when(kind.isin(*PAYLOAD_STATUS), F.col("status"))

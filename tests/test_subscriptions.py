@@ -155,3 +155,19 @@ def test_least_holder_of_busy_keys(spark):
     got = least_holder(spark.createDataFrame(points, "point_id long, key string, at long"), spark.createDataFrame(spans, "key string, holder long, since long, until long"))
     want = {i: min(hs) for i, key, at in points if (hs := [h for k, h, a, b in spans if k == key and a < at <= b])}
     assert {r.point_id: r.holder for r in got.collect()} == want
+
+
+def test_late_rounds_look_only_at_users_that_changed(spark, monkeypatch):
+    """A chain of ids that each event learns from the one before, next to users whose events are settled at once."""
+    seen, whole = [], s.applied_events
+    monkeypatch.setattr(s, "applied_events", lambda resolved, users: seen.append(users.count()) or whole(resolved, users))
+    monkeypatch.setattr(s, "FEW", 0)
+    monkeypatch.setattr(s, "WRITE_EVERY", 2)
+    log = [("subscription.updated", 10, {"data": {"id": f"S{i}"}}) for i in range(2, 12)]
+    log += [("subscription.created", 20, {"data": {"custom_data": {"user_id": 1}, "id": "T0", "customer_id": "D1"}})]
+    log += [("subscription.updated", 30 + i, {"data": {"id": f"T{i}", "customer_id": f"D{i + 1}", "customer": {"id": f"D{i}"}}}) for i in range(3)]
+    log += [("subscription.updated", 40 + i, {"data": {"id": "T2", "subscription_id": f"T{i}"}}) for i in range(3)]
+    users = [_user(1)] + [_user(i, f"S{i}") for i in range(2, 12)]
+    got = _state(spark, users, log)
+    assert len(got) == 11 and got[1]["subscription_id"] == "T2"
+    assert seen[:2] == [11, 11] and len(seen) > 2 and max(seen[2:]) == 1
