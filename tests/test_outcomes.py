@@ -3,6 +3,7 @@
 import random
 
 from rideops.operators import guidance as g, outcomes as o
+from rideops.streaming import jobs
 
 REC = "recommendation_id long, user_id long, zone_id int, recommended_at long, center_lat double, center_lng double"
 PICK = "pickup_id long, user_id long, zone_id int, created_at long, lat double, lng double"
@@ -198,3 +199,52 @@ def test_modifier_is_neutral_below_six(spark):
     df = spark.createDataFrame([(1, True, 5.0, 0.1, 100)] * 5 + [(2, True, 2.0, 0.01, 100)] * 12, "zone_id int, converted_to_trip boolean, minutes_to_trip double, distance_miles double, recommended_at long")
     got = {r.zone_id: r.modifier for r in o.outcome_modifier(df, ["zone_id"], 200).collect()}
     assert got == {1: 1.0, 2: 1.22}
+
+
+class _Clock(int):
+    """A time that counts how often it is compared with others."""
+
+    asked = 0
+
+    def __sub__(self, other):
+        _Clock.asked += 1
+        return int(self) - other
+
+
+def test_settlement_looks_once_at_each_recommendation_to_expire_it():
+    rows = [(_Clock(10 + i), 0, i, 40.7, -73.9) for i in range(2000)]
+    kept = []
+    out = list(jobs.SettlementProcessor(0.35, True).take((1, 2), kept, rows, 5400 + 1010.0))
+    assert [r[2] for r in out] == list(range(1000)) and [r[1] for r in kept] == list(range(1000, 2000))
+    assert _Clock.asked < 3 * len(rows)
+
+
+def test_pickups_among_many_open_recommendations(monkeypatch):
+    """The same claims as when every open one is measured, and few are."""
+    asked, exact = [], o.miles_between
+    monkeypatch.setattr(o, "miles_between", lambda *places: asked.append(1) or exact(*places))
+    for seed, fallback in ((1, True), (2, False)):
+        rng = random.Random(seed)
+
+        def spot():
+            return (None, -73.98) if rng.random() < 0.1 else (40.70 + rng.randint(0, 60) / 3000, -73.98 + rng.randint(0, 60) / 3000)
+
+        rows = sorted((rng.randint(0, 12_000), int(rng.random() < 0.3), i // 2, *spot()) for i in range(4000))
+        plain, held, measured, whole = [], o.OpenRecs(), 0, 0
+        for at, is_pickup, i, lat, lng in rows:
+            gone = [r for r in plain if at - r[0] > 5400]
+            plain = plain[len(gone):]
+            assert list(held.expire(at)) == gone
+            if is_pickup:
+                whole += len(plain)
+                want = o.best_claim(plain, at, lat, lng, 0.2, fallback)
+                asked.clear()
+                assert held.claim(at, lat, lng, 0.2, fallback) == want
+                measured += len(asked)
+                if want:
+                    plain.remove(want[0])
+            else:
+                plain.append((at, i, lat, lng))
+                held.append(plain[-1])
+            assert held.open == len(plain)
+        assert list(held) == plain and whole > 100_000 and measured < whole / 20
