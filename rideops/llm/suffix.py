@@ -33,7 +33,9 @@ CONTEXT = LENGTH + WINDOWS - 1
 #: A difference cover modulo 13: every distance is a difference of two members.
 COVER, MODULUS = (0, 1, 3, 9), 13
 #: Bits of a position inside a run of documents; windows of a long document that are named at a time.
-PLACE, PIECE = 28, 1 << 23
+PLACE, PIECE = 28, 1 << 20
+#: Bytes worked on at a time where a byte takes many times its size (hashes of grams, sums over bytes).
+RUN = 1 << 19
 #: Bytes of text in a group.
 GROUP_BYTES = 32 << 20
 _LAST = np.iinfo(np.int64).max
@@ -115,7 +117,7 @@ class _Group:
     def anchors(self) -> tuple[np.ndarray, ...]:
         """(document, anchor start, hash, first and last window start), all in the group's bytes."""
         out = []
-        for lo, hi in runs_of(self.offsets):
+        for lo, hi in runs_of(self.offsets, RUN):
             base = self.offsets[lo]
             body = self.data[base:self.offsets[hi]]
             long = hi - lo == 1 and len(body) > PIECE + LENGTH
@@ -231,6 +233,26 @@ def _local_contexts(group: _Group, doc: np.ndarray, place: np.ndarray, first: np
     return contexts, (first - start).astype(np.uint8), (last - start).astype(np.uint8)
 
 
+def removed_bytes(turn: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each byte goes, and per document how many go and in how many maximal runs.
+
+    ``turn`` holds at each byte how many more strings begin there than have ended before it, and one entry more for those that end with the data.
+    """
+    gone, level = np.empty(len(turn) - 1, bool), 0
+    for at in range(0, len(gone), RUN):
+        upto = level + np.cumsum(turn[at:at + RUN][:len(gone) - at], dtype=np.int64)
+        gone[at:at + RUN], level = upto > 0, upto[-1]
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    some = offsets[1:] > offsets[:-1]
+    inner = offsets[:-1][some]
+    begins[inner] = gone[inner]
+    removed, spans = (np.zeros(len(some), np.int64) for _ in range(2))
+    for out, of in ((removed, gone), (spans, begins)):
+        out[some] = [np.count_nonzero(of[a:b]) for a, b in zip(inner, offsets[1:][some])]
+    return gone, removed, spans
+
+
 def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte covered by a 50-byte string that also starts in a document of smaller id.
 
@@ -348,18 +370,14 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                     starts = place[hit[(bits_of >> np.uint32(t) & np.uint32(1)) > 0]] - (WINDOWS - 1) + t
                     np.add.at(turn, starts, 1)
                     np.add.at(turn, starts + LENGTH, -1)
-        gone = np.cumsum(turn[:-1]) > 0
-        total = np.append(0, np.cumsum(gone))
-        begins = gone & ~np.append(False, gone[:-1])
-        inner = group.offsets[:-1][group.size > 0]
-        begins[inner] = gone[inner]
-        spans = np.append(0, np.cumsum(begins))
-        lo, hi = group.offsets[:-1], group.offsets[1:]
-        kept = [group.data[a:b][~gone[a:b]].tobytes() if n else group.data[a:b].tobytes() for a, b, n in zip(lo, hi, total[hi] - total[lo])]
-        rows = table.take(pa.array(group.order))
+        gone, removed, spans = removed_bytes(turn, group.offsets)
+        del turn
+        kept = pa.array((group.data[a:b][~gone[a:b]].tobytes() if n else group.data[a:b].tobytes()
+                         for a, b, n in zip(group.offsets[:-1], group.offsets[1:], removed)), pa.binary())
+        rows = table.select(["doc_id", *keep]).take(pa.array(group.order))
         return pa.table({
-            "doc_id": rows["doc_id"], **{c: rows[c] for c in keep}, "n_bytes": group.size, "n_removed": total[hi] - total[lo],
-            "n_spans": spans[hi] - spans[lo], "kept": pa.array(kept, pa.binary())})
+            "doc_id": rows["doc_id"], **{c: rows[c] for c in keep}, "n_bytes": group.size, "n_removed": removed,
+            "n_spans": spans, "kept": kept})
 
     marks = dealt.groupBy("_pid").applyInArrow(tidy_group(hashes), _ddl(_HASHES))
     known = marks.groupBy("_bucket").applyInArrow(tidy_group(shared), _ddl(_SHARED))
